@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from statewake.llm import quality_rules
+from statewake.llm import quality_rules, secret_scan
 from statewake.llm.common import table
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op4_quality_rules": op4_quality_rules}
+    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules)}
 
 
 def oracle_sql():
