@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import quality_rules, secret_scan
+from statewake.llm import quality_rules, secret_scan, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -14,9 +14,17 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_token_store(spark, sf_dir):
+    return token_store.store_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_store(spark, sf_dir):
+    return warc_store.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op7_warc_store)}
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality_rules.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op7_warc_store": warc_store.SQL}
