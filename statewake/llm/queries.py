@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import quality_rules, secret_scan, token_store, warc_store
+from statewake.llm import quality_rules, secret_scan, source_mix, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -22,8 +22,12 @@ def op7_warc_store(spark, sf_dir):
     return warc_store.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_source_mix(spark, sf_dir):
+    return source_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op7_warc_store)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op7_warc_store, op8_source_mix)}
 
 
 def oracle_sql():
