@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
+from statewake.llm import language_id, page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_token_store(spark, sf_dir):
     return token_store.store_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_store(spark, sf_dir):
     return warc_store.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -31,7 +35,7 @@ def op10_page_text(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op7_warc_store, op8_source_mix, op10_page_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op10_page_text)}
 
 
 def oracle_sql():
