@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import language_id, page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
+from statewake.llm import language_id, near_dup, page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -30,12 +30,16 @@ def op8_source_mix(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op10_page_text(spark, sf_dir):
     return page_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op10_page_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op9_near_dup, op10_page_text)}
 
 
 def oracle_sql():
