@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import language_id, near_dup, page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
+from statewake.llm import context_tree, decontaminate, language_id, near_dup, page_text, quality_rules, secret_scan, source_mix, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_context_tree(spark, sf_dir):
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_page_text(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op9_near_dup, op10_page_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_context_tree, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op9_near_dup, op10_page_text)}
 
 
 def oracle_sql():
