@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 Two tables stand for the archive: ``headers`` has the exact WARC and HTTP header bytes of every
-record, ``payloads`` has each payload once under its SHA-256. A record is put together again by a
+record, ``payloads`` has each payload once, compressed, under its SHA-256. A record is put together again by a
 join on the digest, parsed as WARC and checked: lengths and digest must hold, else the read fails.
 
 Of records with equal payloads of at least ``min_revisit`` bytes that with the smallest page id is
@@ -16,10 +16,12 @@ result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from statewake.llm.common import Scratch
 
@@ -27,6 +29,7 @@ MIN_REVISIT = 100
 #: The tables carry no fetch time; the date of all records is a parameter.
 DATE = "1970-01-01T00:00:00Z"
 EOL = "\r\n"
+REVISIT = f"WARC/1.1{EOL}WARC-Type: revisit{EOL}".encode()
 
 
 def digests(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -35,11 +38,13 @@ def digests(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, *, min_revisit=MIN_REVISIT, date=DATE, **cols) -> tuple[DataFrame, DataFrame]:
-    """headers(page_id, digest, header) and payloads(digest, payload), as written and read again."""
+    """headers(page_id, digest, header) and payloads(digest, packed), as written and read again."""
     d = digests(pages, **cols)
     first = d.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    # the first holder's row of each digest; repeated rows of it count once
-    payloads = d.alias("d").join(first.alias("f"), (F.col("d.digest") == F.col("f.digest")) & F.col("d.page_id").eqNullSafe(F.col("f.first_id"))).select("d.digest", "d.page_id", "d.payload").dropDuplicates(["digest", "page_id"]).select("digest", "payload")
+    # one row of each digest; the group limit drops copies before the shuffle
+    order = Window.partitionBy("digest").orderBy(F.col("page_id").asc_nulls_last())
+    packed = d.select("digest", "page_id", "payload").mapInArrow(_pack, "digest string, page_id long, packed binary")
+    payloads = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("digest", "packed")
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     rid = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     revisit = (F.col("n") >= min_revisit) & (F.col("page_id") != F.col("first_id")) | (F.col("n") >= min_revisit) & F.col("page_id").isNull() & F.col("first_id").isNotNull()
@@ -71,13 +76,30 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http + sep, body
 
 
+def _pack(batches):
+    """Payloads as they are kept and moved: compressed."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zlib.compress(x, 6) for x in b.column(2).to_pylist()], pa.binary())], names=["digest", "page_id", "packed"])
+
+
+def _unpack(batches, end=(EOL + EOL).encode()):
+    """page_id, the record's bytes and its full payload."""
+    for b in batches:
+        records, payloads = [], []
+        for header, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            payloads.append(zlib.decompress(packed))
+            # a revisit's block is its HTTP header alone
+            records.append(header + end if header.startswith(REVISIT) else header + payloads[-1] + end)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(records, pa.binary()), pa.array(payloads, pa.binary())], names=["page_id", "record", "payload"])
+
+
+def _joined(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    return headers.join(payloads, "digest").select("page_id", "header", "packed")
+
+
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """page_id, the record's bytes, and the full payload (also of revisits)."""
-    rows = headers.join(payloads, "digest", "left")
-    # a revisit's block is its HTTP header alone
-    revisit = F.substring("header", 1, 64).cast("string").contains(f"{EOL}WARC-Type: revisit{EOL}")
-    end = F.lit((EOL + EOL).encode())
-    return rows.select("page_id", F.when(revisit, F.concat("header", end)).otherwise(F.concat("header", "payload", end)).alias("record"), "payload")
+    return _joined(headers, payloads).mapInArrow(_unpack, "page_id long, record binary, payload binary")
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -85,7 +107,7 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     number = lambda rid: None if rid == "<urn:x-page:null>" else int(rid[len("<urn:x-page:") : -1])
 
     def run(batches):
-        for b in batches:
+        for b in _unpack(batches):
             out = []
             for record, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 f, _, body = parse_record(record)
@@ -98,7 +120,7 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return records(headers, payloads).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _joined(headers, payloads).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
