@@ -95,8 +95,11 @@ def filter_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", host_
     """The kept documents in their own columns, with frequent lines cut out of their texts."""
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("_host")
     removed = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, line_limit=line_limit).groupBy("_host", "_t1", "_t2").agg(F.sum("words").alias("_gone"), F.flatten(F.collect_list("pos")).alias("_pos"))
-    rows = base_metrics(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), host, *_text_key(F.col(text_col))), "_text").where("not base_failed").drop("n_repeat_words", "word_chars", "n_symbols", "n_dup_lines")
-    df = rows.join(removed, ["_host", "_t1", "_t2"], "left").where((F.col("n_words") - F.coalesce("_gone", F.lit(0))) >= F.lit(left_share) * F.col("n_words"))
+    rows = base_metrics(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), host, *_text_key(F.col(text_col))), "_text").drop("n_repeat_words", "word_chars", "n_symbols", "n_dup_lines")
+    # one comparison over both sides of the join: a filter on base_failed alone would be pushed below
+    # the projections, where each use of an array column would repeat the whole expression behind it
+    left = F.when(F.col("base_failed"), F.lit(-1)).otherwise(F.col("n_words") - F.coalesce("_gone", F.lit(0)))
+    df = rows.join(removed, ["_host", "_t1", "_t2"], "left").where(left >= F.lit(left_share) * F.col("n_words"))
     df = df.withColumn("_lines", F.split("_text", "\n"))
     cut = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _pos), i -> _lines[i]), '\n')")
     df = df.withColumn("_text", F.when(F.col("_pos").isNull(), F.col("_text")).otherwise(cut))
