@@ -25,10 +25,14 @@ def query(sql: str | None = None):
 
 
 def queries():
+    from statewake.plans import more  # noqa: F401  registers further queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    from statewake.plans import more  # noqa: F401
+
     return dict(_SQL)
 
 
