@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from statewake.plans import more  # noqa: F401  registers further queries
+    from statewake.plans import more, text_plans  # noqa: F401  they register further queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from statewake.plans import more  # noqa: F401
+    from statewake.plans import more, text_plans  # noqa: F401
 
     return dict(_SQL)
 
