@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ HEAD = struct.Struct("<4sBBIQ")
 NULL_ID = -(1 << 63)
 SEGMENT_IDS = 1 << 20
 #: Words whose ids a task keeps at hand; the table is emptied when full, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -46,28 +47,66 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts. The vocabulary's pre-tokenizer drops white space, so that no piece spans it and a text's ids are those of its words."""
+    """Ids of whole texts. The vocabulary's pre-tokenizer drops white space, so that no piece spans it and a text's ids are those of its words.
+
+    The vocabulary has small letters only, so A-Z are made small beforehand, but where a text may
+    name a special token, whose case counts. Ids of words are kept for as long as the worker process
+    lives, whatever tasks it runs.
+    """
+
+    kept: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [(t or "").encode().split() for t in texts]
-        out, cache = [], self.cache
-        for ws in split:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            if new := [w for w in set(ws) if w not in cache]:
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    cache[w] = e.ids
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w]
-            out.append(ids)
-        return out
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that end a piece
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        """Tokenise words. Those of plain letters are one piece each, so all go as one text that is cut where pieces end; a mark after letters is a piece of its own."""
+        ids, letters, marked, rest = self.ids, {}, [], []
+        for w in words:
+            bare = w[:-1] if w[-1:] in (b".", b",") else w
+            text = bare.decode()
+            if text.isalpha() and max(text) < "\u0250":
+                if bare not in ids:
+                    letters[bare] = text
+                if bare is not w:
+                    marked.append(w)
+            else:
+                rest.append(w)
+        if letters:
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(letters.values())], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = [0, *((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()]
+            if len(cuts) != len(letters) + 1:
+                raise ValueError("the vocabulary does not keep letters in one piece")
+            data = got.tobytes()
+            ids.update((w, data[a:z]) for w, a, z in zip(letters, cuts, cuts[1:], strict=False))
+        rest += [m for m in (b".", b",") if m not in ids]
+        for w, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            ids[w] = array("I", e.ids).tobytes()
+        for w in marked:
+            ids[w] = ids[w[:-1]] + ids[w[-1:]]
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        data = [(t or "").encode() for t in texts]
+        split = [(d if b"<|" in d else d.lower()).split() for d in data]
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        if new := [w for w in set().union(*split) if w not in self.ids]:
+            self.learn(new)
+        get = self.ids.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
 
 
 def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
@@ -143,7 +182,7 @@ def write_segments(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_c
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordTokenizer(path)
+        part, encoder = TaskContext.get().partitionId(), WordTokenizer.of(path)
         seq = done = held = 0
         doc_ids, arrays = [], []
 
@@ -159,7 +198,7 @@ def write_segments(docs: DataFrame, scratch: Scratch, *, id_col="doc_id", text_c
                 piece = b.slice(at, 256)
                 for d, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
                     doc_ids.append(d)
-                    arrays.append(np.array([*ids, end_id], np.uint32))
+                    arrays.append(np.append(ids, np.uint32(end_id)))
                     held += len(ids) + 1
                     if held >= segment_ids:
                         yield flush()
