@@ -16,7 +16,7 @@ are found, so the result does not depend on the split.
 
 Defined results: null and wordless texts have the empty set and link with nothing; fewer words than
 a shingle make one shingle of the whole; repeated rows each give a row; rows with a null id take the
-group of their text; an empty table gives an empty result.
+group of the rows with the same set, and the null group where there is none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 
     wanted = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "count")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    sets = wanted.join(texts, "rep").select("rep", "cluster", "count", "text").mapInArrow(full_sets, "rep long, cluster long, count long, set binary")
+    # by shuffle at any size: what a join of this kind costs then follows the input
+    sets = wanted.hint("merge").join(texts, "rep").select("rep", "cluster", "count", "text").mapInArrow(full_sets, "rep long, cluster long, count long, set binary")
     links = blocks(sets, "cluster", "count", "rep", CLUSTER_BLOCK).mapInArrow(lambda it: confirmed_links(it, percent), "a long, b long")
     found = connected_components(links, scratch, "confirmed")
     named = classes.join(found, classes.rep == found.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
