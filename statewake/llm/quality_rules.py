@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col
     removed = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, line_limit=line_limit).groupBy("_host", "_t1", "_t2").agg(F.sum("words").alias("removed_words"))
     df = metrics.join(removed, ["_host", "_t1", "_t2"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
-    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (left >= F.lit(left_share) * F.col("n_words"))).alias("kept"), "removed_words")
+    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.when(F.col("base_failed"), F.lit(-1)).otherwise(left) >= F.lit(left_share) * F.col("n_words")).alias("kept"), "removed_words")
 
 
 def filter_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", chars_col="n_chars", line_limit=LINE_LIMIT, left_share=LEFT_SHARE) -> DataFrame:
