@@ -7,11 +7,12 @@ training texts, and the mixing weights follow from them; the code length of a by
 logarithm of the product of its eight mixed probabilities. A text ends with the byte 0, and its
 first bytes have zeros before them as context.
 
-Counting runs over the grams of DEPTH + 1 bytes with partial sums in each task. Nodes of depth 2 and
-more are made in groups of one two-byte context, on the executors; depths 1 and 0 (at most 65,536
-nodes) on the driver. The model for scoring is a table of 2**SLOT_BITS slots, whatever the corpus:
-nodes are placed by hash, a check tells them apart, and of nodes in one slot that with the largest
-count stays (others are treated as unseen, with the probability 1/2 that the weighting gives them).
+Every node is kept, so the model grows with the corpus and no machine holds it whole. A task reads a
+chunk of documents and sends on the chunk's distinct grams of DEPTH + 1 bytes with their training
+counts (0 for those of held-out texts alone), packed by two-byte context. All grams of one such
+context meet on an executor, which makes the nodes of depth 2 and more, twice: first for the sums
+from which the driver makes depths 1 and 0 (at most 65,536 nodes), then for the logarithms of the
+grams, which go back to the chunks. There the texts are scored.
 
 Beside it stands the base model of word counts. Words are numbered within a chunk of a task's
 documents, so that only a chunk's distinct words travel to be counted, and not each document's.
@@ -34,7 +35,6 @@ from statewake.llm.common import Scratch
 from statewake.llm.near_dup import groups
 
 DEPTH = 5
-SLOT_BITS = 22
 COUNT_BYTES = 8 << 20
 #: Distinct words, and bytes of text, after which a task begins a new chunk.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 32 << 20
@@ -75,8 +75,8 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def leaf_nodes(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node keys (context above the decisions so far) and counts of zeros and ones of grams with a context of depth bytes."""
+def placed_leaves(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf nodes (see leaf_nodes), and the place of each gram's eight nodes among them (one row for each decision)."""
     shift = np.uint64(8 * depth)
     symbol, context = (code >> shift).astype(np.int64), code & ((np.uint64(1) << shift) - np.uint64(1))
     keys, ones = [], []
@@ -85,7 +85,12 @@ def leaf_nodes(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndar
         ones.append((symbol >> (7 - k)) & 1)
     key, where = np.unique(np.concatenate(keys), return_inverse=True)
     bit, n = np.concatenate(ones), np.tile(count, 8)
-    return key, np.bincount(where, n * (1 - bit), len(key)), np.bincount(where, n * bit, len(key))
+    return key, np.bincount(where, n * (1 - bit), len(key)), np.bincount(where, n * bit, len(key)), where.reshape(8, len(code))
+
+
+def leaf_nodes(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node keys (context above the decisions so far) and counts of zeros and ones of grams with a context of depth bytes."""
+    return placed_leaves(code, count, depth)[:3]
 
 
 def parents(key: np.ndarray) -> np.ndarray:
@@ -117,9 +122,9 @@ def slots(key: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Slots of nodes: check, probability of a one, weight of the own estimate."""
+    """Small models in memory, by slots: check, probability of a one, weight of the own estimate. The operator doesn't use it."""
 
-    def __init__(self, bits: int = SLOT_BITS):
+    def __init__(self, bits: int):
         self.bits = bits
         self.check, self.one, self.own = np.zeros(1 << bits, np.uint16), np.full(1 << bits, 0.5, np.float32), np.ones(1 << bits, np.float32)
 
@@ -142,11 +147,28 @@ class Model:
         return total
 
 
+def turned(code: np.ndarray) -> np.ndarray:
+    """Grams with the byte below its context, so that grams of a context sort together."""
+    return (code & np.uint64((1 << 8 * DEPTH) - 1)) << np.uint64(8) | code >> np.uint64(8 * DEPTH)
+
+
+class Known:
+    """The logarithms of grams, which are turned and sorted."""
+
+    def __init__(self, grams: np.ndarray, value: np.ndarray):
+        self.grams, self.value = grams, value
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.grams, code := turned(code))
+        assert (self.grams[at] == code).all()
+        return self.value[at].astype(np.float64)
+
+
 class Scorer:
     """A model with a direct-mapped table of the grams it met."""
 
-    def __init__(self, model: Model):
-        self.model, self.key, self.value = model, np.full(1 << CACHE_BITS, (1 << 64) - 1, np.uint64), np.zeros(1 << CACHE_BITS)
+    def __init__(self, model: Model | Known, bits: int = CACHE_BITS):
+        self.model, self.bits, self.key, self.value = model, bits, np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each text."""
@@ -157,13 +179,13 @@ class Scorer:
                 size += len(texts[end])
                 end += 1
             code, starts = grams(texts[at:end])
-            place = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            place = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
             value, missing = self.value[place], np.flatnonzero(self.key[place] != code)
             if len(missing):
                 new, where = np.unique(code[missing], return_inverse=True)
                 got = np.concatenate([self.model.log10(new[i : i + 65536]) for i in range(0, len(new), 65536)])
                 value[missing] = got[where]
-                kept = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+                kept = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
                 _, last = np.unique(kept, return_index=True)
                 self.key[kept[last]], self.value[kept[last]] = new[last], got[last]
             out.append(np.add.reduceat(value, starts[:-1]))
@@ -171,91 +193,82 @@ class Scorer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _count(batches):
-    """Partial sums of a task's grams."""
-    held: list[bytes] = []
-    size, codes, counts = 0, [], []
+def gram_counts(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of texts, turned and sorted, and how often training texts have them."""
+    code, starts = grams(texts)
+    code = turned(code) << np.uint64(1) | np.repeat(np.array(train, np.uint64), np.diff(starts))
+    code, n = np.unique(code, return_counts=True)
+    return add_counts([code >> np.uint64(1)], [n * (code & np.uint64(1)).astype(np.int64)])
 
-    def add():
-        code, n = np.unique(grams(held)[0], return_counts=True)
-        codes.append(code)
-        counts.append(n)
-        held.clear()
-        if len(codes) > 3:
-            squeeze()
 
-    def squeeze():
-        code, where = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(where, np.concatenate(counts), len(code)).astype(np.int64)
-        codes[:], counts[:] = [code], [n]
+def add_counts(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, where = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(where, np.concatenate(counts), len(code)).astype(np.int64)
 
-    def emit():
-        squeeze()
-        for a in range(0, len(codes[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[0][a : a + 100_000].astype(np.int64)), pa.array(counts[0][a : a + 100_000])], names=["gram", "n"])
-        codes.clear()
-        counts.clear()
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            held.append(model_bytes(text))
-            size += len(held[-1])
-            if size >= COUNT_BYTES:
-                add()
-                size = 0
-                if len(codes[0]) > 4_000_000:  # a task's sums are sent on before they grow too large
-                    yield from emit()
-    if held:
-        add()
-    if codes:
-        yield from emit()
+def grow(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Of the grams of two-byte contexts: the eight probabilities of a one, mixed from the leaves to depth 2, and parts of the nodes of depth 1."""
+    key, n0, n1, leaf = placed_leaves(code, n.astype(np.float64), DEPTH)
+    # grams that only held-out texts have make nodes without counts, which weigh nothing
+    p, at, below = np.zeros(len(key)), np.arange(len(key)), None
+    for d in range(DEPTH, 1, -1):
+        one, own, pw = weigh(n0, n1, below)
+        p = own[at] * one[at] + (1 - own[at]) * p
+        up, where = np.unique(parents(key), return_inverse=True)
+        key, n0, n1, below = up, *(np.bincount(where, x, len(up)) for x in (n0, n1, pw))
+        at = where[at]
+    return p[leaf], (key, n0, n1, below)
 
 
-NODES = "depth int, key long, slot int, chk int, n double, one float, own float, n0 double, n1 double, pw double"
+def log10_of(code: np.ndarray, deep: np.ndarray, shallow: list) -> np.ndarray:
+    """log10 of the probability of each gram's byte after its context."""
+    symbol, last = (code >> np.uint64(8 * DEPTH)).astype(np.int64), (code >> np.uint64(8 * (DEPTH - 1))).astype(np.int64) & 255
+    total = np.zeros(len(code))
+    for k in range(8):
+        node, bit, p = (1 << k) | (symbol >> (8 - k)), (symbol >> (7 - k)) & 1, deep[k]
+        for (one, own), key in zip(shallow, (last << 8 | node, node), strict=True):
+            p = own[key] * one[key] + (1 - own[key]) * p
+        total += np.log10(np.where(bit, p, 1 - p))
+    return total
+
+
+TOPS, VALUES = "key long, n0 double, n1 double, pw double", "chunk long, lid int, items binary, body binary"
 
 
-def _nodes(bits: int):
-    """Nodes of depth 2 and more from grams sorted by their two-byte context."""
+def _trees(shared=None):
+    """From chunks' packed grams sorted by context: parts of the nodes of depth 1, or, once these are known, the logarithms of each chunk's grams."""
 
     def run(batches):
-        for g in groups(batches, ("ctx",)):
-            code, n = g.column("gram").to_numpy().astype(np.uint64), g.column("n").to_numpy().astype(np.float64)
-            key, n0, n1 = leaf_nodes(code, n, DEPTH)
-            below = None
-            for d in range(DEPTH, 1, -1):
-                one, own, pw = weigh(n0, n1, below)
-                slot, check = slots(key, d, bits)
-                top = d == 2
-                cols = [np.full(len(key), d, np.int32), key.astype(np.int64), slot.astype(np.int32), check.astype(np.int32), n0 + n1, one.astype(np.float32), own.astype(np.float32)]
-                tail = [pa.array(x) if top else pa.nulls(len(key), pa.float64()) for x in (n0, n1, pw)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *tail], names=[x.split()[0] for x in NODES.split(", ")])
-                key, n0, n1, below = merge(key, n0, n1, pw)
+        for g in groups(batches, ("lid",)):
+            context, packed = g.column("lid")[0].as_py(), g.column("items").to_pylist()
+            blocks = [np.cumsum(_unpack(x)) for x in packed]
+            low, n = add_counts(blocks, [_unpack(x) for x in g.column("times").to_pylist()])
+            code = (low.astype(np.uint64) & np.uint64(255)) << np.uint64(8 * DEPTH) | np.uint64(context << 8 * (DEPTH - 2)) | low.astype(np.uint64) >> np.uint64(8)
+            deep, top = grow(code, n)
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([pa.array(top[0].astype(np.int64)), *map(pa.array, top[1:])], names=["key", "n0", "n1", "pw"])
+                continue
+            value = log10_of(code, deep, shared.value).astype(np.float32)
+            for a in range(0, len(blocks), 64):
+                some = [value[np.searchsorted(low, b)].tobytes() for b in blocks[a : a + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(g.column("chunk").to_pylist()[a : a + 64], pa.int64()), pa.array([context] * len(some), pa.int32()), pa.array(packed[a : a + 64], pa.binary()), pa.array(some, pa.binary())], names=["chunk", "lid", "items", "body"])
 
     return run
 
 
-def train(texts: DataFrame, scratch: Scratch, bits: int = SLOT_BITS) -> Model:
-    """A model of all the texts of a one-column table."""
-    counts = texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ctx = F.shiftright("gram", 8 * (DEPTH - 2)).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    rows = counts.withColumn("ctx", ctx).repartition("ctx").sortWithinPartitions("ctx")
-    nodes = scratch.write(rows.mapInArrow(_nodes(bits), NODES), "nodes")
-    model = Model(bits)
-    # of nodes in one slot the largest stays; the shallow ones, from the driver, come first of all
-    best = nodes.groupBy("slot").agg(F.max(F.struct("n", "depth", "key", "chk", "one", "own")).alias("b")).select("slot", F.col("b.chk").alias("chk"), F.col("b.one").alias("one"), F.col("b.own").alias("own"))
-    got = best.toArrow()
-    slot = got.column("slot").to_numpy()
-    model.put(slot, got.column("chk").to_numpy().astype(np.uint16), got.column("one").to_numpy(), got.column("own").to_numpy())
-    up = F.shiftright("key", 16) * 256 + F.col("key").bitwiseAND(F.lit(255))
-    first = nodes.where("depth = 2").groupBy(up.alias("key")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw"))).toArrow()  # at most 65,536 rows
+def gram_values(met: DataFrame) -> DataFrame:
+    """The logarithms, by the whole tree, of the grams of chunks: chunk, lid (a context), items and times (its grams and their counts, packed)."""
+    rows = met.repartition("lid").sortWithinPartitions("lid")
+    first = rows.mapInArrow(_trees(), TOPS).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw"))).toArrow()  # at most 65,536 rows
     key, n0, n1, below = (first.column(c).to_numpy() for c in ("key", "n0", "n1", "pw"))
-    key = key.astype(np.uint64)
-    for d in (1, 0):
+    key, shallow = key.astype(np.uint64), []
+    for size in (1 << 16, 1 << 8):
         one, own, pw = weigh(n0, n1, below)
-        model.put(*slots(key, d, bits), one, own)
+        full = np.full(size, 0.5), np.ones(size)
+        full[0][key.astype(np.int64)], full[1][key.astype(np.int64)] = one, own
+        shallow.append(full)
         key, n0, n1, below = merge(key, n0, n1, pw)
-    scratch.drop("nodes")
-    return model
+    return rows.mapInArrow(_trees(met.sparkSession.sparkContext.broadcast(shallow)), VALUES)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -274,97 +287,140 @@ class _Numbers(dict):
         return n
 
 
-WORK = "chunk long, doc_id long, held_out boolean, n_tokens long, score double, words binary, times binary, lid int, token binary, n long"
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8]), codec="zstd", asbytes=True) if data[:8] != bytes(8) else b""
+
+
+WORDS, GRAMS, DOCS = 0, 1, 2
+WORK = "chunk long, kind int, lid int, token binary, n long, doc_id long, held_out boolean, n_tokens long, items binary, times binary, size long, body binary"
 END = b""
 
 
-def _work(shared):
-    """Rows of documents (their words' numbers in the chunk, and score) and of chunks' words (number, word, training count)."""
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-    names = [x.split()[0] for x in WORK.split(", ")]
+def _work(batches):
+    """Rows of chunks' words (number, word, training count), of their grams by context (packed, with training counts), and of documents (their words' numbers in the chunk, and with the first of a batch the texts of all)."""
+    from pyspark import TaskContext
 
-    def rows(cols: dict, n: int):
-        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in zip(names, kinds, strict=True)], names=names)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in WORK.split(", ")]
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        scorer, chunk = Scorer(shared.value), TaskContext.get().partitionId() << 24
-        numbers, counted, size = _Numbers(), [], 0
-
-        def flush():
-            counts = np.bincount(np.concatenate(counted), minlength=len(numbers)) if counted else np.zeros(len(numbers), np.int64)
-            tokens = list(numbers)
-            for a in range(0, len(tokens), 100_000):
-                some = tokens[a : a + 100_000]
-                yield rows({"chunk": [chunk] * len(some), "lid": range(a, a + len(some)), "token": some, "n": counts[a : a + len(some)]}, len(some))
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
-                texts = [model_bytes(t) for t in piece.column(2).to_pylist()]
-                held, words, times, n_tokens = piece.column(1).to_pylist(), [], [], []
-                for t, h in zip(texts, held, strict=True):
-                    tokens = [*t.split(), END]
-                    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                    if not h:
-                        counted.append(ids)
-                    w, n = np.unique(ids, return_counts=True)
-                    words.append(_pack(np.diff(w, prepend=0)))
-                    times.append(_pack(n))
-                    n_tokens.append(len(tokens))
-                    size += len(t)
-                yield rows({"chunk": [chunk] * len(texts), "doc_id": piece.column(0), "held_out": held, "n_tokens": n_tokens, "score": scorer.score(texts), "words": words, "times": times}, len(texts))
-                if len(counted) > 64:
-                    counted[:] = [np.concatenate(counted)]
-                if len(numbers) >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                    yield from flush()
-                    numbers, counted, size, chunk = _Numbers(), [], 0, chunk + 1
-        if numbers:
-            yield from flush()
+    def rows(length: int, kind: int, **cols):
+        cols |= {"chunk": [chunk] * length, "kind": [kind] * length}
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(length, t) for k, t in zip(names, kinds, strict=True)], names=names)
 
-    return run
+    chunk = TaskContext.get().partitionId() << 24
+    numbers, counted, size, n_docs = _Numbers(), [], 0, 0
+    waiting, train, waits, codes, sums = [], [], 0, [], []
 
+    def add():
+        code, n = gram_counts(waiting, train)
+        codes.append(code)
+        sums.append(n)
+        waiting.clear()
+        train.clear()
+        if len(codes) > 3:
+            code, n = add_counts(codes, sums)
+            codes[:], sums[:] = [code], [n]
+
+    def flush():
+        counts = np.bincount(np.concatenate(counted), minlength=len(numbers)) if counted else np.zeros(len(numbers), np.int64)
+        tokens = list(numbers)
+        for a in range(0, len(tokens), 100_000):
+            some = tokens[a : a + 100_000]
+            yield rows(len(some), WORDS, lid=range(a, a + len(some)), token=some, n=counts[a : a + len(some)])
+        if waiting:
+            add()
+        code, n = add_counts(codes, sums)
+        context, low = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64((1 << 32) - 1)).astype(np.int64)
+        cuts = [*np.flatnonzero(np.diff(context, prepend=-1)).tolist(), len(code)]
+        for a in range(0, len(cuts) - 1, 1000):
+            some = list(zip(cuts[a : a + 1000], cuts[a + 1 : a + 1001], strict=False))
+            yield rows(len(some), GRAMS, lid=context[[x for x, _ in some]], items=[_pack(np.diff(low[x:y], prepend=0)) for x, y in some], times=[_pack(n[x:y]) for x, y in some])
 
-def _base(total: int, distinct: int):
-    """Base scores from a chunk's word counts, which come first, and its documents."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            piece = b.slice(at, 512)
+            texts = [model_bytes(t) for t in piece.column(2).to_pylist()]
+            held, words, times, n_tokens = piece.column(1).to_pylist(), [], [], []
+            for t, h in zip(texts, held, strict=True):
+                tokens = [*t.split(), END]
+                ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+                if not h:
+                    counted.append(ids)
+                w, n = np.unique(ids, return_counts=True)
+                words.append(_pack(np.diff(w, prepend=0)))
+                times.append(_pack(n))
+                n_tokens.append(len(tokens))
+                size += len(t)
+                waits += len(t)
+                waiting.append(t)
+                train.append(not h)
+                if waits >= COUNT_BYTES:
+                    add()
+                    waits = 0
+            body = [_squeeze(b"".join(texts)), *[None] * (len(texts) - 1)]
+            yield rows(len(texts), DOCS, lid=range(n_docs, n_docs + len(texts)), doc_id=piece.column(0), held_out=held, n_tokens=n_tokens, items=words, times=times, size=[len(t) for t in texts], body=body)
+            n_docs += len(texts)
+            if len(counted) > 64:
+                counted[:] = [np.concatenate(counted)]
+            if len(numbers) >= CHUNK_WORDS or size >= CHUNK_BYTES:
+                yield from flush()
+                numbers, counted, size, n_docs, chunk = _Numbers(), [], 0, 0, chunk + 1
+                waits, codes, sums = 0, [], []
+    if numbers:
+        yield from flush()
+
+
+def _base(total: int, distinct: int, bits: int):
+    """Both scores of a chunk's documents, from its word counts and its grams' values, which come first."""
     per = np.log10(total + distinct + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches):
-        now, logs, known = None, np.zeros(0), np.zeros(0, bool)
+        now, logs, known, scorer = None, np.zeros(0), np.zeros(0, bool), None
         for g in groups(batches, ("chunk", "kind")):
             chunk, kind = g.column("chunk")[0].as_py(), g.column("kind")[0].as_py()
-            if kind == 0:
-                c = np.zeros(g.num_rows)
-                c[g.column("lid").to_numpy()] = g.column("c").to_numpy()
-                now, logs, known = chunk, np.log10(c + 1), c > 0
+            if kind == WORDS:
+                c = g.column("c").to_numpy()
+                now, logs, known, scorer = chunk, np.log10(c + 1), c > 0, None
                 continue
             assert now == chunk
-            base, n_known = [], []
-            for w, t in zip(g.column("words").to_pylist(), g.column("times").to_pylist(), strict=True):
+            if kind == GRAMS:
+                code = [np.cumsum(_unpack(x)) + (c << 32) for c, x in zip(g.column("lid").to_pylist(), g.column("items").to_pylist(), strict=True)]
+                scorer = Scorer(Known(np.concatenate(code).astype(np.uint64), np.frombuffer(b"".join(g.column("body").to_pylist()), np.float32)), bits)
+                continue
+            body, at = b"".join(_unsqueeze(x) for x in g.column("body").to_pylist() if x is not None), 0
+            texts, base, n_known = [], [], []
+            for w, t, n in zip(g.column("items").to_pylist(), g.column("times").to_pylist(), g.column("size").to_pylist(), strict=True):
                 w, t = np.cumsum(_unpack(w)), _unpack(t)
                 base.append(float((logs[w] * t).sum() - t.sum() * per))
                 n_known.append(int(t[known[w]].sum()))
-            table = pa.table([g.column("doc_id"), g.column("held_out"), g.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([total] * len(base), pa.int64()), pa.array(base, pa.float64()), g.column("score")], names=names)
+                texts.append(body[at : at + n])
+                at += n
+            table = pa.table([g.column("doc_id"), g.column("held_out"), g.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([total] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(scorer.score(texts), pa.float64())], names=names)
             yield from table.to_batches()
 
     return run
 
 
-def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", folds=7, held=2, bits=SLOT_BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", folds=7, held=2, bits=CACHE_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; bits (of a task's table of grams met) changes no result."""
     scratch = Scratch(docs.sparkSession, "ctw")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, held).alias("held_out"), F.col(text_col).alias("text"))
-    model = train(rows.where("not held_out").select("text"), scratch, bits)
-    # the table of slots has a fixed size: ten bytes for each of 2**bits
-    work = scratch.write(rows.mapInArrow(_work(docs.sparkSession.sparkContext.broadcast(model)), WORK), "work")
+    work = scratch.write(rows.mapInArrow(_work, WORK), "work")
     by_word = Window.partitionBy("token")
     # a word has as many rows as chunks hold it
-    counts = scratch.write(work.where("token is not null").select("chunk", "lid", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")), "counts")
+    counts = scratch.write(work.where(f"kind = {WORDS}").select("chunk", "lid", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")), "counts")
     sums = counts.agg(F.sum(F.when(F.col("first") & (F.col("c") > 0), 1))).first()[0] or 0
-    total = work.where("token is null and not held_out").agg(F.sum("n_tokens")).first()[0] or 0
-    bags = work.where("token is null").select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("lid"), F.lit(None).cast("long").alias("c"), "doc_id", "held_out", "n_tokens", "score", "words", "times")
-    both = counts.select("chunk", F.lit(0).alias("kind"), "lid", "c", *(F.lit(None).cast(t).alias(c) for c, t in bags.dtypes[4:])).unionAll(bags)
-    out = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_base(total, sums), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    total = work.where(f"kind = {DOCS} and not held_out").agg(F.sum("n_tokens")).first()[0] or 0
+    values = gram_values(work.where(f"kind = {GRAMS}").select("chunk", "lid", "items", "times"))
+    bags = work.where(f"kind = {DOCS}").select("chunk", "kind", "lid", F.lit(None).cast("long").alias("c"), "doc_id", "held_out", "n_tokens", "items", "times", "size", "body")
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in bags.dtypes}
+    words = counts.select(*({**none, "chunk": "chunk", "kind": F.lit(WORDS).alias("kind"), "lid": "lid", "c": "c"}).values())
+    found = values.select(*({**none, "chunk": "chunk", "kind": F.lit(GRAMS).alias("kind"), "lid": "lid", "items": "items", "body": "body"}).values())
+    both = words.unionAll(found).unionAll(bags)
+    out = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "lid").mapInArrow(_base(total, sums, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)

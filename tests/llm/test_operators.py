@@ -127,6 +127,31 @@ def test_scores(odd_docs, no_docs):
     assert context_tree.score_documents(no_docs, bits=10).count() == 0
 
 
+def test_scores_keep_every_node(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    out = {r.doc_id: r for r in context_tree.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), bits=8).collect()}
+    assert any(r.held_out for r in out.values()) and len(out) == 60
+    codes, _ = context_tree.grams([t.encode() for i, t in enumerate(texts) if not out[i].held_out])
+    code, n = np.unique(codes, return_counts=True)
+    tree, (key, n0, n1), below = {}, context_tree.leaf_nodes(code, n.astype(float), context_tree.DEPTH), None
+    for d in range(context_tree.DEPTH, -1, -1):
+        one, own, pw = context_tree.weigh(n0, n1, below)
+        tree |= {(d, int(k)): (float(a), float(b)) for k, a, b in zip(key, one, own, strict=True)}
+        key, n0, n1, below = context_tree.merge(key, n0, n1, pw)
+    for i, t in enumerate(texts):
+        want = 0.0
+        for g in context_tree.grams([t.encode()])[0].tolist():
+            symbol = g >> 40
+            for k in range(8):
+                p = 0.5
+                for d in range(context_tree.DEPTH, -1, -1):
+                    one, own = tree.get((d, (g >> 8 * (5 - d) & (1 << 8 * d) - 1) << 8 | 1 << k | symbol >> (8 - k)), (0.5, 1))
+                    p = own * one + (1 - own) * p
+                want += math.log10(p if symbol >> (7 - k) & 1 else 1 - p)
+        assert abs(out[i].score - want) < 1e-6 * max(1, abs(want))
+
+
 # 4
 def test_quality(spark, odd_docs, no_docs):
     out = {(r.doc_id, r.n_words): r for r in quality_rules.quality_rules(odd_docs).collect()}
