@@ -4,9 +4,10 @@ A page's html becomes text lines (blocks), each with the place it stands in: an
 element, page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
 neither. Pages are ordered by URL path within their host; each is paired with the neighbour whose
 path shares the longer prefix (the earlier one on a tie), their lines are aligned by longest common
-subsequence, and lines shared with the neighbour are deleted. A check follows: lines that the
-markup declares as the article (or main) are restored, since copies of a page share their whole
-article; a page whose lines would all go keeps those that are not furniture.
+subsequence, and lines shared with the neighbour are deleted, as is furniture. A check follows:
+lines that the markup declares as the article (or main, without one) are restored in their places,
+since copies of a page share their whole article; a page whose lines would all go keeps those that
+are not furniture.
 
 Only line hashes travel for the pairing. Neighbours are found by place in a global sort, so a host
 with any share of the pages is spread over many tasks.
@@ -176,11 +177,9 @@ def shared_lines(a: list, b: list, most_bits: int = 1 << 28) -> list[int]:
 
 def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
     """The text left after shared lines are deleted and declared content is restored."""
-    best = max((p for _, p in lines), default=FURNITURE)
-    if best in (MAIN, ARTICLE):
-        return " ".join(t for t, p in lines if p == best)
-    gone = set(shared)
-    left = [t for i, (t, p) in enumerate(lines) if p == OPEN and i not in gone]
+    best, gone = max((p for _, p in lines), default=FURNITURE), set(shared)
+    declared = best if best in (MAIN, ARTICLE) else None
+    left = [t for i, (t, p) in enumerate(lines) if p == declared or p != FURNITURE and i not in gone]
     return " ".join(left or [t for t, p in lines if p == OPEN])
 
 

@@ -322,6 +322,12 @@ def test_page_text(spark):
     assert page_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_page_text_beside_the_article(spark):
+    page = "<body><nav>menu</nav><div>Site name</div><main><h1>{0} heading</h1><article><p>Same story</p></article></main><p>{0} lead</p></body>"
+    pages = spark.createDataFrame([(1, "http://h/1", page.format("One")), (2, "http://h/2", page.format("Two"))], "page_id long, url string, html string")
+    assert rows(page_text.extract_text(pages), "page_id", "text") == [(1, "One heading Same story One lead"), (2, "Two heading Same story Two lead")]
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(8)
     for _ in range(400):
