@@ -7,7 +7,13 @@ path shares the longer prefix (the earlier one on a tie), their lines are aligne
 subsequence, and lines shared with the neighbour are deleted, as is furniture. A check follows:
 lines that the markup declares as the article (or main, without one) are restored in their places,
 since copies of a page share their whole article; a page whose lines would all go keeps those that
-are not furniture.
+are not furniture. Where nothing is declared and most of the long lines are shared, the neighbour is
+a near copy, which says nothing about the page's furniture, and shared lines are restored too.
+
+Parts of class, id and role words mark furniture, but whole ones alone do so inside an article, and
+html and body never are. A page on which that leaves no article and no main, but it has such elements
+or nothing else, is read again with whole words alone (and those for comments, related pages and
+adverts), so that a wrapper named has-sidebar does not take the article with it.
 
 Only line hashes travel for the pairing. Neighbours are found by place in a global sort, so a host
 with any share of the pages is spread over many tasks.
@@ -30,36 +36,45 @@ from pyspark.sql.window import Window
 from statewake.llm.common import Scratch
 
 FURNITURE, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
+#: Characters of a line that is taken for content and not for a menu's or footer's.
+LONG_LINE = 40
 # fixed values: element names and the words in class, id and role that mark page furniture
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "math", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "link", "mark", "meta", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ALWAYS_FURNITURE = {"nav", "footer", "aside", "form", "button", "dialog", "head", "menu"}
 ALWAYS_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "share", "sharing", "social", "related", "newsletter", "subscribe", "cookie", "cookies", "consent", "popup", "modal", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "complementary"}
+#: Of ALWAYS_WORDS, those that mark furniture also as parts of a name where layout words (has-sidebar, nav-open) do not.
+CONTENT_WORDS = {"advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "related"}
 OUTSIDE_WORDS = {"header", "masthead", "banner", "footer", "contentinfo", "notice", "alert", "widget", "toolbar", "search"}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.DOTALL)
+DECLARES = re.compile(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
 
-def _words(attributes: str) -> tuple[set[str], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
-    found, hidden = set(), False
+def _words(attributes: str) -> tuple[set[str], set[str], bool]:
+    """The words of class, id and role, in parts and whole, and whether the element is hidden."""
+    found, whole, hidden = set(), set(), False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             found |= set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            whole |= set(value.lower().split())
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
-    return found, hidden
+    return found, whole, hidden
 
 
-def _place(name: str, attributes: str, now: int, above: list) -> int:
+def _place(name: str, attributes: str, now: int, above: list, strict: bool) -> int:
     """Where the inside of an element stands."""
-    if not attributes.strip():
-        words, hidden = (), False
-    else:
-        words, hidden = _words(attributes)
-    if hidden or name in ALWAYS_FURNITURE or any(w in ALWAYS_WORDS for w in words):
+    words, whole, hidden = _words(attributes) if attributes.strip() else (set(), set(), False)
+    if name in ("html", "body"):
+        return MAIN if "main" in whole and "role" in attributes else now
+    if now in (MAIN, ARTICLE) or name in ("article", "main") and not strict:
+        words = whole
+    elif name in ("article", "main") or not strict:
+        words = whole | words & CONTENT_WORDS
+    if hidden or name in ALWAYS_FURNITURE or words & ALWAYS_WORDS:
         return FURNITURE
     if now == FURNITURE:
         # menus and headers that were never closed do not swallow the article
@@ -68,14 +83,22 @@ def _place(name: str, attributes: str, now: int, above: list) -> int:
         return ARTICLE
     if name == "main" or "main" in words and "role" in attributes:
         return max(now, MAIN)
-    if now == OPEN and (name == "header" or any(w in OUTSIDE_WORDS for w in words)):
+    if now == OPEN and (name == "header" or words & OUTSIDE_WORDS):
         return FURNITURE
-    return FURNITURE if name == "body" and now == FURNITURE else now
+    return now
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
     """The blocks of a page in order: text with character references decoded and white space folded, and place."""
-    html, out, parts = html or "", [], []
+    lines = _lines(html or "", True)
+    best = max((p for _, p in lines), default=FURNITURE)
+    if lines and (best == FURNITURE or best == OPEN and DECLARES.search(html)):
+        lines = _lines(html, False)
+    return lines
+
+
+def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
+    out, parts = [], []
     stack: list[tuple[str, int]] = []
     at, place = 0, OPEN
 
@@ -109,7 +132,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         elif name not in VOID and not m[3].endswith("/"):
             if name == "body":
                 stack, place = [x for x in stack if x[0] != "head"], OPEN
-            inner = _place(name, m[3], place, stack)
+            inner = _place(name, m[3], place, stack, strict)
             if inner != place:
                 end_block()
             stack.append((name, inner))
@@ -179,6 +202,11 @@ def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
     """The text left after shared lines are deleted and declared content is restored."""
     best, gone = max((p for _, p in lines), default=FURNITURE), set(shared)
     declared = best if best in (MAIN, ARTICLE) else None
+    if declared is None:
+        # the long lines of pages of one site are their own, those of near copies are not
+        long = [(len(t), i in gone) for i, (t, p) in enumerate(lines) if p == OPEN and len(t) >= LONG_LINE]
+        if 2 * sum(n for n, both in long if both) > sum(n for n, _ in long):
+            gone = set()
     left = [t for i, (t, p) in enumerate(lines) if p == declared or p != FURNITURE and i not in gone]
     return " ".join(left or [t for t, p in lines if p == OPEN])
 

@@ -328,6 +328,22 @@ def test_page_text_beside_the_article(spark):
     assert rows(page_text.extract_text(pages), "page_id", "text") == [(1, "One heading Same story One lead"), (2, "Two heading Same story Two lead")]
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar nav-open'><nav>menu</nav><article>story</article></body>", "<html class='menu-left'><body id='share'><article>story</article></body></html>", "<body><div class='with-sidebar'><article>story</article></div><div class='comments'><article class='comment'>no</article></div></body>",
+    "<article class='post tag-advertising'>story</article>", "<div class='has-sidebar'><p>story</p></div>", "<article><h2 id='related-work'>story</h2></article>", "<article><section id='market-share'>story</section><div class='ad'>no</div></article>",
+    "<article>story</article><div class='related-posts'><article>no</article></div>", "<div class='comment-list'><article>no</article></div><p>story</p>",
+])
+def test_page_text_furniture_words(page):
+    assert page_text.main_text(page_text.page_lines(page), []) == "story"
+
+
+def test_page_text_near_copy(spark):
+    lines = [f"<p>This is sentence {i} of a longer story that both of the pages tell.</p>" for i in range(5)]
+    pages = spark.createDataFrame([(1, "http://h/1", "".join(lines)), (2, "http://h/2", "".join([*lines[:3], "<p>changed</p>", *lines[3:]]))], "page_id long, url string, html string")
+    got = dict(rows(page_text.extract_text(pages), "page_id", "text"))
+    assert all(f"sentence {i}" in got[k] for i in range(5) for k in (1, 2)) and "changed" in got[2]
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(8)
     for _ in range(400):
