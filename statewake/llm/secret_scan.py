@@ -1,8 +1,10 @@
 """Secret scan with a recursive decoding worklist.
 
-Every whole text is scanned for three kinds of secret. Runs that look encoded (percent escapes,
-backslash Unicode escapes, base64, and gzip, zlib, bzip2 or xz data inside base64) are decoded into
-layers, each layer is scanned and searched for further runs, and so on until nothing new appears. A
+Every whole text is scanned for three kinds of secret. A text with percent escapes, or with backslash
+Unicode escapes, is decoded as a whole; runs that look like base64 (also wrapped over lines, and from
+each alignment that a '/', '-', '_' or line break begins) are decoded each; gzip, zlib, bzip2 and xz
+data is opened wherever it begins in decoded bytes. Bytes that are no UTF-8 become replacement
+characters. All these are layers: each layer is scanned and searched for further runs, and so on until nothing new appears. A
 layer text seen before in the document is not opened again, so cycles end. Spans of decoded layers
 are mapped back to the code points of the original text that carry them.
 
@@ -14,9 +16,9 @@ empty table gives an empty result; extra columns are not read. A compressed laye
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -32,10 +34,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-ESCAPED_URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-ESCAPED_UNICODE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
-ONE_UNICODE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+ESCAPED_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ONE_UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 
 MAX_LAYER = 64 << 20
 
@@ -68,14 +71,6 @@ def _inflate(data: bytes, limit: int) -> bytes | None:
     return None
 
 
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c.isspace() for c in text) else None
-
-
 class Layer:
     """A decoded text with, for each code point, the original code points that carry it."""
 
@@ -91,69 +86,114 @@ class Layer:
         return Layer(text, [a] * len(text), [b] * len(text))
 
 
-def _from_bytes(layer: Layer, data: bytes, lo: list[int], hi: list[int]) -> Layer | None:
-    """Bytes with their places in a layer, as text with places."""
-    if (text := _as_text(data)) is None:
-        return None
-    at, a, b = 0, [], []
-    for c in text:
-        n = len(c.encode())
-        a.append(lo[at])
-        b.append(hi[at + n - 1])
-        at += n
-    return layer.inner(text, a, b)
-
-
-def _open_url(layer: Layer, m: re.Match) -> Layer | None:
-    data, lo, hi, i, end, t = bytearray(), [], [], m.start(), m.end(), layer.text
-    while i < end:
-        if t[i] == "%" and i + 2 < end and re.fullmatch("[0-9A-Fa-f]{2}", t[i + 1 : i + 3]):
-            data.append(int(t[i + 1 : i + 3], 16))
-            lo.append(i)
-            hi.append(i + 3)
-            i += 3
-        else:
-            for x in t[i].encode("utf-8", "replace"):
-                data.append(x)
-                lo.append(i)
-                hi.append(i + 1)
-            i += 1
-    return _from_bytes(layer, bytes(data), lo, hi)
-
-
-def _open_unicode(layer: Layer, m: re.Match) -> Layer | None:
-    out, lo, hi, i, t = [], [], [], m.start(), layer.text
-    while i < m.end():
-        if e := ONE_UNICODE.match(t, i, m.end()):
-            code = int(next(filter(None, e.groups())), 16)
-            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-                return None
-            out.append(chr(code))
-            lo.append(i)
-            hi.append(i := e.end())
-        else:
-            out.append(t[i])
-            lo.append(i)
-            hi.append(i := i + 1)
-    return layer.inner("".join(out), lo, hi)
-
-
-def _open_base64(layer: Layer, m: re.Match, limit: int) -> Layer | None:
-    run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-    if len(run) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    nested = None
-    while (more := _inflate(data, limit)) is not None and more != data:  # compressed layers one in another
-        nested = data = more
-    if nested is not None:
-        text = nested.decode("utf-8", "replace")
-        return layer.whole(text, m.start(), m.end()) if text else None
-    at = m.start()
-    return _from_bytes(layer, data, [at + j * 8 // 6 for j in range(len(data))], [at + (j * 8 + 7) // 6 + 1 for j in range(len(data))])
+def _inflated(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
+    """What is compressed in bytes with their places in a layer, also one in another."""
+    for m in COMPRESSED.finditer(data):
+        inner, found = _inflate(data[m.start() :], limit), None
+        while inner:
+            found, inner = inner, _inflate(inner, limit)
+        if found:
+            yield layer.whole(found.decode("utf-8", "replace"), lo[m.start()], hi[-1])
+
+
+def _from_bytes(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
+    """Bytes with their places in a layer, as text with places, and what is compressed in them."""
+    text, a, b, at = data.decode("utf-8", "replace"), [], [], 0
+    if "�" not in text:
+        for c in text:
+            n = 1 if c < "\x80" else len(c.encode())
+            a.append(lo[at])
+            b.append(hi[at + n - 1])
+            at += n
+    else:  # a replacement character stands for as many bytes as the decoder took for it
+        out = []
+        while at < len(data):
+            n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+            try:
+                c = data[at : at + n].decode()
+            except UnicodeDecodeError:
+                c, n = "�", 1
+            out.append(c)
+            a.append(lo[at])
+            b.append(hi[at + n - 1])
+            at += n
+        text = "".join(out)
+    if text:
+        yield layer.inner(text, a, b)
+    yield from _inflated(layer, data, lo, hi, limit)
+
+
+def _open_url(layer: Layer, limit: int) -> Iterator[Layer]:
+    """The text with its percent escapes decoded."""
+    data, lo, hi, at, t = bytearray(), [], [], 0, layer.text
+
+    def plain(end: int):
+        part = t[at:end]
+        if part.isascii():
+            data.extend(part.encode())
+            lo.extend(range(at, end))
+            hi.extend(range(at + 1, end + 1))
+            return
+        for i, c in enumerate(part, at):
+            x = c.encode("utf-8", "replace")
+            data.extend(x)
+            lo.extend([i] * len(x))
+            hi.extend([i + 1] * len(x))
+
+    for m in ESCAPED_URL.finditer(t):
+        plain(m.start())
+        at = m.end()
+        data.extend(bytes.fromhex(m.group().replace("%", "")))
+        lo.extend(range(m.start(), at, 3))
+        hi.extend(range(m.start() + 3, at + 1, 3))
+    if at:
+        plain(len(t))
+        yield from _from_bytes(layer, bytes(data), lo, hi, limit)
+
+
+def _open_unicode(layer: Layer, limit: int) -> Iterator[Layer]:
+    """The text with its backslash escapes decoded; two surrogates are one character, one alone is none."""
+    out, lo, hi, at, t = [], [], [], 0, layer.text
+    for m in ONE_UNICODE.finditer(t):
+        out.append(t[at : m.start()])
+        lo.extend(range(at, m.start()))
+        hi.extend(range(at + 1, m.start() + 1))
+        e, at = m.group(), m.end()
+        code = int(e[2:], 16) if len(e) != 12 else 0x10000 + (int(e[2:6], 16) - 0xD800 << 10) + int(e[8:], 16) - 0xDC00
+        out.append("�" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code))
+        lo.append(m.start())
+        hi.append(at)
+    if at:
+        out.append(t[at:])
+        lo.extend(range(at, len(t)))
+        hi.extend(range(at + 1, len(t) + 1))
+        text = "".join(out)
+        yield layer.inner(text, lo, hi)
+        # escapes of bytes are characters below 256
+        yield from _inflated(layer, text.encode("latin-1", "replace"), lo, hi, limit)
+
+
+def _open_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
+    run, at = m.group(), range(m.start(), m.end())
+    starts = [0, *(x.end() for x in re.finditer(r"[/_-]|\s+", run))]
+    if m.start() and layer.text[m.start() - 1] == "\\":  # the letter of an escaped line break
+        starts.append(1)
+    if any(c.isspace() for c in run):
+        kept = [i for i, c in enumerate(run) if not c.isspace()]
+        place = {i: k for k, i in enumerate(kept)}
+        run, at, starts = "".join(run[i] for i in kept), [m.start() + i for i in kept], [place[i] for i in starts if i in place]
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    first: dict[int, int] = {}
+    for i in sorted(starts):
+        first.setdefault(i % 4, i)
+    for a in first.values():
+        part = run[a:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        if len(part) < 8:
+            continue
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        yield from _from_bytes(layer, data, [at[a + j * 8 // 6] for j in range(len(data))], [at[a + (j * 8 + 7) // 6] + 1 for j in range(len(data))], limit)
 
 
 def decoded_layers(text: str, limit: int = MAX_LAYER) -> Iterator[Layer]:
@@ -161,14 +201,14 @@ def decoded_layers(text: str, limit: int = MAX_LAYER) -> Iterator[Layer]:
     work, seen = [Layer(text, range(len(text)), range(1, len(text) + 1))], set()
     while work:
         layer = work.pop()
-        t, found = layer.text, []
-        if "%" in t:
-            found += [_open_url(layer, m) for m in ESCAPED_URL.finditer(t)]
+        t = layer.text
+        found = [_open_url(layer, limit)] if "%" in t else []
         if "\\" in t:
-            found += [_open_unicode(layer, m) for m in ESCAPED_UNICODE.finditer(t)]
+            found.append(_open_unicode(layer, limit))
         found += [_open_base64(layer, m, limit) for m in BASE64.finditer(t)]
-        for x in found:
-            if x is not None and x.text:
+        found += [_open_base64(layer, m, limit) for m in WRAPPED.finditer(t)]
+        for x in itertools.chain.from_iterable(found):
+            if x.text:
                 key = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=16).digest() + x.starts[0].to_bytes(8) + x.ends[-1].to_bytes(8)
                 if key not in seen:
                     seen.add(key)
