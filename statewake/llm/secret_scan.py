@@ -9,8 +9,10 @@ layer text seen before in the document is not opened again, so cycles end. Spans
 are mapped back to the code points of the original text that carry them.
 
 Defined results: a null text counts as empty and gives no spans; repeated rows each give a row; an
-empty table gives an empty result; extra columns are not read. A compressed layer is opened up to
-``max_layer`` bytes, which bounds the memory of a task; its bytes beyond are not scanned.
+empty table gives an empty result; extra columns are not read. Compressed data is opened whole, with
+all its members, in pieces of ``max_layer`` bytes of which each begins with the half of the one
+before; that bounds the memory of a task. An encoded run or secret longer than half a piece may be
+read in parts.
 """
 
 from __future__ import annotations
@@ -55,26 +57,108 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """The content of compressed bytes, up to a limit; None if they aren't compressed or are broken."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, limit)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, limit)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, limit)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
+class _Zlib:
+    """zlib's decompressor with the interface of the others."""
+
+    def __init__(self, bits: int):
+        self.own, self.needs_input = zlib.decompressobj(bits), True
+
+    eof = property(lambda self: self.own.eof)
+    unused_data = property(lambda self: self.own.unused_data)
+
+    def decompress(self, data: bytes, limit: int) -> bytes:
+        out = self.own.decompress(self.own.unconsumed_tail + data, limit)
+        self.needs_input = not self.own.unconsumed_tail and len(out) < limit
+        return out
+
+
+def _decoder(head: bytes):
+    """A decompressor for the data that begins so; None if it isn't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return _Zlib(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return _Zlib(15)
     return None
 
 
+def _members(chunks: Iterator[bytes], size: int, left: list[int] | None = None) -> Iterator[bytes]:
+    """The content of compressed data, member after member, in parts of up to size bytes; left gets the count of bytes after the last whole member."""
+    rest = next(chunks, b"")
+    while True:
+        while len(rest) < 6 and (more := next(chunks, b"")):
+            rest += more
+        if (d := _decoder(rest)) is None:
+            return
+        try:
+            while not d.eof:
+                if out := d.decompress(rest, size):
+                    yield out
+                rest = b""
+                if not d.eof and d.needs_input and not (rest := next(chunks, b"")):
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        rest = d.unused_data
+        if left is not None:
+            left[:] = [len(rest)]
+        while not (rest := rest.lstrip(b"\0")) and (more := next(chunks, b"")):  # members may be padded
+            rest = more
+
+
+def _recorded(parts: Iterator[bytes], read: list[bytes]) -> Iterator[bytes]:
+    """The parts, which read keeps until an empty one is put there."""
+    for x in parts:
+        if not read or read[-1]:
+            read.append(x)
+        else:
+            read[:] = [b""]
+        yield x
+
+
+def _inflate(data: bytes, limit: int, left: list[int]) -> Iterator[bytes]:
+    """Pieces of the content of compressed bytes, of the innermost where one is in another."""
+    half, seen = max(limit // 2, 1), set()
+    parts = _members(iter([data]), half, left)
+    while first := next(parts, b""):
+        parts = itertools.chain([first], parts)
+        if _decoder(first) is None or first in seen:
+            break
+        seen.add(first)
+        read: list[bytes] = []
+        inner = _members(_recorded(parts, read), half)
+        if not (begin := next(inner, b"")):
+            parts = itertools.chain(read, parts)
+            break
+        read.append(b"")  # an end: nothing more is kept
+        parts = itertools.chain([begin], inner)
+    held = b""
+    for part in parts:
+        held += part
+        if len(held) >= 2 * half:
+            yield held[: 2 * half]
+            held = held[half:]
+    if held:
+        yield held
+
+
+class Same:
+    """A list with one value at every place."""
+
+    def __init__(self, value: int):
+        self.value = value
+
+    def __getitem__(self, _) -> int:
+        return self.value
+
+
 class Layer:
     """A decoded text with, for each code point, the original code points that carry it."""
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range):
+    def __init__(self, text: str, starts: list[int] | range | Same, ends: list[int] | range | Same):
         self.text, self.starts, self.ends = text, starts, ends
 
     def inner(self, text: str, lo: list[int], hi: list[int]) -> Layer:
@@ -83,17 +167,18 @@ class Layer:
 
     def whole(self, text: str, lo: int, hi: int) -> Layer:
         a, b = self.starts[lo], self.ends[hi - 1]
-        return Layer(text, [a] * len(text), [b] * len(text))
+        return Layer(text, Same(a), Same(b))
 
 
 def _inflated(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
     """What is compressed in bytes with their places in a layer, also one in another."""
+    end = 0
     for m in COMPRESSED.finditer(data):
-        inner, found = _inflate(data[m.start() :], limit), None
-        while inner:
-            found, inner = inner, _inflate(inner, limit)
-        if found:
-            yield layer.whole(found.decode("utf-8", "replace"), lo[m.start()], hi[-1])
+        if m.start() >= end:  # not within what was opened
+            left: list[int] = []
+            for piece in _inflate(data[m.start() :], limit, left):
+                yield layer.whole(piece.decode("utf-8", "replace"), lo[m.start()], hi[-1])
+            end = len(data) - left[0] if left else end
 
 
 def _from_bytes(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
@@ -196,24 +281,31 @@ def _open_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
         yield from _from_bytes(layer, data, [at[a + j * 8 // 6] for j in range(len(data))], [at[a + (j * 8 + 7) // 6] + 1 for j in range(len(data))], limit)
 
 
+def _layers(layer: Layer, limit: int) -> Iterator[Layer]:
+    """The layers just under one."""
+    t = layer.text
+    if "%" in t:
+        yield from _open_url(layer, limit)
+    if "\\" in t:
+        yield from _open_unicode(layer, limit)
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(t):
+            yield from _open_base64(layer, m, limit)
+
+
 def decoded_layers(text: str, limit: int = MAX_LAYER) -> Iterator[Layer]:
     """The layers under a text, to the fixpoint; equal layer texts are opened once for each place."""
-    work, seen = [Layer(text, range(len(text)), range(1, len(text) + 1))], set()
+    # a layer's own layers come before the next one is made, so that pieces are not held together
+    work, seen = [_layers(Layer(text, range(len(text)), range(1, len(text) + 1)), limit)], set()
     while work:
-        layer = work.pop()
-        t = layer.text
-        found = [_open_url(layer, limit)] if "%" in t else []
-        if "\\" in t:
-            found.append(_open_unicode(layer, limit))
-        found += [_open_base64(layer, m, limit) for m in BASE64.finditer(t)]
-        found += [_open_base64(layer, m, limit) for m in WRAPPED.finditer(t)]
-        for x in itertools.chain.from_iterable(found):
-            if x.text:
-                key = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=16).digest() + x.starts[0].to_bytes(8) + x.ends[-1].to_bytes(8)
-                if key not in seen:
-                    seen.add(key)
-                    work.append(x)
-                    yield x
+        if (x := next(work[-1], None)) is None:
+            work.pop()
+        elif x.text:
+            key = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=16).digest() + x.starts[0].to_bytes(8) + x.ends[-1].to_bytes(8)
+            if key not in seen:
+                seen.add(key)
+                yield x
+                work.append(_layers(x, limit))
 
 
 def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
