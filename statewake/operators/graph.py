@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -25,33 +26,30 @@ def scratch(df: DataFrame) -> str:
     return f"{named}/walk-{uuid.uuid4().hex}"
 
 
-def setup_paths(edges: DataFrame, initial: DataFrame, cap: int = 10) -> DataFrame:
+def setup_paths(edges: DataFrame, initial: DataFrame, cap: int | None = 10) -> DataFrame:
     """Shortest setup path of every reachable state: model_id, state, depth, path (ids of transitions).
 
     Of the paths of one length that with the smallest ids, compared from the first step, is kept.
     edges(model_id, id, source, target), initial(model_id, state). All models go together; a round
     is a join on (model, state), and states seen before drop out. The walk ends with an empty round
-    or beyond cap steps.
+    or beyond cap steps (None: no limit).
     """
     root = scratch(edges)
     e = _written(edges.select(MODEL, "id", "source", "target"), root, "edges")
     seen = _written(initial.select(MODEL, "state", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")), root, "0")
-    frontier, rounds = seen, [seen]
-    for k in range(1, cap + 1):
+    frontier = seen
+    for k in itertools.count(1) if cap is None else range(1, cap + 1):
         step = frontier.select(MODEL, F.col("state").alias("source"), "path").join(e, [MODEL, "source"]).select(MODEL, F.col("target").alias("state"), F.array_append("path", F.col("id")).alias("path"))
-        best = step.groupBy(MODEL, "state").agg(F.min("path").alias("path")).join(seen, [MODEL, "state"], "left_anti")
+        best = step.groupBy(MODEL, "state").agg(F.min("path").alias("path")).join(seen.select(MODEL, "state"), [MODEL, "state"], "left_anti")
         frontier = _written(best.select(MODEL, "state", F.lit(k).alias("depth"), "path"), root, str(k))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-        seen = seen.select(MODEL, "state").unionAll(frontier.select(MODEL, "state"))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionAll(r)
-    return out
+        # one scan of all rounds, so that plans do not grow with the walk
+        seen = frontier.sparkSession.read.schema(frontier.schema).parquet(*(f"{root}/{i}" for i in range(k + 1)))
+    return seen
 
 
-def reachability(edges: DataFrame, initial: DataFrame, cap: int = 64) -> DataFrame:
+def reachability(edges: DataFrame, initial: DataFrame, cap: int | None = None) -> DataFrame:
     """Every state of every model with its depth (null: unreachable) and whether it is terminal."""
     states = edges.select(MODEL, F.col("source").alias("state")).union(edges.select(MODEL, "target")).union(initial.select(MODEL, "state")).distinct()
     outgoing = edges.select(MODEL, F.col("source").alias("state"), F.lit(True).alias("_out")).distinct()

@@ -67,3 +67,10 @@ def test_scores_and_rules(spark):
 def test_exclusion_order(spark):
     rows = spark.createDataFrame([("planned", "Disputed"), ("implemented", "Disputed"), ("implemented", "Rejected"), ("implemented", None), ("implemented", "Approved")], "s string, l string")
     assert [r[0] for r in rows.select(coverage.exclusion(F.col("s"), F.col("l"))).collect()] == ["excluded_planned", "excluded_disputed", "excluded_rejected", "excluded_unapproved", None]
+
+
+def test_reachability_of_a_long_chain(spark):
+    n = 67
+    edges = spark.createDataFrame([(1, f"e{i:03}", f"s{i}", f"s{i + 1}", "implemented") for i in range(n)], "model_id long, id string, source string, target string, status string").coalesce(1)
+    got = graph.reachability(edges, spark.createDataFrame([(1, "s0")], "model_id long, state string")).collect()
+    assert {r.state: r.depth for r in got} == {f"s{i}": i for i in range(n + 1)} and [r.state for r in got if r.terminal] == [f"s{n}"]
