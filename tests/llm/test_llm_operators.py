@@ -225,6 +225,24 @@ def test_tokens(spark, odd_docs, no_docs, tmp_path):
     assert token_store.store_tokens(no_docs).count() == 0
 
 
+def test_words_of_any_letters_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng, t = random.Random(12), Tokenizer.from_file(token_store.default_tokenizer())
+    letters = "aZ\u0130\u0131\u00dfßẞĳŉǅªºµſÅ\u0307\u0301\u200d\u00ad'’.,-_<|>0٣漢字ｶﾞがк😀\u00a0\u3000\x1f\x85\ufffdﬁ"
+    texts = ["İstanbul", "a İ b", "", None, *("".join(rng.choice(letters + "  ") for _ in range(rng.randint(1, 30))) for _ in range(4000))]
+    encoder = token_store.WordTokenizer(token_store.default_tokenizer())
+    for at in range(0, len(texts), 37):
+        for text, ids in zip(texts[at : at + 37], encoder.encode(texts[at : at + 37]), strict=True):
+            assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_tokens_of_equal_ids_have_an_order(spark):
+    docs = spark.createDataFrame([(i % 3 or None, f"text İ number {i}") for i in range(40)], "doc_id long, text string")
+    runs = [sorted(map(tuple, token_store.store_tokens(docs.repartition(n)).collect()), key=lambda r: r[1]) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 40
+
+
 def test_segment_of_large_ids():
     ids = [np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1] * 100, np.uint32), np.zeros(0, np.uint32)]
     s = token_store.Segment(token_store.encode_segment([7, None], ids))
