@@ -46,6 +46,24 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Keys with many rows are joined by broadcast: at most so many, and none of so few rows.
+HOT_KEYS, HOT_ROWS = 20_000, 1_000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and in weight the number of rows with it (total in sum).
+
+    Rows of a key go to one task in a shuffle, however many they are. Keys of more than a share of the
+    rows are few (at most HOT_KEYS), so these are broadcast and their rows stay where they are.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= most:
+        return rows.join(keyed.drop(weight), keys)
+    hot = F.broadcast(keyed.where(F.col(weight) > most).drop(weight))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) <= most).drop(weight), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewake.llm.common import Scratch
+from statewake.llm.common import Scratch, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("degree"))
+    moved = spread_join(both.where("b > a"), least, ["a"], "degree", 2 * n)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to its smallest neighbour."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    moved = spread_join(down, least, ["a"], "degree", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """node and component (the smallest node reachable) of every node with an edge; edges(a, b) are integers.
 
-    Each round is written to the shared folder; the loop ends when the sums over the edges stop
-    changing, which takes a logarithmic number of rounds.
+    Each half of a round is written to the shared folder; the loop ends when the sums over the edges
+    stop changing, which takes a logarithmic number of rounds. Nodes with many edges are joined by
+    broadcast (see spread_join), so that no task gets all edges of one.
     """
     now, before, k = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-0"), None, 0
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before, k = state, k + 1
-        after = scratch.write(_small_star(_large_star(now)), f"{label}-{k}")
+        half = scratch.write(_large_star(now, state[0]), f"{label}-{k}-large")
         scratch.drop(f"{label}-{k - 1}")
-        now = after
+        # the large star has at most an edge for each of those before and its reverse
+        now = scratch.write(_small_star(half, 2 * state[0]), f"{label}-{k}")
+        scratch.drop(f"{label}-{k}-large")

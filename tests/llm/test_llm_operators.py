@@ -338,10 +338,39 @@ def test_near_duplicates(spark, odd_docs, no_docs, monkeypatch, block):
     assert rows(out, "doc_id", "n_shingles", "component_id") == sorted(near_brute(docs, 4), key=repr)
     if block == 5:
         odd = near_dup.near_duplicates(odd_docs).collect()
-        assert len(odd) == 12 and {r.component_id for r in odd if r.doc_id in (1, 2, 50)} == {1} and [r.kept for r in odd if r.doc_id is None] == [True]
+        assert len(odd) == 12 and {r.component_id for r in odd if r.doc_id in (1, 2, 50)} == {1} and [(r.component_id, r.kept) for r in odd if r.doc_id is None] == [(1, False)]
         assert near_dup.near_duplicates(no_docs).count() == 0 and near_dup.one_of_each(odd_docs).columns == odd_docs.columns
 
 
+def test_one_of_each_keeps_every_text(spark):
+    long = [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    docs = spark.createDataFrame([(1, long[0], 5), (1, long[1], 6), (None, long[2], 7), (None, long[2], 8), (None, long[0] + " more", 9), (2, long[1].upper(), 1), (3, None, 0), (3, None, 0), (4, " ", 0)], "doc_id long, text string, _kept int").selectExpr("doc_id", "text", "_kept", "_kept as h1", "_kept as row")
+    out = near_dup.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, long[0]), (1, long[1]), (0, long[2]), (3, ""), (3, ""), (4, " ")])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_duplicates_through_stars(spark, monkeypatch, seed):
+    """Chains, stars and stragglers against brute force, with small blocks and hot keys."""
+    from statewake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 20)
+    monkeypatch.setattr(near_dup, "STAR_BLOCK", 4)
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", 3 + seed)
+    monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", 4)
+    rng = random.Random(seed)
+    docs, w = [], [f"w{i}" for i in range(60)]
+    for i in range(70):  # a chain: each differs a little from the one before, and some stand apart
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"n{i}x{rng.randint(0, 99)}"
+        docs.append((1000 - i * 3, " ".join(w if rng.random() < 0.8 else rng.sample(w, len(w)))))
+    out = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == sorted(near_brute(docs, 4), key=repr)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
