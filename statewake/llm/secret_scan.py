@@ -11,8 +11,8 @@ are mapped back to the code points of the original text that carry them.
 Defined results: a null text counts as empty and gives no spans; repeated rows each give a row; an
 empty table gives an empty result; extra columns are not read. Compressed data is opened whole, with
 all its members, in pieces of ``max_layer`` bytes of which each begins with the half of the one
-before; that bounds the memory of a task. An encoded run or secret longer than half a piece may be
-read in parts.
+before; that bounds the memory of a task (a layer's places are arrays of 16 bytes a character). An
+encoded run or secret longer than half a piece may be read in parts.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -42,7 +43,8 @@ BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
 COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 
-MAX_LAYER = 64 << 20
+MAX_LAYER = 16 << 20
+REPLACED = re.compile("[\udc80-\udcff]")
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
@@ -145,66 +147,52 @@ def _inflate(data: bytes, limit: int, left: list[int]) -> Iterator[bytes]:
         yield held
 
 
-class Same:
-    """A list with one value at every place."""
-
-    def __init__(self, value: int):
-        self.value = value
-
-    def __getitem__(self, _) -> int:
-        return self.value
-
-
 class Layer:
-    """A decoded text with, for each code point, the original code points that carry it."""
+    """A decoded text with, for each code point, the original code points that carry it: arrays, or one number for all. None stands for the original text itself."""
 
-    def __init__(self, text: str, starts: list[int] | range | Same, ends: list[int] | range | Same):
+    def __init__(self, text: str, starts: np.ndarray | int | None = None, ends: np.ndarray | int | None = None):
         self.text, self.starts, self.ends = text, starts, ends
 
-    def inner(self, text: str, lo: list[int], hi: list[int]) -> Layer:
+    def first(self, at):
+        """The first original code points of those at some places (a number or an array)."""
+        return at if self.starts is None else self.starts if isinstance(self.starts, int) else self.starts[at]
+
+    def end(self, at):
+        """The ends of the original code points of those before some places."""
+        return at if self.ends is None else self.ends if isinstance(self.ends, int) else self.ends[at - 1]
+
+    def inner(self, text: str, lo: np.ndarray, hi: np.ndarray) -> Layer:
         """A layer whose code point i comes from this one's [lo[i], hi[i])."""
-        return Layer(text, [self.starts[a] for a in lo], [self.ends[b - 1] for b in hi])
+        return Layer(text, self.first(lo), self.end(hi))
 
     def whole(self, text: str, lo: int, hi: int) -> Layer:
-        a, b = self.starts[lo], self.ends[hi - 1]
-        return Layer(text, Same(a), Same(b))
+        return Layer(text, int(self.first(lo)), int(self.end(hi)))
 
 
-def _inflated(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
+def _inflated(layer: Layer, data: bytes, lo: np.ndarray, hi: np.ndarray, limit: int) -> Iterator[Layer]:
     """What is compressed in bytes with their places in a layer, also one in another."""
     end = 0
     for m in COMPRESSED.finditer(data):
         if m.start() >= end:  # not within what was opened
             left: list[int] = []
             for piece in _inflate(data[m.start() :], limit, left):
-                yield layer.whole(piece.decode("utf-8", "replace"), lo[m.start()], hi[-1])
+                yield layer.whole(piece.decode("utf-8", "replace"), int(lo[m.start()]), int(hi[-1]))
             end = len(data) - left[0] if left else end
 
 
-def _from_bytes(layer: Layer, data: bytes, lo: list[int], hi: list[int], limit: int) -> Iterator[Layer]:
+def _byte_lengths(text: str) -> np.ndarray:
+    """How many bytes of UTF-8 each character has; a surrogate stands for one."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + ((code > 0x7F) & ((code < 0xD800) | (code > 0xDFFF))).astype(np.int64) + ((code > 0x7FF) & ((code < 0xD800) | (code > 0xDFFF))) + (code > 0xFFFF)
+
+
+def _from_bytes(layer: Layer, data: bytes, lo: np.ndarray, hi: np.ndarray, limit: int) -> Iterator[Layer]:
     """Bytes with their places in a layer, as text with places, and what is compressed in them."""
-    text, a, b, at = data.decode("utf-8", "replace"), [], [], 0
-    if "�" not in text:
-        for c in text:
-            n = 1 if c < "\x80" else len(c.encode())
-            a.append(lo[at])
-            b.append(hi[at + n - 1])
-            at += n
-    else:  # a replacement character stands for as many bytes as the decoder took for it
-        out = []
-        while at < len(data):
-            n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            try:
-                c = data[at : at + n].decode()
-            except UnicodeDecodeError:
-                c, n = "�", 1
-            out.append(c)
-            a.append(lo[at])
-            b.append(hi[at + n - 1])
-            at += n
-        text = "".join(out)
+    # a byte that is no UTF-8 becomes a surrogate of its own, and then a replacement character
+    text = data.decode("utf-8", "surrogateescape")
     if text:
-        yield layer.inner(text, a, b)
+        ends = np.cumsum(_byte_lengths(text))
+        yield layer.inner(text if data.isascii() else REPLACED.sub("\ufffd", text), lo[np.concatenate([[0], ends[:-1]])], hi[ends - 1])
     yield from _inflated(layer, data, lo, hi, limit)
 
 
@@ -213,27 +201,23 @@ def _open_url(layer: Layer, limit: int) -> Iterator[Layer]:
     data, lo, hi, at, t = bytearray(), [], [], 0, layer.text
 
     def plain(end: int):
-        part = t[at:end]
-        if part.isascii():
-            data.extend(part.encode())
-            lo.extend(range(at, end))
-            hi.extend(range(at + 1, end + 1))
-            return
-        for i, c in enumerate(part, at):
-            x = c.encode("utf-8", "replace")
-            data.extend(x)
-            lo.extend([i] * len(x))
-            hi.extend([i + 1] * len(x))
+        if end > at:
+            part = t[at:end].encode("utf-8", "surrogatepass")
+            data.extend(part)
+            # a byte that goes on in a character belongs to the place of its first one
+            place = np.arange(at, end) if len(part) == end - at else at - 1 + np.cumsum((np.frombuffer(part, np.uint8) & 0xC0) != 0x80)
+            lo.append(place)
+            hi.append(place + 1)
 
     for m in ESCAPED_URL.finditer(t):
         plain(m.start())
         at = m.end()
         data.extend(bytes.fromhex(m.group().replace("%", "")))
-        lo.extend(range(m.start(), at, 3))
-        hi.extend(range(m.start() + 3, at + 1, 3))
+        lo.append(np.arange(m.start(), at, 3))
+        hi.append(np.arange(m.start() + 3, at + 1, 3))
     if at:
         plain(len(t))
-        yield from _from_bytes(layer, bytes(data), lo, hi, limit)
+        yield from _from_bytes(layer, bytes(data), np.concatenate(lo), np.concatenate(hi), limit)
 
 
 def _open_unicode(layer: Layer, limit: int) -> Iterator[Layer]:
@@ -241,17 +225,14 @@ def _open_unicode(layer: Layer, limit: int) -> Iterator[Layer]:
     out, lo, hi, at, t = [], [], [], 0, layer.text
     for m in ONE_UNICODE.finditer(t):
         out.append(t[at : m.start()])
-        lo.extend(range(at, m.start()))
-        hi.extend(range(at + 1, m.start() + 1))
+        lo.append(np.arange(at, m.start() + 1))
+        hi.append(np.append(np.arange(at + 1, m.start() + 1), m.end()))
         e, at = m.group(), m.end()
         code = int(e[2:], 16) if len(e) != 12 else 0x10000 + (int(e[2:6], 16) - 0xD800 << 10) + int(e[8:], 16) - 0xDC00
-        out.append("�" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code))
-        lo.append(m.start())
-        hi.append(at)
+        out.append("\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code))
     if at:
         out.append(t[at:])
-        lo.extend(range(at, len(t)))
-        hi.extend(range(at + 1, len(t) + 1))
+        lo, hi = np.concatenate([*lo, np.arange(at, len(t))]), np.concatenate([*hi, np.arange(at + 1, len(t) + 1)])
         text = "".join(out)
         yield layer.inner(text, lo, hi)
         # escapes of bytes are characters below 256
@@ -259,14 +240,15 @@ def _open_unicode(layer: Layer, limit: int) -> Iterator[Layer]:
 
 
 def _open_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
-    run, at = m.group(), range(m.start(), m.end())
+    run, at = m.group(), np.arange(m.start(), m.end())
     starts = [0, *(x.end() for x in re.finditer(r"[/_-]|\s+", run))]
     if m.start() and layer.text[m.start() - 1] == "\\":  # the letter of an escaped line break
         starts.append(1)
-    if any(c.isspace() for c in run):
-        kept = [i for i, c in enumerate(run) if not c.isspace()]
-        place = {i: k for k, i in enumerate(kept)}
-        run, at, starts = "".join(run[i] for i in kept), [m.start() + i for i in kept], [place[i] for i in starts if i in place]
+    if any(map(str.isspace, run)):
+        kept = np.array([not c.isspace() for c in run])
+        place = np.cumsum(kept) - 1
+        starts = [int(place[i]) for i in starts if i < len(kept) and kept[i]]
+        run, at = "".join(run.split()), at[kept]
     run = run.rstrip("=").replace("-", "+").replace("_", "/")
     first: dict[int, int] = {}
     for i in sorted(starts):
@@ -278,7 +260,8 @@ def _open_base64(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer]:
         if len(part) < 8:
             continue
         data = base64.b64decode(part + "=" * (-len(part) % 4))
-        yield from _from_bytes(layer, data, [at[a + j * 8 // 6] for j in range(len(data))], [at[a + (j * 8 + 7) // 6] + 1 for j in range(len(data))], limit)
+        j = np.arange(len(data))
+        yield from _from_bytes(layer, data, at[a + j * 8 // 6], at[a + (j * 8 + 7) // 6] + 1, limit)
 
 
 def _layers(layer: Layer, limit: int) -> Iterator[Layer]:
@@ -296,12 +279,12 @@ def _layers(layer: Layer, limit: int) -> Iterator[Layer]:
 def decoded_layers(text: str, limit: int = MAX_LAYER) -> Iterator[Layer]:
     """The layers under a text, to the fixpoint; equal layer texts are opened once for each place."""
     # a layer's own layers come before the next one is made, so that pieces are not held together
-    work, seen = [_layers(Layer(text, range(len(text)), range(1, len(text) + 1)), limit)], set()
+    work, seen = [_layers(Layer(text), limit)], set()
     while work:
         if (x := next(work[-1], None)) is None:
             work.pop()
         elif x.text:
-            key = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=16).digest() + x.starts[0].to_bytes(8) + x.ends[-1].to_bytes(8)
+            key = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=16).digest() + int(x.first(0)).to_bytes(8) + int(x.end(len(x.text))).to_bytes(8)
             if key not in seen:
                 seen.add(key)
                 yield x
@@ -312,7 +295,7 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list, list]:
     """The base spans and all spans (base and decoded) of a text, as sorted (start, kind index, end)."""
     text = text or ""
     base = find_secrets(text)
-    more = {(x.starts[a], k, x.ends[b - 1]) for x in decoded_layers(text, limit) for a, k, b in find_secrets(x.text)}
+    more = {(int(x.first(a)), k, int(x.end(b))) for x in decoded_layers(text, limit) for a, k, b in find_secrets(x.text)}
     return base, sorted({*base, *more})
 
 
