@@ -7,12 +7,16 @@ w + 1 - q * (e + 1) q-grams with the document, all on e + 1 neighbouring diagona
 items' q-grams are counted in overlapping bands of diagonals, bands are kept that reach the bound
 within one window, and the kept windows are verified by alignment inside the band.
 
-The benchmark is read in blocks of at most ``block_bytes``; only one block's index is with the tasks
-at a time, so its size is bounded whatever the benchmark's, and each block meets all documents.
+The benchmark is read in blocks of at most ``block_bytes``; only one block's index is with a task
+at a time, so its size is bounded whatever the benchmark's, and each block meets all documents. Long
+items are indexed in overlapping segments. Where texts and items have more q-grams in common than
+``HITS`` (boilerplate, repetitive texts), the pairs are worked off in parts: by texts, then by ranges of
+segments, then by overlapping pieces of the text; every window lies whole in some part.
 
 Defined results: null and blank texts leak nothing, null and blank items are leaked by nothing;
 items of fewer than q bytes leak where they stand whole between spaces; repeated items each give a
-row and repeated documents each give their rows; empty tables give an empty result.
+row and repeated documents each give their rows; empty tables give an empty result. Ids of both
+tables may be of any type, also null.
 """
 
 from __future__ import annotations
@@ -23,10 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Q, WINDOW, RATE = 10, 100, 0.06
 BLOCK_BYTES = 8 << 20
 CHUNK = 1 << 20
+#: Bytes of a segment of an item, and hits that are sorted at once.
+SEGMENT, HITS = 4096, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,58 +78,75 @@ def banded_distance(window: bytes, text: bytes, low: int, high: int, most: int |
     return int(row[k]), low + w + k
 
 
+def segments(text: bytes) -> list[tuple[int, bytes]]:
+    """First byte and bytes of the pieces of an item; every window is whole in one."""
+    step = SEGMENT - WINDOW
+    return [(a, text[a : a + SEGMENT]) for a in range(0, max(1, len(text) - WINDOW), step)]
+
+
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items, by their segments."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        self.short = {t: [k for k, u in enumerate(self.texts) if u == t] for t in self.texts if 0 < len(t) < Q}
+        whole = [t for _, t in items]
+        self.short = {t: [k for k, u in enumerate(whole) if u == t] for t in whole if 0 < len(t) < Q}
+        parts = [(k, a, t) for k, u in enumerate(whole) for a, t in segments(u)]
+        self.owner, self.offset, self.texts = [k for k, _, _ in parts], [a for _, a, _ in parts], [t for _, _, t in parts]
         self.budgets = np.array([budget(len(t)) for t in self.texts], np.int64).reshape(-1, 3)
         codes = [grams(t) for t in self.texts]
-        code = np.concatenate([np.zeros(0, np.uint64), *codes])
-        item = np.repeat(np.arange(len(items)), [len(c) for c in codes])
+        self.codes, rank = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+        part = np.repeat(np.arange(len(parts)), [len(c) for c in codes])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(c)) for c in codes)])
-        order = np.argsort(code, kind="stable")
-        self.code, self.item, self.place = code[order], item[order], place[order]
+        key = rank * max(1, len(parts)) + part
+        order = np.argsort(key, kind="stable")
+        #: sorted by q-gram, then segment, then place
+        self.key, self.part, self.place = key[order], part[order], place[order]
         self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[(self.code >> np.uint64(43)).astype(np.int64)] = True
+        self.maybe[(self.codes >> np.uint64(43)).astype(np.int64)] = True
         self.step = int(self.budgets[:, 1].max(initial=0)) + 1
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in data, items and places in them that have a q-gram in common."""
-        code = grams(data)
-        at = np.flatnonzero(self.maybe[(code >> np.uint64(43)).astype(np.int64)])
-        first = np.searchsorted(self.code, code[at])
-        count = np.searchsorted(self.code, code[at], "right") - first
-        some = count > 0
-        at, first, count = at[some], first[some], count[some]
-        rows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(at) else np.zeros(0, np.int64)
-        return np.repeat(at, count), self.item[rows], self.place[rows]
-
     def search(self, data: bytes, starts: np.ndarray) -> dict[int, list[tuple]]:
         """The leaks of each text in data; starts has the texts' first bytes, and the end."""
         out: dict[int, list[tuple]] = {}
-        at, item, place = self.hits(data)
-        if len(at):
-            text = np.searchsorted(starts, at, "right") - 1
-            band = (at - place) // self.step
-            # each diagonal is in two bands of 2 * step diagonals
-            text, item, at, place, band = (np.concatenate([x, y]) for x, y in ((text, text), (item, item), (at, at), (place, place), (band, band - 1)))
-            order = np.lexsort((place, band, item, text))
-            text, item, at, place, band = text[order], item[order], at[order], place[order], band[order]
-            w, _, need = self.budgets[item].T
-            last = np.arange(len(at)) + need - 1
-            inside = last < len(at)
-            last[~inside] = 0
-            kept = inside & (text[last] == text) & (item[last] == item) & (band[last] == band) & (place[last] - place <= w - Q)
-            found: set[tuple[int, int]] = set()
-            tried: set[tuple] = set()
-            for j in np.flatnonzero(kept):
-                pair = int(text[j]), int(item[j])
-                if pair not in found and (leak := self.verify(pair[0], data[starts[pair[0]] : starts[pair[0] + 1] - 1], pair[1], int(band[j]) * self.step - int(starts[pair[0]]), int(place[j]), int(place[last[j]]), tried)):
-                    found.add(pair)
-                    out.setdefault(pair[0], []).append((self.ids[pair[1]], *leak))
+        code = grams(data)
+        at = np.flatnonzero(self.maybe[(code >> np.uint64(43)).astype(np.int64)]) if len(self.codes) else np.zeros(0, np.int64)
+        rank = np.searchsorted(self.codes, code[at])
+        rank[rank == len(self.codes)] = 0
+        known = self.codes[rank] == code[at] if len(at) else np.zeros(0, bool)
+        at, rank = at[known], rank[known]
+        text = np.searchsorted(starts, at, "right") - 1
+        found: set[tuple[int, int]] = set()
+        tried: set[tuple] = set()
+        work = [(0, len(at), 0, len(self.texts))]
+        while work:
+            lo, hi, a, b = work.pop()
+            first = np.searchsorted(self.key, rank[lo:hi] * len(self.texts) + a)
+            count = np.searchsorted(self.key, rank[lo:hi] * len(self.texts) + b) - first
+            total = int(count.sum())
+            if not total or b - a == 1 and text[lo] == text[hi - 1] and (int(text[lo]), self.owner[a]) in found:
+                continue
+            if total > HITS:
+                half = (lo + hi) // 2
+                overlap = WINDOW + 4 * self.step
+                if text[lo] != text[hi - 1]:  # between texts
+                    cut = int(np.searchsorted(text[lo:hi], text[half])) + lo
+                    cut = cut if cut > lo else int(np.searchsorted(text[lo:hi], text[half], "right")) + lo
+                    work += [(cut, hi, a, b), (lo, cut, a, b)]
+                    continue
+                if b - a > 1:
+                    work += [(lo, hi, (a + b) // 2, b), (lo, hi, a, (a + b) // 2)]
+                    continue
+                if at[hi - 1] - at[lo] > 4 * overlap:  # one text, one segment
+                    middle = (at[hi - 1] + at[lo]) // 2
+                    work += [(int(np.searchsorted(at[lo:hi], middle)) + lo, hi, a, b), (lo, int(np.searchsorted(at[lo:hi], middle + overlap)) + lo, a, b)]
+                    continue
+            some = count > 0
+            first, count, here = first[some], count[some], np.arange(lo, hi)[some]
+            rows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
+            here = np.repeat(here, count)
+            for k, leak in self.leaks(data, starts, text[here], at[here], self.part[rows], self.place[rows], found, tried):
+                out.setdefault(k, []).append(leak)
         if self.short:
             for k in range(len(starts) - 1):
                 padded = b" " + data[starts[k] : starts[k + 1] - 1] + b" "
@@ -131,19 +155,44 @@ class Index:
                         out.setdefault(k, []).extend((self.ids[i], 0, 0, len(t), p, p + len(t)) for i in items)
         return out
 
-    def verify(self, owner: int, text: bytes, item: int, diagonal: int, first: int, last: int, tried: set) -> tuple | None:
-        """edits, item start, item end, text start and text end of a window around item places first..last, if one keeps the budget."""
-        w, e, _ = self.budgets[item].tolist()
-        whole = self.texts[item]
-        for a in range(max(0, last + Q - w), min(first, len(whole) - w) + 1):
-            if (key := (owner, item, diagonal, a)) in tried:
+    def leaks(self, data, starts, text, at, part, place, found: set, tried: set):
+        """Text and leak of each pair with a window that keeps the budget, from hits."""
+        band = (at - place) // self.step
+        # each diagonal is in two bands of 2 * step diagonals
+        text, part, at, place, band = (np.concatenate([x, y]) for x, y in ((text, text), (part, part), (at, at), (place, place), (band, band - 1)))
+        order = np.lexsort((place, band, part, text))
+        text, part, at, place, band = text[order], part[order], at[order], place[order], band[order]
+        w, _, need = self.budgets[part].T
+        last = np.arange(len(at)) + need - 1
+        inside = last < len(at)
+        last[~inside] = 0
+        kept = inside & (text[last] == text) & (part[last] == part) & (band[last] == band) & (place[last] - place <= w - Q)
+        for j in np.flatnonzero(kept).tolist():
+            k, p = int(text[j]), int(part[j])
+            if (k, self.owner[p]) in found:
+                continue
+            begin = int(starts[k])
+            if leak := self.verify(k, data[begin : int(starts[k + 1]) - 1], p, int(band[j]) * self.step - begin, int(at[j] - place[j]) - begin, int(place[j]), int(place[last[j]]), tried):
+                found.add((k, self.owner[p]))
+                yield k, (self.ids[self.owner[p]], *leak)
+
+    def verify(self, text_no: int, text: bytes, part: int, diagonal: int, own: int, first: int, last: int, tried: set) -> tuple | None:
+        """edits, item start, item end, text start and text end of a window around places first..last of a segment, if one keeps the budget; own is the diagonal of the first hit."""
+        w, e, _ = self.budgets[part].tolist()
+        whole, offset = self.texts[part], self.offset[part]
+        windows = range(max(0, last + Q - w), min(first, len(whole) - w) + 1)
+        for a in windows[:1]:  # most leaks are exact
+            if own + a >= 0 and text[own + a : own + a + w] == whole[a : a + w]:
+                return 0, offset + a, offset + a + w, own + a, own + a + w
+        for a in windows:
+            if (key := (text_no, part, diagonal, a)) in tried:
                 continue
             tried.add(key)
             low, high = diagonal + a, diagonal + a + 2 * self.step - 1
             origin = max(0, low - 1)
             edits, end = banded_distance(whole[a : a + w], text[origin : high + w + 1], low - origin, high - origin, e)
             if edits <= e:
-                return edits, a, a + w, max(0, origin + end - w), origin + end
+                return edits, offset + a, offset + a + w, max(0, origin + end - w), origin + end
         return None
 
 
@@ -171,9 +220,9 @@ def find_leaks(index: Index, texts: list[str | None]) -> list[list[tuple]]:
 
 def index_blocks(benchmark: DataFrame, *, item_col="item_id", text_col="text", block_bytes=BLOCK_BYTES):
     """Indexes over the benchmark, a block at a time."""
-    held: list[tuple[int, bytes]] = []
+    held: list[tuple] = []
     size = 0
-    for r in benchmark.select(item_col, text_col).toLocalIterator():
+    for r in benchmark.select(F.col(item_col), F.col(text_col)).toLocalIterator():
         if t := folded(r[1]):
             held.append((r[0], t))
             size += len(t)
@@ -184,27 +233,29 @@ def index_blocks(benchmark: DataFrame, *, item_col="item_id", text_col="text", b
         yield Index(held)
 
 
-LEAK = "item_id long, edits int, item_start int, item_end int, text_start int, text_end int"
+LEAK = "edits int, item_start int, item_end int, text_start int, text_end int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", **options) -> DataFrame:
     """A row for each document and item that it leaks, with the window found and its place in the folded text, in bytes."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 5
-    names = [id_col, *(x.split()[0] for x in LEAK.split(", "))]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    item_kind = benchmark.schema[item_col].dataType
+    kinds = [to_arrow_type(item_kind)] + [pa.int32()] * 5
+    names = [id_col, "item_id", *(x.split()[0] for x in LEAK.split(", "))]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, item_id {item_kind.simpleString()}, {LEAK}"
 
     def search(shared):
         def run(batches):
             for b in batches:
-                found = [(d, *leak) for d, some in zip(b.column(0).to_pylist(), find_leaks(shared.value, b.column(1).to_pylist()), strict=True) for leak in some]
+                found = [(k, *leak) for k, some in enumerate(find_leaks(shared.value, b.column(1).to_pylist())) for leak in some]
                 cols = list(zip(*found, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
         return run
 
-    parts = [rows.mapInArrow(search(spark.sparkContext.broadcast(index)), f"`{id_col}` long, {LEAK}") for index in index_blocks(benchmark, **options)]
-    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], f"`{id_col}` long, {LEAK}")
+    parts = [rows.mapInArrow(search(spark.sparkContext.broadcast(index)), schema) for index in index_blocks(benchmark, item_col=item_col, **options)]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col="text", **options) -> DataFrame:
