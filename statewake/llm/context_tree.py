@@ -9,16 +9,19 @@ first bytes have zeros before them as context.
 
 Every node is kept, so the model grows with the corpus and no machine holds it whole. A task reads a
 chunk of documents and sends on the chunk's distinct grams of DEPTH + 1 bytes with their training
-counts (0 for those of held-out texts alone), packed by two-byte context. All grams of one such
-context meet on an executor, which makes the nodes of depth 2 and more, twice: first for the sums
-from which the driver makes depths 1 and 0 (at most 65,536 nodes), then for the logarithms of the
-grams, which go back to the chunks. There the texts are scored.
+counts (0 for those of held-out texts alone), packed by two-byte context. The counts of a context are
+added up, over many chunks in two steps, and written as one row. From such rows the nodes of depth 2
+and more are made, twice: first for the sums from which the driver makes depths 1 and 0 (at most
+65,536 nodes), then for the logarithms of the grams, which go back to the chunks. There the texts are
+scored. What a task holds is a context's distinct grams and their nodes a slice at a time, not the
+chunks that have them; a context that many chunks have is dealt over several tasks.
 
 Beside it stands the base model of word counts. Words are numbered within a chunk of a task's
 documents, so that only a chunk's distinct words travel to be counted, and not each document's.
 
 Defined results: a null text counts as empty and has the end token alone; a null id is never held
-out; repeated rows each give a row and each count; an empty table gives an empty result.
+out; repeated rows each give a row and each count; an empty table gives an empty result. n_bytes
+counts the end byte; bits_per_byte is the code length (-score in bits) over it.
 """
 
 from __future__ import annotations
@@ -29,9 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from statewake.llm.common import Scratch
+from statewake.llm.common import Scratch, pieces, spread_join
 from statewake.llm.near_dup import groups
 
 DEPTH = 5
@@ -39,6 +41,8 @@ COUNT_BYTES = 8 << 20
 #: Distinct words, and bytes of text, after which a task begins a new chunk.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 32 << 20
 CACHE_BITS = 21
+#: Chunks whose grams of one context are one task's, and grams of a context whose nodes are held together.
+SALT_CHUNKS, SLICE = 4096, 1 << 20
 LOG2 = float(np.log(2))
 
 
@@ -206,18 +210,49 @@ def add_counts(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nd
     return code, np.bincount(where, np.concatenate(counts), len(code)).astype(np.int64)
 
 
-def grow(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Of the grams of two-byte contexts: the eight probabilities of a one, mixed from the leaves to depth 2, and parts of the nodes of depth 1."""
+def climb(code: np.ndarray, n: np.ndarray) -> tuple:
+    """Of grams: the probabilities of a one by node, mixed from the leaves to depth 3; where these are among the nodes of depth 2; the grams' places among the leaves; and parts of the nodes of depth 2."""
     key, n0, n1, leaf = placed_leaves(code, n.astype(np.float64), DEPTH)
     # grams that only held-out texts have make nodes without counts, which weigh nothing
     p, at, below = np.zeros(len(key)), np.arange(len(key)), None
-    for d in range(DEPTH, 1, -1):
+    for _ in range(DEPTH, 2, -1):
         one, own, pw = weigh(n0, n1, below)
         p = own[at] * one[at] + (1 - own[at]) * p
         up, where = np.unique(parents(key), return_inverse=True)
         key, n0, n1, below = up, *(np.bincount(where, x, len(up)) for x in (n0, n1, pw))
         at = where[at]
-    return p[leaf], (key, n0, n1, below)
+    return p, at, leaf, (key, n0, n1, below)
+
+
+class Branch:
+    """The nodes of depth 2 and more of one two-byte context, from its grams (low: the rest of the turned grams, sorted)."""
+
+    def __init__(self, context: int, low: np.ndarray, n: np.ndarray):
+        low = low.astype(np.uint64)
+        code = (low & np.uint64(255)) << np.uint64(8 * DEPTH) | np.uint64(context << 8 * (DEPTH - 2)) | low >> np.uint64(8)
+        # slices hold all grams of a three-byte context
+        ends, cuts = [*(np.flatnonzero(np.diff(low >> np.uint64(24))) + 1).tolist(), len(low)], [0]
+        for a, z in zip(ends, [*ends[1:], None], strict=True):
+            if z is None or z - cuts[-1] > SLICE:
+                cuts.append(a)
+        self.slices = [(code[a:z], n[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+        self.kept = [climb(*self.slices[0])] if len(self.slices) == 1 else None
+        tops = [x[3] for x in self.kept or map(climb, *zip(*self.slices, strict=True))]
+        self.key, where = np.unique(np.concatenate([t[0] for t in tops]), return_inverse=True)
+        n0, n1, below = (np.bincount(where, np.concatenate([t[i] for t in tops]), len(self.key)) for i in (1, 2, 3))
+        self.one, self.own, pw = weigh(n0, n1, below)
+        #: parts of the nodes of depth 1
+        self.top = merge(self.key, n0, n1, pw)
+
+    def log10(self, shallow: list) -> np.ndarray:
+        """log10 of the probability of each gram's byte after its context."""
+        out = []
+        for i, (code, n) in enumerate(self.slices):
+            p, at, leaf, (key, *_) = self.kept[i] if self.kept else climb(code, n)
+            k = np.searchsorted(self.key, key)[at]
+            p = self.own[k] * self.one[k] + (1 - self.own[k]) * p
+            out.append(log10_of(code, p[leaf], shallow))
+        return np.concatenate(out)
 
 
 def log10_of(code: np.ndarray, deep: np.ndarray, shallow: list) -> np.ndarray:
@@ -232,34 +267,77 @@ def log10_of(code: np.ndarray, deep: np.ndarray, shallow: list) -> np.ndarray:
     return total
 
 
-TOPS, VALUES = "key long, n0 double, n1 double, pw double", "chunk long, lid int, items binary, body binary"
+MERGED, TOPS, VALUES = "lid int, items binary, times binary", "key long, n0 double, n1 double, pw double", "chunk long, lid int, items binary, body binary"
+
+
+def _merged(batches):
+    """One row for each run of rows with equal lid and salt: its grams and their counts in sum."""
+    now, codes, sums, held = None, [], [], 0
+
+    def row():
+        low, n = add_counts(codes, sums)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([_pack(np.diff(low, prepend=0))], pa.binary()), pa.array([_pack(n, 8)], pa.binary())], names=["lid", "items", "times"])
 
+    for b in batches:
+        width = 8 if b.num_rows and b.column("wide")[0].as_py() else 4
+        for lid, salt, items, times in zip(*(b.column(c).to_pylist() for c in ("lid", "salt", "items", "times")), strict=True):
+            if (lid, salt) != now:
+                if codes:
+                    yield row()
+                now, codes, sums, held = (lid, salt), [], [], 0
+            codes.append(np.cumsum(_unpack(items)))
+            sums.append(_unpack(times, width))
+            held += len(codes[-1])
+            if held > 2 * SLICE and held > 2 * len(codes[0]):
+                code, n = add_counts(codes, sums)
+                codes, sums, held = [code], [n], len(code)
+    if codes:
+        yield row()
+
+
+def _tops(batches):
+    for b in batches:
+        for lid, items, times in zip(*(b.column(c).to_pylist() for c in ("lid", "items", "times")), strict=True):
+            top = Branch(lid, np.cumsum(_unpack(items)), _unpack(times, 8)).top
+            yield pa.RecordBatch.from_arrays([pa.array(top[0].astype(np.int64)), *map(pa.array, top[1:])], names=["key", "n0", "n1", "pw"])
 
-def _trees(shared=None):
-    """From chunks' packed grams sorted by context: parts of the nodes of depth 1, or, once these are known, the logarithms of each chunk's grams."""
+
+def _values(shared):
+    """The logarithms of chunks' grams; the row of a context's sums comes before those of its chunks."""
 
     def run(batches):
-        for g in groups(batches, ("lid",)):
-            context, packed = g.column("lid")[0].as_py(), g.column("items").to_pylist()
-            blocks = [np.cumsum(_unpack(x)) for x in packed]
-            low, n = add_counts(blocks, [_unpack(x) for x in g.column("times").to_pylist()])
-            code = (low.astype(np.uint64) & np.uint64(255)) << np.uint64(8 * DEPTH) | np.uint64(context << 8 * (DEPTH - 2)) | low.astype(np.uint64) >> np.uint64(8)
-            deep, top = grow(code, n)
-            if shared is None:
-                yield pa.RecordBatch.from_arrays([pa.array(top[0].astype(np.int64)), *map(pa.array, top[1:])], names=["key", "n0", "n1", "pw"])
-                continue
-            value = log10_of(code, deep, shared.value).astype(np.float32)
-            for a in range(0, len(blocks), 64):
-                some = [value[np.searchsorted(low, b)].tobytes() for b in blocks[a : a + 64]]
-                yield pa.RecordBatch.from_arrays([pa.array(g.column("chunk").to_pylist()[a : a + 64], pa.int64()), pa.array([context] * len(some), pa.int32()), pa.array(packed[a : a + 64], pa.binary()), pa.array(some, pa.binary())], names=["chunk", "lid", "items", "body"])
+        now, low, value = None, None, None
+        for b in batches:
+            out = []
+            for lid, salt, chunk, items, times in zip(*(b.column(c).to_pylist() for c in ("lid", "salt", "chunk", "items", "times")), strict=True):
+                if chunk < 0:
+                    now, low = (lid, salt), np.cumsum(_unpack(items))
+                    value = Branch(lid, low, _unpack(times, 8)).log10(shared.value).astype(np.float32)
+                    continue
+                assert now == (lid, salt)
+                out.append((chunk, lid, items, value[np.searchsorted(low, np.cumsum(_unpack(items)))].tobytes()))
+                if len(out) == 64:
+                    yield _rows(out)
+                    out = []
+            if out:
+                yield _rows(out)
+
+    def _rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "lid", "items", "body"])
 
     return run
 
 
-def gram_values(met: DataFrame) -> DataFrame:
-    """The logarithms, by the whole tree, of the grams of chunks: chunk, lid (a context), items and times (its grams and their counts, packed)."""
-    rows = met.repartition("lid").sortWithinPartitions("lid")
-    first = rows.mapInArrow(_trees(), TOPS).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw"))).toArrow()  # at most 65,536 rows
+def gram_values(met: DataFrame, scratch: Scratch, n_chunks: int) -> DataFrame:
+    """The logarithms, by the whole tree, of the grams of chunks: chunk, lid (a context), items and times (its grams and their counts, packed). A chunk has one row for each context."""
+    salts = max(1, -(-n_chunks // SALT_CHUNKS))
+    rows = met.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
+    add = lambda df: df.repartition("lid", "salt").sortWithinPartitions("lid", "salt").mapInArrow(_merged, MERGED)
+    merged = add(rows.select("lid", "salt", "items", "times", F.lit(False).alias("wide")))
+    if salts > 1:
+        merged = add(merged.select("lid", F.lit(0).alias("salt"), "items", "times", F.lit(True).alias("wide")))
+    merged = scratch.write(merged, "contexts")
+    first = merged.mapInArrow(_tops, TOPS).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw"))).toArrow()  # at most 65,536 rows
     key, n0, n1, below = (first.column(c).to_numpy() for c in ("key", "n0", "n1", "pw"))
     key, shallow = key.astype(np.uint64), []
     for size in (1 << 16, 1 << 8):
@@ -268,17 +346,19 @@ def gram_values(met: DataFrame) -> DataFrame:
         full[0][key.astype(np.int64)], full[1][key.astype(np.int64)] = one, own
         shallow.append(full)
         key, n0, n1, below = merge(key, n0, n1, pw)
-    return rows.mapInArrow(_trees(met.sparkSession.sparkContext.broadcast(shallow)), VALUES)
+    heads = merged.select("lid", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("chunk"), "items", "times")
+    both = heads.unionByName(rows.select("lid", "salt", "chunk", "items", F.lit(None).cast("binary").alias("times")))
+    return both.repartition("lid", "salt").sortWithinPartitions("lid", "salt", "chunk").mapInArrow(_values(met.sparkSession.sparkContext.broadcast(shallow)), VALUES)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Small integers by byte planes, compressed."""
-    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack(x: np.ndarray, width: int = 4) -> bytes:
+    """Integers of so many bytes by byte planes, compressed."""
+    return zlib.compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def _unpack(data: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 class _Numbers(dict):
@@ -341,8 +421,7 @@ def _work(batches):
             yield rows(len(some), GRAMS, lid=context[[x for x, _ in some]], items=[_pack(np.diff(low[x:y], prepend=0)) for x, y in some], times=[_pack(n[x:y]) for x, y in some])
 
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            piece = b.slice(at, 512)
+        for piece in pieces(b, 2, 512, COUNT_BYTES):
             texts = [model_bytes(t) for t in piece.column(2).to_pylist()]
             held, words, times, n_tokens = piece.column(1).to_pylist(), [], [], []
             for t, h in zip(texts, held, strict=True):
@@ -377,7 +456,7 @@ def _work(batches):
 def _base(total: int, distinct: int, bits: int):
     """Both scores of a chunk's documents, from its word counts and its grams' values, which come first."""
     per = np.log10(total + distinct + 1)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
     def run(batches):
         now, logs, known, scorer = None, np.zeros(0), np.zeros(0, bool), None
@@ -400,27 +479,30 @@ def _base(total: int, distinct: int, bits: int):
                 n_known.append(int(t[known[w]].sum()))
                 texts.append(body[at : at + n])
                 at += n
-            table = pa.table([g.column("doc_id"), g.column("held_out"), g.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([total] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(scorer.score(texts), pa.float64())], names=names)
+            score, n_bytes = scorer.score(texts), np.array([len(t) + 1 for t in texts])
+            table = pa.table([g.column("doc_id"), g.column("held_out"), g.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([total] * len(base), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(n_bytes), pa.array(-score / np.log10(2) / n_bytes)], names=names)
             yield from table.to_batches()
 
     return run
 
 
 def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", folds=7, held=2, bits=CACHE_BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; bits (of a task's table of grams met) changes no result."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every document; bits (of a task's table of grams met) changes no result."""
     scratch = Scratch(docs.sparkSession, "ctw")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, held).alias("held_out"), F.col(text_col).alias("text"))
     work = scratch.write(rows.mapInArrow(_work, WORK), "work")
-    by_word = Window.partitionBy("token")
+    met = work.where(f"kind = {WORDS}").select("chunk", "lid", "token", "n")
+    sums = scratch.write(met.groupBy("token").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "words")
+    distinct, all_met = sums.agg(F.count_if(F.col("c") > 0), F.sum("chunks")).first()
     # a word has as many rows as chunks hold it
-    counts = scratch.write(work.where(f"kind = {WORDS}").select("chunk", "lid", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")), "counts")
-    sums = counts.agg(F.sum(F.when(F.col("first") & (F.col("c") > 0), 1))).first()[0] or 0
-    total = work.where(f"kind = {DOCS} and not held_out").agg(F.sum("n_tokens")).first()[0] or 0
-    values = gram_values(work.where(f"kind = {GRAMS}").select("chunk", "lid", "items", "times"))
+    counts = spread_join(met.select("chunk", "lid", "token"), sums, ["token"], "chunks", all_met or 0).select("chunk", "lid", "c")
+    total, n_chunks = work.where(f"kind = {DOCS}").agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count_distinct("chunk")).first()
+    total = total or 0
+    values = gram_values(work.where(f"kind = {GRAMS}").select("chunk", "lid", "items", "times"), scratch, n_chunks)
     bags = work.where(f"kind = {DOCS}").select("chunk", "kind", "lid", F.lit(None).cast("long").alias("c"), "doc_id", "held_out", "n_tokens", "items", "times", "size", "body")
     none = {c: F.lit(None).cast(t).alias(c) for c, t in bags.dtypes}
     words = counts.select(*({**none, "chunk": "chunk", "kind": F.lit(WORDS).alias("kind"), "lid": "lid", "c": "c"}).values())
     found = values.select(*({**none, "chunk": "chunk", "kind": F.lit(GRAMS).alias("kind"), "lid": "lid", "items": "items", "body": "body"}).values())
     both = words.unionAll(found).unionAll(bags)
-    out = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "lid").mapInArrow(_base(total, sums, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "lid").mapInArrow(_base(total, distinct, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
     return out.withColumnRenamed("doc_id", id_col)
