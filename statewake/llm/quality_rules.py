@@ -3,7 +3,8 @@
 Lines are normalised and hashed, the distinct documents that hold a line are counted within each
 host, lines above the limit are removed, and documents that lose most of their words are rejected.
 Equal texts count as one document, so that a group of exact copies does not condemn itself, and the
-first document (smallest id) that holds a frequent line keeps it, so no line is lost everywhere.
+first document (smallest id) that holds a frequent line keeps it, so no line is lost everywhere. The
+lines of distinct texts are split, hashed and written once, and read for the counts and the removal.
 
 Defined results: a null or blank text has no words and fails the base rules; a null host is a host
 of its own; repeated rows each get their row; an empty table gives an empty result. Other columns
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewake.llm.common import ascii_lower, words
+from statewake.llm.common import Scratch, ascii_lower
 
 SYMBOLS = "#*$%&|<>"
 #: A line is frequent in a host when more distinct documents than this hold it.
@@ -26,14 +27,21 @@ LEFT_SHARE = 0.3
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
+def _words(text: Column) -> Column:
+    """The words of a text; one-character separators are split without a regular expression."""
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+
+
 def _repeat_words(df: DataFrame, out: str) -> DataFrame:
-    """Words in 3-word windows that occur twice or more, in O(n log n) a text.
+    """Words in 3-word windows that occur twice or more, in O(n log n) a text; texts whose windows all differ are done after one pass.
 
     Window hashes are packed with their position into one long and sorted; neighbours with equal
     full hashes are repeats. The position takes as many bits as the text needs.
     """
+    none = F.array().cast("array<long>")
     df = df.withColumn("_bits", F.length(F.bin("n_words")))
-    df = df.withColumn("_h", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn("_h", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(none))
+    df = df.withColumn("_h", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.col("_h")).otherwise(none))
     df = df.withColumn("_k", F.sort_array(F.expr("transform(_h, (h, i) -> shiftleft(h, _bits) | cast(i as bigint))")))
     df = df.withColumn("_k", F.expr("transform(_k, k -> cast(k & (shiftleft(1L, _bits) - 1) as int))"))
     df = df.withColumn("_s", F.sort_array(F.expr("filter(_k, (k, j) -> (j > 0 and _h[k] = _h[_k[j - 1]]) or (j < size(_k) - 1 and _h[k] = _h[_k[j + 1]]))")))
@@ -43,7 +51,7 @@ def _repeat_words(df: DataFrame, out: str) -> DataFrame:
 def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed beside the columns given."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", words(F.col(text_col))).withColumn("n_words", F.size("_words").cast("long"))
+    df = docs.withColumn("_words", _words(text)).withColumn("n_words", F.size("_words").cast("long"))
     df = _repeat_words(df, "n_repeat_words").drop("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
@@ -73,6 +81,7 @@ def frequent_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", host_co
     lines = lines.select("_host", "_id", "_t1", "_t2", "pos", F.xxhash64("_n").alias("_l1"), F.xxhash64(F.lit(1), "_n").alias("_l2"), (F.length("_n") - F.length(F.translate("_n", " ", "")) + 1).alias("words"))
     # one row for each line of each distinct text, whatever the number of copies
     per_text = lines.groupBy("_host", "_t1", "_t2", "_l1", "_l2").agg(F.min("_id").alias("_id"), F.collect_set("pos").alias("pos"), F.first("words").alias("words"))
+    per_text = Scratch(docs.sparkSession, "quality").write(per_text, "lines")
     counted = per_text.groupBy("_host", "_l1", "_l2").agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("_id").isNull(), "_id", "_t1", "_t2")).alias("first")).where(F.col("n_docs") > line_limit)
     return (
         per_text.join(counted, ["_host", "_l1", "_l2"])
