@@ -2,8 +2,10 @@
 
 The network reads windows of ``WINDOW`` bytes: filters of several widths over one-hot bytes (so a
 filter is a table of weights by place and byte), max pooling over the window, and softmax. It is
-trained on windows of a bounded sample: about ``per_lang`` labelled documents of each language,
-chosen by the hash of their id. Prediction covers every whole text: consecutive windows, the last
+trained on windows of a bounded sample: about ``per_lang`` labelled documents of each language (the
+``most_langs`` most frequent ones), chosen by the hash of their id and text, and ``windows_each`` windows
+of each. The windows are cut out by the executors, so what reaches the driver is bounded whatever the
+length of the texts: at most 2 * per_lang * most_langs * windows_each * WINDOW bytes. Prediction covers every whole text: consecutive windows, the last
 one drawn back to end with the text, and the mean of the windows' probabilities by their bytes.
 
 Defined results: ``und`` with score 0 where the text is null, has no letter, or nothing was learned;
@@ -18,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statewake.llm.common import pieces
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Bound of the training sample: labelled documents of each language, and windows of each document.
-PER_LANG, WINDOWS_EACH = 800, 3
+#: Bounds of the training sample: labelled documents of each language, windows of each document, and languages.
+PER_LANG, WINDOWS_EACH, MOST_LANGS = 800, 3, 256
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 7
 UNKNOWN = "und"
 
@@ -61,6 +65,22 @@ class ByteNet:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted sum of the windows' log losses, for each of params()."""
+        f, places = self.pooled(x)
+        g = self.probabilities(f)
+        g[np.arange(len(x)), y] -= 1
+        g *= weight[:, None]
+        back = (g @ self.out.T) * (f > 0)
+        grads, width = [], self.conv[0].shape[2]
+        rows, cols = np.arange(len(x))[:, None], np.arange(width)[None, :]
+        for k, (w, place) in enumerate(zip(self.conv, places, strict=True)):
+            dw, part = np.zeros_like(w), back[:, k * width : (k + 1) * width]
+            for j in range(len(w)):
+                np.add.at(dw[j], (x[rows, place + j], np.broadcast_to(cols, place.shape)), part)
+            grads.append(dw)
+        return [*grads, back.sum(0), np.maximum(f, 0).T @ g, g.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs=EPOCHS, rate=RATE, seed=SEED) -> ByteNet:
         rng, params = np.random.default_rng(seed), self.params()
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -70,20 +90,7 @@ class ByteNet:
             order = rng.permutation(len(x))
             for at in range(0, len(x), BATCH):
                 i = order[at : at + BATCH]
-                xb, pooled = x[i], self.pooled(x[i])
-                f, places = pooled
-                g = self.probabilities(f)
-                g[np.arange(len(i)), y[i]] -= 1
-                g *= weight[i][:, None] / len(i)
-                back = (g @ self.out.T) * (f > 0)
-                grads, width = [], self.conv[0].shape[2]
-                rows, cols = np.arange(len(i))[:, None], np.arange(width)[None, :]
-                for k, (w, place) in enumerate(zip(self.conv, places, strict=True)):
-                    dw, part = np.zeros_like(w), back[:, k * width : (k + 1) * width]
-                    for j in range(len(w)):
-                        np.add.at(dw[j], (xb[rows, place + j], np.broadcast_to(cols, place.shape)), part)
-                    grads.append(dw)
-                grads += [back.sum(0), np.maximum(f, 0).T @ g, g.sum(0)]
+                grads = self.gradients(x[i], y[i], weight[i] / len(i))
                 t += 1
                 step = rate * (1 - epoch / epochs) + 1e-4
                 for p, d, a, b in zip(params, grads, m, v, strict=True):
@@ -150,36 +157,45 @@ def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, sizes
 
 
-def learn(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_lang=PER_LANG) -> ByteNet:
+def learn(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", per_lang=PER_LANG, windows_each=WINDOWS_EACH, most_langs=MOST_LANGS) -> ByteNet:
     """A net trained on about per_lang of the given documents in each language."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row for each language
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(F.lit(SEED), id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return ByteNet([])
-    part = F.pmod(F.xxhash64(F.lit(SEED), id_col), F.lit(1 << 30))
     limit = F.create_map(*(x for s in langs for x in (F.lit(s), F.lit(min(1 << 30, int(per_lang / counts[s] * (1 << 30)))))))
-    sample = sorted((r["h"], r["id"], r["lang"], r["text"]) for r in rows.where(part < limit[F.col(lang_col)]).select(part.alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).collect())
-    rng, xs, ys = np.random.default_rng(SEED), [], []
-    for _, _, lang, text in sample:
-        if text and any(map(str.isalpha, text)):
-            w, _ = windows(text.encode("utf-8", "replace").lower())
-            chosen = rng.choice(len(w), min(WINDOWS_EACH, len(w)), replace=False)
-            xs.append(w[chosen])
-            ys += [langs.index(lang)] * len(chosen)
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for h, lang, text in zip(*(b.column(c).to_pylist() for c in ("h", "lang", "text")), strict=True):
+                if any(map(str.isalpha, text)):
+                    w, _ = windows(text.encode("utf-8", "replace").lower())
+                    chosen = np.random.default_rng([SEED, h % (1 << 63)]).choice(len(w), min(windows_each, len(w)), replace=False)
+                    out.append((h, lang, w[chosen].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "lang", "windows"])
+
+    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")]).mapInArrow(cut, "h long, lang string, windows binary").distinct()
+    sample = chosen.orderBy("h", "lang").limit(2 * per_lang * len(langs)).collect()
+    xs = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in sample]
+    ys = [langs.index(r["lang"]) for r, x in zip(sample, xs, strict=True) for _ in x]
     return ByteNet(langs).train(np.concatenate(xs), np.array(ys)) if xs else ByteNet([])
 
 
 def predict(docs: DataFrame, net: ByteNet, *, id_col="doc_id", text_col="text") -> DataFrame:
     """lang_pred and score beside the other columns given."""
-    rest = [c for c in docs.columns if c != text_col]
+    docs_columns, rest = docs.columns, [c for c in docs.columns if c != text_col]
 
     def run(batches):
         model = None
-        for b in batches:
+        at = docs_columns.index(text_col)
+        for whole in batches:
             model = model or Predictor(net)
-            got = model.predict(b.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
+            # a slice at a time, so that the windows of many long texts are not held together
+            for b in pieces(whole, at, 64, 1 << 20):
+                got = model.predict(b.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     return docs.mapInArrow(run, f"{kind}, lang_pred string, score double")
