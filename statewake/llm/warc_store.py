@@ -8,9 +8,9 @@ Of records with equal payloads of at least ``min_revisit`` bytes that with the s
 a response and the others are revisits of it; smaller payloads are always responses.
 
 Defined results: null html counts as empty; a null url leaves the target header out; control
-characters and spaces of a url are percent-encoded in the header; repeated rows give repeated
+characters and spaces of a url are percent-encoded in the header, each by its own code; repeated rows give repeated
 records of one type; null page ids count as larger than all others; an empty table gives an empty
-result.
+result; only the three columns named are read. Page ids are integers.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def write_archive(pages: DataFrame, scratch: Scratch, *, min_revisit=MIN_REVISIT
     order = Window.partitionBy("digest").orderBy(F.col("page_id").asc_nulls_last())
     packed = d.select("digest", "page_id", "payload").mapInArrow(_pack, "digest string, page_id long, packed binary")
     payloads = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("digest", "packed")
-    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
+    escaped = F.expr(r"array_join(transform(split(url, ''), c -> if(c rlike '[\\x00-\\x20\\x7F]', concat('%', lpad(hex(ascii(c)), 2, '0')), c)), '')")
+    url = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), escaped).otherwise(F.col("url"))
     rid = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     revisit = (F.col("n") >= min_revisit) & (F.col("page_id") != F.col("first_id")) | (F.col("n") >= min_revisit) & F.col("page_id").isNull() & F.col("first_id").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("n"), F.lit(EOL + EOL))
