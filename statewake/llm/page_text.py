@@ -39,7 +39,7 @@ FURNITURE, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
 #: Characters of a line that is taken for content and not for a menu's or footer's.
 LONG_LINE = 40
 # fixed values: element names and the words in class, id and role that mark page furniture
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "math", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "link", "mark", "meta", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ALWAYS_FURNITURE = {"nav", "footer", "aside", "form", "button", "dialog", "head", "menu"}
@@ -48,7 +48,8 @@ ALWAYS_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising"
 CONTENT_WORDS = {"advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "related"}
 OUTSIDE_WORDS = {"header", "masthead", "banner", "footer", "contentinfo", "notice", "alert", "widget", "toolbar", "search"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.DOTALL)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^>"'])*+>""")
 DECLARES = re.compile(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
@@ -65,8 +66,12 @@ def _words(attributes: str) -> tuple[set[str], set[str], bool]:
     return found, whole, hidden
 
 
-def _place(name: str, attributes: str, now: int, above: list, strict: bool) -> int:
-    """Where the inside of an element stands."""
+#: Elements that, left open, do not keep an article in them from being one.
+LOOSE = {"nav", "header", "ul", "li", "a", "head"}
+
+
+def _place(name: str, attributes: str, now: int, firm: bool, strict: bool) -> int:
+    """Where the inside of an element stands; firm: furniture around it that was surely meant to be."""
     words, whole, hidden = _words(attributes) if attributes.strip() else (set(), set(), False)
     if name in ("html", "body"):
         return MAIN if "main" in whole and "role" in attributes else now
@@ -78,7 +83,7 @@ def _place(name: str, attributes: str, now: int, above: list, strict: bool) -> i
         return FURNITURE
     if now == FURNITURE:
         # menus and headers that were never closed do not swallow the article
-        return {"article": ARTICLE, "main": MAIN}[name] if name in ("article", "main") and all(n in ("nav", "header", "ul", "li", "a", "head") for n, p in above if p == FURNITURE) else FURNITURE
+        return {"article": ARTICLE, "main": MAIN}[name] if name in ("article", "main") and not firm else FURNITURE
     if name == "article":
         return ARTICLE
     if name == "main" or "main" in words and "role" in attributes:
@@ -97,10 +102,35 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     return lines
 
 
+def _tags(html: str):
+    """start, end, whether it closes, name and attributes of each tag (name empty: a comment or declaration), in time linear in the text: quotes that do not end are read as plain characters, from the first one on."""
+    at, last, quotes = 0, html.rfind(">") + 1, True
+    while 0 <= (start := html.find("<", at)) < last:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+            yield start, at, False, "", ""
+        elif html[start + 1] in "!?":
+            at = html.find(">", start) + 1
+            yield start, at, False, "", ""
+        elif m := TAG.match(html, start):
+            end = ATTRIBUTES.match(html, m.end()) if quotes else None
+            quotes = end is not None
+            at = end.end() if end else html.find(">", m.end()) + 1
+            if not at:
+                return
+            # a raw element's end is for the caller to send
+            skip = yield start, at, bool(m[1]), m[2].lower(), html[m.end() : at - 1]
+            at = skip or at
+        else:
+            at = start + 1
+
+
 def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
     out, parts = [], []
     stack: list[tuple[str, int]] = []
-    at, place = 0, OPEN
+    opened: dict[str, int] = {}
+    at, place, firm, skip = 0, OPEN, 0, None
 
     def end_block():
         if parts:
@@ -108,39 +138,54 @@ def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
                 out.append((text, place))
             parts.clear()
 
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    def solid(x: tuple[str, int]) -> bool:
+        return x[1] == FURNITURE and x[0] not in LOOSE
+
+    tags = _tags(html)
+    while True:
+        try:
+            start, end, closes, name, attributes = tags.send(skip)
+        except StopIteration:
+            break
+        skip = None
+        if start > at:
+            parts.append(html[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
         if name not in INLINE:
             end_block()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
+        if closes:
+            if opened.get(name):
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
                 if stack[k - 1][1] != place if k else place != OPEN:
                     end_block()
+                for x in stack[k:]:
+                    opened[x[0]] -= 1
+                    firm -= solid(x)
                 del stack[k:]
                 place = stack[-1][1] if stack else OPEN
             elif name == "head":
                 place = OPEN
         elif name in RAW:
             close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else len(html)
-        elif name not in VOID and not m[3].endswith("/"):
+            at = skip = close.end() if close else len(html)
+        elif name not in VOID and not attributes.endswith("/"):
             if name == "body":
-                stack, place = [x for x in stack if x[0] != "head"], OPEN
-            inner = _place(name, m[3], place, stack, strict)
+                if opened.get("head"):
+                    stack = [x for x in stack if x[0] != "head"]
+                    opened["head"] = 0
+                place = OPEN
+            inner = _place(name, attributes, place, firm > 0, strict)
             if inner != place:
                 end_block()
             stack.append((name, inner))
+            opened[name] = opened.get(name, 0) + 1
+            firm += solid(stack[-1])
             place = inner
-    if at < len(html) and not re.match(r"<[A-Za-z/!]", html[at:]):
-        parts.append(html[at:])
-    elif at < len(html):  # a tag cut off at the end of the page
-        parts.append(re.sub(r"<[A-Za-z/!].*", "", html[at:], flags=re.DOTALL))
+    # a tag cut off at the end of the page is none of its text
+    cut = re.compile(r"<[A-Za-z/!]").search(html, at)
+    parts.append(html[at : cut.start()] if cut else html[at:])
     end_block()
     return out
 
