@@ -62,6 +62,52 @@ def test_secrets_in_compressed_data(pack):
         assert [k for _, k, _ in spans] == [1]
 
 
+def test_base_spans_are_those_of_sql(spark):
+    """The base counts and digest of all documents of sf0.01 by DuckDB's own regular expressions."""
+    import duckdb
+
+    docs = "/root/testdata/sf0.01/documents.parquet"
+    kinds = {"assign": (secret_scan.ASSIGN.pattern, 6, 2, "i"), "access": ("AKIA[A-Z0-9]+", 20, 0, ""), "hex": ("[0-9a-f]+", 24, 0, "")}
+    want = collections.defaultdict(collections.Counter)
+    for kind, (pattern, least, group, flags) in kinds.items():
+        sql = f"select doc_id, count(*) from (select doc_id, unnest(regexp_extract_all(text, $1, {group}, '{flags}')) as g from '{docs}') where length(g) >= {least} group by 1"
+        for d, n in duckdb.connect().execute(sql, [pattern]).fetchall():
+            want[d][kind] = n
+    got = secret_scan.scan_secrets(spark.read.parquet(docs)).collect()
+    assert all((r.n_assign, r.n_access, r.n_hex) == tuple(want[r.doc_id][k] for k in kinds) for r in got) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(docs).collect()}
+    import re
+
+    for r in got:
+        spans = [(m.start(), k, m.end()) for k, (kind, (pattern, least, group, flags)) in enumerate(kinds.items()) for m in re.finditer(pattern, texts[r.doc_id] or "", (re.I if flags else 0) | re.A) if len(m[group]) >= least]
+        joined = ",".join(f"{list(kinds)[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_secrets_of_random_nestings_are_found_in_place():
+    rng = random.Random(77)
+    wraps = [lambda b: urllib.parse.quote(b, safe="").encode(), lambda b: base64.b64encode(b), lambda b: base64.urlsafe_b64encode(b).rstrip(b"="), lambda b: "".join(f"\\u{c:04x}" for c in b.decode("latin-1").encode("utf-16-be")[1::2]).encode() if b.isascii() else urllib.parse.quote(b).encode(), lambda b: b"".join(b"%%%02x" % c for c in b), lambda b: base64.b64encode(gzip.compress(b))]
+    for _ in range(150):
+        secret = b"AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)).encode()
+        data = b"some more words here " + secret + b" and after "
+        for _ in range(rng.randint(1, 4)):
+            data = rng.choice(wraps)(data)
+        pad = "é ü 漢 " * rng.randint(0, 3)
+        text = pad + data.decode() + " " + pad
+        base, spans = secret_scan.scan(text)
+        inside = [(a, b) for a, k, b in spans if k == 1]
+        assert inside and all(len(pad) <= a < b <= len(pad) + len(data) for a, b in inside), text
+
+
+def test_secrets_in_very_long_runs_take_linear_time():
+    import time
+
+    for text in ("%" * 400_000, "a%41" * 200_000, "\\u0041" * 100_000, "A" * 2_000_000, ("A" * 76 + "\n") * 20_000, "password" + " " * 500_000, "é%C3%A9" * 100_000):
+        began = time.time()
+        secret_scan.scan(text)
+        assert time.time() - began < 20, text[:20]
+
+
 def test_secrets_cycle_and_odd_rows(odd_docs, no_docs):
     text = "a" * 40
     for _ in range(30):
@@ -104,6 +150,44 @@ def test_leaks(spark, odd_docs, no_docs):
     assert decontaminate.clean_documents(odd_docs, bench).columns == odd_docs.columns
 
 
+@pytest.mark.parametrize("most, segment", [(1 << 20, 4096), (200, 260)])
+def test_leaks_are_those_of_brute_force(monkeypatch, most, segment):
+    monkeypatch.setattr(decontaminate, "HITS", most)
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    items = [" ".join(word() for _ in range(n)) for n in (4, 12, 26, 30, 60, 130)] + ["ab " * 120]
+    texts = [" ".join(word() for _ in range(60)) for _ in range(4)] + ["ab " * 90]
+    for _ in range(24):
+        t, at = list(rng.choice(items)), rng.randint(0, 200)
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 1)] = rng.choice(["x", "", "zz"])
+        texts.append(" ".join(word() for _ in range(20)) + " " + "".join(t)[max(0, at - 120) : at + 150])
+    index = decontaminate.Index([(k, decontaminate.folded(t)) for k, t in enumerate(items)])
+    got = [sorted({x[0] for x in some}) for some in decontaminate.find_leaks(index, texts)]
+    want = []
+    for t in map(decontaminate.folded, texts):
+        leaked = []
+        for k, item in enumerate(map(decontaminate.folded, items)):
+            w, e, _ = decontaminate.budget(len(item))
+            if any(decontaminate.banded_distance(item[a : a + w], t, -w, len(t) + 1)[0] <= e for a in range(len(item) - w + 1)):
+                leaked.append(k)
+        want.append(leaked)
+    assert got == want and sum(map(len, want)) > 10
+
+
+def test_leaks_with_hot_grams_are_bounded(spark):
+    """Boilerplate that thousands of items share, and ids that are no numbers."""
+    same = "this sentence of the licence stands in each of the items and in the text as well, word for word. "
+    items = [(f"item {i}", same * 3 + f"number {i}") for i in range(2000)]
+    index = decontaminate.Index([(i, decontaminate.folded(t)) for i, t in items])
+    assert len(decontaminate.find_leaks(index, [same * 30])[0]) == 2000
+    docs = spark.createDataFrame([("a", same * 3), ("b", "nothing"), (None, None)], "doc_id string, text string")
+    out = decontaminate.leaks(docs, spark.createDataFrame(items[:5] + [(None, same * 2)], "item_id string, text string"))
+    assert rows(out, "doc_id", "item_id") == sorted([("a", f"item {i}") for i in range(5)] + [("a", None)], key=repr)
+
+
 # 3
 def test_tree_weighting_is_a_distribution_and_matches_recursion():
     text = b"abracadabra abracadabra banana"
@@ -257,11 +341,44 @@ def test_language(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(i, " ".join("".join(rng.choices(make[x], k=2)) for _ in range(rng.randint(5, 200))), x) for i in range(120) for x in [rng.choice("xy") * 2]], "doc_id long, text string, lang string")
     out = language_id.identify(docs).join(docs, "doc_id").where("held_out").collect()
     assert out and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95 and all(0 <= r.score <= 1 for r in out)
+    net = language_id.learn(docs, per_lang=20, windows_each=2)
+    assert set(net.langs) == {"xx", "yy"} and language_id.learn(docs, most_langs=1).langs in (["xx"], ["yy"])
     odd = language_id.identify(odd_docs)
     assert odd.where("doc_id in (3, 4, 5) and lang_pred = 'und' and score = 0").count() == 3 and odd.count() == 12
     assert language_id.identify(no_docs).count() == 0
 
 
+def test_net_is_that_of_plain_loops():
+    """Convolution, pooling and softmax against loops, the faster tables against the net, and the gradient by differences."""
+    rng = np.random.default_rng(3)
+    net = language_id.ByteNet(["a", "b", "c"], filters=4)
+    x = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
+    want = []
+    for row in x:
+        f = [max(sum(float(w[j][row[i + j]][k]) for j in range(len(w))) for i in range(len(row) - len(w) + 1)) for w in net.conv for k in range(4)]
+        z = [sum(max(f[i] + float(net.bias[i]), 0) * float(net.out[i][c]) for i in range(len(f))) + float(net.out_bias[c]) for c in range(3)]
+        want.append([math.exp(v) / sum(map(math.exp, z)) for v in z])
+    assert np.allclose(net.probabilities(net.pooled(x)[0]), want, atol=1e-5)
+    assert np.allclose(language_id.Predictor(net).features(x), net.pooled(x)[0], atol=1e-5)
+    y = np.array([0, 1, 2, 0, 1])
+    net.conv, net.bias, net.out, net.out_bias = [w.astype(float) for w in net.conv], net.bias.astype(float), net.out.astype(float), net.out_bias.astype(float)
+    loss = lambda: -np.log(net.probabilities(net.pooled(x)[0])[range(5), y]).sum()
+    checked = 0
+    for p, d in zip(net.params(), net.gradients(x, y, np.ones(5)), strict=True):
+        steepest = np.argsort(np.abs(d), axis=None)[-12:]
+        for at in (np.unravel_index(i, p.shape) for i in steepest):
+            kept = p[at]
+            p[at] = kept + 1e-6
+            up = loss()
+            p[at] = kept - 1e-6
+            assert abs((up - loss()) / 2e-6 - d[at]) < 1e-4 * max(1, abs(d[at]))
+            p[at] = kept
+            checked += 1
+    assert checked == 12 * 5 + 3
+    before = loss()
+    assert net.train(x, y, epochs=30) is net and loss() < before
+
+
 # 7
 def test_warc(spark, tmp_path):
     big = "a" * 120
@@ -269,6 +386,9 @@ def test_warc(spark, tmp_path):
     headers, payloads = warc_store.write_archive(pages, Scratch(spark, "test"))
     got = rows(warc_store.read_archive(headers, payloads), "page_id", "payload_bytes", "record_type", "refers_to")
     assert got == sorted([(1, 120, "response", None)] * 2 + [(2, 120, "revisit", 1), (None, 120, "revisit", 1), (3, 1, "response", None), (4, 1, "response", None), (5, 0, "response", None)], key=repr)
+    odd = spark.createDataFrame([(1, "http://h/a\tb c\x7f%41é", "x")], "page_id long, url string, html string")
+    fields, _, _ = warc_store.parse_record(warc_store.records(*warc_store.write_archive(odd, Scratch(spark, "test"))).first().record)
+    assert fields["warc-target-uri"] == "http://h/a%09b%20c%7F%41é"
     assert payloads.count() == 3 and warc_store.export_warc(headers, payloads, str(tmp_path / "x.warc")) == 7
     assert warc_store.archive_pages(pages.limit(0)).count() == 0
 
@@ -298,6 +418,55 @@ def test_mix(spark, odd_docs, no_docs):
     assert source_mix.mixed_documents(docs).columns == docs.columns and source_mix.mixed_documents(no_docs).count() == 0
 
 
+def test_mix_is_that_of_brute_force(spark):
+    """Targets by bisection, places by hashed order, uses by walking the schedule slot by slot; rows repeat and share ids."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(14)
+    docs = [(rng.choice([None, 1, 2, i]), " ".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 60))) if rng.random() < 0.95 else None, rng.choice(["a", "b", "b", "b", "b", "c", None])) for i in range(300)]
+    docs += docs[:40]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = [rows(source_mix.mix_sources(frame.repartition(n), block_words=8), "doc_id", "size", "source_size", "target", "taken") for n in (1, 5)]
+    assert got[0] == got[1]
+
+    def h(seed, *values):
+        x = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        for v in values:
+            if v is not None:
+                x = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), x)
+        return x - (1 << 64) if x >> 63 else x
+
+    order = ["a", "b", "c", None]
+    sizes = {s: sum(len((t or "").split()) for _, t, x in docs if x == s) for s in order}
+    total, weight = sum(sizes.values()), dict(zip(order, (5, 2, 1, 5), strict=True))
+    low, high = 0.0, float(total)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3 * sizes[s], mid * weight[s]) for s in order) < total else (low, mid)
+    target = {s: min(3 * sizes[s], low * weight[s]) for s in order}
+    plan = source_mix.plan_sources(sizes, {s: len({(i, t) for i, t, x in docs if x == s}) for s in order}, block_words=8)
+    assert all(abs(r["target"] - target[r["source"]]) < 1e-6 for r in plan)
+    uses, rank = collections.Counter(), collections.Counter()
+    for m in range(round(sum(r["slots"] for r in plan))):
+        point = m * 2654435769 % (1 << 32)
+        r = next(r for r in plan if r["lo"] <= point < r["hi"])
+        if rank[r["sid"]] // r["blocks"] < 3:
+            uses[r["sid"], rank[r["sid"]] % r["blocks"]] += 1
+        rank[r["sid"]] += 1
+    want = []
+    for r in plan:
+        own = sorted(((h(0, i, t) % (1 << 40) * r["buckets"] >> 40, h(0, i, t), h(1, i, t)), i, len((t or "").split())) for i, t, x in docs if x == r["source"] and (t or "").split())
+        at = 0
+        for _, i, size in own:
+            taken = sum(uses[r["sid"], k // r["block"]] for k in range(at, at + size))
+            want.append((i, size, r["source_size"], r["target"], taken))
+            at += size
+        want += [(i, 0, r["source_size"], r["target"], 0) for i, t, x in docs if x == r["source"] and not (t or "").split()]
+    assert got[0] == sorted(want, key=repr)
+
+
 def test_schedule_ranks_are_exact(spark):
     plan = source_mix.plan_sources({"a": 5000, "b": 3000, None: 90}, {"a": 5, "b": 3, None: 1}, block_words=10)
     got = source_mix.schedule(spark, plan).toPandas()
@@ -419,6 +588,50 @@ def test_page_text_near_copy(spark):
     assert all(f"sentence {i}" in got[k] for i in range(5) for k in (1, 2)) and "changed" in got[2]
 
 
+def test_page_text_is_what_differencing_leaves(spark):
+    """Sites without declared articles against a brute-force pairing; lines that pages share stand in one order, so their longest common subsequence is their intersection."""
+    rng = random.Random(21)
+    common = [f"menu {i}" for i in range(14)]
+    pages = []
+    for i in range(160):
+        lines = [x for x in common if rng.random() < 0.5]
+        for k in range(rng.randint(1, 4)):
+            lines.insert(rng.randint(0, len(lines)), f"own text number {i} {k} of this very page alone, with some more words in it")
+        pages.append((i, f"http://h{rng.randint(0, 6)}/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 6))), lines))
+    html = spark.createDataFrame([(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, u, lines in pages], "page_id long, url string, html string").repartition(7)
+    order = sorted(pages, key=lambda p: (p[1].split("/")[2], "/" + p[1].split("/", 3)[3], p[0]))
+    want = []
+    for k, (i, u, lines) in enumerate(order):
+        host, path = u.split("/")[2], "/" + u.split("/", 3)[3]
+        near = []
+        for side, j in enumerate((k - 1, k + 1)):
+            if 0 <= j < len(order) and order[j][1].split("/")[2] == host:
+                other, n = "/" + order[j][1].split("/", 3)[3], 0
+                while n < min(len(path), len(other)) and path[n] == other[n]:
+                    n += 1
+                near.append((-n, side, order[j][2]))
+        gone = set(min(near)[2]) if near else set()
+        want.append((i, " ".join(x for x in lines if x not in gone)))
+    assert rows(page_text.extract_text(html), "page_id", "text") == sorted(want, key=repr)
+    assert any("menu" not in t for _, t in want)
+
+
+@pytest.mark.parametrize("html", ["<a " * 200_000, "<a \"" * 100_001 + ">", "<div>" * 50_000 + "</p>" * 50_000, "<nav>" * 20_000 + "<article>" * 20_000, "<!--" * 100_000, "<" * 300_000 + ">", "x" * 3_000_000, "<body>" * 50_000])
+def test_page_text_of_broken_pages_takes_linear_time(html):
+    import time
+
+    began = time.time()
+    page_text.page_lines(html)
+    assert time.time() - began < 5
+
+
+def test_page_text_of_broken_tags():
+    get = lambda h: page_text.main_text(page_text.page_lines(h), [])
+    assert get("<article>a <math><mi>x</mi></math> <object>fallback</object> 1 < 2 & 3 > 2 <b") == "a x fallback 1 < 2 & 3 > 2"
+    assert get("<article><p title=\"x>one</p><p>two</p></article>") == "one two"
+    assert get("<article><a title='a>b'>one</a><script>if (a < b) '</p>'</script> two</article><p") == "one two"
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(8)
     for _ in range(400):
