@@ -14,7 +14,8 @@ added up, over many chunks in two steps, and written as one row. From such rows
 and more are made, twice: first for the sums from which the driver makes depths 1 and 0 (at most
 65,536 nodes), then for the logarithms of the grams, which go back to the chunks. There the texts are
 scored. What a task holds is a context's distinct grams and their nodes a slice at a time, not the
-chunks that have them; a context that many chunks have is dealt over several tasks.
+chunks that have them; a context that many chunks have is dealt over several tasks. A word's rows, one
+for each chunk of at least CHUNK_BYTES or CHUNK_WORDS that has it, are counted in one task.
 
 Beside it stands the base model of word counts. Words are numbered within a chunk of a task's
 documents, so that only a chunk's distinct words travel to be counted, and not each document's.
@@ -32,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from statewake.llm.common import Scratch, pieces, spread_join
+from statewake.llm.common import Scratch, pieces
 from statewake.llm.near_dup import groups
 
 DEPTH = 5
@@ -491,11 +493,10 @@ def score_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", folds=
     scratch = Scratch(docs.sparkSession, "ctw")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, held).alias("held_out"), F.col(text_col).alias("text"))
     work = scratch.write(rows.mapInArrow(_work, WORK), "work")
-    met = work.where(f"kind = {WORDS}").select("chunk", "lid", "token", "n")
-    sums = scratch.write(met.groupBy("token").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "words")
-    distinct, all_met = sums.agg(F.count_if(F.col("c") > 0), F.sum("chunks")).first()
-    # a word has as many rows as chunks hold it
-    counts = spread_join(met.select("chunk", "lid", "token"), sums, ["token"], "chunks", all_met or 0).select("chunk", "lid", "c")
+    # a word has one row for each chunk that holds it, so its rows are few beside those of a chunk's words
+    by_word = Window.partitionBy("token")
+    counts = scratch.write(work.where(f"kind = {WORDS}").select("chunk", "lid", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first")), "counts")
+    distinct = counts.agg(F.count_if(F.col("first") & (F.col("c") > 0))).first()[0]
     total, n_chunks = work.where(f"kind = {DOCS}").agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count_distinct("chunk")).first()
     total = total or 0
     values = gram_values(work.where(f"kind = {GRAMS}").select("chunk", "lid", "items", "times"), scratch, n_chunks)
