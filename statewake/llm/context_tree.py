@@ -39,12 +39,12 @@ from statewake.llm.common import Scratch, pieces
 from statewake.llm.near_dup import groups
 
 DEPTH = 5
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 4 << 20
 #: Distinct words, and bytes of text, after which a task begins a new chunk.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 32 << 20
 CACHE_BITS = 21
 #: Chunks whose grams of one context are one task's, and grams of a context whose nodes are held together.
-SALT_CHUNKS, SLICE = 4096, 1 << 20
+SALT_CHUNKS, SLICE = 4096, 1 << 18
 LOG2 = float(np.log(2))
 
 
