@@ -46,3 +46,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, human: list[str],
     a, b = existing.select(key, *(F.col(c).alias(f"_a_{c}") for c in human + machine)), incoming.select(key, F.lit(True).alias("_in"), *(F.col(c).alias(f"_b_{c}") for c in human + machine))
     rows = a.join(b, key, "full_outer")
     return rows.select(key, *(F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in human), *(F.when(F.col("_in"), F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(c) for c in machine))
+
+
+def membership(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of one version alone: added or removed; repeated rows count once."""
+    sides = old.select(*keys, F.lit(1).alias("o"), F.lit(0).alias("n")).unionAll(new.select(*keys, F.lit(0), F.lit(1))).groupBy(*keys).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    return sides.where("o <> n").select(*keys, F.when(F.col("n") == 1, "added").otherwise("removed").alias("side"))

@@ -9,15 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statewake.operators import guards
 
-def decision_rows(members: DataFrame, keys: list[str], literals: str, ordinal: str, most_atoms: int = 6) -> DataFrame:
-    """Every assignment of a group's atoms with the first member (by ordinal) whose literals hold; bit i is the i-th atom in order. Groups of one member, without atoms, or with too many have no rows."""
-    atoms = members.select(*keys, F.explode(literals).alias("_l")).groupBy(*keys).agg(F.array_sort(F.collect_set("_l.atom")).alias("atoms"))
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("_members"))
-    rows = atoms.join(sizes, keys).where((F.col("_members") >= 2) & (F.size("atoms") <= most_atoms)).withColumn("row", F.explode(F.expr("sequence(0, shiftleft(1, size(atoms)) - 1)")))
-    holds = F.expr(f"forall({literals}, x -> ((shiftright(row, cast(array_position(atoms, x.atom) as int) - 1) & 1) = 1) <> x.negated)")
-    matched = rows.join(members.select(*keys, literals, ordinal), keys).where(holds).groupBy(*keys, "row").agg(F.min(ordinal).alias("covering"))
-    return rows.join(matched, [*keys, "row"], "left").select(*keys, "row", "covering")
+
+def decision_rows(members: DataFrame, keys: list[str], guard: str, ordinal: str, most_atoms: int = 6) -> DataFrame:
+    """Every assignment of a group's atoms with the first member (by ordinal) whose guard holds; bit i of row is the i-th atom in order.
+
+    A group that cannot be tabulated (one member, an OR, no guard, a threshold, too many atoms) has one row with the reason.
+    """
+    per = members.select(*keys, ordinal, guards.literals(F.col(guard)).alias("lits")).groupBy(*keys, "lits").agg(F.min(ordinal).alias("ordinal"), F.count("*").alias("n"))
+    g = per.groupBy(*keys).agg(F.sum("n").alias("_n"), F.bool_or(F.col("lits").isNull()).alias("_open"), F.collect_list(F.when(F.col("lits").isNotNull(), F.struct("ordinal", "lits"))).alias("_m"))
+    clauses = F.transform("_m", lambda m: m.lits)
+    g = g.select(*keys, "_m", guards.atom_names(clauses).alias("_atoms"), F.when(F.col("_n") < 2, "one member").otherwise(guards.undecided(clauses, F.col("_open"), most_atoms)).alias("reason"))
+    rows = g.withColumn("row", F.explode(F.when(F.col("reason").isNull(), F.expr("sequence(0, shiftleft(1, size(_atoms)) - 1)")).otherwise(F.array(F.lit(None).cast("int")))))
+    holding = F.expr("filter(_m, m -> forall(m.lits, x -> ((shiftright(row, cast(array_position(_atoms, x.atom) as int) - 1) & 1) = 1) <> x.negated))")
+    return rows.select(*keys, "row", F.array_min(F.transform(holding, lambda m: m.ordinal)).alias("covering"), "reason")
 
 
 def all_pairs(factors: dict[str, list[str]]) -> list[dict[str, str]]:
@@ -53,10 +59,9 @@ def pairwise(inputs: DataFrame, key: str) -> DataFrame:
 
 
 def dimension_cost(dims: DataFrame, key: str, n: str) -> DataFrame:
-    """Bounded cost (one varied at a time) and product of each key's dimensions; fewer than two levels count as two."""
+    """Bounded cost (one varied at a time) and product of each key's dimensions, which is a double since it outgrows integers; fewer than two levels count as two."""
     levels = F.greatest(F.col(n), F.lit(2)).cast("long")
-    d = dims.withColumn("_n", levels).groupBy(key).agg((F.sum(F.col("_n") - 1) + 1).alias("bounded"), F.collect_list("_n").alias("_all"))
-    return d.select(key, "bounded", F.aggregate("_all", F.lit(1).cast("long"), lambda a, x: a * x).alias("product"))
+    return dims.withColumn("_n", levels).groupBy(key).agg((F.sum(F.col("_n") - 1) + 1).alias("bounded"), F.product(F.col("_n").cast("double")).alias("product"))
 
 
 def detectability(rows: DataFrame, key: str) -> DataFrame:
@@ -74,18 +79,37 @@ def permitted(conf: Column) -> Column:
     return F.when(conf.isin("confirmed", "inferred"), "Go,Conditional,No-Go").when(conf == "estimated", "Conditional,No-Go").otherwise("No-Go")
 
 
-def register_lint(register: DataFrame) -> DataFrame:
-    """One row for each rule that a register row breaks; register(id, probability, impact, score, response, owner, polarity)."""
-    p, i = F.col("probability"), F.col("impact")
-    rules = F.array_compact(
-        F.array(
-            F.when(~(p.between(1, 5) & i.between(1, 5)), "out-of-range"),
-            F.when(p.between(1, 5) & i.between(1, 5) & ~F.col("score").eqNullSafe(p * i), "stale-score"),
-            F.when(F.coalesce(F.trim("owner"), F.lit("")) == "", "missing-owner"),
-            F.when((F.col("polarity") == "opportunity") & F.col("response").isin("avoid", "mitigate", "transfer"), "response-polarity"),
-        )
-    )
-    return register.select("id", F.explode(rules).alias("rule"))
+# fixed values: the responses to risks of either polarity, statuses and origins of a register
+THREAT_RESPONSES = ("Avoid", "Mitigate", "Transfer", "Accept", "Escalate")
+OPPORTUNITY_RESPONSES = ("Exploit", "Enhance", "Share", "Accept", "Escalate")
+STATUSES, DERIVATIONS = ("Open", "Closed"), ("authored", "model")
+
+
+def register_lint(register: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each rule that a register row breaks. Columns that the register lacks count as null; repeated ids are one finding each.
+
+    register(id, description, category, owner, polarity, probability, impact, score, response, status, derived_from, derived_by).
+    Words are compared in any case; a score that is not stated is not stale; no polarity means a threat.
+    """
+    col = lambda c: F.col(c) if c in register.columns else F.lit(None).cast("string")
+    blank = lambda c: F.trim(F.coalesce(col(c).cast("string"), F.lit(""))) == ""
+    fold = lambda c, default="": F.lower(F.trim(F.coalesce(col(c), F.lit(default))))
+    low = lambda names: [n.lower() for n in names]
+    p, i, polarity = col("probability").cast("int"), col("impact").cast("int"), fold("polarity", "threat")
+    both, scaled = p.isNotNull() & i.isNotNull(), p.between(1, 5) & i.between(1, 5)
+    response, derived = fold("response"), F.coalesce(col("derived_from"), F.lit("authored"))
+    known = response.isin(low(THREAT_RESPONSES + OPPORTUNITY_RESPONSES))
+    allowed = F.when(polarity == "opportunity", response.isin(low(OPPORTUNITY_RESPONSES))).otherwise(response.isin(low(THREAT_RESPONSES)))
+    rules = [(blank(c), f"no-{c}") for c in ("description", "category", "owner") if c in register.columns]
+    if categories:
+        rules.append((~blank("category") & ~fold("category").isin(low(categories)), "category"))
+    rules += [
+        (~polarity.isin("threat", "opportunity"), "polarity"), (both & ~scaled, "scale"), (both & scaled & col("score").isNotNull() & (col("score").cast("int") != p * i), "score-stale"),
+        (known & ~allowed, "response-polarity"), (~fold("status", "open").isin(low(STATUSES)), "status"), (~derived.isin(list(DERIVATIONS)), "derivation"), ((derived == "model") & blank("derived_by"), "derivation-source"),
+    ]
+    found = register.select("id", F.explode(F.array_compact(F.array(*(F.when(c, n) for c, n in rules)))).alias("rule"))
+    repeated = register.where(~blank("id")).groupBy("id").count().where("count > 1").select("id", F.lit("duplicate-id").alias("rule"))
+    return found.unionAll(repeated)
 
 
 def repaired_files(commits: DataFrame, since: str, until: str) -> DataFrame:

@@ -6,7 +6,7 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 MODEL = "model_id"
@@ -21,31 +21,37 @@ def scratch(df: DataFrame) -> str:
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statewake-"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named}/walk-{uuid.uuid4().hex}"
 
 
-def setup_paths(edges: DataFrame, initial: DataFrame, cap: int | None = 10) -> DataFrame:
+def setup_paths(edges: DataFrame, initial: DataFrame, cap: int | None = None) -> DataFrame:
     """Shortest setup path of every reachable state: model_id, state, depth, path (ids of transitions).
 
     Of the paths of one length that with the smallest ids, compared from the first step, is kept.
     edges(model_id, id, source, target), initial(model_id, state). All models go together; a round
-    is a join on (model, state), and states seen before drop out. The walk ends with an empty round
-    or beyond cap steps (None: no limit).
+    is a join on (model, state), and states seen before drop out. The walk ends with an empty round;
+    beyond cap steps, where one is given, states count as not looked for. Repeated edges and initial
+    states change nothing, null ends lead nowhere, and no initial state gives no row.
     """
     root = scratch(edges)
-    e = _written(edges.select(MODEL, "id", "source", "target"), root, "edges")
-    seen = _written(initial.select(MODEL, "state", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")), root, "0")
+    e = _written(edges.select(MODEL, "id", "source", "target").distinct(), root, "edges")
+    seen = _written(initial.select(MODEL, "state", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")).distinct(), root, "0")
     frontier = seen
     for k in itertools.count(1) if cap is None else range(1, cap + 1):
         step = frontier.select(MODEL, F.col("state").alias("source"), "path").join(e, [MODEL, "source"]).select(MODEL, F.col("target").alias("state"), F.array_append("path", F.col("id")).alias("path"))
         best = step.groupBy(MODEL, "state").agg(F.min("path").alias("path")).join(seen.select(MODEL, "state"), [MODEL, "state"], "left_anti")
-        frontier = _written(best.select(MODEL, "state", F.lit(k).alias("depth"), "path"), root, str(k))
-        if frontier.isEmpty():
+        # the round's size is counted while it is written
+        size = Observation()
+        _written(best.select(MODEL, "state", F.lit(k).alias("depth"), "path").observe(size, F.count("*").alias("n")), root, str(k))
+        if not size.get["n"]:
             break
+        frontier = edges.sparkSession.read.schema(seen.schema).parquet(f"{root}/{k}")
         # one scan of all rounds, so that plans do not grow with the walk
-        seen = frontier.sparkSession.read.schema(frontier.schema).parquet(*(f"{root}/{i}" for i in range(k + 1)))
+        seen = edges.sparkSession.read.schema(seen.schema).parquet(*(f"{root}/{i}" for i in range(k + 1)))
     return seen
 
 
@@ -63,6 +69,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy(MODEL, "state").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
+def connected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that a walk over edges in either direction reaches from the seeds: node; seeds(node), edges(src, dst)."""
+    root, spark = scratch(edges), edges.sparkSession
+    both = _written(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionAll(edges.select("dst", "src")).distinct(), root, "edges")
+    seen = frontier = _written(seeds.select("node").distinct(), root, "0")
+    for k in itertools.count(1):
+        size = Observation()
+        step = frontier.join(both, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        _written(step.observe(size, F.count("*").alias("n")), root, str(k))
+        if not size.get["n"]:
+            return seen
+        frontier = spark.read.schema(seen.schema).parquet(f"{root}/{k}")
+        seen = spark.read.schema(seen.schema).parquet(*(f"{root}/{i}" for i in range(k + 1)))
+
+
+def climb(parents: DataFrame, tops: DataFrame) -> DataFrame:
+    """For each node the top that its parents lead to, however far: node, root (null where none is reached) and hops; parents(node, parent), tops(node)."""
+    e = parents.select(F.lit(0).alias(MODEL), F.concat_ws("<", "parent", "node").alias("id"), F.col("parent").alias("source"), F.col("node").alias("target"))
+    ways = setup_paths(e, tops.select(F.lit(0).alias(MODEL), F.col("node").alias("state"))).select(F.col("state").alias("node"), F.col("depth").alias("hops"), F.split_part(F.coalesce(F.get("path", F.lit(0)), F.col("state").cast("string")), F.lit("<"), F.lit(1)).alias("root"))
+    nodes = parents.select("node").union(tops.select("node")).distinct()
+    return nodes.join(ways, "node", "left").select("node", "root", "hops")
+
+
 def isolated(nodes: DataFrame, key: str, *ends: DataFrame) -> DataFrame:
     """Nodes that no edge table has at its one column."""
     for e in ends:

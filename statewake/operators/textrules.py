@@ -27,17 +27,20 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str, text: str, name_id:
 # fixed values: SQL anti-patterns and their names, in the order of report
 SQL_RULES = (
     ("select-star", r"(?i)\bselect\s+\*"),
+    ("function-on-column", r"(?is)\bwhere\b.*?\b(?:upper|lower|trim|cast|coalesce|to_char|substr|substring)\s*\("),
     ("leading-wildcard", r"(?i)\blike\s+'%"),
-    ("function-on-column", r"(?i)\bwhere\s+(upper|lower|date|cast)\s*\("),
-    ("not-in-subquery", r"(?i)\bnot\s+in\s*\(\s*select\b"),
-    ("order-by-ordinal", r"(?i)\border\s+by\s+\d"),
-    ("missing-where", r"(?i)^\s*(delete\s+from|update)\b(?!.*\bwhere\b)"),
+    ("not-in", r"(?i)\bnot\s+in\s*\("),
+    ("scalar-subquery", r"(?i)\bselect\b[^;]*?\(\s*select\b"),
+    ("cross-join", r"(?i)\bfrom\s+[\w.]+\s*,\s*[\w.]+"),
+    ("row-limit-dialect", r"(?i)\b(?:rownum|top\s+\d+)\b"),
+    ("unfiltered", r"(?is)^\s*select\b(?:(?!\bwhere\b|\bjoin\b|\blimit\b|\bfetch\b).)*$"),
 )
 
 
 def sql_review(statement: Column) -> Column:
-    """Names of the rules that a statement breaks, in order."""
-    return F.array_compact(F.array(*(F.when(statement.rlike(p), n) for n, p in SQL_RULES)))
+    """Names of the rules that a statement breaks, in order; null where there is no statement."""
+    text = F.trim(F.regexp_replace(statement, r"\s+", " "))
+    return F.when(text != "", F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in SQL_RULES))))
 
 
 def failure_class(evidence: Column, expected: Column, actual: Column) -> Column:

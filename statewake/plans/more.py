@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewake.operators import design, graph, guards
+from statewake.operators import delta, design, graph, guards
 from statewake.plans.machine import SQL as M
 from statewake.plans.machine import initial_states, steps, table, transitions
-from statewake.plans.registry import _LEDGER, _WALK, _ledger, _risks, _PI, _BAND, query
+from statewake.plans.registry import _BAND, _HOLDS, _LEDGER, _MIXED, _PI, _WALK, _WHY, _ledger, _mixed_guards, _risks, query
 
 
 @query(f"WITH {M}, v AS (SELECT unnest([-1, 0, 1]) AS off) SELECT model_id, id, lo + off AS value FROM t, v UNION ALL SELECT model_id, id, hi + off FROM t, v WHERE hi <> lo")
@@ -17,23 +17,16 @@ def cov_boundary(spark, d):
     return guards.boundary_points(bounds, "bound").select("model_id", "id", "value")
 
 
-@query("""WITH g AS (SELECT l_orderkey, l_linenumber, 'flag' || l_returnflag AS a, 'open' || l_linestatus AS b FROM lineitem WHERE l_linenumber % 4 = 2),
-ats AS (SELECT l_orderkey, list_sort(list_distinct(list(x))) AS atoms FROM (SELECT l_orderkey, a AS x FROM g UNION ALL SELECT l_orderkey, b FROM g) GROUP BY 1),
-r AS (SELECT ats.l_orderkey, atoms, unnest(range(0, 1 << len(atoms))) AS "row" FROM ats WHERE (SELECT count(*) FROM g WHERE g.l_orderkey = ats.l_orderkey) >= 2)
-SELECT r.l_orderkey, r."row"::INT AS "row", min(g.l_linenumber) AS covering FROM r LEFT JOIN g ON g.l_orderkey = r.l_orderkey AND (r."row" >> (list_position(atoms, g.a) - 1)) & 1 = 1 AND (r."row" >> (list_position(atoms, g.b) - 1)) & 1 = 0 GROUP BY 1, 2""")
+@query(f"""WITH {_MIXED}, why AS (SELECT *, CASE WHEN members < 2 THEN 'one member' ELSE {_WHY.format(6, 6)} END AS reason FROM grp), rows_ AS (SELECT l_orderkey, atoms, unnest(range(0, 1 << len(atoms))) AS r FROM why WHERE reason IS NULL)
+SELECT l_orderkey, r::INT AS "row", (SELECT min(l_linenumber) FROM gl g WHERE g.l_orderkey = rows_.l_orderkey AND {_HOLDS}) AS covering, NULL AS reason FROM rows_ UNION ALL SELECT l_orderkey, NULL, NULL, reason FROM why WHERE reason IS NOT NULL""")
 def decision_rows(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber % 4 = 2")
-    guard = F.concat(F.lit("flag"), "l_returnflag", F.lit(" AND NOT open"), "l_linestatus")
-    members = li.select("l_orderkey", "l_linenumber", F.transform(guards.conjuncts(guard), guards.literal).alias("literals"))
-    return design.decision_rows(members, ["l_orderkey"], "literals", "l_linenumber")
+    return design.decision_rows(_mixed_guards(spark, d), ["l_orderkey"], "guard", "l_linenumber")
 
 
 @query("WITH x AS (SELECT p_brand, p_type, greatest(count(DISTINCT p_size), 2) AS n FROM part GROUP BY 1, 2) SELECT p_brand, (sum(n - 1) + 1)::BIGINT AS bounded, round(log10(product(n)), 6) AS product_digits FROM x GROUP BY 1")
 def dimension_cost(spark, d):
     dims = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count_distinct("p_size").alias("n"))
-    logs = dims.groupBy("p_brand").agg(F.round(F.sum(F.log10(F.greatest(F.col("n"), F.lit(2)))), 6).alias("product_digits"))
-    bounded = dims.groupBy("p_brand").agg((F.sum(F.greatest(F.col("n"), F.lit(2)) - 1) + 1).alias("bounded"))
-    return bounded.join(logs, "p_brand")
+    return design.dimension_cost(dims, "p_brand", "n").select("p_brand", "bounded", F.round(F.log10("product"), 6).alias("product_digits"))
 
 
 @query(f"WITH {M}, {_LEDGER}, j AS (SELECT t.model_id, t.source, mechanism, t.lo % 2 = 0 AS oracle_, CASE WHEN t.hi % 5 = 0 THEN 'passed' WHEN t.hi % 5 = 1 THEN 'failed' END AS outcome FROM t LEFT JOIN led ON led.model_id = t.model_id AND led.id = t.id) SELECT model_id || '/' || source AS key, min(CASE WHEN outcome IS NOT NULL THEN 1 WHEN mechanism = 'direct' AND oracle_ THEN 2 WHEN mechanism = 'indirect' THEN 3 WHEN mechanism = 'direct' THEN 4 ELSE 5 END)::INT AS detection, bool_or(coalesce(outcome = 'failed', false)) AS failing FROM j GROUP BY 1")
@@ -50,13 +43,16 @@ def verdict(spark, d):
     return o.select("o_orderkey", "confidence", design.permitted(F.col("confidence")).alias("permitted"))
 
 
-@query("""WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey, 1 + CAST(l_quantity AS INT) % 6 AS p, 1 + CAST(l_linenumber AS INT) % 5 AS i, CAST(l_suppkey AS INT) % 10 AS sc, CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_returnflag END AS owner, l_linestatus FROM lineitem)
-SELECT id, 'out-of-range' AS rule FROM r WHERE p > 5 UNION ALL SELECT id, 'stale-score' FROM r WHERE p <= 5 AND sc <> p * i UNION ALL SELECT id, 'missing-owner' FROM r WHERE trim(owner) = '' UNION ALL SELECT id, 'response-polarity' FROM r WHERE l_linestatus = 'O' AND owner <> 'N'""")
+@query("""WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, 1 + CAST(l_quantity AS INT) % 6 AS p, 1 + CAST(l_linenumber AS INT) % 5 AS i, CASE WHEN l_linenumber <> 6 THEN CAST(l_suppkey AS INT) % 10 END AS sc, CASE WHEN l_linenumber = 3 THEN ' ' ELSE l_returnflag END AS owner,
+CASE l_linestatus WHEN 'O' THEN 'Opportunity' ELSE NULL END AS polarity, CASE l_returnflag WHEN 'A' THEN 'Avoid' WHEN 'N' THEN 'exploit' ELSE 'ACCEPT' END AS response, CASE l_linenumber WHEN 2 THEN 'closed' WHEN 4 THEN 'Shut' END AS status, CASE l_linenumber WHEN 5 THEN 'model' WHEN 7 THEN 'guess' END AS derived_from FROM lineitem)
+SELECT id, 'scale' AS rule FROM r WHERE p > 5 UNION ALL SELECT id, 'score-stale' FROM r WHERE p <= 5 AND sc <> p * i UNION ALL SELECT id, 'no-owner' FROM r WHERE trim(owner) = '' UNION ALL SELECT id, 'response-polarity' FROM r WHERE (polarity IS NULL AND response = 'exploit') OR (polarity IS NOT NULL AND response = 'Avoid')
+UNION ALL SELECT id, 'status' FROM r WHERE status = 'Shut' UNION ALL SELECT id, 'derivation' FROM r WHERE derived_from = 'guess' UNION ALL SELECT id, 'derivation-source' FROM r WHERE derived_from = 'model' UNION ALL SELECT id, 'duplicate-id' FROM r GROUP BY id HAVING count(*) > 1""")
 def register_lint(spark, d):
-    owner = F.when(F.col("l_linenumber") == 3, " ").otherwise(F.col("l_returnflag"))
+    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     r = table(spark, d, "lineitem").select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), (1 + F.col("l_quantity").cast("int") % 6).alias("probability"), (1 + F.col("l_linenumber").cast("int") % 5).alias("impact"), (F.col("l_suppkey").cast("int") % 10).alias("score"),
-        owner.alias("owner"), F.when(owner == "N", "exploit").otherwise("avoid").alias("response"), F.when(F.col("l_linestatus") == "O", "opportunity").otherwise("threat").alias("polarity"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string")).alias("id"), (1 + F.col("l_quantity").cast("int") % 6).alias("probability"), (1 + line.cast("int") % 5).alias("impact"), F.when(line != 6, F.col("l_suppkey").cast("int") % 10).alias("score"),
+        F.when(line == 3, " ").otherwise(flag).alias("owner"), F.when(flag == "A", "Avoid").when(flag == "N", "exploit").otherwise("ACCEPT").alias("response"), F.when(F.col("l_linestatus") == "O", "Opportunity").alias("polarity"),
+        F.when(line == 2, "closed").when(line == 4, "Shut").alias("status"), F.when(line == 5, "model").when(line == 7, "guess").alias("derived_from"), F.lit("").alias("derived_by"),
     )
     return design.register_lint(r)
 
@@ -71,11 +67,12 @@ def band_rollup(spark, d):
     return _risks(spark, d).rollup("band", "l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)) SELECT user_id, event_type, CASE WHEN a.user_id IS NULL THEN 'added' ELSE 'removed' END AS side FROM a FULL JOIN b USING (user_id, event_type) WHERE a.user_id IS NULL OR b.user_id IS NULL".replace("a.user_id IS NULL OR b.user_id IS NULL", "(user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM a) OR (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM b)").replace("CASE WHEN a.user_id IS NULL THEN", "CASE WHEN (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM a) THEN"))
+@query("""WITH a AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS h FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)), b AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS h FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)), x AS (SELECT user_id, extract(hour FROM h)::INT AS h, 'a' AS s FROM a UNION SELECT user_id, extract(hour FROM h)::INT, 'b' FROM b)
+SELECT user_id, h AS hour, CASE min(s) WHEN 'b' THEN 'added' ELSE 'removed' END AS side FROM x GROUP BY 1, 2 HAVING count(*) = 1""")
 def membership_diff(spark, d):
     e = table(spark, d, "events").crossJoin(F.broadcast(table(spark, d, "events").agg(F.expr("max(event_id) div 2").alias("h"))))
-    sides = e.groupBy("user_id", "event_type").agg(F.bool_or(F.col("event_id") <= F.col("h")).alias("a"), F.bool_or(F.col("event_id") > F.col("h")).alias("b"))
-    return sides.where("a <> b").select("user_id", "event_type", F.when(F.col("b"), "added").otherwise("removed").alias("side"))
+    member = lambda c: e.where(c).select("user_id", F.hour("ts").alias("hour"))
+    return delta.membership(member("event_id <= h"), member("event_id > h"), ["user_id", "hour"])
 
 
 @query(f"""WITH {M}, h AS (SELECT max(event_id) // 2 AS h FROM events), o AS (SELECT DISTINCT model_id, state AS source, trigger_ AS tr, target FROM steps, h WHERE target IS NOT NULL AND event_id <= h), n AS (SELECT DISTINCT model_id, state AS source, trigger_ AS tr, target FROM steps, h WHERE target IS NOT NULL AND event_id > h),
@@ -101,10 +98,11 @@ def category_distribution(spark, d):
     return table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"), F.count_if(F.col("hit")).alias("chosen"))
 
 
-@query(f"{_WALK} SELECT model_id, depth, count(*)::BIGINT AS states FROM dep WHERE depth <= 10 GROUP BY 1, 2")
+@query(f"{_WALK}, s AS (SELECT model_id, source AS state FROM t UNION SELECT model_id, target FROM t UNION SELECT model_id, state FROM init) SELECT s.model_id, coalesce(dep.depth, -1) AS depth, count(*)::BIGINT AS states FROM s LEFT JOIN dep ON dep.model_id = s.model_id AND dep.state = s.state GROUP BY 1, 2")
 def layering(spark, d):
-    paths = graph.setup_paths(transitions(spark, d).where("status = 'implemented'"), initial_states(spark, d))
-    return paths.groupBy("model_id", "depth").agg(F.count("*").alias("states"))
+    """States by depth; those that no walk reaches are in the column -1."""
+    found = graph.reachability(transitions(spark, d), initial_states(spark, d))
+    return found.groupBy("model_id", F.coalesce("depth", F.lit(-1)).alias("depth")).agg(F.count("*").alias("states"))
 
 
 @query("SELECT c_custkey, CASE WHEN o IS NULL THEN 'no order' WHEN l IS NULL THEN 'no line' WHEN p IS NULL THEN 'no part' ELSE '' END AS broken FROM (SELECT c_custkey, min(o_orderkey) AS o, min(l_orderkey) AS l, min(p_partkey) AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)")

@@ -16,15 +16,23 @@ def gwt_mine(spark, d):
     return steps(spark, d).select("event_id", textrules.mine_criterion(text).alias("c")).select("event_id", "c.*")
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents) SELECT doc_id, item_id FROM w JOIN (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+')) AS w FROM benchmark) b USING (w) GROUP BY ALL")
+@query("WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents) SELECT doc_id, name_id FROM w JOIN (SELECT p_partkey AS name_id, lower(unnest(string_split(p_name, ' '))) AS w FROM part UNION ALL SELECT item_id + 1000000, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) FROM benchmark) b USING (w) GROUP BY ALL")
 def entity_mentions(spark, d):
-    names = table(spark, d, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"))
-    return textrules.mentions(table(spark, d, "documents"), names, "doc_id", "text", "item_id", "name")
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("name_id"), F.explode(F.split("p_name", " ")).alias("name"))
+    more = table(spark, d, "benchmark").select((F.col("item_id") + 1000000).alias("name_id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("name"))
+    return textrules.mentions(table(spark, d, "documents"), own.unionAll(more), "doc_id", "text", "name_id", "name")
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'select-star,leading-wildcard' WHEN 'O' THEN 'missing-where' ELSE '' END AS rules FROM orders")
+#: Statements and the rules that each breaks.
+_STATEMENTS = (
+    ("SELECT * FROM t WHERE a LIKE '%x'", "select-star,leading-wildcard"), ("select a from t where upper(a) = 'X' and b not in (1, 2)", "function-on-column,not-in"), ("select a, (select max(b) from u) from t, u limit 1", "scalar-subquery,cross-join"),
+    ("SELECT top 5 a FROM t", "row-limit-dialect,unfiltered"), ("  select a\n from t  ", "unfiltered"), ("select a from t where b = 1", ""), ("delete from t", ""),
+)
+
+
+@query(f"SELECT o_orderkey, CASE o_orderkey % 8 {' '.join(f'WHEN {i} THEN {chr(39)}{r}{chr(39)}' for i, (_, r) in enumerate(_STATEMENTS))} END AS rules FROM orders")
 def sql_lint(spark, d):
-    s = F.when(F.col("o_orderstatus") == "F", "SELECT * FROM t WHERE a LIKE '%x'").when(F.col("o_orderstatus") == "O", "delete from t").otherwise("select a from t where b = 1")
+    s = F.get(F.array(*(F.lit(x) for x, _ in _STATEMENTS)), (F.col("o_orderkey") % 8).cast("int"))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(textrules.sql_review(s), ",").alias("rules"))
 
 
@@ -35,18 +43,18 @@ def failure_classes(spark, d):
     return steps(spark, d).select("event_id", textrules.failure_class(evidence, F.lit(200), actual).alias("class"))
 
 
-@query("""WITH k AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+')) AS keyword FROM benchmark), w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS keyword FROM conversations), h AS (SELECT conv_id, turn, item_id, count(*) AS hits FROM w JOIN k USING (keyword) GROUP BY 1, 2, 3),
+@query("""WITH k AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS keyword FROM benchmark), w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS keyword FROM conversations), h AS (SELECT conv_id, turn, item_id, count(*) AS hits FROM w JOIN k USING (keyword) GROUP BY 1, 2, 3),
 b AS (SELECT conv_id, turn, max(hits) AS hits FROM h GROUP BY 1, 2), t AS (SELECT conv_id, turn, CASE WHEN count(*) = 1 THEN min(item_id) END AS workflow FROM h JOIN b USING (conv_id, turn, hits) GROUP BY 1, 2) SELECT c.conv_id || '/' || c.turn AS request, workflow FROM conversations c LEFT JOIN t USING (conv_id, turn)""")
 def routing(spark, d):
-    keywords = table(spark, d, "benchmark").select(F.col("item_id").alias("workflow"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("keyword"))
+    keywords = table(spark, d, "benchmark").select(F.col("item_id").alias("workflow"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("keyword"))
     requests = table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request"), "text")
     return textrules.route(requests, keywords, "request", "text")
 
 
-@query("SELECT p_partkey, NULL AS name, CASE WHEN lower(p_type[1:3]) = 'sma' THEN 'Small' WHEN lower(p_type[1:3]) = 'sta' THEN 'Standard' WHEN lower(p_type[1:3]) = 'eco' THEN 'Economy' END AS hint FROM part WHERE lower(p_type) NOT IN ('small', 'standard', 'economy')")
+@query("SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'Small' WHEN 'STANDARD' THEN 'Standard' END AS name, CASE WHEN p_type NOT IN ('SMALL', 'STANDARD') THEN CASE lower(p_type[1:3]) WHEN 'eco' THEN 'Economic' WHEN 'sta' THEN 'Standard' END END AS hint FROM part")
 def category_check(spark, d):
-    p = table(spark, d, "part").select("p_partkey", textrules.category(F.col("p_type"), ["Small", "Standard", "Economy"]).alias("c"))
-    return p.where("c.name is null").select("p_partkey", "c.name", "c.hint")
+    p = table(spark, d, "part").select("p_partkey", textrules.category(F.col("p_type"), ["Small", "Standard", "Economic"]).alias("c"))
+    return p.select("p_partkey", "c.name", "c.hint")
 
 
 @query("WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, arg_max(pos, (length(x), -pos))::INT AS pos FROM p GROUP BY 1")

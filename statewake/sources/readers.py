@@ -77,8 +77,13 @@ PRIORITY = {"blocker": "critical", "highest": "critical", "critical": "critical"
 
 
 def normal_priority(raw: Column) -> Column:
-    """The priority's own word; medium where it is unknown or missing."""
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))[F.lower(F.trim(raw))], F.lit("medium"))
+    """The priority's own word; null where it is unknown or missing (see unmapped)."""
+    return F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))[F.lower(F.trim(raw))]
+
+
+def unmapped(raw: Column, field: str = "priority") -> Column:
+    """Why a field's value was left out; null where it was not."""
+    return F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", F.lit(f"no {field}")).when(normal_priority(raw).isNull(), F.concat(F.lit(f"{field} '"), F.trim(raw), F.lit("' has no mapping")))
 
 
 def plain_text(markup: Column) -> Column:

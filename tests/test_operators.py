@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from statewake.functions import scores
-from statewake.operators import coverage, delta, graph, guards, retrieval, temporal
+from statewake.operators import coverage, delta, design, generate, graph, guards, retrieval, temporal
 
 EDGES = [("m", "t1", "A", "B"), ("m", "t2", "A", "C"), ("m", "t3", "B", "D"), ("m", "t0", "C", "D"), ("m", "t4", "E", "A")]
 
@@ -36,9 +36,56 @@ def test_interval_overlap(spark):
 
 
 def test_truth_table(spark):
-    rows = spark.createDataFrame([("g", [("p", False), ("q", False)]), ("g", [("p", True)]), ("h", [("p", False)]), ("h", [("p", True)])], "k string, l array<struct<atom string, negated boolean>>")
-    got = {r.k: (r.n_atoms, r.uncovered, r.first_uncovered) for r in guards.truth_table(rows, ["k"], "l").collect()}
-    assert got == {"g": (2, 1, 1), "h": (1, 0, None)}
+    rows = [("g", "p AND q"), ("g", "NOT p"), ("h", "(p)"), ("h", "NOT (p)"), ("or", "a"), ("or", "b OR c"), ("num", "x < 5"), ("num", "x >= 5"), ("bare", ""), ("none", None), *(("many", f"a{i}") for i in range(11))]
+    df = spark.createDataFrame(rows, "k string, guard string")
+    got = {r.k: (r.n_atoms, r.uncovered, r.first_uncovered, r.reason) for r in guards.truth_table(df, ["k"], "guard").collect()}
+    bare = "a disjunction or no guard"
+    assert got == {"g": (2, 1, 1, None), "h": (1, 0, None, None), "or": (None, None, None, bare), "num": (None, None, None, "a threshold, which is an interval"), "bare": (None, None, None, bare), "none": (None, None, None, bare), "many": (None, None, None, "more than 10 atoms")}
+    assert guards.truth_table(df.limit(0), ["k"], "guard").count() == 0
+
+
+def test_decision_rows_give_reasons(spark):
+    df = spark.createDataFrame([("g", 2, "a"), ("g", 1, "a AND NOT b"), ("one", 1, "a"), ("or", 1, "a OR b"), ("or", 2, "c"), *(("many", i, f"a{i}") for i in range(7))], "k string, n int, guard string")
+    got = {(r.k, r.row): (r.covering, r.reason) for r in design.decision_rows(df, ["k"], "guard", "n").collect()}
+    assert got == {("g", 0): (None, None), ("g", 1): (1, None), ("g", 2): (None, None), ("g", 3): (2, None), ("one", None): (None, "one member"), ("or", None): (None, "a disjunction or no guard"), ("many", None): (None, "more than 6 atoms")}
+
+
+def test_conjuncts_outside_parentheses(spark):
+    df = spark.createDataFrame([("((a AND b))",), ("(a) AND (b AND c)",), ("NOT (a AND b)",), ("NOT x",), ("a OR b",), ("",), (None,), ("f(x) AND g(y)",), ("a AND a",)], "g string")
+    got = [r[0] and [("!" if x.negated else "") + x.atom for x in r[0]] for r in df.select(guards.literals(F.col("g"))).collect()]
+    assert got == [["a", "b"], ["a", "b AND c"], ["!a AND b"], ["!x"], None, None, None, ["f(x)", "g(y)"], ["a"]]
+    pairs = spark.createDataFrame([("a AND b", "b AND a"), ("a AND b", "a AND NOT (b)"), ("a AND b", "NOT a AND NOT b"), ("a", "b"), ("a OR b", "a")], "x string, y string")
+    assert [r[0] for r in pairs.select(guards.relation(guards.literals(F.col("x")), guards.literals(F.col("y")))).collect()] == ["identical", "complementary", "exclusive", None, None]
+
+
+MACHINE = [("m", "t1", "S", "in", "A", "ok", True), ("m", "t2", "S", "in", "B", "NOT (ok)", True), ("m", "t3", "A", "go", "C", "", True), ("m", "t4", "C", "go", "D", "", False), ("m", "t5", "X", "go", "Y", "", True), ("m", "t6", "B", "up", "A", "", True)]
+
+
+def test_one_path_for_each_target(spark):
+    t = spark.createDataFrame(MACHINE, "model_id string, id string, source string, trigger string, target string, guard string, generatable boolean")
+    setups = graph.setup_paths(generate.generatable(t), spark.createDataFrame([("m", "S")], "model_id string, state string"))
+    got = {r.key: (r.outcome, r.setup, r.detail) for r in generate.paths(generate.all_transitions(t), t, setups, cap=0).collect()}
+    assert got == {"t1": ("generated", [], None), "t2": ("generated", [], None), "t3": ("exceeds-cap", ["t1"], "requires 1 steps, cap is 0"), "t5": ("unreachable", None, "no route from an initial state"), "t6": ("exceeds-cap", ["t2"], "requires 1 steps, cap is 0")}
+    pairs = {r.key: (r.outcome, r.setup) for r in generate.paths(generate.transition_pairs(t), t, setups).collect()}
+    assert pairs == {"t1->t3": ("generated", ["t1"]), "t2->t6": ("generated", ["t2"]), "t3": ("unsatisfiable", None), "t5": ("unsatisfiable", None), "t6->t3": ("generated", ["t2", "t6"])}
+    conditions = {r.key: (r.validates, r.reason) for r in generate.guard_conditions(t).collect()}
+    assert conditions["t1::ok::false"] == ("t2", None) and conditions["t3::<unguarded>"] == ("t3", None) and len(conditions) == 7
+    assert {r.part: r.n for r in generate.partition(generate.paths(generate.all_transitions(t), t, setups), t).collect()} == {"generated": 4, "unreachable": 1, "excluded": 1}
+
+
+def test_setup_without_a_limit_and_labels(spark):
+    n = 15
+    chain = spark.createDataFrame([(1, f"e{i:02}", f"s{i}", f"s{i + 1}") for i in range(n)] * 2, "model_id long, id string, source string, target string")
+    start = spark.createDataFrame([(1, "s0"), (1, "s0")], "model_id long, state string")
+    assert sorted(r.depth for r in graph.setup_paths(chain, start).collect()) == list(range(n + 1))
+    assert graph.setup_paths(chain.limit(0), start.limit(0)).count() == 0
+
+
+def test_register_lint_in_any_case(spark):
+    rows = [("a", "d", "c", "o", None, 2, 3, None, "Avoid"), ("b", "d", "c", "o", "opportunity", 2, 3, 6, "avoid"), ("c", "d", "c", "o", "Threat", 2, 3, 5, "EXPLOIT"), ("d", " ", "x", None, "sideways", 9, 1, 1, "Accept"), ("d", "d", "c", "o", None, None, 1, 1, None)]
+    df = spark.createDataFrame(rows, "id string, description string, category string, owner string, polarity string, probability int, impact int, score int, response string")
+    got = sorted((r.id, r.rule) for r in design.register_lint(df, ("C",)).collect())
+    assert got == [("b", "response-polarity"), ("c", "response-polarity"), ("c", "score-stale"), ("d", "category"), ("d", "duplicate-id"), ("d", "no-description"), ("d", "no-owner"), ("d", "polarity"), ("d", "scale")]
 
 
 def test_drift_and_upsert(spark):

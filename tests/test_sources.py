@@ -48,7 +48,7 @@ def test_openapi_and_tracker(spark, tmp_path):
     r = readers.openapi_endpoints(spark, put(tmp_path / "o.json", json.dumps(doc))).first()
     assert (r.verb, r.route, r.operation, r.statuses) == ("GET", "/a/{id}", "getA", ["200", "404"]) and r.parameters[0]["in"] == "path"
     p = spark.createDataFrame([(" Blocker", "<p>a &amp; b</p>c<br>d"), (None, None)], "p string, m string").select(readers.normal_priority(F.col("p")), readers.plain_text(F.col("m"))).collect()
-    assert [tuple(x) for x in p] == [("critical", "a & b c d"), ("medium", None)]
+    assert [tuple(x) for x in p] == [("critical", "a & b c d"), (None, None)]
 
 
 def test_snapshot(spark, tmp_path):
