@@ -38,6 +38,8 @@ NULL_ID = -(1 << 63)
 SEGMENT_IDS = 1 << 20
 #: Words whose ids a task keeps at hand; the table is emptied when full, which changes no result.
 CACHE_WORDS = 1_000_000
+#: Marks that end a word as one piece: not the apostrophe, nor what special tokens are written with.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def default_tokenizer() -> str:
@@ -58,47 +60,55 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
         vocabulary = self.tokenizer.get_vocab()
         #: ids that end a piece
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # for words of letters alone, made small: nothing is left to normalise or to split but at spaces
+        self.small = Tokenizer.from_file(path)
+        self.small.normalizer = normalizers.Sequence([])
+        self.small.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         # letters that stay one piece among others (not so U+0130, which normalisation takes apart)
         latin = [c for c in map(chr, range(0x250)) if c.isalpha()]
-        self.plain = {c for c, e in zip(latin, self.tokenizer.encode_batch([f"a{c}a" for c in latin], add_special_tokens=False), strict=True) if self.pieces(e.ids) == 1}
+        ids = lambda t, texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        whole, small = ids(self.tokenizer, [f"a{c}a" for c in latin]), ids(self.small, [f"a{c.lower()}a" for c in latin])
+        self.plain = {c for c, x, y in zip(latin, whole, small, strict=True) if x == y and self.pieces(x) == 1}
 
     def pieces(self, ids: list[int]) -> int:
         """How many pieces ids are; 0 where the last one doesn't end."""
         return int(self.ends[ids].sum()) if ids and self.ends[ids[-1]] else 0
 
     def learn(self, words: list[bytes]) -> None:
-        """Tokenise words. Those of plain letters are one piece each, so all go as one text that is cut where pieces end; a mark after letters is a piece of its own. Where the cuts are not as many as the words, and for all other words, each is tokenised by itself."""
-        ids, letters, marked, rest = self.ids, {}, [], []
+        """Tokenise words. Those of plain letters are one piece each, so all go as one text that is cut where pieces end; marks after letters are a piece of their own. Where the cuts are not as many as the words, and for all other words, each is tokenised by itself."""
+        ids, letters, marked, tails, rest = self.ids, {}, [], {}, []
         for w in words:
-            bare = w[:-1] if w[-1:] in (b".", b",") else w
+            bare = w.rstrip(MARKS)
             text = bare.decode()
             if text and self.plain.issuperset(text):
                 if bare not in ids:
                     letters[bare] = text
-                if bare is not w:
-                    marked.append(w)
+                if len(bare) != len(w):
+                    marked.append((w, bare, tail := w[len(bare) :]))
+                    if tail not in ids:
+                        tails[tail] = None
             else:
                 rest.append(w)
         if letters:
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(letters.values())], add_special_tokens=False)[0].ids, np.uint32)
+            got = np.array(self.small.encode_batch_fast([" ".join(letters.values()).lower()], add_special_tokens=False)[0].ids, np.uint32)
             cuts = [0, *((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()]
             if len(cuts) == len(letters) + 1 and cuts[-1] == 4 * len(got):
                 data = got.tobytes()
                 ids.update((w, data[a:z]) for w, a, z in zip(letters, cuts, cuts[1:], strict=False))
             else:
                 rest += letters
-        rest += [m for m in (b".", b",") if m not in ids]
+        rest = list(dict.fromkeys([*rest, *tails]))
         for w, e in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
             ids[w] = array("I", e.ids).tobytes()
-        for w in marked:
-            ids[w] = ids[w[:-1]] + ids[w[-1:]]
+        for w, bare, tail in marked:
+            ids[w] = ids[bare] + ids[tail]
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
