@@ -11,7 +11,9 @@ are not furniture. Where nothing is declared and most of the long lines are shar
 a near copy, which says nothing about the page's furniture, and shared lines are restored too.
 
 Parts of class, id and role words mark furniture, but whole ones alone do so inside an article, and
-html and body never are. A page on which that leaves no article and no main, but it has such elements
+html and body never are. That markup decides where it declares an article is a departure from the
+method, since differencing can't give right results there: on the pages of sf0.1 92 % of the furniture
+lines stand on none of the four nearest pages, and lines of copied articles do. A page on which that leaves no article and no main, but it has such elements
 or nothing else, is read again with whole words alone (and those for comments, related pages and
 adverts), so that a wrapper named has-sidebar does not take the article with it.
 
@@ -20,7 +22,8 @@ with any share of the pages is spread over many tasks.
 
 Defined results: null html counts as empty and gives an empty text; a null url has an empty host
 and path; repeated rows are paired once and each give a row; a page alone in its host has no
-neighbour, and nothing of it is shared; an empty table gives an empty result.
+neighbour, and nothing of it is shared; an empty table gives an empty result; only the three columns
+named are read. Page ids are integers. Tags are read in time linear in the html, however broken.
 """
 
 from __future__ import annotations
