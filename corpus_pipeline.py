@@ -2,6 +2,12 @@
 
 Every stage reads all that the one before kept, as written Parquet. All but the last return the
 columns of ``documents``; the last returns what its read-back of the written segments gives.
+
+Defined results, beside those that the operators' docstrings state: null and blank texts fail the
+quality rules and go there; repeated rows count once in the quality rules' lines and all but one go in
+the near-duplicate stage, as do null-id copies of a document that has an id; a null source is a host
+and a source of its own, last in order; an empty table stays empty through all stages; further columns
+are carried along, whatever their names. Ids are integers or null.
 """
 
 from __future__ import annotations
