@@ -28,3 +28,16 @@ def test_stages(spark):
     encoder = token_store.WordTokenizer(token_store.default_tokenizer())
     texts = {r.doc_id: r.text for r in seen["mix"][1].collect()}
     assert all(r.n_tokens == len(encoder.encode([texts[r.doc_id]])[0]) + 1 for r in tokens)
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs):
+    for rows in (odd_docs, no_docs):
+        docs, scratch = rows, Scratch(spark, "test")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = scratch.write(stage(spark, docs, SF), name)
+            assert name == "tokens" or docs.columns == rows.columns
+            if name == "quality":  # null, blank and short texts go, repeated rows do not
+                assert sorted(str(r.doc_id) for r in docs.collect()) == (sorted(["1", "1", "2", "6", "None", "50"]) if rows is odd_docs else [])
+            if name == "dedup":  # one of the para's copies, whatever its case, and the long text
+                assert sorted(r.doc_id for r in docs.collect()) == ([1, 6] if rows is odd_docs else [])
+        assert set(docs.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and (docs.count() > 0) == (rows is odd_docs)
