@@ -51,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality_rules.SQL, "op7_warc_store": warc_store.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op7_warc_store": warc_store.SQL, "op9_near_dup": near_dup.SQL}
