@@ -149,7 +149,9 @@ def truth_table(rows: DataFrame, keys: list[str], guard: str, most_atoms: int =
     Bit i of a row number is the i-th atom in order. A guard with an OR, none, a threshold or too many
     atoms leave the group undecided: its counts are null, never zero.
     """
-    lits = rows.select(*keys, literals(F.col(guard)).alias("_l"))
+    # each distinct guard is parsed once; no guard and an empty one are the same
+    met = rows.select(*keys, F.coalesce(guard, F.lit("")).alias("_g")).distinct()
+    lits = met.join(met.select("_g").distinct().withColumn("_l", literals(F.col("_g"))), "_g")
     g = lits.groupBy(*keys).agg(F.bool_or(F.col("_l").isNull()).alias("_open"), F.collect_set("_l").alias("_c"))
     g = g.select(*keys, "_c", atom_names(F.col("_c")).alias("_atoms"), undecided(F.col("_c"), F.col("_open"), most_atoms).alias("reason"))
     masks = F.expr(f"transform(_c, c -> struct({mask('c', '_atoms', False)} as care, {mask('c', '_atoms', True)} as want))")
