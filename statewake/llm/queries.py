@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statewake.llm import context_tree, decontaminate, language_id, near_dup, page_text, quality_rules, secret_scan, source_mix, spelling, token_store, warc_store
+from statewake.llm import collocations, context_tree, decontaminate, language_id, license_scan, near_dup, page_text, quality_rules, secret_scan, source_mix, spelling, token_store, warc_store
 from statewake.llm.common import table
 
 
@@ -50,9 +50,17 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_context_tree, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op9_near_dup, op10_page_text, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_decontaminate, op3_context_tree, op4_quality_rules, op5_token_store, op6_language_id, op7_warc_store, op8_source_mix, op9_near_dup, op10_page_text, op11_spelling_variants, op12_license_scan, op13_collocations)}
 
 
 def oracle_sql():
-    return {"op4_quality_rules": quality_rules.SQL, "op7_warc_store": warc_store.SQL, "op9_near_dup": near_dup.SQL, "op11_spelling_variants": spelling.SQL}
+    return {"op4_quality_rules": quality_rules.SQL, "op7_warc_store": warc_store.SQL, "op9_near_dup": near_dup.SQL, "op11_spelling_variants": spelling.SQL, "op12_license_scan": license_scan.SQL, "op13_collocations": collocations.SQL}
