@@ -52,8 +52,8 @@ class Shard:
 
     def __init__(self, texts: list[bytes]):
         numbers = _Numbers({b"": 0, b"\n": 1})
-        tokens = b" \n ".join(texts).replace(b"\n", b" \n ").split(b" ")
-        seq = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        # text by text, so that a shard's words are not all held as objects
+        seq = np.concatenate([np.empty(0, np.int32), *(np.fromiter(map(numbers.__getitem__, t.replace(b"\n", b" \n ").split(b" ") + [b"\n"]), np.int32) for t in texts)])
         seq = seq[seq > 0]
         self.words = list(numbers)[2:]
         places = np.flatnonzero(seq > 1)
