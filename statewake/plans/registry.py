@@ -25,13 +25,13 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from statewake.plans import link_plans, model_plans, more, report_plans, rule_plans, text_plans  # noqa: F401  they register further queries
+    from statewake.plans import link_plans, model_plans, more, report_plans, rule_plans, synthesis_plans, text_plans  # noqa: F401  they register further queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    from statewake.plans import link_plans, model_plans, more, report_plans, rule_plans, text_plans  # noqa: F401
+    from statewake.plans import link_plans, model_plans, more, report_plans, rule_plans, synthesis_plans, text_plans  # noqa: F401
 
     return dict(_SQL)
 
