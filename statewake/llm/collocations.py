@@ -27,13 +27,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewake.llm.common import Scratch, spread_join
 
 MIN_COUNT, COVERED, TOP = 10, 50, 2000
-BITS = 16
+BITS = 8
 #: Words that a task gathers before it mines them, and bitmap blocks of the prefixes that are extended at once.
 SHARD_WORDS, SLICE = 2_000_000, 1 << 16
 MOST_FILTER_BITS, FILTER_BITS_EACH = 1 << 28, 12
@@ -41,53 +42,55 @@ MOST_FILTER_BITS, FILTER_BITS_EACH = 1 << 28, 12
 PREPARED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
+def _sorted_with(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays of numbers below 2**31, sorted by the first, then the second: as one array of both, which numpy sorts faster than it finds an order."""
+    both = np.sort(key.astype(np.int64) << 32 | value)
+    return both >> 32, both & (1 << 32) - 1
 
 
 class Shard:
     """The bitmaps of a shard's words: word, block and mask of each, in order of words, and the same in order of blocks."""
 
     def __init__(self, texts: list[bytes]):
-        numbers = _Numbers({b"": 0, b"\n": 1})
-        # text by text, so that a shard's words are not all held as objects
-        seq = np.concatenate([np.empty(0, np.int32), *(np.fromiter(map(numbers.__getitem__, t.replace(b"\n", b" \n ").split(b" ") + [b"\n"]), np.int32) for t in texts)])
-        seq = seq[seq > 0]
-        self.words = list(numbers)[2:]
-        places = np.flatnonzero(seq > 1)
-        word = seq[places] - 2
-        order = np.argsort(word, kind="stable")
-        word, places = word[order], places[order]
+        text = b"\n".join(texts).replace(b"\n", b" \n ")
+        tokens = pc.split_pattern(pa.array([text], pa.large_binary()), b" ").flatten().dictionary_encode()
+        # of what spaces part, empty texts are nothing and ends of pieces take up a position
+        found, end = tokens.dictionary.to_pylist(), -1
+        number = np.cumsum([w not in (b"", b"\n") for w in found], dtype=np.int32) - 1
+        self.words = [w for w in found if w not in (b"", b"\n")]
+        number[[i for i, w in enumerate(found) if w == b"\n"]] = end
+        number[[i for i, w in enumerate(found) if w == b""]] = end - 1
+        seq = number[tokens.indices.to_numpy()]
+        seq = seq[seq >= end]
+        places = np.flatnonzero(seq > end)
+        word, places = _sorted_with(seq[places], places)
         block = places // BITS
         first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])])) if len(word) else np.empty(0, np.int64)
         self.word, self.block = word[first].astype(np.int32), block[first].astype(np.int32)
-        self.mask = np.bitwise_or.reduceat((1 << places % BITS).astype(np.uint16), first) if len(first) else np.empty(0, np.uint16)
-        order = np.argsort(self.block, kind="stable")
+        self.mask = np.bitwise_or.reduceat((1 << places % BITS).astype(np.uint8), first) if len(first) else np.empty(0, np.uint8)
+        _, order = _sorted_with(self.block, np.arange(len(self.block)))
         self.at_word, self.at_mask = self.word[order], self.mask[order]
-        self.starts = np.searchsorted(self.block[order], np.arange(len(seq) // BITS + 3))
+        self.starts = np.searchsorted(self.block[order], np.arange(len(seq) // BITS + 3)).astype(np.int32)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.word, np.bitwise_count(self.mask), len(self.words)).astype(np.int64)
 
     def extended(self, of: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
         """The bitmaps (of, word, block, mask) of phrases of with each word that follows them."""
-        wide = mask.astype(np.uint32) << 1
-        here, over = (wide & (1 << BITS) - 1).astype(np.uint16), (wide >> BITS).astype(np.uint16)
+        wide = mask.astype(np.uint16) << 1
+        here, over = (wide & (1 << BITS) - 1).astype(np.uint8), (wide >> BITS).astype(np.uint8)
         stay, pass_on = np.flatnonzero(here), np.flatnonzero(over)
         of, block = np.concatenate([of[stay], of[pass_on]]), np.concatenate([block[stay], block[pass_on] + 1])
         mask = np.concatenate([here[stay], over[pass_on]])
         begin, n = self.starts[block], self.starts[block + 1] - self.starts[block]
-        row = np.repeat(np.arange(len(block)), n)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - begin, n)
-        both = mask[row] & self.at_mask[entry]
+        entry = np.arange(n.sum(), dtype=np.int32) + np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n)
+        both = np.repeat(mask, n) & self.at_mask[entry]
         kept = np.flatnonzero(both)
-        row = row[kept]
+        row = np.repeat(np.arange(len(block), dtype=np.int32), n)[kept]
         return of[row], self.at_word[entry[kept]], block[row], both[kept]
 
     def phrases(self, length: int, may_hold: Callable | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """Words (an array for each place) and popcounts of the phrases of a length, some in several parts; may_hold(words, next words) tells which pairs go on."""
+        """Words (an array for each place) and popcounts of the phrases of a length, some in several parts; may_hold(words, next words) gives the places of the pairs that go on."""
         for at in range(0, len(self.word), SLICE):
             part = slice(at, at + SLICE)
             words, of = np.unique(self.word[part], return_inverse=True)
@@ -162,12 +165,24 @@ def words_and_pairs(docs: DataFrame, *, lang_col="lang", text_col="text", min_co
     return rows.groupBy("a", "b", "lang", "word").agg(F.sum("n").alias("f")).where((F.col("f") >= min_count) | F.col("b").isNull())
 
 
-def _bit_places(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three bits of a filter for each pair of ids."""
+def _bit_place(a: np.ndarray, b: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The i-th of the three bits of a filter for each pair of ids."""
     h = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ b.view(np.uint64)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    step = (h >> np.uint64(33)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) ^ (h >> np.uint64(29))) & np.uint64(bits - 1) for i in range(3)]
+    return ((h + np.uint64(i) * ((h >> np.uint64(33)) | np.uint64(1))) ^ (h >> np.uint64(29))) & np.uint64(bits - 1)
+
+
+def frequent_pairs(table: np.ndarray, ids: np.ndarray) -> Callable:
+    """may_hold(words, next words): where their ids may be a pair of the filter; the second and third bits are looked up only where those before are set."""
+
+    def may_hold(a, b):
+        at = np.arange(len(a))
+        for i in range(3):
+            place = _bit_place(ids[a[at]], ids[b[at]], len(table) * 64, i)
+            at = at[(table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+    return may_hold
 
 
 def pair_filter(pairs: DataFrame, n: int) -> np.ndarray:
@@ -176,7 +191,8 @@ def pair_filter(pairs: DataFrame, n: int) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            places = np.concatenate(_bit_places(*(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), bits))
+            pair = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            places = np.concatenate([_bit_place(*pair, bits, i) for i in range(3)])
             yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], names=["slot", "bit"])
 
     found = pairs.select("a", "b").mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
@@ -194,13 +210,7 @@ def triples(docs: DataFrame, pairs: DataFrame, *, lang_col="lang", text_col="tex
         for lang, s in shards(batches, shard_words):
             ids = s.ids(lang)
 
-            def may_hold(a, b, ids=ids):
-                go = np.ones(len(a), bool)
-                for place in _bit_places(ids[a], ids[b], len(table) * 64):
-                    go &= (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                return go
-
-            for words, counts in s.phrases(3, may_hold):
+            for words, counts in s.phrases(3, frequent_pairs(table, ids)):
                 yield pa.RecordBatch.from_arrays([*(pa.array(ids[w]) for w in words), pa.array(counts)], names=["a", "b", "c", "n"])
 
     rows = _texts(docs, lang_col, text_col).mapInArrow(run, "a long, b long, c long, n long")
