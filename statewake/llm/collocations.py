@@ -36,7 +36,7 @@ from statewake.llm.common import Scratch, spread_join
 MIN_COUNT, COVERED, TOP = 10, 50, 2000
 BITS = 8
 #: Words that a task gathers before it mines them, and bitmap blocks of the prefixes that are extended at once.
-SHARD_WORDS, SLICE = 2_000_000, 1 << 16
+SHARD_WORDS, SLICE = 1_000_000, 1 << 16
 MOST_FILTER_BITS, FILTER_BITS_EACH = 1 << 28, 12
 #: A-Z in lower case; ends of pieces become line feeds and tabs spaces.
 PREPARED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
