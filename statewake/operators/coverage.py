@@ -19,9 +19,10 @@ def exclusion(status: Column, lifecycle: Column) -> Column:
 
 
 def all_states(t: DataFrame, initial: DataFrame) -> DataFrame:
-    """For each state but the initial ones the arriving transition of the lowest id; unsatisfiable where none is implemented."""
-    targets = t.groupBy(MODEL, F.col("target").alias("state")).agg(F.min(F.when(F.col("status") == "implemented", F.col("id"))).alias("validates"))
-    return targets.join(initial, [MODEL, "state"], "left_anti").withColumn("reason", F.when(F.col("validates").isNull(), "no implemented arrival"))
+    """For each state but the initial ones the generatable arrival of the lowest id; unsatisfiable where there is none. t(model_id, id, source, target, generatable)."""
+    arrivals = t.groupBy(MODEL, F.col("target").alias("state")).agg(F.min(F.when(F.col("generatable"), F.col("id"))).alias("validates"))
+    states = t.select(MODEL, F.col("source").alias("state")).union(t.select(MODEL, "target")).distinct().join(initial, [MODEL, "state"], "left_anti")
+    return states.join(arrivals, [MODEL, "state"], "left").withColumn("reason", F.when(F.col("validates").isNull(), "no generatable arrival"))
 
 
 def guard_targets(t: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def guard_targets(t: DataFrame) -> DataFrame:
 
 
 def ledger_summary(t: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Transitions of each model by best mechanism: direct, indirect, initiated (which never counts), or uncovered."""
-    rank = F.array_position(F.array(*map(F.lit, ("direct", "indirect", "initiated"))), F.col("mechanism"))
+    """Transitions of each model by best mechanism: direct, indirect, initiated (which never counts), or uncovered; an unknown mechanism covers nothing."""
+    rank = F.nullif(F.array_position(F.array(*map(F.lit, ("direct", "indirect", "initiated"))), F.col("mechanism")), F.lit(0))
     best = ledger.groupBy(MODEL, "id").agg(F.min(rank).alias("best"))
     rows = t.join(best, [MODEL, "id"], "left")
     count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")

@@ -34,11 +34,11 @@ def drift(last: DataFrame, published: DataFrame, new: DataFrame, key: str) -> Da
 def override_fold(log: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """The last override of each element and property over its source value; stale where it was made against another value.
 
-    log(key, prop, seq, previous_value, new_value), source(key, prop, value). A stale override is applied all the same.
+    log(key, prop, seq, previous_value, new_value), source(key, prop, value). A stale override is applied all the same, and one to null holds; for adding and removing see ``overrides``.
     """
     last = log.groupBy(key, "prop").agg(F.max_by(F.struct("previous_value", "new_value"), "seq").alias("o"))
     rows = source.join(last, [key, "prop"], "left")
-    return rows.select(key, "prop", F.coalesce("o.new_value", "value").alias("value"), F.col("o").isNotNull().alias("overridden"), (F.col("o").isNotNull() & ~F.col("o.previous_value").eqNullSafe(F.col("value"))).alias("stale"))
+    return rows.select(key, "prop", F.when(F.col("o").isNotNull(), F.col("o.new_value")).otherwise(F.col("value")).alias("value"), F.col("o").isNotNull().alias("overridden"), (F.col("o").isNotNull() & ~F.col("o.previous_value").eqNullSafe(F.col("value"))).alias("stale"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, human: list[str], machine: list[str]) -> DataFrame:

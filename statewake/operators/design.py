@@ -112,9 +112,14 @@ def register_lint(register: DataFrame, categories: tuple[str, ...] = ()) -> Data
     return found.unionAll(repeated)
 
 
+# fixed values: subjects of repairs, and of repairs that are not the product's
+FIX = r"(?i)^\s*fix(\([^)]*\))?!?:|\b(?:fix(?:e[sd])?|bugfix|hotfix|repair(?:ed)?)\b|^\s*revert\b"
+NO_PRODUCT_FIX = r"(?i)\bfix(?:e[sd])?\s+(?:typo|typos|lint|linting|formatting|whitespace|indentation|spelling|comment|comments|test\s+name|import|imports)\b"
+
+
 def repaired_files(commits: DataFrame, since: str, until: str) -> DataFrame:
     """Distinct fixing commits for each file in (since, until]; commits(sha, subject, ts, files)."""
-    fix = F.col("subject").rlike(r"(?i)^(fix(\(.*\))?!?:|revert\b|(fix|repair|correct)(es|ed|s)?\b)") & ~F.col("subject").rlike(r"(?i)\b(typo|lint|format)")
+    fix = F.col("subject").rlike(FIX) & ~F.col("subject").rlike(NO_PRODUCT_FIX)
     window = (F.col("ts") > F.lit(since).cast("timestamp")) & (F.col("ts") <= F.lit(until).cast("timestamp"))
     return commits.where(fix & window).select("sha", F.explode("files").alias("file")).groupBy("file").agg(F.count_distinct("sha").alias("repairs"))
 

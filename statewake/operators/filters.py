@@ -59,13 +59,18 @@ def property_errors(row: dict[str, Column], required: tuple[str, ...], allowed:
     return F.array_compact(F.array(*rules))
 
 
-def pruned(payload: Column) -> Column:
-    """A JSON object's text without members that are null, false, empty texts, lists or objects, to any depth that they nest in text form."""
-    member = r'"(?:[^"\\]|\\.)*"\s*:\s*(?:null|false|""|\[\s*\]|\{\s*\})'
-    text = payload
-    for _ in range(4):  # a member may become empty when its own members go
-        text = F.regexp_replace(F.regexp_replace(text, rf",\s*{member}(?=\s*[,}}])", ""), rf"(?<=\{{)\s*{member}\s*,?\s*", "")
-    return text
+# fixed values: members that stay even where they are false
+KEPT = ("ok", "may_author", "may_decide", "may_observe", "may_run", "conforms", "atomic", "valid")
+
+
+def pruned(payload: Column, kept: tuple[str, ...] = KEPT) -> Column:
+    """A JSON text without members that are null, false, an empty text or an empty list, at any depth; objects stay, empty or not, and so do the entries of lists and the members named in kept.
+
+    One pass over the text: it goes from quoted text to quoted text, so what stands inside one is no member.
+    """
+    quoted = r'"(?:[^"\\]|\\.)*+"'
+    member = rf'(?!"(?:{"|".join(kept)})"){quoted}\s*:\s*(?:null|false|""|\[\s*\])(?=\s*[,}}])'
+    return F.regexp_replace(payload, rf"\s*,\s*{member}|{member}\s*,\s*|{member}|({quoted})", "$1")
 
 
 def without_empty(rows: Column) -> Column:

@@ -86,8 +86,8 @@ def connected(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def climb(parents: DataFrame, tops: DataFrame) -> DataFrame:
     """For each node the top that its parents lead to, however far: node, root (null where none is reached) and hops; parents(node, parent), tops(node)."""
-    e = parents.select(F.lit(0).alias(MODEL), F.concat_ws("<", "parent", "node").alias("id"), F.col("parent").alias("source"), F.col("node").alias("target"))
-    ways = setup_paths(e, tops.select(F.lit(0).alias(MODEL), F.col("node").alias("state"))).select(F.col("state").alias("node"), F.col("depth").alias("hops"), F.split_part(F.coalesce(F.get("path", F.lit(0)), F.col("state").cast("string")), F.lit("<"), F.lit(1)).alias("root"))
+    e = parents.select(F.lit(0).alias(MODEL), F.concat_ws("<", F.hex(F.col("parent").cast("string")), F.hex(F.col("node").cast("string"))).alias("id"), F.col("parent").alias("source"), F.col("node").alias("target"))
+    ways = setup_paths(e, tops.select(F.lit(0).alias(MODEL), F.col("node").alias("state"))).select(F.col("state").alias("node"), F.col("depth").alias("hops"), F.coalesce(F.unhex(F.split_part(F.get("path", F.lit(0)), F.lit("<"), F.lit(1))).cast("string"), F.col("state").cast("string")).alias("root"))
     nodes = parents.select("node").union(tops.select("node")).distinct()
     return nodes.join(ways, "node", "left").select("node", "root", "hops")
 

@@ -20,16 +20,16 @@ def let(value: Column, use) -> Column:
 
 
 def strip_parens(text: Column) -> Column:
-    """The text without the parentheses that surround the whole of it, up to three pairs."""
+    """The text without the parentheses that surround the whole of it, however many."""
     depth = lambda t, i: F.length(F.replace(F.substring(t, F.lit(1), i), F.lit(")"), F.lit(""))) - F.length(F.replace(F.substring(t, F.lit(1), i), F.lit("("), F.lit("")))
 
     def inside(t):
         closes_last = F.forall(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: depth(t, i) > 0)
         return F.when(t.startswith("(") & t.endswith(")") & (F.length(t) > 1) & closes_last, F.trim(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
 
-    for _ in range(3):
-        text = let(F.trim(text), inside)
-    return text
+    # as many rounds as there are parentheses in front, and one for a text without any
+    pairs = lambda t: F.sequence(F.lit(1), F.greatest(F.length(F.regexp_extract(t, r"^[(\s]*", 0)), F.lit(1)))
+    return let(F.trim(text), lambda t: F.when(t.startswith("("), F.aggregate(pairs(t), t, lambda a, _: inside(a))).otherwise(t))
 
 
 def top_conjuncts(guard: Column) -> Column:

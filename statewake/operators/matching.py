@@ -6,6 +6,7 @@ Nulls count as empty texts; ids are unique within their table; empty tables give
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,33 +97,63 @@ def rename_proposals(changes: DataFrame, by: list[str], least: float = RENAME) -
 
 def evidence_words(text: Column) -> Column:
     """Distinct words of more than two letters in small letters, without those of STOP."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9_]*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2)), F.array(*map(F.lit, STOP)))
 
 
+def occurrences(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """Every needle that stands literally in a text, once: key and needle. texts(key, text), needles(needle), none of them empty.
+
+    The places of a text are joined with the distinct first three letters of the needles, and what stands
+    there in the lengths that these letters begin with is joined with the needles, so only places that
+    begin like a needle are cut out.
+    """
+    n = needles.select("needle").where("needle <> ''").distinct().withColumn("_head", F.substring("needle", 1, 3))
+    heads = n.groupBy("_head").agg(F.collect_set(F.length("needle")).alias("_lengths"))
+    # a needle of one or two letters is its own head
+    places = texts.select(key, "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("_at")).where("text <> ''")
+    begins = F.explode(F.array_distinct(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring("text", F.col("_at"), k))))
+    starts = places.withColumn("_head", begins).join(heads, "_head")
+    return starts.select(key, F.explode(F.transform("_lengths", lambda k: F.substring("text", F.col("_at"), k))).alias("needle")).distinct().join(n.select("needle"), "needle").select(key, "needle")
+
+
+#: The signals in their order.
+SIGNALS = ("path", "verb", "status", "state", "area", "trigger-words")
+STATUS = r"\b[1-5]\d{2}\b"
+
+
 def evidence(criteria: DataFrame, t: DataFrame) -> DataFrame:
     """Criteria with the transitions that their text refers to: ac_id, id, signals (in order) and strength; nothing is decided.
 
-    criteria(ac_id, text, areas), t(id, trigger, route, target, target_name, areas). Candidates come from
-    equi-joins on words, statuses and areas: a route, verb or state name that stands in a text shares
-    words with it. A pair's signals are then checked on the pair.
+    criteria(ac_id, text, areas), t(id, trigger, route, target, target_name, areas). Each signal is an
+    equi-join of its own: a route or verb that stands literally in the text, a status of the text that
+    stands in the target or id, all words of the target's name, an area, two words of the trigger.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
-    areas = lambda: F.transform(F.coalesce("areas", F.array().cast("array<string>")), lambda a: F.concat(F.lit("area:"), a))
-    status = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<!\d)[1-5]\d\d(?!\d)"), F.lit(0))
-    ac = criteria.select("ac_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"), evidence_words(F.col("text")).alias("_w"), status(F.col("text")).alias("_st"), areas().alias("_a"), F.explode(F.array_distinct(F.concat(words(F.col("text")), areas()))).alias("_k"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    texts = criteria.select("ac_id", low(F.col("text")).alias("text"))
     verb = F.lower(F.split_part(F.coalesce("trigger", F.lit("")), F.lit(" "), F.lit(1)))
-    tr = t.select("id", F.lower(F.coalesce("route", F.lit(""))).alias("_route"), verb.alias("_verb"), evidence_words(F.col("target_name")).alias("_name"), evidence_words(F.col("trigger")).alias("_tw"), F.concat(status(F.col("target")), status(F.col("id").cast("string"))).alias("_ts"), areas().alias("_ta"),
-                  F.explode(F.array_distinct(F.concat(words(F.col("trigger")), words(F.col("route")), words(F.col("target_name")), status(F.col("target")), areas()))).alias("_k"))
-    pairs = ac.join(tr, "_k").drop("_k").dropDuplicates(["ac_id", "id"])
-    whole = lambda x: F.size(F.array_except(x, F.col("_w"))) == 0
-    signals = F.array_compact(
-        F.array(
-            F.when((F.col("_route") != "") & F.contains("_text", "_route"), "path"), F.when((F.length("_verb") > 2) & F.contains("_text", "_verb"), "verb"), F.when(F.arrays_overlap("_st", "_ts"), "status"),
-            F.when((F.size("_name") > 0) & whole(F.col("_name")), "state"), F.when(F.arrays_overlap("_a", "_ta"), "area"), F.when(F.size(F.array_intersect("_tw", "_w")) >= 2, "trigger-words"),
-        )
-    )
-    return pairs.select("ac_id", "id", F.array_join(signals, ",").alias("signals"), F.size(signals).alias("strength")).where("strength > 0")
+    parts = t.select("id", low(F.col("route")).alias("route"), F.when(F.length(verb) > 2, verb).otherwise("").alias("verb"))
+    found = []
+
+    def add(rows: DataFrame, signal: str) -> None:
+        found.append(rows.select("ac_id", "id", F.lit(SIGNALS.index(signal)).alias("_s")))
+
+    said = occurrences(texts, parts.select(F.col("route").alias("needle")).union(parts.select("verb")), "ac_id")
+    add(said.join(parts, F.col("needle") == F.col("route")), "path")
+    add(said.join(parts, F.col("needle") == F.col("verb")), "verb")
+    codes = criteria.select("ac_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(STATUS), F.lit(0)))).alias("_c"))
+    place = lambda c: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(3))), lambda x: x.rlike("^[1-5][0-9]{2}$"))
+    target, ident = F.coalesce("target", F.lit("")), F.col("id").cast("string")
+    add(codes.join(t.select("id", F.explode(F.array_union(place(target), place(ident))).alias("_c")), "_c"), "status")
+    words = criteria.select("ac_id", F.explode(evidence_words(F.col("text"))).alias("_w"))
+    for column, signal, least in (("target_name", "state", F.col("_n")), ("trigger", "trigger-words", F.lit(2))):
+        named = t.select("id", evidence_words(F.col(column)).alias("_ws")).select("id", F.size("_ws").alias("_n"), F.explode("_ws").alias("_w"))
+        add(words.join(named, "_w").groupBy("ac_id", "id", "_n").agg(F.count("*").alias("_k")).where(F.col("_k") >= least), signal)
+    area = lambda df, key: df.select(key, F.explode(F.array_distinct("areas")).alias("_a"))
+    add(area(criteria, "ac_id").join(area(t, "id"), "_a"), "area")
+    rows = reduce(DataFrame.unionAll, found).groupBy("ac_id", "id").agg(F.array_sort(F.collect_set("_s")).alias("_s"))
+    names = F.array(*map(F.lit, SIGNALS))
+    return rows.select("ac_id", "id", F.array_join(F.transform("_s", lambda k: F.get(names, k)), ",").alias("signals"), F.size("_s").alias("strength"))
 
 
 def benchmark(rankings: DataFrame, expected: DataFrame) -> DataFrame:

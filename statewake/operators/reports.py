@@ -66,11 +66,18 @@ def viability(t: DataFrame) -> DataFrame:
 
 
 # fixed values: names and types of inputs whose size a call's cost may follow
-PAGING, BULK = ("page", "size", "limit", "offset", "pagesize", "pagenumber"), ("list", "set", "collection", "[]", "map", "page")
+PAGING = ("page", "size", "limit", "offset", "cursor", "per_page", "pagesize", "top", "skip", "count", "max")
+BULK = ("list", "array", "collection", "[]", "set<", "iterable")
 
 
-def performance(inputs: DataFrame, transitions: DataFrame) -> DataFrame:
-    """candidate where an input is a paging parameter or a collection, else functional-only; a model without any such input gives no basis for either. inputs(model_id, id, name, type_name), transitions(model_id, id)."""
+def performance(inputs: DataFrame, transitions: DataFrame, viable: DataFrame | None = None) -> DataFrame:
+    """candidate where an input is a paging parameter or a collection, else functional-only; a model without any such input gives no basis for either.
+
+    inputs(model_id, id, name, type_name), transitions(model_id, id). With the verdicts of ``viability`` only
+    what can be automated is considered, for the basis too.
+    """
+    if viable is not None:
+        transitions = transitions.join(viable.where("verdict = 'automate'").select(MODEL, "id"), [MODEL, "id"], "left_semi")
     name, kind = F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("type_name", F.lit("")))
     any_of = lambda tests: F.greatest(*tests)
     signal = any_of([name.endswith(p) for p in PAGING] + [kind.contains(b) for b in BULK])
@@ -80,11 +87,14 @@ def performance(inputs: DataFrame, transitions: DataFrame) -> DataFrame:
     return rows.join(some, MODEL).select(MODEL, "id", F.when(~F.col("_any"), "no-basis").when(F.col("_s"), "candidate").otherwise("functional-only").alias("verdict"))
 
 
-def depth(shallow: DataFrame, guard: DataFrame, t: DataFrame) -> DataFrame:
-    """How deep the generated cases of each transition go: partial (a target of it has none), positive-only (a guard with one branch), full. shallow and guard: generated paths (see generate.paths)."""
+def depth(shallow: DataFrame, guard: DataFrame, t: DataFrame, boundary: DataFrame | None = None) -> DataFrame:
+    """How deep the generated cases of each transition go: partial (a target of it, or a boundary, has none), positive-only (a guard with one branch), full. shallow, guard and boundary: generated paths (see generate.paths)."""
     done = shallow.where("outcome = 'generated'").select(MODEL, F.col("validates").alias("id")).distinct()
     per = guard.where("validates is not null").groupBy(MODEL, F.col("validates").alias("id")).agg(F.count_if(F.col("outcome") == "generated").alias("branches"), F.count_if(F.col("outcome") != "generated").alias("gaps"))
     rows = done.join(t.select(MODEL, "id", F.coalesce("guard", F.lit("")).alias("guard")), [MODEL, "id"]).join(per, [MODEL, "id"], "left").na.fill(0, ["branches", "gaps"])
+    if boundary is not None:
+        missed = boundary.where("validates is not null and outcome <> 'generated'").groupBy(MODEL, F.col("validates").alias("id")).agg(F.count("*").alias("_b"))
+        rows = rows.join(missed, [MODEL, "id"], "left").withColumn("gaps", F.col("gaps") + F.coalesce("_b", F.lit(0)))
     return rows.select(MODEL, "id", "branches", F.when(F.col("gaps") > 0, "partial").when((F.col("guard") != "") & (F.col("branches") < 2), "positive-only").otherwise("full").alias("verdict"))
 
 

@@ -16,19 +16,21 @@ def inherited_guards(links: DataFrame, api: DataFrame, confirmed_only: bool = Tr
 
 
 def planned(api: DataFrame, wanted: DataFrame, targets: DataFrame) -> DataFrame:
-    """One UI transition for each implemented outcome of an API trigger that has a target: id, source, trigger, target, api_id.
+    """One UI transition for each implemented outcome of an API trigger that has a target: id, source, trigger, target, api_id, guard.
 
-    wanted(model_id, ui_source, ui_trigger, api_source, api_trigger), targets(model_id, api_id, ui_target).
+    wanted(model_id, ui_source, ui_trigger, api_source, api_trigger, local_guard), targets(model_id, api_id, ui_target).
+    The local guard is what the UI checks before any call, so all branches have it alike; the API's own is inherited.
     """
     outcomes = api.where("status = 'implemented'").select(MODEL, F.col("source").alias("api_source"), F.col("trigger").alias("api_trigger"), F.col("id").alias("api_id"))
     rows = wanted.join(outcomes, [MODEL, "api_source", "api_trigger"]).join(targets, [MODEL, "api_id"])
-    return rows.select(MODEL, F.concat_ws("::", "ui_source", "ui_trigger", "api_id").alias("id"), F.col("ui_source").alias("source"), F.col("ui_trigger").alias("trigger"), F.col("ui_target").alias("target"), "api_id")
+    return rows.select(MODEL, F.concat_ws("::", "ui_source", "ui_trigger", "api_id").alias("id"), F.col("ui_source").alias("source"), F.col("ui_trigger").alias("trigger"), F.col("ui_target").alias("target"), "api_id", F.trim(F.coalesce("local_guard", F.lit(""))).alias("guard"))
 
 
 def divergences(ui: DataFrame, api: DataFrame, links: DataFrame) -> DataFrame:
-    """kind and id: api-only (nothing invokes or starts it), dangling (a link to what is not there), unhandled-outcome (the UI starts its trigger and has no transition for it), ambiguous (one UI transition invokes several outcomes).
+    """kind and id: api-only (nothing invokes or starts it), dangling (a link to what is not there), unhandled-outcome (the UI starts its trigger and has no transition for it), restated-guard (the UI's guard has the text of the API's, which it should inherit).
 
-    ui(id), api(id, trigger, status), links(ui_id, api_id, kind: invokes or triggers), all of them confirmed.
+    ui(id, guard), api(id, status, guard), links(ui_id, api_id, kind: invokes or triggers), all of them confirmed.
+    A UI transition without a link is no finding.
     """
     known = api.select(F.col("id").alias("api_id"), "status")
     invokes = links.where("kind = 'invokes'").select("ui_id", "api_id").distinct()
@@ -38,8 +40,10 @@ def divergences(ui: DataFrame, api: DataFrame, links: DataFrame) -> DataFrame:
     only = open_.join(linked, "api_id", "left_anti").select(F.lit("api-only").alias("kind"), F.col("api_id").alias("id"))
     dangling = links.join(known, "api_id", "left_anti").select(F.lit("dangling").alias("kind"), F.col("api_id").alias("id")).distinct()
     unhandled = open_.join(starts, "api_id", "left_semi").join(invokes.select("api_id").distinct(), "api_id", "left_anti").select(F.lit("unhandled-outcome").alias("kind"), F.col("api_id").alias("id"))
-    several = invokes.join(ui.select(F.col("id").alias("ui_id")), "ui_id", "left_semi").groupBy("ui_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("ambiguous").alias("kind"), F.col("ui_id").alias("id"))
-    return only.unionAll(dangling).unionAll(unhandled).unionAll(several)
+    own, borrowed = F.coalesce("_ui", F.lit("")), F.trim(F.coalesce("_api", F.lit("")))
+    both = invokes.join(ui.select(F.col("id").alias("ui_id"), F.col("guard").alias("_ui")), "ui_id").join(api.select(F.col("id").alias("api_id"), F.col("guard").alias("_api")), "api_id")
+    restated = both.where((borrowed != "") & F.contains(own, borrowed)).select(F.lit("restated-guard").alias("kind"), F.col("ui_id").alias("id")).distinct()
+    return only.unionAll(dangling).unionAll(unhandled).unionAll(restated)
 
 
 def existing_tests(t: DataFrame, tests: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def valid_at(at: Column | str) -> Column:
 def revisions(changes: DataFrame, key: str, text: str, at: str, tie: str) -> DataFrame:
     """Change rows folded to claims: a new revision where the text differs from the one before; each closes where the next opens."""
     order = Window.partitionBy(key).orderBy(at, tie)
-    kept = changes.withColumn("_old", F.lag(text).over(order)).where(~F.col("_old").eqNullSafe(F.col(text)) | F.col("_old").isNull())
+    kept = changes.withColumns({"_old": F.lag(text).over(order), "_first": F.row_number().over(order) == 1}).where(F.col("_first") | ~F.col("_old").eqNullSafe(F.col(text)))
     return kept.select(key, F.col(text).alias("text"), F.row_number().over(order).alias("revision"), F.col(at).alias("valid_from"), F.lead(at).over(order).alias("valid_to"))
 
 

@@ -43,17 +43,26 @@ def sql_review(statement: Column) -> Column:
     return F.when(text != "", F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in SQL_RULES))))
 
 
-def failure_class(evidence: Column, expected: Column, actual: Column) -> Column:
-    """The class of a failed run: the first rule that holds."""
+# fixed values: what the evidence of a failed run looks like
+UNAVAILABLE = r"(?i)\b(502|503|504)\b|connection refused|timed? ?out|unknownhost|no route to host"
+SCHEMA = r"(?i)unrecognized(?:property|field)|unknown property|missing required (?:creator|property)|cannot deserialize|jsonmappingexception"
+TRACE = r"(?i)\bat [\w.$]+\([\w.]+:\d+\)|Traceback \(most recent call"
+NULL_VALUE, SETUP = r"(?i)nullpointerexception|AttributeError: .*NoneType", r"(?i)\b(setup|beforeeach|beforeclass|beforemethod|fixture|@before)\b"
+STATUS_PAIR = r"(?is)expected[:\s]+(\d{3}).{0,40}?actual[:\s]+(\d{3})"
+
+
+def failure_class(evidence: Column, expected: Column, actual: Column, phase: Column | None = None) -> Column:
+    """The class of a failed run, by the first rule that holds over its evidence, expected and actual values and phase, all of them texts or null; without any, unclassified."""
+    said = lambda c: F.nullif(F.trim(F.coalesce(c.cast("string"), F.lit(""))), F.lit(""))
+    want, got, phase = said(expected), said(actual), said(phase if phase is not None else F.lit(None))
+    text = F.concat_ws(" ", said(evidence), want, got, phase)
+    given = want.isNotNull() & got.isNotNull()
+    pair = F.when(given, got).otherwise(F.nullif(F.regexp_extract(text, STATUS_PAIR, 2), F.lit("")))
     return (
-        F.when(evidence.rlike(r"(?i)connection refused|timed? ?out|unavailable"), "unavailable")
-        .when(evidence.rlike(r"(?i)schema|unexpected field"), "schema")
-        .when((actual >= 500) & evidence.rlike(r"(?i)trace|exception"), "server-error")
-        .when((expected != actual) & (actual == 404), "url-change")
-        .when(expected != actual, "status-change")
-        .when(evidence.rlike(r"(?i)assert"), "assertion")
-        .otherwise("unclassified")
-    )
+        F.when(text.rlike(UNAVAILABLE), "unavailable").when(text.rlike(SCHEMA), "schema").when(text.rlike(r"\b5\d{2}\b") & text.rlike(TRACE), "server-error")
+        .when(text.rlike(NULL_VALUE) & text.rlike(SETUP), "test-data").when(pair == "404", "url-change").when(pair.isNotNull(), "status-change")
+        .when(text.rlike(r"(?i)assert|expected .* but"), "assertion").otherwise("unclassified")
+    )
 
 
 def route(requests: DataFrame, keywords: DataFrame, request_id: str, text: str) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from statewake.operators import guards
 
 MODEL = "model_id"
-CHECKS = ("determinism", "guard-completeness", "reachability", "observability", "atomicity", "callability", "polarity", "ac-coverage")
+# fixed values: the order of the checks
+CHECKS = ("observability", "determinism", "guard-completeness", "callability", "polarity", "atomicity", "reachability", "ac-coverage")
 GROUP = [MODEL, "source", "trigger"]
 
 
@@ -83,10 +84,13 @@ def guard_completeness(t: DataFrame, most_atoms: int = 10) -> DataFrame:
 
 
 def reachability(states: DataFrame, reached: DataFrame) -> DataFrame:
-    """reached(model_id, state, depth, terminal) as graph.reachability gives it; a model without an initial state reaches nothing."""
-    rows = states.select(MODEL, "state").join(reached, [MODEL, "state"], "left")
+    """reached(model_id, state, depth, terminal) as graph.reachability gives it. A model without an initial state is one finding, of the model."""
+    begun = reached.where("depth = 0").select(MODEL).distinct().withColumn("_begun", F.lit(True))
+    rows = states.select(MODEL, "state").join(reached, [MODEL, "state"], "left").join(begun, MODEL, "left")
     lost = F.col("depth").isNull()
-    return _finding(rows.where(lost | F.coalesce("terminal", F.lit(True))), "reachability", F.when(lost, "blocking").otherwise("advisory"), F.col("state"), F.when(lost, "unreachable").otherwise("terminal"))
+    found = _finding(rows.where(F.col("_begun") & (lost | F.coalesce("terminal", F.lit(True)))), "reachability", F.when(lost, "blocking").otherwise("advisory"), F.col("state"), F.when(lost, "unreachable").otherwise("terminal"))
+    none = states.select(MODEL).distinct().join(begun, MODEL, "left_anti")
+    return found.unionAll(_finding(none, "reachability", "blocking", F.col(MODEL).cast("string"), "no initial state"))
 
 
 def observability(states: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def ac_coverage(t: DataFrame, validated: DataFrame) -> DataFrame:
 
 def validate(t: DataFrame, states: DataFrame, reached: DataFrame, validated: DataFrame | None = None) -> DataFrame:
     """All findings, with the place of their check in the fixed order."""
-    found = [determinism(t), guard_completeness(t), reachability(states, reached), observability(states), atomicity(t), callability(t), polarity(t)]
+    found = [observability(states), determinism(t), guard_completeness(t), callability(t), polarity(t), atomicity(t), reachability(states, reached)]
     if validated is not None:
         found.append(ac_coverage(t, validated))
     return reduce(DataFrame.unionAll, found).withColumn("check_no", F.array_position(F.array(*map(F.lit, CHECKS)), F.col("check")).cast("int"))

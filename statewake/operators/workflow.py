@@ -51,11 +51,13 @@ def lint(stages: DataFrame, checks: DataFrame) -> DataFrame:
     late = rows.where("_p >= place").select("workflow", "stage", F.lit("not-before").alias("rule"))
     unchecked = stages.where("check is not null").join(checks.select("check").distinct(), "check", "left_anti").select("workflow", "stage", F.lit("unknown-check").alias("rule"))
     # a stage is in a circle where a walk from what it requires leads back to it
-    e = rows.where("_p is not null").select(F.concat_ws("/", "workflow", "stage").alias("from"), F.concat_ws("/", "workflow", "required").alias("to"))
-    starts = e.select(F.col("from").alias("start"), F.col("to").alias("state")).distinct()
-    walk = e.join(starts.select("start").distinct()).select(F.col("start").alias("model_id"), F.concat_ws(">", "from", "to").alias("id"), F.col("from").alias("source"), F.col("to").alias("target"))
-    back = graph.setup_paths(walk, starts.select(F.col("start").alias("model_id"), "state")).where(F.col("model_id") == F.col("state")).select(F.col("state").alias("_n")).distinct()
-    circle = stages.join(back, F.concat_ws("/", "workflow", "stage") == F.col("_n")).select("workflow", "stage", F.lit("circle").alias("rule"))
+    e = rows.where("_p is not null").select("workflow", F.col("stage").alias("source"), F.col("required").alias("target")).distinct()
+    # each start walks the edges of its own workflow
+    name = lambda stage: F.to_json(F.array("workflow", stage)).alias("model_id")
+    walk = e.join(e.select("workflow", F.col("source").alias("_start")).distinct(), "workflow").select(name("_start"), F.concat_ws(">", "source", "target").alias("id"), "source", "target")
+    begun = e.select(name("source"), F.col("target").alias("state")).distinct()
+    back = graph.setup_paths(walk, begun).select("model_id", F.col("state").alias("stage")).distinct()
+    circle = stages.withColumn("model_id", name("stage")).join(back, ["model_id", "stage"], "left_semi").select("workflow", "stage", F.lit("circle").alias("rule"))
     return unknown.unionAll(late).unionAll(unchecked).unionAll(circle).distinct()
 
 

@@ -35,6 +35,12 @@ def cov_all_transitions(spark, d):
     return generate.all_transitions(guarded(spark, d))
 
 
+@query(f"""WITH {GM}, sx AS (SELECT model_id, source AS state FROM gm UNION SELECT model_id, target FROM gm) SELECT sx.model_id, sx.state, min(id) AS validates, CASE WHEN min(id) IS NULL THEN 'no generatable arrival' END AS reason FROM sx LEFT JOIN gm ON gm.model_id = sx.model_id AND gm.target = sx.state AND generatable
+WHERE NOT EXISTS (SELECT 1 FROM init WHERE init.model_id = sx.model_id AND init.state = sx.state) GROUP BY 1, 2""")
+def cov_all_states(spark, d):
+    return coverage.all_states(guarded(spark, d), initial_states(spark, d))
+
+
 _PAIRS = """tp AS (SELECT a.model_id, CASE WHEN b.id IS NULL THEN a.id ELSE a.id || '->' || b.id END AS key, b.id AS validates, CASE WHEN b.id IS NOT NULL THEN a.id END AS via, CASE WHEN b.id IS NULL THEN 'terminal: nothing to pair with' END AS reason FROM gm a LEFT JOIN gm b ON b.model_id = a.model_id AND b.source = a.target AND b.generatable WHERE a.generatable)"""
 
 
@@ -167,7 +173,7 @@ def check_reachability(spark, d):
     return validation.reachability(_states(spark, d), _reached(spark, d, guarded(spark, d)))
 
 
-_ALL = f"""{_IWALK}, {_FIND}{_STATES}{_REACH}, {_LEDGER}, al AS (SELECT 1 AS check_no, * FROM det UNION ALL SELECT 2, * FROM com UNION ALL SELECT 3, * FROM rch UNION ALL SELECT 4, * FROM obs UNION ALL SELECT CASE "check" WHEN 'atomicity' THEN 5 ELSE 6 END, * FROM one
+_ALL = f"""{_IWALK}, {_FIND}{_STATES}{_REACH}, {_LEDGER}, al AS (SELECT 1 AS check_no, * FROM obs UNION ALL SELECT 2, * FROM det UNION ALL SELECT 3, * FROM com UNION ALL SELECT CASE "check" WHEN 'callability' THEN 4 ELSE 6 END, * FROM one UNION ALL SELECT 7, * FROM rch
 UNION ALL SELECT 8, model_id, 'ac-coverage', 'advisory', id, 'nothing validates it' FROM gm WHERE status = 'implemented' AND (model_id, id) NOT IN (SELECT (model_id, id) FROM led WHERE mechanism = 'direct'))"""
 
 

@@ -85,10 +85,10 @@ def disturbed_groups(spark, d):
     return sides.where("n").join(changed, keys[:3], "left_semi").select(*keys)
 
 
-@query("""WITH c AS (SELECT l_orderkey AS sha, CASE l_linenumber % 3 WHEN 0 THEN 'fix: part' WHEN 1 THEN 'fix typo' ELSE 'add' END AS subject, l_shipdate AS ts, l_partkey AS file FROM lineitem) SELECT 'p' || file AS file, count(DISTINCT sha)::BIGINT AS repairs FROM c WHERE subject = 'fix: part' AND ts > TIMESTAMP '1994-01-01' AND ts <= TIMESTAMP '1996-01-01' GROUP BY 1""")
+@query("""WITH c AS (SELECT l_orderkey AS sha, l_linenumber IN (1, 3, 5, 6) AS fix, l_shipdate AS ts, l_partkey AS file FROM lineitem) SELECT 'p' || file AS file, count(DISTINCT sha)::BIGINT AS repairs FROM c WHERE fix AND ts > TIMESTAMP '1994-01-01' AND ts <= TIMESTAMP '1996-01-01' GROUP BY 1""")
 def window_repairs(spark, d):
-    m = F.col("l_linenumber") % 3
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.when(m == 0, "fix: part").when(m == 1, "fix typo").otherwise("add").alias("subject"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("files"))
+    subjects = ["fix: part", "fix typo in part", "it fixes a typo-tolerant format", "add a prefix, correct it", "Revert part", "hotfix of lint rules", "fixes imports"]
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.get(F.array(*map(F.lit, subjects)), F.col("l_linenumber") - 1).alias("subject"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("files"))
     return design.repaired_files(c, "1994-01-01", "1996-01-01")
 
 

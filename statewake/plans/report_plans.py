@@ -74,14 +74,15 @@ def verdict_counts(spark, d):
     return reports.verdict_counts(_viable(spark, d))
 
 
-@query("WITH x AS (SELECT o_orderkey % 40 AS model_id, o_orderkey AS id FROM orders), s AS (SELECT l_orderkey AS id FROM lineitem WHERE l_orderkey % 40 < 20 AND (l_linenumber = 2 AND l_partkey % 5 = 0 OR l_linenumber = 6 AND l_suppkey % 2 = 0) GROUP BY 1), a AS (SELECT DISTINCT model_id FROM x WHERE id IN (SELECT id FROM s)) SELECT model_id, id, CASE WHEN model_id NOT IN (SELECT model_id FROM a) THEN 'no-basis' WHEN id IN (SELECT id FROM s) THEN 'candidate' ELSE 'functional-only' END AS verdict FROM x")
+@query("WITH x AS (SELECT o_orderkey % 40 AS model_id, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT l_orderkey AS id FROM lineitem SEMI JOIN x ON id = l_orderkey WHERE l_orderkey % 40 < 20 AND (l_linenumber = 2 AND l_partkey % 5 = 0 OR l_linenumber = 6 AND l_suppkey % 2 = 0 OR l_linenumber = 3 AND l_partkey % 3 = 0) GROUP BY 1), a AS (SELECT DISTINCT model_id FROM x WHERE id IN (SELECT id FROM s)) SELECT model_id, id, CASE WHEN model_id NOT IN (SELECT model_id FROM a) THEN 'no-basis' WHEN id IN (SELECT id FROM s) THEN 'candidate' ELSE 'functional-only' END AS verdict FROM x")
 def performance_verdicts(spark, d):
     o = table(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("model_id"), F.col("o_orderkey").alias("id"))
     low = F.col("l_orderkey") % 40 < 20
-    name = F.when(low & (F.col("l_linenumber") == 2) & (F.col("l_partkey") % 5 == 0), "theLimit").otherwise("name")
-    kind = F.when(low & (F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 2 == 0), "List<Item>").otherwise("string")
+    name = F.when(low & (F.col("l_linenumber") == 2) & (F.col("l_partkey") % 5 == 0), "theLimit").when(low & (F.col("l_linenumber") == 3) & (F.col("l_partkey") % 3 == 0), "nextCursor").otherwise("pagename")
+    kind = F.when(low & (F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 2 == 0), "Set<Item>").when(F.col("l_linenumber") == 1, "Asset").otherwise("RoadMapPage")
     inputs = table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("model_id"), F.col("l_orderkey").alias("id"), name.alias("name"), kind.alias("type_name"))
-    return reports.performance(inputs, o)
+    viable = table(spark, d, "orders").select((F.col("o_orderkey") % 40).alias("model_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "defer").otherwise("automate").alias("verdict"))
+    return reports.performance(inputs, o, viable)
 
 
 @query(f"""{_GWALK}, c AS (SELECT *, CASE lo % 8 WHEN 0 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 7 THEN 2 ELSE 1 END AS nc, (SELECT min(x.id) FROM gm x WHERE x.generatable AND x.model_id = gm.model_id AND x.source = gm.source AND x."trigger" = gm."trigger" AND x.id <> gm.id) AS other FROM gm WHERE generatable),
@@ -169,12 +170,12 @@ def rolled_up_hits(spark, d):
     return reports.rolled_up(hits, o.select(F.col("o_orderkey").alias("passage"), F.expr("o_orderkey div 100").alias("parent")), 2).select("q", "parent", "rank")
 
 
-@query(f"WITH {GM}, tr AS (SELECT DISTINCT model_id, \"trigger\" FROM gm) SELECT init.model_id, 'Home::press::' || gm.id AS id, 'press' AS \"trigger\", 'page ' || outcome_status AS target, gm.id AS api_id FROM init JOIN gm ON gm.model_id = init.model_id AND gm.source = init.state WHERE gm.status = 'implemented' AND outcome_status IS NOT NULL AND gm.\"trigger\" IN ('click', 'purchase')")
+@query(f"WITH {GM}, tr AS (SELECT DISTINCT model_id, \"trigger\" FROM gm) SELECT init.model_id, 'Home::press::' || gm.id AS id, 'press' AS \"trigger\", 'page ' || outcome_status AS target, gm.id AS api_id, CASE gm.\"trigger\" WHEN 'click' THEN 'visible' ELSE '' END AS guard FROM init JOIN gm ON gm.model_id = init.model_id AND gm.source = init.state WHERE gm.status = 'implemented' AND outcome_status IS NOT NULL AND gm.\"trigger\" IN ('click', 'purchase')")
 def planned_ui(spark, d):
     t = guarded(spark, d)
-    wanted = initial_states(spark, d).select("model_id", F.lit("Home").alias("ui_source"), F.lit("press").alias("ui_trigger"), F.col("state").alias("api_source"), F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("api_trigger"))
+    wanted = initial_states(spark, d).select("model_id", F.lit("Home").alias("ui_source"), F.lit("press").alias("ui_trigger"), F.col("state").alias("api_source"), F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("api_trigger")).withColumn("local_guard", F.when(F.col("api_trigger") == "click", "visible"))
     targets = t.where("outcome_status is not null").select("model_id", F.col("id").alias("api_id"), F.concat(F.lit("page "), F.col("outcome_status").cast("string")).alias("ui_target"))
-    return surfaces.planned(t, wanted, targets).select("model_id", "id", "trigger", "target", "api_id")
+    return surfaces.planned(t, wanted, targets).select("model_id", "id", "trigger", "target", "api_id", "guard")
 
 
 @query("SELECT r_regionkey AS id, v.* FROM region, (VALUES (0, 'a', 'x'), (0, 'b', 'x'), (0, 'c', 'x'), (1, 'a', 'x'), (1, 'b', 'y'), (1, 'c', 'y'), (2, 'a', 'y'), (2, 'b', 'x'), (2, 'c', 'y'), (3, 'a', 'y'), (3, 'b', 'y'), (3, 'c', 'x')) v(case_no, name, level)")

@@ -65,9 +65,9 @@ def property_rejects(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(filters.property_errors(row, ("name", "segment"), {"segment": ("BUILDING", "MACHINERY")}), ",").alias("errors"))
 
 
-@query("""SELECT event_id, '{"k": ' || (props->>'$.k') || '}' AS payload, props->>'$.k' AS k FROM events""")
+@query(r"""SELECT event_id, '{"k": ' || (props->>'$.k') || ', "b": {}, "ok": false, "t": "x, \\"n\\": null", "f": {"g": {"h": {"i": {"j": {"l": {"m": {"o": {"p": {}}}}}}}}}, "q": [{}, null, {"s": 1}]}' AS payload, props->>'$.k' AS k FROM events""".replace("\\\\", "\\"))
 def pruned_payload(spark, d):
-    raw = F.concat(F.lit('{"a": null, "k": '), F.col("k").cast("string"), F.lit(', "b": {"c": false, "d": ""}, "e": []}'))
+    raw = F.concat(F.lit('{"a": null, "k": '), F.col("k").cast("string"), F.lit(r', "b": {"c": false, "d": ""}, "e": [], "ok": false, "t": "x, \"n\": null", "f": {"g": {"h": {"i": {"j": {"l": {"m": {"o": {"p": {"z": null}}}}}}}}}, "q": [{"r": ""}, null, {"s": 1}], "u": false}'))
     return steps(spark, d).select("event_id", filters.pruned(raw).alias("payload"), texts.dig(raw, "k").alias("k"))
 
 
@@ -130,16 +130,16 @@ def rename_proposals(spark, d):
     return matching.rename_proposals(changes, ["model_id"])
 
 
-_AC = ["POST /orders/{id} returns 422 when the order is cancelled", "the order is cancelled and nothing ships", "GET it", None, "/parts are listed by area"]
+_AC = ["POST /orders/{id} returns 422 when the order is cancelled", "the order is cancelled and nothing ships", "GET it", None, "/partsummary is listed together, by area", "a 422x is no status, 4220 neither; 422 is, and 109"]
 
 
-@query(f"""WITH ac AS (SELECT c_custkey AS ac_id, c_custkey % 5 AS m, c_mktsegment AS area FROM customer), tr AS (SELECT n_nationkey AS id, n_regionkey AS r, CASE WHEN n_nationkey < 5 THEN 'BUILDING' ELSE 'none' END AS area FROM nation),
-p AS (SELECT ac_id, id, concat_ws(',', CASE WHEN m = 0 AND r = 0 OR m = 4 AND r = 1 THEN 'path' END, CASE WHEN m = 0 AND r = 0 OR m = 2 AND r = 1 THEN 'verb' END, CASE WHEN m = 0 AND r = 0 THEN 'status' END, CASE WHEN m IN (0, 1) AND r = 0 THEN 'state' END, CASE WHEN ac.area = tr.area THEN 'area' END, CASE WHEN m = 0 AND r = 0 THEN 'trigger-words' END) AS signals FROM ac, tr)
+@query(f"""WITH ac AS (SELECT c_custkey AS ac_id, c_custkey % 6 AS m, c_mktsegment AS area FROM customer), tr AS (SELECT n_nationkey + 100 AS id, n_regionkey AS r, CASE WHEN n_nationkey < 5 THEN 'BUILDING' ELSE 'none' END AS area FROM nation),
+p AS (SELECT ac_id, id, concat_ws(',', CASE WHEN m = 0 AND r = 0 OR m = 4 AND r = 1 THEN 'path' END, CASE WHEN m = 0 AND r = 0 OR m IN (2, 4) AND r = 1 THEN 'verb' END, CASE WHEN m IN (0, 5) AND r = 0 OR m = 5 AND id = 109 THEN 'status' END, CASE WHEN m IN (0, 1) AND r = 0 THEN 'state' END, CASE WHEN ac.area = tr.area THEN 'area' END, CASE WHEN m = 0 AND r = 0 THEN 'trigger-words' END) AS signals FROM ac, tr)
 SELECT ac_id, id, signals, len(string_split(signals, ','))::INT AS strength FROM p WHERE signals <> ''""")
 def evidence_candidates(spark, d):
     ac = table(spark, d, "customer").select(F.col("c_custkey").alias("ac_id"), _cases("c_custkey", _AC).alias("text"), F.array("c_mktsegment").alias("areas"))
     r, pick = F.col("n_regionkey"), lambda a, b, c: F.when(F.col("n_regionkey") == 0, a).when(F.col("n_regionkey") == 1, b).otherwise(c)
-    tr = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), pick("POST /orders/{id}", "GET /parts", "X").alias("trigger"), pick("/orders/{id}", "/parts", None).alias("route"), F.when(r == 0, "S::422").otherwise("S::none").alias("target"), pick("Order cancelled", "Parts shown", "").alias("target_name"), F.array(F.when(F.col("n_nationkey") < 5, "BUILDING").otherwise("none")).alias("areas"))
+    tr = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("id"), pick("POST /orders/{id}", "GET /parts", "X").alias("trigger"), pick("/orders/{id}", "/parts", None).alias("route"), F.when(r == 0, "state4221").otherwise("S::none").alias("target"), pick("Order cancelled", "Parts shown", "").alias("target_name"), F.array(F.when(F.col("n_nationkey") < 5, "BUILDING").otherwise("none")).alias("areas"))
     return matching.evidence(ac, tr)
 
 
@@ -258,10 +258,16 @@ def decision_queue(spark, d):
     return workflow.decision_queue(_workflow(spark, d)[1], 20)
 
 
-@query("SELECT * FROM (VALUES ('a', 'x', 'circle'), ('a', 'y', 'circle'), ('a', 'x', 'not-before'), ('a', 'z', 'unknown-stage'), ('b', 'x', 'unknown-check'), ('b', 'y', 'circle'), ('b', 'y', 'not-before')) v(workflow, stage, rule)")
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS workflow, l_linenumber AS stage, max(l_partkey % 5) AS place, min(l_suppkey) % 12 AS k FROM lineitem GROUP BY 1, 2), r AS (SELECT DISTINCT l_orderkey AS workflow, l_linenumber AS stage, l_suppkey % 8 AS required FROM lineitem WHERE l_suppkey % 8 > 0),
+e AS (SELECT r.workflow, r.stage, r.required, a.place AS p, b.place AS q FROM r JOIN s a USING (workflow, stage) LEFT JOIN s b ON b.workflow = r.workflow AND b.stage = r.required),
+tc AS (SELECT workflow, stage AS x, required AS y FROM e WHERE q IS NOT NULL UNION SELECT tc.workflow, tc.x, e.required FROM tc JOIN e ON e.workflow = tc.workflow AND e.stage = tc.y WHERE q IS NOT NULL)
+SELECT workflow, stage, 'unknown-stage' AS rule FROM e WHERE q IS NULL UNION SELECT workflow, stage, 'not-before' FROM e WHERE q >= p UNION SELECT workflow, stage, 'unknown-check' FROM s WHERE k BETWEEN 5 AND 9 UNION SELECT workflow, x, 'circle' FROM tc WHERE x = y""")
 def workflow_lint(spark, d):
-    stages = spark.createDataFrame([("a", "x", 1, ["y"], None), ("a", "y", 2, ["x"], "NATION_1"), ("a", "z", 3, ["gone"], "NATION_2"), ("b", "x", 1, [], "no such"), ("b", "y", 2, ["x", "y"], None)], "workflow string, stage string, place int, requires array<string>, check string")
-    return workflow.lint(stages, table(spark, d, "nation").select(F.col("n_name").alias("check")))
+    """Orders stand for workflows, line numbers for stages, suppliers for what they require and regions for checks."""
+    required = F.array_except(F.collect_set(F.col("l_suppkey") % 8), F.array(F.lit(0).cast("long")))
+    stages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("stage")).agg(F.max(F.col("l_partkey") % 5).alias("place"), required.cast("array<int>").alias("requires"), (F.min("l_suppkey") % 12).alias("k"))
+    stages = stages.withColumn("check", F.when(F.col("k") < 10, F.col("k").cast("string"))).drop("k")
+    return workflow.lint(stages, table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("check")))
 
 
 @query("SELECT o_orderkey AS seq, CASE WHEN n_regionkey IS NULL OR o_orderstatus = 'P' OR n_regionkey > 2 AND o_orderstatus = 'O' THEN 'no capability' WHEN c_custkey % 10 = 1 THEN 'own proposal' ELSE 'stands' END AS verdict FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -285,11 +291,12 @@ def inherited_guards(spark, d):
     return validation.effective_guard(ui, surfaces.inherited_guards(links, api)).select("id", "guard")
 
 
-@query("WITH ln AS (SELECT DISTINCT l_suppkey AS u, l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN 'triggers' ELSE 'invokes' END AS k FROM lineitem WHERE true), ap AS (SELECT p_partkey * 2 AS a FROM part WHERE p_type <> 'PROMO'), kn AS (SELECT p_partkey * 2 AS a FROM part) SELECT 'api-only' AS kind, a AS id FROM ap WHERE a NOT IN (SELECT a FROM ln) UNION ALL SELECT DISTINCT 'dangling', a FROM ln WHERE a NOT IN (SELECT a FROM kn) UNION ALL SELECT 'unhandled-outcome', a FROM ap WHERE a IN (SELECT a FROM ln WHERE k = 'triggers') AND a NOT IN (SELECT a FROM ln WHERE k = 'invokes') UNION ALL SELECT 'ambiguous', u FROM ln WHERE k = 'invokes' AND u IN (SELECT s_suppkey FROM supplier) GROUP BY u HAVING count(DISTINCT a) > 1")
+@query("WITH ln AS (SELECT DISTINCT l_suppkey AS u, l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN 'triggers' ELSE 'invokes' END AS k FROM lineitem WHERE true), ap AS (SELECT p_partkey * 2 AS a FROM part WHERE p_type <> 'PROMO'), kn AS (SELECT p_partkey * 2 AS a FROM part) SELECT 'api-only' AS kind, a AS id FROM ap WHERE a NOT IN (SELECT a FROM ln) UNION ALL SELECT DISTINCT 'dangling', a FROM ln WHERE a NOT IN (SELECT a FROM kn) UNION ALL SELECT 'unhandled-outcome', a FROM ap WHERE a IN (SELECT a FROM ln WHERE k = 'triggers') AND a NOT IN (SELECT a FROM ln WHERE k = 'invokes') UNION ALL SELECT DISTINCT 'restated-guard', u FROM ln JOIN part ON p_partkey * 2 = a JOIN supplier ON s_suppkey = u WHERE k = 'invokes' AND p_size > 20 AND s_nationkey < p_size AND s_nationkey = p_size % 25")
 def surface_divergences(spark, d):
-    api = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"), F.when(F.col("p_type") == "PROMO", "planned").otherwise("implemented").alias("status"))
+    api = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"), F.when(F.col("p_type") == "PROMO", "planned").otherwise("implemented").alias("status"), F.when(F.col("p_size") > 20, F.concat(F.lit(" size "), (F.col("p_size") % 25).cast("string"), F.lit("; "))).otherwise(" ").alias("guard"))
     links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ui_id"), (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 1000000).otherwise(0)).alias("api_id"), F.when(F.col("l_returnflag") == "R", "triggers").otherwise("invokes").alias("kind")).distinct()
-    return surfaces.divergences(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), api, links)
+    guard = F.concat(F.lit("shown AND size "), F.col("s_nationkey").cast("string"), F.lit("; ok"))
+    return surfaces.divergences(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), guard.alias("guard")), api, links)
 
 
 @query("WITH t AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'POST' ELSE 'GET' END AS verb, p_type AS service, unnest(list_distinct(['/a/' || p_brand, '/b/' || (p_partkey % 50)])) AS path FROM part), x AS (SELECT s_suppkey AS test, CASE WHEN s_nationkey % 2 = 0 THEN 'POST' ELSE 'GET' END AS verb, CASE WHEN s_nationkey < 12 THEN '/a/Brand#' || s_nationkey ELSE '/b/' || s_nationkey END AS path, CASE WHEN s_nationkey % 3 = 0 THEN 'SMALL' END AS service FROM supplier) SELECT DISTINCT id, test FROM t JOIN x ON t.verb = x.verb AND t.path = x.path AND (x.service IS NULL OR x.service = t.service)")
@@ -315,9 +322,9 @@ def unreachable_surface(spark, d):
 
 
 # intake
-@query("SELECT 'c' || o_custkey AS case_id, lower(o) AS outcome, CASE WHEN o_custkey % 50 = 0 THEN 'no case_id' WHEN lower(o) NOT IN ('passed', 'failed') THEN 'outcome ''' || lower(o) || ''' is not known' END AS reason FROM (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'Passed' WHEN 'O' THEN 'failed' ELSE 'Flaky' END AS o FROM orders)".replace("'c' || o_custkey AS case_id", "CASE WHEN o_custkey % 50 = 0 THEN '' ELSE 'c' || o_custkey END AS case_id"))
+@query("SELECT 'c' || o_custkey AS case_id, lower(o) AS outcome, CASE WHEN o_custkey % 50 = 0 THEN 'no case_id' WHEN lower(o) NOT IN ('passed', 'failed', 'skipped', 'errored', 'not_run') THEN 'outcome ''' || lower(o) || ''' is not known' END AS reason FROM (SELECT o_custkey, CASE o_orderkey % 8 WHEN 0 THEN 'Passed' WHEN 1 THEN 'failed' WHEN 2 THEN 'errored' WHEN 3 THEN 'error' WHEN 4 THEN 'Not_Run' WHEN 5 THEN 'blocked' WHEN 6 THEN 'skipped' ELSE 'Flaky' END AS o FROM orders)".replace("'c' || o_custkey AS case_id", "CASE WHEN o_custkey % 50 = 0 THEN '' ELSE 'c' || o_custkey END AS case_id"))
 def execution_intake(spark, d):
-    o = table(spark, d, "orders").select(F.when(F.col("o_custkey") % 50 == 0, " ").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("case_id"), F.when(F.col("o_orderstatus") == "F", " Passed").when(F.col("o_orderstatus") == "O", "failed").otherwise("Flaky").alias("outcome"), F.col("o_orderdate").cast("string").alias("observed_at"), F.lit(5).alias("duration_ms"), F.lit("x").alias("detail"))
+    o = table(spark, d, "orders").select(F.when(F.col("o_custkey") % 50 == 0, " ").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("case_id"), _cases("o_orderkey", [" Passed", "failed", "errored", "error", "Not_Run ", "blocked", "skipped", "Flaky"]).alias("outcome"), F.col("o_orderdate").cast("string").alias("observed_at"), F.lit(5).alias("duration_ms"), F.lit("x").alias("detail"))
     good, bad = intake.executions(o)
     return good.select("case_id", "outcome", F.lit(None).cast("string").alias("reason")).unionAll(bad)
 
@@ -330,7 +337,7 @@ def layered_model(spark, d):
     return intake.layered(p, over, review, F.lit("now"), ["p_partkey"], ["name"]).select("p_partkey", "name", "stale")
 
 
-@query("SELECT n_regionkey, sha256(string_agg(line, chr(10) ORDER BY line))[1:16] AS fingerprint FROM (SELECT n_regionkey, n_nationkey || '|' || n_name AS line FROM nation) GROUP BY 1")
+@query("""SELECT n_regionkey, sha256(string_agg(line, chr(10) ORDER BY line))[1:16] AS fingerprint FROM (SELECT n_regionkey, '["' || n_nationkey || '","' || n_name || '"]' AS line FROM nation) GROUP BY 1""")
 def model_fingerprint(spark, d):
     return intake.fingerprint(table(spark, d, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"])
 
@@ -341,10 +348,10 @@ def knowledge_compare(spark, d):
     return intake.compared(known, table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") <= 25, "small").otherwise("large").alias("text")), "p_partkey", "text")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'F' THEN 'AB-' || o_custkey ELSE 'AB-' || o_custkey || ',C2-7' END AS tickets FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'F' THEN 'AB-' || o_custkey WHEN o_orderkey % 2 = 0 THEN 'AB-' || o_custkey || ',C2-7' ELSE 'AB-1' END AS tickets FROM orders")
 def commit_tickets(spark, d):
     key = F.concat(F.lit("AB-"), F.col("o_custkey").cast("string"))
-    s = F.when(F.col("o_orderstatus") == "P", "no key here a-1").when(F.col("o_orderstatus") == "F", F.concat(key, F.lit(": fix "), key)).otherwise(F.concat(F.lit("["), key, F.lit("] C2-7 done")))
+    s = F.when(F.col("o_orderstatus") == "P", "no key here a-1").when(F.col("o_orderstatus") == "F", F.concat(key, F.lit(": fix "), key)).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), key, F.lit("] C2-7 done"))).otherwise("UTF-8, SHA-256 and ABCDEFGHIJK-5 are none, AB-1 and X-1 aside")
     return table(spark, d, "orders").select("o_orderkey", F.array_join(intake.tickets(s), ",").alias("tickets"))
 
 

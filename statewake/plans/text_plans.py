@@ -36,11 +36,21 @@ def sql_lint(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(textrules.sql_review(s), ",").alias("rules"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'unavailable' WHEN k >= 90 AND event_type = 'click' THEN 'server-error' WHEN k < 10 THEN 'url-change' WHEN k < 20 THEN 'status-change' WHEN k >= 90 THEN 'status-change' WHEN event_type = 'view' THEN 'assertion' ELSE 'unclassified' END AS class FROM (SELECT event_id, event_type, CAST(props->>'$.k' AS INT) AS k FROM events)")
+#: Evidence, with its class where no status is given and where expected and actual statuses are.
+_EVIDENCE = [("connect: Connection refused", "unavailable", "unavailable"), ("gateway answered 503 at a.B(C.java:1)", "unavailable", "unavailable"), ("schema of the page", "unclassified", None), ("Cannot deserialize value", "schema", "schema"), ("500 at a.B.c(D.java:12)", "server-error", "server-error"), ("500 and no trace", "unclassified", None), ("NullPointerException in beforeEach", "test-data", "test-data"),
+             ("NullPointerException in the test", "unclassified", None), ("expected: 200, but the actual: 404", "url-change", None), ("Expected 201 and Actual 200", "status-change", None), ("AssertionError: 3", "assertion", None), ("expected a but was b", "assertion", None), ("", "unclassified", None), (None, "unclassified", None)]
+
+
+def _dealt(values):
+    return f"CASE CAST(props->>'$.k' AS INT) % {len(values)} {' '.join(f'WHEN {i} THEN {chr(39)}{v}{chr(39)}' for i, v in enumerate(values) if v)} END"
+
+
+@query(f"SELECT event_id, CASE event_type WHEN 'click' THEN coalesce({_dealt([g for *_, g in _EVIDENCE])}, 'url-change') WHEN 'view' THEN coalesce({_dealt([g for *_, g in _EVIDENCE])}, 'status-change') ELSE {_dealt([n for _, n, _ in _EVIDENCE])} END AS class FROM events")
 def failure_classes(spark, d):
-    evidence = F.when(F.col("event_type") == "error", "connection refused").when(F.col("event_type") == "click", "stack trace").when(F.col("event_type") == "view", "assert failed").otherwise("")
-    actual = F.when(F.col("k") < 10, 404).when(F.col("k") < 20, 403).when(F.col("k") >= 90, 500).otherwise(200)
-    return steps(spark, d).select("event_id", textrules.failure_class(evidence, F.lit(200), actual).alias("class"))
+    """A click has the statuses 200 and 404, a view 200 and 403, other events none."""
+    actual = F.when(F.col("event_type") == "click", "404").when(F.col("event_type") == "view", "403")
+    evidence = F.get(F.array(*(F.lit(e) for e, *_ in _EVIDENCE)), F.col("k") % len(_EVIDENCE))
+    return steps(spark, d).select("event_id", textrules.failure_class(evidence, F.when(actual.isNotNull(), "200"), actual).alias("class"))
 
 
 @query("""WITH k AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS keyword FROM benchmark), w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS keyword FROM conversations), h AS (SELECT conv_id, turn, item_id, count(*) AS hits FROM w JOIN k USING (keyword) GROUP BY 1, 2, 3),

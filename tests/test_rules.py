@@ -26,7 +26,7 @@ def test_globs_and_labels(spark):
 
 def test_pruned(spark):
     df = spark.createDataFrame([('{"a":{"b":[],"c":null},"d":0,"e":"x, y"}',), ('{"a":false}',), (None,)], "j string")
-    assert one(df, filters.pruned(F.col("j"))) == ['{"d":0,"e":"x, y"}', "{}", None]
+    assert one(df, filters.pruned(F.col("j"))) == ['{"a":{},"d":0,"e":"x, y"}', "{}", None]
 
 
 def test_texts(spark):
