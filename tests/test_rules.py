@@ -175,8 +175,8 @@ def test_findings_of_a_model(spark):
     reached = spark.createDataFrame([("m", "S", 0, False), ("m", "A", 1, False), ("m", "B", 1, True), ("m", "C", 2, False)], "model_id string, state string, depth int, terminal boolean")
     found = sorted((r.check_no, r.severity, r.elements, r.detail) for r in validation.validate(t, states, reached).collect())
     assert found == sorted([
-        (1, "blocking", "t1,t2", "unguarded sibling"), (2, "blocking", "t3,t4", "gap between thresholds"), (3, "advisory", "B", "terminal"), (3, "blocking", "X", "unreachable"), (4, "blocking", "A,B", "states that present alike"), (4, "blocking", "C", "no name"),
-        (6, "unverifiable", "t2", "takes a body, and no input is known"), (7, "blocking", "t6", "a rejection on an exception not thrown"),
+        (1, "blocking", "A,B", "states that present alike"), (1, "blocking", "C", "no name"), (2, "blocking", "t1,t2", "unguarded sibling"), (3, "blocking", "t3,t4", "gap between thresholds"), (4, "unverifiable", "t2", "takes a body, and no input is known"),
+        (5, "blocking", "t6", "a rejection on an exception not thrown"), (7, "advisory", "B", "terminal"), (7, "blocking", "X", "unreachable"),
     ])
     empty = validation.validate(t.limit(0), states.limit(0), reached.limit(0), t.limit(0))
     assert empty.count() == 0
