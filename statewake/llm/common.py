@@ -68,6 +68,21 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str,
     return rows.join(hot, keys).unionByName(cold)
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, salt: list[str], total: int) -> DataFrame:
+    """spread_join for keyed rows that are too large to broadcast: those of hot keys are repeated instead, and each row takes one by the hash of its columns in salt.
+
+    Of the hot keys only their number of rows is broadcast.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= most:
+        return rows.join(keyed.drop(weight), keys)
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = F.broadcast(keyed.where(F.col(weight) > most).select(*keys, parts.alias("_parts")))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(weight)
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewake.llm.common import Scratch, ascii_lower
+from statewake.llm.common import Scratch, ascii_lower, spread_join
 
 SYMBOLS = "#*$%&|<>"
 #: A line is frequent in a host when more distinct documents than this hold it.
@@ -81,10 +81,12 @@ def frequent_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", host_co
     lines = lines.select("_host", "_id", "_t1", "_t2", "pos", F.xxhash64("_n").alias("_l1"), F.xxhash64(F.lit(1), "_n").alias("_l2"), (F.length("_n") - F.length(F.translate("_n", " ", "")) + 1).alias("words"))
     # one row for each line of each distinct text, whatever the number of copies
     per_text = lines.groupBy("_host", "_t1", "_t2", "_l1", "_l2").agg(F.min("_id").alias("_id"), F.collect_set("pos").alias("pos"), F.first("words").alias("words"))
-    per_text = Scratch(docs.sparkSession, "quality").write(per_text, "lines")
+    scratch = Scratch(docs.sparkSession, "quality")
+    per_text = scratch.write(per_text, "lines")
     counted = per_text.groupBy("_host", "_l1", "_l2").agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("_id").isNull(), "_id", "_t1", "_t2")).alias("first")).where(F.col("n_docs") > line_limit)
+    counted = scratch.write(counted, "frequent")
     return (
-        per_text.join(counted, ["_host", "_l1", "_l2"])
+        spread_join(per_text, counted, ["_host", "_l1", "_l2"], "n_docs", per_text.count())
         .where((F.col("_t1") != F.col("first._t1")) | (F.col("_t2") != F.col("first._t2")))
         .select("_host", "_t1", "_t2", "pos", (F.size("pos") * F.col("words")).alias("words"))
     )
