@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from statewake.llm.common import Scratch
+from statewake.llm.common import Scratch, salted_join, spread_join
 
 MIN_REVISIT = 100
 #: The tables carry no fetch time; the date of all records is a parameter.
@@ -38,20 +38,21 @@ def digests(pages: DataFrame, *, id_col="page_id", url_col="url", html_col="html
 
 
 def write_archive(pages: DataFrame, scratch: Scratch, *, min_revisit=MIN_REVISIT, date=DATE, **cols) -> tuple[DataFrame, DataFrame]:
-    """headers(page_id, digest, header) and payloads(digest, packed), as written and read again."""
+    """headers(page_id, digest, header) and payloads(digest, packed, copies: pages that have it), as written and read again."""
     d = digests(pages, **cols)
-    first = d.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    known = scratch.write(d.select("page_id", "url", "digest", "n"), "digests")
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
     # one row of each digest; the group limit drops copies before the shuffle
     order = Window.partitionBy("digest").orderBy(F.col("page_id").asc_nulls_last())
     packed = d.select("digest", "page_id", "payload").mapInArrow(_pack, "digest string, page_id long, packed binary")
-    payloads = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("digest", "packed")
+    payloads = packed.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("digest", "packed").join(first.select("digest", "copies"), "digest")
     escaped = F.expr(r"array_join(transform(split(url, ''), c -> if(c rlike '[\\x00-\\x20\\x7F]', concat('%', lpad(hex(ascii(c)), 2, '0')), c)), '')")
     url = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), escaped).otherwise(F.col("url"))
     rid = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     revisit = (F.col("n") >= min_revisit) & (F.col("page_id") != F.col("first_id")) | (F.col("n") >= min_revisit) & F.col("page_id").isNull() & F.col("first_id").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("n"), F.lit(EOL + EOL))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
-    rows = d.select("page_id", "url", "digest", "n").join(first, "digest").withColumns({"revisit": F.coalesce(revisit, F.lit(False)), "http": http})
+    rows = spread_join(known, first, ["digest"], "copies", known.count()).withColumns({"revisit": F.coalesce(revisit, F.lit(False)), "http": http})
     block = F.octet_length("http") + F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("n"))
     warc = F.concat_ws(
         EOL, F.lit("WARC/1.1"), line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", rid("page_id")), F.lit(f"WARC-Date: {date}"), line("WARC-Target-URI", url),
@@ -95,7 +96,8 @@ def _unpack(batches, end=(EOL + EOL).encode()):
 
 
 def _joined(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    return headers.join(payloads, "digest").select("page_id", "header", "packed")
+    """Headers with their payloads; those of a payload that many pages share are spread over tasks."""
+    return salted_join(headers, payloads, ["digest"], "copies", ["header"], headers.count()).select("page_id", "header", "packed")
 
 
 def records(headers: DataFrame, payloads: DataFrame) -> DataFrame:
