@@ -1,11 +1,9 @@
-"""Test design: decision rows, all-pairs cover, dimension cost, detectability, verdicts."""
+"""Test design: decision rows, dimension cost, detectability, verdicts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,38 +24,6 @@ def decision_rows(members: DataFrame, keys: list[str], guard: str, ordinal: str,
     return rows.select(*keys, "row", F.array_min(F.transform(holding, lambda m: m.ordinal)).alias("covering"), "reason")
 
 
-def all_pairs(factors: dict[str, list[str]]) -> list[dict[str, str]]:
-    """Greedy cases that cover every pair of levels of two factors: each case starts from the first pair left and takes for each further factor, in order, the level that covers most; ties to the earlier level."""
-    names = list(factors)
-    if len(names) < 2:
-        return [{n: level} for n in names for level in factors[n]]
-    left = {((a, x), (b, y)) for a, b in combinations(names, 2) for x in factors[a] for y in factors[b]}
-    order = {n: i for i, n in enumerate(names)}
-    rank = lambda pair: tuple((order[n], factors[n].index(v)) for n, v in pair)
-    cases = []
-    while left:
-        case = dict(min(left, key=rank))
-        for n in names:
-            if n not in case:
-                gain = [sum(tuple(sorted(((m, v), (n, level)), key=lambda p: order[p[0]])) in left for m, v in case.items()) for level in factors[n]]
-                case[n] = factors[n][gain.index(max(gain))]
-        case = {n: case[n] for n in names}
-        left -= set(combinations(case.items(), 2))
-        cases.append(case)
-    return cases
-
-
-def pairwise(inputs: DataFrame, key: str) -> DataFrame:
-    """case_no, name and level of the all-pairs cases of each key's inputs(key, name, levels array); one key is one group of bounded size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        factors = {r.name_: list(r.levels) for r in pdf.rename(columns={"name": "name_"}).sort_values("name_").itertuples()}
-        rows = [(pdf[key].iloc[0], i, n, v) for i, c in enumerate(all_pairs(factors)) for n, v in c.items()]
-        return pd.DataFrame(rows, columns=[key, "case_no", "name", "level"])
-
-    return inputs.groupBy(key).applyInPandas(run, f"`{key}` {inputs.schema[key].dataType.simpleString()}, case_no int, name string, level string")
-
-
 def dimension_cost(dims: DataFrame, key: str, n: str) -> DataFrame:
     """Bounded cost (one varied at a time) and product of each key's dimensions, which is a double since it outgrows integers; fewer than two levels count as two."""
     levels = F.greatest(F.col(n), F.lit(2)).cast("long")

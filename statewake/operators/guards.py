@@ -147,15 +147,19 @@ def truth_table(rows: DataFrame, keys: list[str], guard: str, most_atoms: int =
     """For each key how many assignments of its atoms no guard holds for, and the first of them; or the reason why that is undecided.
 
     Bit i of a row number is the i-th atom in order. A guard with an OR, none, a threshold or too many
-    atoms leave the group undecided: its counts are null, never zero.
+    atoms leave the group undecided: its counts are null, never zero. Groups with the same guards share one
+    table: each distinct guard is parsed once, and each distinct set of guards tabulated once.
     """
-    # each distinct guard is parsed once; no guard and an empty one are the same
-    met = rows.select(*keys, F.coalesce(guard, F.lit("")).alias("_g")).distinct()
+    # no guard and an empty one are the same
+    sets = rows.select(*keys, F.coalesce(guard, F.lit("")).alias("_g")).groupBy(*keys).agg(F.array_sort(F.collect_set("_g")).alias("_set"))
+    sets = sets.withColumn("_id", F.sha2(F.to_json("_set"), 256))
+    met = sets.groupBy("_id").agg(F.first("_set").alias("_set")).select("_id", F.explode("_set").alias("_g"))
     lits = met.join(met.select("_g").distinct().withColumn("_l", literals(F.col("_g"))), "_g")
-    g = lits.groupBy(*keys).agg(F.bool_or(F.col("_l").isNull()).alias("_open"), F.collect_set("_l").alias("_c"))
-    g = g.select(*keys, "_c", atom_names(F.col("_c")).alias("_atoms"), undecided(F.col("_c"), F.col("_open"), most_atoms).alias("reason"))
+    g = lits.groupBy("_id").agg(F.bool_or(F.col("_l").isNull()).alias("_open"), F.collect_set("_l").alias("_c"))
+    g = g.select("_id", "_c", atom_names(F.col("_c")).alias("_atoms"), undecided(F.col("_c"), F.col("_open"), most_atoms).alias("reason"))
     masks = F.expr(f"transform(_c, c -> struct({mask('c', '_atoms', False)} as care, {mask('c', '_atoms', True)} as want))")
     g = g.withColumn("_m", F.when(F.col("reason").isNull(), masks))
     free = F.expr("filter(sequence(0, shiftleft(1, size(_atoms)) - 1), r -> not exists(_m, m -> (r & m.care) = m.want))")
     g = g.withColumn("_free", F.when(F.col("reason").isNull(), free))
+    g = sets.select(*keys, "_id").join(g, "_id")
     return g.select(*keys, F.when(F.col("reason").isNull(), F.size("_atoms")).alias("n_atoms"), F.when(F.col("reason").isNull(), F.size("_free")).alias("uncovered"), F.get("_free", F.lit(0)).alias("first_uncovered"), "reason")

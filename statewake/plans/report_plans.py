@@ -176,12 +176,3 @@ def planned_ui(spark, d):
     wanted = initial_states(spark, d).select("model_id", F.lit("Home").alias("ui_source"), F.lit("press").alias("ui_trigger"), F.col("state").alias("api_source"), F.explode(F.array(F.lit("click"), F.lit("purchase"))).alias("api_trigger")).withColumn("local_guard", F.when(F.col("api_trigger") == "click", "visible"))
     targets = t.where("outcome_status is not null").select("model_id", F.col("id").alias("api_id"), F.concat(F.lit("page "), F.col("outcome_status").cast("string")).alias("ui_target"))
     return surfaces.planned(t, wanted, targets).select("model_id", "id", "trigger", "target", "api_id", "guard")
-
-
-@query("SELECT r_regionkey AS id, v.* FROM region, (VALUES (0, 'a', 'x'), (0, 'b', 'x'), (0, 'c', 'x'), (1, 'a', 'x'), (1, 'b', 'y'), (1, 'c', 'y'), (2, 'a', 'y'), (2, 'b', 'x'), (2, 'c', 'y'), (3, 'a', 'y'), (3, 'b', 'y'), (3, 'c', 'x')) v(case_no, name, level)")
-def pairwise_cases(spark, d):
-    """All pairs of three inputs of two levels, for each region."""
-    from statewake.operators import design
-
-    t = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("name"), F.array(F.lit("x"), F.lit("y")).alias("levels"))
-    return design.pairwise(t, "id")

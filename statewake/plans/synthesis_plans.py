@@ -1,11 +1,12 @@
-"""Queries of chains, synthesis, unfolding and evidence: customers stand for services, orders for endpoints, line items for checks and outcomes."""
+"""Queries of chains, synthesis, unfolding, evidence and techniques: customers stand for services, orders for endpoints, line items for checks and outcomes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewake.operators import evidence, synthesis
+from statewake.operators import evidence, synthesis, techniques
 from statewake.plans.machine import table
+from statewake.plans.model_plans import GM, guarded
 from statewake.plans.registry import query
 
 #: The facts, in SQL that both engines read. Endpoints on one route of a service create and read one
@@ -201,3 +202,41 @@ UNION ALL SELECT service, oid, 'DECLARES', endpoint_id, 'no such endpoint' FROM
 def evidence_unresolved(spark, d):
     """References to what was not extracted: none is dropped."""
     return _layer(spark, d)[2]
+
+
+# techniques
+_CONSTRAINT = "CASE hi % 5 WHEN 0 THEN '@Size(max=' || lo || ')' WHEN 1 THEN '@NotNull' WHEN 2 THEN '@Min(' || lo || ')' WHEN 3 THEN '@Digits(integer=' || lo || ', fraction=2)' ELSE 'unreadable ' || lo END"
+
+
+@query(f"""WITH {GM}, g AS (SELECT model_id, id, guard, lo, hi, {_CONSTRAINT} AS con, CASE lo % 8 WHEN 3 THEN ['ok', 'late'] WHEN 4 THEN ['ok', 'late'] WHEN 5 THEN ['ok'] WHEN 6 THEN ['ok OR late'] WHEN 7 THEN ['(late', 'ok)'] ELSE [] END AS plain, CASE lo % 8 WHEN 3 THEN ['ok', 'NOT (late)'] WHEN 5 THEN ['NOT (ok)'] WHEN 4 THEN ['ok', 'late'] WHEN 6 THEN ['ok OR late'] WHEN 7 THEN ['(late', 'ok)'] ELSE [] END AS parts FROM gm WHERE generatable),
+p AS (SELECT *, unnest(plain) AS x, unnest(parts) AS raw FROM g), off(d) AS (VALUES (-1), (0), (1))
+SELECT model_id, id, 'boundary' AS kind, id || '::<unguarded>' AS key, NULL AS reason FROM g WHERE guard = '' UNION SELECT model_id, id, 'boundary', id || '::k = ' || (hi + d), NULL FROM g, off WHERE lo % 8 IN (1, 2)
+UNION SELECT model_id, id, 'partition', id || '::partition::k ' || s || ' ' || hi, NULL FROM g, (VALUES ('<'), ('>=')) v(s) WHERE lo % 8 IN (1, 2) UNION SELECT model_id, id, 'partition', id || '::partition::' || x, NULL FROM p UNION SELECT model_id, id, 'partition', id || '::partition::NOT (' || x || ')', NULL FROM p
+UNION SELECT model_id, id, 'boundary', id || '::' || raw || '::boundary', 'not a numeric threshold' FROM p UNION SELECT model_id, id, 'partition', id || '::constraint::' || s || ' ' || CASE WHEN con LIKE '@%' THEN string_split(con, '(')[1] ELSE con END, NULL FROM g, (VALUES ('satisfies'), ('violates')) v(s) WHERE guard <> ''
+UNION SELECT model_id, id, 'boundary', id || '::constraint::' || CASE hi % 5 WHEN 0 THEN 'length' ELSE 'value' END || ' = ' || (lo + d), NULL FROM g, off WHERE guard <> '' AND hi % 5 IN (0, 2)""")
+def boundary_targets(spark, d):
+    """Values and partitions of guards and of what inputs declare; parts without a boundary stay with the reason."""
+    lo, k = F.col("lo").cast("string"), F.col("hi") % 5
+    con = F.when(k == 0, F.concat(F.lit("@Size(max="), lo, F.lit(")"))).when(k == 1, "@NotNull").when(k == 2, F.concat(F.lit("@Min("), lo, F.lit(")"))).when(k == 3, F.concat(F.lit("@Digits(integer="), lo, F.lit(", fraction=2)"))).otherwise(F.concat(F.lit("unreadable "), lo))
+    return techniques.boundary_targets(guarded(spark, d).where("generatable").withColumn("constraints", F.array(con, con)))
+
+
+_INPUTS = "SELECT l_orderkey AS k, l_linenumber AS place, min(l_returnflag) <> 'N' AS required, CASE WHEN min(l_linestatus) = 'F' THEN '@Max(' || max(l_suppkey) || ')' ELSE '' END AS con FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
+
+
+def _factors(spark, d):
+    rows = spark.sql(_INPUTS, lineitem=table(spark, d, "lineitem"))
+    return techniques.factors(rows.select("k", "place", F.concat(F.lit("in"), F.col("place").cast("string")).alias("name"), "required", F.array("con").alias("constraints")), ["k"])
+
+
+@query(f"""WITH RECURSIVE inp AS ({_INPUTS.format(lineitem="lineitem")}), f AS (SELECT k, place, 'in' || place AS name, CASE WHEN required AND con <> '' THEN ['satisfies ' || con, 'violates ' || con] ELSE ['supplied', 'omitted'] END AS levels, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS i FROM inp),
+n AS (SELECT k, count(*) AS n FROM f GROUP BY k), shapes AS (SELECT DISTINCT n FROM n WHERE n > 1),
+pairs AS (SELECT s.n, list(struct_pack(a := 2 * i + x, b := 2 * j + y) ORDER BY i, j, x, y) AS l FROM shapes s, range(13) r(i), range(13) q(j), range(2) u(x), range(2) v(y) WHERE i < j AND j < s.n GROUP BY s.n),
+w AS (SELECT n, l AS open_, list_transform(range(n), lambda p: CASE p WHEN l[1].a // 2 THEN l[1].a WHEN l[1].b // 2 THEN l[1].b ELSE -1 END) AS c, 0::BIGINT AS i, 0 AS case_no, false AS done FROM pairs
+  UNION ALL SELECT n, CASE WHEN full_ THEN rest ELSE open_ END, CASE WHEN full_ THEN list_transform(range(n), lambda p: CASE p WHEN rest[1].a // 2 THEN rest[1].a WHEN rest[1].b // 2 THEN rest[1].b ELSE -1 END) ELSE nxt END, CASE WHEN full_ THEN 0 ELSE i + 1 END, CASE WHEN full_ THEN case_no + 1 ELSE case_no END, full_
+  FROM (SELECT *, i = n AS full_, list_filter(open_, lambda p: NOT (list_contains(c, p.a) AND list_contains(c, p.b))) AS rest, CASE WHEN i < n AND c[i + 1] < 0 THEN list_transform(range(n), lambda q: CASE WHEN q = i THEN 2 * i + CASE WHEN len(list_filter(open_, lambda p: p.a = 2 * i + 1 AND list_contains(c, p.b) OR p.b = 2 * i + 1 AND list_contains(c, p.a))) > len(list_filter(open_, lambda p: p.a = 2 * i AND list_contains(c, p.b) OR p.b = 2 * i AND list_contains(c, p.a))) THEN 1 ELSE 0 END ELSE c[q + 1] END) ELSE c END AS nxt FROM w WHERE len(open_) > 0)),
+cs AS (SELECT n, case_no, c FROM w WHERE i = n AND len(open_) > 0)
+SELECT f.k, cs.case_no::INT AS case_no, f.name, f.levels[c[f.i + 1] % 2 + 1] AS level FROM f JOIN n USING (k) JOIN cs ON cs.n = n.n UNION ALL SELECT f.k, x::INT, name, levels[x + 1] FROM f JOIN n ON n.k = f.k AND n.n = 1, range(2) r(x)""")
+def pairwise_cases(spark, d):
+    """All pairs of the levels of each order's inputs: one input for each of its line numbers."""
+    return techniques.pairwise(_factors(spark, d), ["k"])

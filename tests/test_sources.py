@@ -64,13 +64,6 @@ def test_snapshot(spark, tmp_path):
     assert [r.n for r in design.illegal_edges(rows, legal).collect()] == [2]
 
 
-def test_all_pairs():
-    factors = {f"f{i}": ["x", "y"] for i in range(7)}
-    cases = design.all_pairs(factors)
-    assert len(cases) <= 9 and {((a, c[a]), (b, c[b])) for c in cases for a in factors for b in factors if a < b} == {((a, x), (b, y)) for a in factors for b in factors if a < b for x in "xy" for y in "xy"}
-    assert design.all_pairs({"one": ["x", "y"]}) == [{"one": "x"}, {"one": "y"}] and design.all_pairs({}) == []
-
-
 def test_streams(spark, tmp_path):
     rows = [(1, 1, "a", "2024-01-01 00:00:00"), (1, 2, "a", "2024-01-01 00:10:00"), (1, 3, "b", "2024-01-01 02:00:00"), (2, 4, "a", "2024-01-01 00:05:00")]
     spark.createDataFrame(rows, "user_id long, event_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
