@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewake.operators import retrieval, textrules
+from statewake.operators import retrieval, search, textrules
 from statewake.plans.machine import steps, table
 from statewake.plans.registry import query
 
@@ -86,3 +86,18 @@ def token_idf(spark, d):
     df = b.select("item_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(b.agg(F.count("*").alias("n")))
     return df.crossJoin(n).select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 4).alias("idf"))
+
+
+@query("""WITH co AS (SELECT conv_id * 1000 + turn AS item, conv_id AS parent, role AS label, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM conversations), qu AS (SELECT item_id AS q_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM benchmark), q AS (SELECT q_id, unnest(list_distinct(ts)) AS term FROM qu),
+sz AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM co), tf AS (SELECT item, term, count(*) AS tf, any_value(l) AS len FROM (SELECT item, unnest(ts) AS term, len(ts) AS l FROM co) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+sc AS (SELECT q_id, item, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), sz GROUP BY 1, 2), kw AS (SELECT q_id, item, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, item) AS rank FROM sc),
+cv AS (SELECT item, label, p, count(*)::DOUBLE AS c FROM (SELECT item, label, ('0x' || md5(unnest(ts))[1:8])::BIGINT % 256 AS p FROM co) GROUP BY ALL), qv AS (SELECT q_id, p, count(*)::DOUBLE AS c FROM (SELECT q_id, ('0x' || md5(unnest(ts))[1:8])::BIGINT % 256 AS p FROM qu) GROUP BY ALL),
+dot AS (SELECT q_id, item, label, sum(qv.c * cv.c) AS d FROM qv JOIN cv USING (p) GROUP BY ALL), cn AS (SELECT item, label, sum(c * c) AS s FROM cv GROUP BY ALL), qn AS (SELECT q_id, sum(c * c) AS s FROM qv GROUP BY ALL),
+al AS (SELECT q_id, item, label, round(coalesce(d, 0) / sqrt(qn.s * cn.s), 6) AS score FROM qn CROSS JOIN cn LEFT JOIN dot USING (q_id, item, label)), kl AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY score DESC, item) AS r FROM al), ve AS (SELECT q_id, item, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, label, item) AS rank FROM kl WHERE r <= 15),
+fu AS (SELECT q_id, item, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score, string_agg(s, '+' ORDER BY s) AS sources FROM (SELECT *, 'keyword' AS s FROM kw WHERE rank <= 15 UNION ALL SELECT *, 'vector' FROM ve WHERE rank <= 15) GROUP BY 1, 2),
+be AS (SELECT q_id, parent, max(score) AS score, arg_max(sources, (score, -item)) AS sources FROM fu JOIN co USING (item) GROUP BY 1, 2), ra AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, parent) AS rank FROM be) SELECT q_id, parent, rank, score, sources FROM ra WHERE rank <= 5""")
+def search_conversations(spark, d):
+    """Keywords and vectors over all turns, fused and rolled up to conversations; every benchmark item is a query."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.col("conv_id").alias("parent"), F.col("role").alias("label"), "text")
+    corpus, _ = search.embed(turns, search.hashed_features, "hashed-256")
+    return search.search(corpus, table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), "text"), search.hashed_features, "hashed-256")
