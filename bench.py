@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-HEADLINE = ["ledger_coverage", "two_hop_pairs", "sibling_pairs", "cross_completeness", "co_membership", "reachable_states", "shortest_setup", "bounded_impact_3hop", "truth_table", "interval_gap_sweep", "cov_guard", "bm25_topk", "cosine_topk", "rrf_fuse", "asof_state", "model_diff", "drift_3way", "exposure_bands"]
+HEADLINE = ["ledger_coverage", "two_hop_pairs", "sibling_pairs", "cross_completeness", "co_membership", "reachable_states", "shortest_setup", "bounded_impact_3hop", "truth_table", "interval_gap_sweep", "cov_guard", "bm25_topk", "cosine_topk", "rrf_fuse", "asof_state", "model_diff", "drift_3way", "exposure_bands", "validation_findings", "generated_pairs", "evidence_candidates", "link_proposals", "check_chains", "synthesised_transitions", "search_conversations", "pairwise_cases"]
 
 
 def main() -> None:

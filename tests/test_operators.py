@@ -1,5 +1,10 @@
 """Operators on small graphs with known answers."""
 
+import random
+import time
+
+import pytest
+
 from pyspark.sql import functions as F
 
 from statewake.functions import scores
@@ -121,3 +126,37 @@ def test_reachability_of_a_long_chain(spark):
     edges = spark.createDataFrame([(1, f"e{i:03}", f"s{i}", f"s{i + 1}", "implemented") for i in range(n)], "model_id long, id string, source string, target string, status string").coalesce(1)
     got = graph.reachability(edges, spark.createDataFrame([(1, "s0")], "model_id long, state string")).collect()
     assert {r.state: r.depth for r in got} == {f"s{i}": i for i in range(n + 1)} and [r.state for r in got if r.terminal] == [f"s{n}"]
+
+
+@pytest.mark.parametrize("small", [2000, 3, 0])
+def test_small_and_large_models_are_walked_alike(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng, rows, starts, want = random.Random(6), [], [], {}
+    for m in range(12):
+        n = rng.randint(1, 7)
+        steps = [(rng.choice(["a", "b", "c"]) + str(i % 3), f"s{rng.randint(0, n)}", f"s{rng.randint(0, n)}") for i in range(rng.randint(0, 14))]
+        begun = {f"s{rng.randint(0, n)}" for _ in range(rng.randint(0, 2))}
+        rows += [(m, *s) for s in steps] + [(m, "z", None, "s0"), (m, "z", "s0", None)]
+        starts += [(m, s) for s in begun]
+        ways = {s: () for s in begun}
+        front = dict(ways)
+        while front:
+            met = {}
+            for s, way in front.items():
+                for i, a, b in steps:
+                    if a == s and b not in ways:
+                        met[b] = min(met.get(b, (*way, i)), (*way, i))
+            ways |= met
+            front = met
+        want |= {(m, s): list(w) for s, w in ways.items()}
+    for cap in (None, 2):
+        got = graph.setup_paths(spark.createDataFrame(rows, "model_id int, id string, source string, target string"), spark.createDataFrame(starts, "model_id int, state string"), cap).collect()
+        assert {(r.model_id, r.state): r.path for r in got} == {k: w for k, w in want.items() if cap is None or len(w) <= cap} and all(r.depth == len(r.path) for r in got) and len(got) == len({(r.model_id, r.state) for r in got})
+
+
+def test_a_chain_of_a_thousand_states(spark):
+    n = 1000
+    chain = spark.createDataFrame([(1, f"e{i:04}", f"s{i}", f"s{i + 1}") for i in range(n)], "model_id long, id string, source string, target string")
+    began = time.time()
+    got = graph.setup_paths(chain, spark.createDataFrame([(1, "s0")], "model_id long, state string"))
+    assert sorted(r.depth for r in got.select("depth").collect()) == list(range(n + 1)) and time.time() - began < 60
