@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewake.operators import evidence, synthesis, techniques
+from statewake.operators import evidence, graph, synthesis, techniques
 from statewake.plans.machine import table
 from statewake.plans.model_plans import GM, guarded
 from statewake.plans.registry import query
+from statewake.sources import captured
 
 #: The facts, in SQL that both engines read. Endpoints on one route of a service create and read one
 #: resource; line numbers that repeat within an order are ties, and some lines want to come before the one above.
@@ -240,3 +241,41 @@ SELECT f.k, cs.case_no::INT AS case_no, f.name, f.levels[c[f.i + 1] % 2 + 1] AS
 def pairwise_cases(spark, d):
     """All pairs of the levels of each order's inputs: one input for each of its line numbers."""
     return techniques.pairwise(_factors(spark, d), ["k"])
+
+
+# captured sources
+@query("""SELECT source AS folder, sum(1 + length(x) - length(replace(x, chr(10), '')))::BIGINT AS lines, sum(strlen(x) + 1)::BIGINT AS bytes FROM (SELECT source, coalesce(text, '') AS x FROM documents) WHERE source LIKE 'src1%' GROUP BY 1""")
+def checkout_lines(spark, d):
+    """The documents written as the files of a checkout, a folder a source, and read back by folder."""
+    captured.register(spark)
+    root = graph.scratch(table(spark, d, "documents"))
+    table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 500).text(root)
+    files = spark.read.format("checkout").option("path", root).load().where(F.col("folder").startswith("source=src1") & (F.col("extension") == "txt"))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.groupBy(F.substr("folder", F.lit(8)).alias("folder")).agg(F.sum(n).cast("long").alias("lines"), F.sum("size").alias("bytes"))
+
+
+_TYPE = ["Story", "Bug", "New Feature", "Spike", "sub-task"]
+_STATE = ["To Do", "In Review", "Awaiting Signoff", "Done", "On Hold", ""]
+_PRIO = ["P0", "Trivial", "moderate", "soon", ""]
+
+
+def _pick(key, values):
+    return f"CASE {key} % {len(values)} {' '.join(f'WHEN {i} THEN {chr(39)}{v}{chr(39)}' for i, v in enumerate(values))} END"
+
+
+@query(f"""SELECT lang || ':D-' || doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'story' WHEN 1 THEN 'defect' WHEN 2 THEN 'feature' ELSE 'task' END AS primary_type, CASE doc_id % 6 WHEN 0 THEN 'draft' WHEN 1 THEN 'active' WHEN 3 THEN 'completed' WHEN 4 THEN 'deferred' END AS summary_status,
+CASE (doc_id // 7) % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'optional' WHEN 2 THEN 'medium' END AS priority, CASE WHEN doc_id % 6 < 5 THEN {_pick("doc_id", _STATE)} END AS observed, source AS labels, length(text)::INT AS description FROM documents WHERE lang IN ('de', 'fr')""")
+def tracker_intake(spark, d):
+    """Documents as captured tracker pages of fifty items, a system a language; two systems are read, as intake documents."""
+    captured.register(spark)
+    docs = table(spark, d, "documents")
+    pick = lambda key, values: F.get(F.array(*map(F.lit, values)), F.expr(f"cast({key} % {len(values)} as int)"))
+    named = lambda c: F.struct(c.alias("name"))
+    fields = F.struct(F.col("source").alias("summary"), F.col("text").alias("description"), named(pick("doc_id", _TYPE)).alias("issuetype"), named(pick("doc_id", _STATE)).alias("status"), named(pick("(doc_id div 7)", _PRIO)).alias("priority"), F.array("source", "source").alias("labels"))
+    pages = docs.groupBy(F.col("lang").alias("system"), F.expr("doc_id div 50").alias("page")).agg(F.collect_list(F.struct(F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("key"), fields.alias("fields"))).alias("issues"))
+    root = graph.scratch(docs)
+    pages.select("system", "issues").write.partitionBy("system").json(root)
+    items = spark.read.format("tracker_pages").option("path", root).load().where(F.col("system").isin("de", "fr"))
+    out = captured.intake_documents(items, "2024-01-01T00:00:00Z")
+    return out.select("id", "scope.primary_type", "metadata.status.summary_status", "metadata.priority", F.get("facts", F.lit(0))["value"].alias("observed"), F.array_join("metadata.labels", ",").alias("labels"), F.length("metadata.description").alias("description"))
