@@ -10,8 +10,9 @@ since copies of a page share their whole article; a page whose lines would all g
 are not furniture. Where nothing is declared and most of the long lines are shared, the neighbour is
 a near copy, which says nothing about the page's furniture, and shared lines are restored too.
 
-Parts of class, id and role words mark furniture, but whole ones alone do so inside an article, and
-html and body never are. That markup decides where it declares an article is a departure from the
+Parts of class, id and role words mark furniture, and html and body never are. Inside an article whole
+words do so, and of a class in parts (comment-list, newsletter-signup, text-ad) the first and last word;
+a block named share, social or menu there is furniture only if it holds links or controls. That markup decides where it declares an article is a departure from the
 method, since differencing can't give right results there: on the pages of sf0.1 92 % of the furniture
 lines stand on none of the four nearest pages, and lines of copied articles do. A page on which that leaves no article and no main, but it has such elements
 or nothing else, is read again with whole words alone (and those for comments, related pages and
@@ -39,6 +40,8 @@ from pyspark.sql.window import Window
 from statewake.llm.common import Scratch
 
 FURNITURE, OPEN, MAIN, ARTICLE = 0, 1, 2, 3
+#: Inside an article: furniture if links or controls turn up within.
+MAYBE = -1
 #: Characters of a line that is taken for content and not for a menu's or footer's.
 LONG_LINE = 40
 # fixed values: element names and the words in class, id and role that mark page furniture
@@ -49,6 +52,10 @@ ALWAYS_FURNITURE = {"nav", "footer", "aside", "form", "button", "dialog", "head"
 ALWAYS_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "share", "sharing", "social", "related", "newsletter", "subscribe", "cookie", "cookies", "consent", "popup", "modal", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "complementary"}
 #: Of ALWAYS_WORDS, those that mark furniture also as parts of a name where layout words (has-sidebar, nav-open) do not.
 CONTENT_WORDS = {"advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "related"}
+#: First or last words of a class that mark furniture inside an article, and whole words that do so only with links or controls.
+END_WORDS = {"advert", "adverts", "advertisement", "advertising", "ad", "ads", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "newsletter", "subscribe", "cookie", "cookies", "consent", "notice", "share", "sharing", "social"}
+SOFT_WORDS = {"share", "sharing", "social", "menu", "nav", "navigation"}
+CONTROLS = {"a", "button", "input", "select", "textarea", "form"}
 OUTSIDE_WORDS = {"header", "masthead", "banner", "footer", "contentinfo", "notice", "alert", "widget", "toolbar", "search"}
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
@@ -57,16 +64,19 @@ DECLARES = re.compile(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main", re.IGNORE
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 
 
-def _words(attributes: str) -> tuple[set[str], set[str], bool]:
-    """The words of class, id and role, in parts and whole, and whether the element is hidden."""
-    found, whole, hidden = set(), set(), False
+def _words(attributes: str) -> tuple[set[str], set[str], set[str], bool]:
+    """The words of class, id and role, in parts and whole, the first and last parts of classes, and whether the element is hidden."""
+    found, whole, ends, hidden = set(), set(), set(), False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            found |= set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            apart = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
+            found |= set(re.findall(r"[a-z]+", apart))
             whole |= set(value.lower().split())
+            if name == "class":
+                ends |= {parts[k] for word in apart.split() if len(parts := re.findall(r"[a-z]+", word)) > 1 for k in (0, -1)}
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
-    return found, whole, hidden
+    return found, whole, ends, hidden
 
 
 #: Elements that, left open, do not keep an article in them from being one.
@@ -75,11 +85,15 @@ LOOSE = {"nav", "header", "ul", "li", "a", "head"}
 
 def _place(name: str, attributes: str, now: int, firm: bool, strict: bool) -> int:
     """Where the inside of an element stands; firm: furniture around it that was surely meant to be."""
-    words, whole, hidden = _words(attributes) if attributes.strip() else (set(), set(), False)
+    words, whole, ends, hidden = _words(attributes) if attributes.strip() else (set(), set(), set(), False)
     if name in ("html", "body"):
         return MAIN if "main" in whole and "role" in attributes else now
     if now in (MAIN, ARTICLE) or name in ("article", "main") and not strict:
         words = whole
+        if now in (MAIN, ARTICLE) and name not in ("article", "main"):
+            words = whole | ends & END_WORDS
+            if not hidden and name not in ALWAYS_FURNITURE and name not in INLINE and (hits := words & ALWAYS_WORDS) and hits <= SOFT_WORDS:
+                return MAYBE
     elif name in ("article", "main") or not strict:
         words = whole | words & CONTENT_WORDS
     if hidden or name in ALWAYS_FURNITURE or words & ALWAYS_WORDS:
@@ -131,9 +145,9 @@ def _tags(html: str):
 
 def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
     out, parts = [], []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, tuple[int, int] | None]] = []
     opened: dict[str, int] = {}
-    at, place, firm, skip = 0, OPEN, 0, None
+    at, place, firm, skip, controls = 0, OPEN, 0, None, 0
 
     def end_block():
         if parts:
@@ -141,9 +155,16 @@ def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
                 out.append((text, place))
             parts.clear()
 
-    def solid(x: tuple[str, int]) -> bool:
+    def solid(x: tuple) -> bool:
         return x[1] == FURNITURE and x[0] not in LOOSE
 
+    def settle(ended: list[tuple]) -> None:
+        """Blocks that may be furniture are, if controls turned up since they began."""
+        for *_, mark in ended:
+            if mark and controls > mark[1]:
+                end_block()
+                out[mark[0] :] = [(text, FURNITURE) for text, _ in out[mark[0] :]]
+
     tags = _tags(html)
     while True:
         try:
@@ -158,11 +179,13 @@ def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
             continue
         if name not in INLINE:
             end_block()
+        controls += not closes and name in CONTROLS
         if closes:
             if opened.get(name):
                 k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
                 if stack[k - 1][1] != place if k else place != OPEN:
                     end_block()
+                settle(stack[k:])
                 for x in stack[k:]:
                     opened[x[0]] -= 1
                     firm -= solid(x)
@@ -179,10 +202,12 @@ def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
                     stack = [x for x in stack if x[0] != "head"]
                     opened["head"] = 0
                 place = OPEN
-            inner = _place(name, attributes, place, firm > 0, strict)
+            inner, mark = _place(name, attributes, place, firm > 0, strict), None
             if inner != place:
                 end_block()
-            stack.append((name, inner))
+            if inner == MAYBE:
+                inner, mark = place, (len(out), controls)
+            stack.append((name, inner, mark))
             opened[name] = opened.get(name, 0) + 1
             firm += solid(stack[-1])
             place = inner
@@ -190,6 +215,7 @@ def _lines(html: str, strict: bool) -> list[tuple[str, int]]:
     cut = re.compile(r"<[A-Za-z/!]").search(html, at)
     parts.append(html[at : cut.start()] if cut else html[at:])
     end_block()
+    settle(stack)
     return out
 
 

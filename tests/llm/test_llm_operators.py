@@ -581,6 +581,16 @@ def test_page_text_furniture_words(page):
     assert page_text.main_text(page_text.page_lines(page), []) == "story"
 
 
+@pytest.mark.parametrize("inside, kept", [
+    ("<div class='comment-list'><p>no</p></div>", ""), ("<div class='newsletter-signup'>no</div>", ""), ("<div class='ad-slot'>no</div>", ""), ("<div class='social-share'><a href='x'>no</a></div>", ""), ("<section class='userComments'>no</section>", ""), ("<div class='cookie_notice'>no</div>", ""),
+    ("<p class='share price'>The share price rose.</p>", "The share price rose."), ("<div class='share'><p>x</p><button>b</button></div>", ""), ("<ul class='menu'><li>soup</li><li>fish</li></ul>", "soup fish"), ("<ul class='menu'><li><a href='/'>home</a></li></ul>", ""), ("<h2 id='related-work'>R</h2>", "R"), ("<p class='adjust hard-ship'>y</p>", "y"),
+    ("<div class='menu'><p>open", "open"), ("<div class='menu'><p>open <a href='x'>z", ""), ("<div class='social'><p>a</p></div><p><a href='x'>l</a></p>", "a l"),
+])
+def test_page_text_inside_articles(spark, inside, kept):
+    lines = page_text.page_lines(f"<body><article><p>begin</p>{inside}</article></body>")
+    assert " ".join(t for t, place in lines if place == page_text.ARTICLE) == f"begin {kept}".strip()
+
+
 def test_page_text_near_copy(spark):
     lines = [f"<p>This is sentence {i} of a longer story that both of the pages tell.</p>" for i in range(5)]
     pages = spark.createDataFrame([(1, "http://h/1", "".join(lines)), (2, "http://h/2", "".join([*lines[:3], "<p>changed</p>", *lines[3:]]))], "page_id long, url string, html string")
