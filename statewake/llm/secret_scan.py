@@ -3,7 +3,8 @@
 Every whole text is scanned for three kinds of secret. A text with percent escapes, or with backslash
 Unicode escapes, is decoded as a whole; runs that look like base64 (also wrapped over lines, and from
 each alignment that a '/', '-', '_' or line break begins) are decoded each; gzip, zlib, bzip2 and xz
-data is opened wherever it begins in decoded bytes. Bytes that are no UTF-8 become replacement
+data is opened wherever it begins in decoded bytes, and deflate data without a header where it is all of
+them. Bytes with a zero beside most of them are read as UTF-16 too. Bytes that are no UTF-8 become replacement
 characters. All these are layers: each layer is scanned and searched for further runs, and so on until nothing new appears. A
 layer text seen before in the document is not opened again, so cycles end. Spans of decoded layers
 are mapped back to the code points of the original text that carry them.
@@ -38,7 +39,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 ESCAPED_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ONE_UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+ONE_UNICODE = re.compile(r"\\u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|%u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
 COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
@@ -137,10 +138,15 @@ def _inflate(data: bytes, limit: int, left: list[int]) -> Iterator[bytes]:
             break
         read.append(b"")  # an end: nothing more is kept
         parts = itertools.chain([begin], inner)
+    yield from _pieces(parts, half)
+
+
+def _pieces(parts: Iterator[bytes], half: int) -> Iterator[bytes]:
+    """Pieces of twice a size, of which each begins with the second half of the one before."""
     held = b""
     for part in parts:
         held += part
-        if len(held) >= 2 * half:
+        while len(held) >= 2 * half:
             yield held[: 2 * half]
             held = held[half:]
     if held:
@@ -193,7 +199,52 @@ def _from_bytes(layer: Layer, data: bytes, lo: np.ndarray, hi: np.ndarray, limit
     if text:
         ends = np.cumsum(_byte_lengths(text))
         yield layer.inner(text if data.isascii() else REPLACED.sub("\ufffd", text), lo[np.concatenate([[0], ends[:-1]])], hi[ends - 1])
+    for units in _utf16(data):
+        at = 2 * np.arange(len(units))
+        yield layer.inner(units.astype("<u4").tobytes().decode("utf-32-le", "replace"), lo[at], hi[at + 1])
     yield from _inflated(layer, data, lo, hi, limit)
+    if _is_deflate(data, limit):
+        for piece in _pieces(_deflated(data, max(limit // 2, 1)), max(limit // 2, 1)):
+            yield layer.whole(piece.decode("utf-8", "replace"), int(lo[0]), int(hi[-1]))
+
+
+def _utf16(data: bytes) -> Iterator[np.ndarray]:
+    """The code units of bytes that look like UTF-16: at least three in four have a zero as their high byte."""
+    n = len(data) // 2
+    if n >= 4:
+        for high, kind in ((1, "<u2"), (0, ">u2")):
+            if 4 * data[high : 2 * n : 2].count(0) >= 3 * n:
+                yield np.frombuffer(data, kind, n)
+
+
+def _deflated(data: bytes, size: int) -> Iterator[bytes]:
+    """The content of deflate data without a header, in parts, and at last whether it was whole and all."""
+    d, rest = _Zlib(-15), data
+    while not d.eof:
+        try:
+            out = d.decompress(rest, size)
+        except zlib.error:
+            return
+        rest = b""
+        if out:
+            yield out
+        elif d.needs_input and not d.eof:
+            return
+    if not d.unused_data:
+        yield b""
+
+
+def _is_deflate(data: bytes, limit: int) -> bool:
+    """Whether bytes are deflate data without a header and nothing else; the first piece has to be text."""
+    if len(data) < 12 or data[0] & 6 == 6:
+        return False
+    last = first = None
+    for last in _deflated(data, max(limit // 2, 1)):
+        if first is None:
+            first = last[:4096]
+            if first.decode("utf-8", "ignore").isprintable() is False and sum(b < 9 for b in first) * 8 > len(first):
+                return False
+    return bool(first) and last == b""
 
 
 def _open_url(layer: Layer, limit: int) -> Iterator[Layer]:
@@ -228,7 +279,7 @@ def _open_unicode(layer: Layer, limit: int) -> Iterator[Layer]:
         lo.append(np.arange(at, m.start() + 1))
         hi.append(np.append(np.arange(at + 1, m.start() + 1), m.end()))
         e, at = m.group(), m.end()
-        code = int(e[2:], 16) if len(e) != 12 else 0x10000 + (int(e[2:6], 16) - 0xD800 << 10) + int(e[8:], 16) - 0xDC00
+        code = int(e[2:].strip("{}"), 16) if len(e) != 12 else 0x10000 + (int(e[2:6], 16) - 0xD800 << 10) + int(e[8:], 16) - 0xDC00
         out.append("\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code))
     if at:
         out.append(t[at:])
@@ -269,7 +320,7 @@ def _layers(layer: Layer, limit: int) -> Iterator[Layer]:
     t = layer.text
     if "%" in t:
         yield from _open_url(layer, limit)
-    if "\\" in t:
+    if "\\" in t or "%u" in t:
         yield from _open_unicode(layer, limit)
     for pattern in (BASE64, WRAPPED):
         for m in pattern.finditer(t):
