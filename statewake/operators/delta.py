@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """ADDED, REMOVED, MODIFIED or UNCHANGED for each key of either table, by one full outer join."""
+def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], quiet: list[str] | None = None) -> DataFrame:
+    """ADDED, REMOVED, MODIFIED or UNCHANGED for each key of either table, by one full outer join.
+
+    With quiet, the fields that say nothing about behaviour (a name), invalidates tells whether another one
+    was modified, which ends an approval. Keys are not null and stand once on a side.
+    """
     a = old.select(*keys, F.lit(True).alias("_a"), *(F.col(c).alias(f"old_{c}") for c in fields))
     b = new.select(*keys, F.lit(True).alias("_b"), *(F.col(c).alias(f"new_{c}") for c in fields))
     same = F.lit(True)
     for c in fields:
         same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
     change = F.when(F.col("_a").isNull(), "ADDED").when(F.col("_b").isNull(), "REMOVED").when(same, "UNCHANGED").otherwise("MODIFIED")
-    return a.join(b, keys, "full_outer").withColumn("change", change).drop("_a", "_b")
+    rows = a.join(b, keys, "full_outer").withColumn("change", change)
+    if quiet is not None:
+        loud = F.lit(False)
+        for c in fields:
+            loud = loud if c in quiet else loud | ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
+        rows = rows.withColumn("invalidates", (F.col("change") == "MODIFIED") & loud)
+    return rows.drop("_a", "_b")
 
 
 def drift(last: DataFrame, published: DataFrame, new: DataFrame, key: str) -> DataFrame:

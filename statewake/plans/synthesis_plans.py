@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewake.operators import evidence, graph, synthesis, techniques
+from statewake.operators import carry, evidence, graph, overrides, synthesis, techniques
 from statewake.plans.machine import table
 from statewake.plans.model_plans import GM, guarded
 from statewake.plans.registry import query
@@ -279,3 +279,36 @@ def tracker_intake(spark, d):
     items = spark.read.format("tracker_pages").option("path", root).load().where(F.col("system").isin("de", "fr"))
     out = captured.intake_documents(items, "2024-01-01T00:00:00Z")
     return out.select("id", "scope.primary_type", "metadata.status.summary_status", "metadata.priority", F.get("facts", F.lit(0))["value"].alias("observed"), F.array_join("metadata.labels", ",").alias("labels"), F.length("metadata.description").alias("description"))
+
+
+# history
+@query("""WITH k AS (SELECT l_orderkey % 200 AS model_id, l_partkey % 40 AS key, l_linestatus = 'F' AS is_old, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS id, 'S' || (l_partkey % 4) AS source, 't' || (l_partkey % 8) AS tr, CASE WHEN l_suppkey % 3 = 0 THEN 'Rejected' ELSE 'Approved' END AS life, 'g' || (l_quantity > 2) AS guard, l_returnflag AS name FROM lineitem),
+u AS (SELECT model_id, key, is_old, source, tr, min(id) AS id FROM k GROUP BY ALL), v AS (SELECT u.*, max(life) AS life, max(guard) AS guard, max(name) AS name FROM u JOIN k USING (model_id, key, is_old, id) GROUP BY ALL),
+d AS (SELECT coalesce(o.model_id, n.model_id) AS model_id, coalesce(o.key, n.key) AS key, o.key IS NOT NULL AND n.key IS NOT NULL AS both_, o.key IS NULL OR n.key IS NULL OR o.guard <> n.guard OR o.name <> n.name AS changed, o.guard <> n.guard AS loud, o.life FROM (SELECT * FROM v WHERE is_old) o FULL JOIN (SELECT * FROM v WHERE NOT is_old) n ON o.model_id = n.model_id AND o.key = n.key),
+gr AS (SELECT DISTINCT v.model_id, source, tr FROM v JOIN d ON d.model_id = v.model_id AND d.key = v.key AND changed)
+SELECT v.model_id, v.key, CASE WHEN NOT both_ THEN 'Quarantine' WHEN d.life = 'Approved' AND (loud OR gr.tr IS NOT NULL) THEN 'Quarantine' ELSE d.life END AS lifecycle, both_ AS carried, CASE WHEN both_ AND d.life = 'Approved' THEN CASE WHEN loud THEN 'behaviour changed' WHEN gr.tr IS NOT NULL THEN 'group was disturbed' END END AS revoked
+FROM v JOIN d ON d.model_id = v.model_id AND d.key = v.key LEFT JOIN gr ON gr.model_id = v.model_id AND gr.source = v.source AND gr.tr = v.tr WHERE NOT is_old""")
+def carried_facts(spark, d):
+    """Shipped lines stand for an earlier model, open ones for what was extracted anew."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("model_id"), (F.col("l_partkey") % 40).alias("key"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("id"), F.concat(F.lit("S"), (F.col("l_partkey") % 4).cast("string")).alias("source"), F.concat(F.lit("t"), (F.col("l_partkey") % 8).cast("string")).alias("trigger"),
+                                              F.when(F.col("l_suppkey") % 3 == 0, "Rejected").otherwise("Approved").alias("lifecycle"), F.concat(F.lit("g"), (F.col("l_quantity") > 2).cast("string")).alias("guard"), F.col("l_returnflag").alias("name"), (F.col("l_linestatus") == "F").alias("old"))
+    same = ["model_id", "key", "old", "source", "trigger"]
+    one = rows.join(rows.groupBy(*same).agg(F.min("id").alias("id")), [*same, "id"]).groupBy(*same, "id").agg(*(F.max(c).alias(c) for c in ("lifecycle", "guard", "name")))
+    new = one.where("not old").drop("old").withColumn("lifecycle", F.lit("Quarantine"))
+    return carry.transitions(one.where("old").drop("old"), new, ["guard", "name"]).select("model_id", "key", "lifecycle", "carried", "revoked")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS m, event_type AS id, event_id AS seq, CAST(props->>'$.k' AS INT) AS k FROM events), l AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'add' WHEN k % 4 = 1 THEN 'remove' ELSE 'modify' END AS op, CASE WHEN k % 3 = 0 THEN 'source' ELSE 'guard' END AS prop, CASE WHEN k % 5 > 0 THEN 'v' || (k % 7) END AS val, row_number() OVER (PARTITION BY m, id ORDER BY seq) AS n FROM e),
+s AS (SELECT DISTINCT m, id, (m + length(id)) % 2 = 0 AS there, CASE WHEN (m + length(id)) % 2 = 0 THEN 'v1' END AS src, CASE WHEN (m + length(id)) % 2 = 0 THEN 'v2' END AS grd FROM e),
+w AS (SELECT m, id, 0::BIGINT AS n, there, src, grd, false AS touched FROM s UNION ALL SELECT w.m, w.id, l.n, CASE op WHEN 'add' THEN true WHEN 'remove' THEN false ELSE there END, CASE WHEN op = 'add' AND NOT there THEN val WHEN op = 'modify' AND there AND prop = 'source' THEN val ELSE src END,
+  CASE WHEN op = 'add' AND NOT there THEN NULL WHEN op = 'modify' AND there AND prop = 'guard' THEN val ELSE grd END, touched OR (op = 'add') <> there FROM w JOIN l ON l.m = w.m AND l.id = w.id AND l.n = w.n + 1)
+SELECT m AS model_id, id, CASE WHEN touched THEN 'Quarantine' ELSE 'Approved' END AS lifecycle, src AS "source", grd AS guard FROM w WHERE there AND n = (SELECT max(x.n) FROM w x WHERE x.m = w.m AND x.id = w.id)""")
+def override_replay(spark, d):
+    """Every event is an edit of its user's element of that type; half of the elements are in the source."""
+    k = F.col("k")
+    e = table(spark, d, "events").select(F.col("user_id").alias("model_id"), F.lit("transition").alias("kind"), F.col("event_type").alias("id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    value = F.when(k % 5 > 0, F.concat(F.lit("v"), (k % 7).cast("string")))
+    log = e.select("model_id", "kind", "id", "seq", F.when(k % 4 == 0, "add").when(k % 4 == 1, "remove").otherwise("modify").alias("operation"), F.when(k % 3 == 0, "source").otherwise("guard").alias("prop"), F.lit("v1").alias("previous_value"), value.alias("new_value"), F.create_map(F.lit("source"), value).alias("payload"), F.lit("ann").alias("author"))
+    there = e.select("model_id", "kind", "id").distinct().where((F.col("model_id") + F.length("id")) % 2 == 0)
+    elements = there.select("*", F.lit("Approved").alias("lifecycle"), F.create_map(F.lit("source"), F.lit("v1"), F.lit("guard"), F.lit("v2")).alias("props"))
+    return overrides.replay(elements, log).select("model_id", "id", "lifecycle", F.try_element_at("props", F.lit("source")).alias("source"), F.try_element_at("props", F.lit("guard")).alias("guard"))

@@ -124,3 +124,24 @@ def test_a_broken_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
         fresh.load(two)
     assert rows(fresh, "key", "text", "valid_to") == before
     assert fresh.land(incoming(spark, [("a", "two")], "2021")) == 3 and fresh.read().count() == 3
+
+
+# human facts
+def test_human_facts_survive(spark):
+    from statewake.operators import carry, delta
+
+    t = "model_id string, key string, id string, source string, trigger string, lifecycle string, guard string, name string"
+    old = [("m", "same", "1", "S", "a", "Approved", "g", "n"), ("m", "named", "2", "S", "b", "Approved", "g", "old"), ("m", "guarded", "3", "S", "c", "Approved", "g", "n"), ("m", "sibling", "4", "S", "c", "Approved", "g", "n"), ("m", "gone", "5", "S", "d", "Approved", "g", "n"), ("m", "beside", "6", "S", "d", "Approved", "g", "n"), ("m", "bad", "7", "S", "e", "Rejected", "g", "n"), ("m", "null", "8", "S", "f", "Approved", None, "n"), ("m", "null", "9", "S", "f", "Rejected", "z", "n"), ("o", "same", "1", "S", "c", "Approved", "g", "n")]
+    new = [("m", "same", "a", "S", "a", "Quarantine", "g", "n"), ("m", "named", "b", "S", "b", "Quarantine", "g", "new"), ("m", "guarded", "c", "S", "c", "Quarantine", "h", "n"), ("m", "sibling", "d", "S", "c", "Quarantine", "g", "n"), ("m", "beside", "e", "S", "d", "Quarantine", "g", "n"), ("m", "bad", "f", "S", "e", "Quarantine", "h", "n"), ("m", "null", "g", "S", "f", "Quarantine", None, "n"), ("m", "fresh", "h", "S", "z", "Quarantine", "g", "n"), ("o", "same", "a", "S", "c", "Quarantine", "g", "n")]
+    p, c = spark.createDataFrame(old, t), spark.createDataFrame(new, t)
+    got = {(r.model_id, r.key): (r.lifecycle, r.carried, r.revoked) for r in carry.transitions(p, c, ["guard", "name"]).collect()}
+    assert got == {
+        ("m", "same"): ("Approved", True, None), ("m", "named"): ("Quarantine", True, "group was disturbed"), ("m", "guarded"): ("Quarantine", True, "behaviour changed"), ("m", "sibling"): ("Quarantine", True, "group was disturbed"),
+        ("m", "beside"): ("Quarantine", True, "group was disturbed"), ("m", "bad"): ("Rejected", True, None), ("m", "null"): ("Approved", True, None), ("m", "fresh"): ("Quarantine", False, None), ("o", "same"): ("Approved", True, None),
+    }
+    d = {r.key: (r.change, r.invalidates) for r in delta.keyed_diff(p.where("model_id = 'm' and id < '8'"), c.where("model_id = 'm' and key <> 'null'"), ["model_id", "key"], ["guard", "name"], ["name"]).collect()}
+    assert d["named"] == ("MODIFIED", False) and d["guarded"] == ("MODIFIED", True) and d["gone"] == ("REMOVED", False) and d["fresh"] == ("ADDED", False)
+    s = "model_id string, key string, id string, name string, lifecycle string, name_tier string, surface string"
+    ps, cs = spark.createDataFrame([("m", "k", "1", "Paid", "Approved", "human", "api"), ("m", "l", "1", "L", "Approved", "", "api")], s), spark.createDataFrame([("m", "k", "x", "PAID200", "Quarantine", "code", "ui"), ("m", "l", "y", "l2", "Quarantine", "code", "ui"), ("m", "n", "z", "N", "Quarantine", "code", "ui")], s)
+    assert sorted((r.key, r.name, r.lifecycle, r.name_tier, r.surface, r.carried) for r in carry.states(ps, cs).collect()) == [("k", "Paid", "Approved", "human", "ui", True), ("l", "L", "Approved", "code", "ui", True), ("n", "N", "Quarantine", "code", "ui", False)]
+    assert carry.transitions(p.limit(0), c.limit(0), ["guard"]).collect() == []
