@@ -1,23 +1,17 @@
-"""Claims with validity windows as a versioned table on Parquet.
+"""Claims with validity windows as a versioned table (see ``versions``).
 
-Rows lie in buckets by key. A change writes the buckets that it touches anew, in a folder of the next
-version, checks that no key has two open rows, and then puts that version's manifest in place, which
-names the folder of each bucket. It is written beside and renamed, so that a write that is broken off
-leaves the version before as it was, and of two writers of one version the second fails. Old versions
-stay readable.
-
-A claim is (key, id, text, revision, valid_from, valid_to, lifecycle); an open window has a null
-valid_to. Nothing is deleted. Null keys and ids are refused; an empty change makes no version.
+A claim is (key, id, text, revision, valid_from, valid_to, lifecycle); an open window has a null valid_to.
+Before a version is switched to, no key may have two open rows. Nothing is deleted. Null keys and ids are
+refused; an empty change makes no version.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewake.sources.versions import Change, VersionedTables
+
 SCHEMA = "key string, id string, text string, revision long, valid_from string, valid_to string, lifecycle string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -31,86 +25,25 @@ class ClaimsTable:
     """The table in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path = spark, path.rstrip("/")
-        found = self._manifest()
-        self.buckets = found["buckets"] if found else buckets
-
-    # versions
-    def _files(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _hadoop(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def versions(self) -> list[int]:
-        """The numbers of the versions, whole or not, in order."""
-        fs, folder = self._files(), self._hadoop("manifests")
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
-
-    def _manifest(self, version: int | None = None) -> dict | None:
-        for v in reversed(self.versions()) if version is None else [version]:
-            text = "".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{v}").collect())
-            try:
-                return json.loads(text)
-            except json.JSONDecodeError:  # the write was broken off
-                continue
-        return None
+        self.tables = VersionedTables(spark, path, buckets)
 
     def version(self) -> int:
-        """The version that readers see; 0 for none."""
-        found = self._manifest()
-        return found["version"] if found else 0
+        return self.tables.version()
 
     def read(self, version: int | None = None) -> DataFrame:
-        found = self._manifest(version)
-        folders = sorted(set(found["folders"].values())) if found else []
-        if not folders:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self._rows(folders).select(*COLUMNS)
-
-    def _rows(self, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{f}" for f in folders))
+        return self.tables.read("claims", SCHEMA, version)
 
     def as_of(self, at: str) -> DataFrame:
         """The claims that hold at an instant, in half-open windows."""
         return self.read().where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
     # changes
-    def _bucket(self, column: str = "key"):
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
-
     def _commit(self, keys: DataFrame, change) -> int:
-        """Replace the rows of the buckets of keys by change(rows of these buckets); the new version, or the old one where there is nothing to do."""
-        now = self._manifest() or {"version": 0, "buckets": self.buckets, "folders": {}}
-        following = max(self.versions(), default=0) + 1
-        # as many rows as there are buckets
-        touched = sorted(r.b for r in keys.select(self._bucket().alias("b")).distinct().collect())
-        if not touched:
-            return now["version"]
-        old = [now["folders"][str(b)] for b in touched if str(b) in now["folders"]]
-        rows = change(self._rows(old) if old else self.spark.createDataFrame([], SCHEMA))
-        folder = f"data/{following}-{uuid.uuid4().hex[:8]}"
-        rows.select(*COLUMNS, self._bucket().alias("b")).repartition("b").write.partitionBy("b").parquet(f"{self.path}/{folder}")
-        written = self.spark.read.parquet(f"{self.path}/{folder}")
-        if (two := written.where("valid_to is null").groupBy("key").count().where("count > 1").select("key").limit(1).collect()):
-            raise ValueError(f"two open claims of one key: {two[0].key}")
-        made = {r.b for r in written.select("b").distinct().collect()}
-        folders = {b: f for b, f in now["folders"].items() if int(b) not in touched} | {str(b): f"{folder}/b={b}" for b in made}
-        self._publish(following, json.dumps({"version": following, "buckets": self.buckets, "folders": folders}))
-        return following
-
-    def _publish(self, version: int, text: str) -> None:
-        """Put a manifest in place; an error if the version is there already."""
-        beside, fs, jvm = self._hadoop(f"manifests/.{version}-{uuid.uuid4().hex[:8]}"), self._files(), self.spark._jvm
-        out = fs.create(beside, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(fs.makeQualified(beside), fs.makeQualified(self._hadoop(f"manifests/{version}")), plain)
+        def one_open(_: str, rows: DataFrame) -> None:
+            if two := rows.where("valid_to is null").groupBy("key").count().where("count > 1").select("key").limit(1).collect():
+                raise ValueError(f"two open claims of one key: {two[0].key}")
+
+        return self.tables.commit({"claims": Change(SCHEMA, "key", keys, change)}, one_open)
 
     def land(self, incoming: DataFrame) -> int:
         """Take in claims(key, text, valid_from), one a key, those that say what is current being left alone.

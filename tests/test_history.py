@@ -80,7 +80,7 @@ def test_claims_are_superseded_and_reopened(spark, tmp_path):
     assert rows(t, "key", "text", "revision", "valid_from", "valid_to") == sorted([("a", "one", 1, "2020", "2022"), ("a", "two", 2, "2022", None), ("b", "x", 1, "2020", None), ("c", None, 1, "2020", None), ("d", "y", 1, "2022", None)], key=repr)
     t.land(incoming(spark, [("a", "one")], "2023"))
     assert [r for r in rows(t, "key", "text", "revision", "valid_from", "valid_to") if r[0] == "a"] == [("a", "one", 3, "2020", None), ("a", "two", 2, "2022", "2023")]
-    assert sorted(r.text for r in t.as_of("2021").collect() if r.text) == ["one", "x"] and t.read(1).count() == 3 and t.versions() == [1, 2, 3]
+    assert sorted(r.text for r in t.as_of("2021").collect() if r.text) == ["one", "x"] and t.read(1).count() == 3 and t.tables.versions() == [1, 2, 3]
     # half-open: at the instant of change the new claim holds alone
     assert sorted(r.text for r in t.as_of("2022").where("key = 'a'").collect()) == ["one", "two"] and t.read(2).where("key = 'a' and valid_from <= '2022' and (valid_to is null or valid_to > '2022')").count() == 1
 
@@ -106,18 +106,18 @@ def test_a_broken_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
     before = rows(t, "key", "text", "valid_to")
     # broken off before the manifest
     with monkeypatch.context() as m:
-        m.setattr(t, "_hadoop", lambda name: (_ for _ in ()).throw(RuntimeError("gone")) if name.startswith("manifests/") else ClaimsTable._hadoop(t, name))
+        m.setattr(t.tables, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("gone")))
         with pytest.raises(RuntimeError):
             t.land(incoming(spark, [("a", "two")], "2021"))
     assert rows(t, "key", "text", "valid_to") == before and t.version() == 1
     # a second writer of one version fails
     with pytest.raises(Exception, match="exist"):
-        t._publish(1, "{}")
+        t.tables._publish(1, "{}")
     assert t.version() == 1
     # a manifest that is not whole
     (tmp_path / "claims/manifests/2").write_text('{"version": 2, "buck')
     fresh = ClaimsTable(spark, str(tmp_path / "claims"))
-    assert rows(fresh, "key", "text", "valid_to") == before and fresh.version() == 1 and fresh.buckets == 2
+    assert rows(fresh, "key", "text", "valid_to") == before and fresh.version() == 1 and fresh.tables.buckets == 2
     # two open rows of a key are refused before the switch
     two = spark.createDataFrame([("z", "z@1", "p", 1, "2020", None, "A"), ("z", "z@2", "q", 2, "2020", None, "A")], "key string, id string, text string, revision long, valid_from string, valid_to string, lifecycle string")
     with pytest.raises(ValueError, match="two open claims"):
