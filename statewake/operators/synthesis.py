@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewake.functions.scores import resource_of
+from statewake.operators import graph
 
 SERVICE = "service"
 CHAIN = [SERVICE, "endpoint_id"]
@@ -217,9 +218,13 @@ def synthesise(endpoints: DataFrame, outcomes: DataFrame, checks: DataFrame, mem
 
     Each constructed outcome is a transition, guarded by its checks in order, negated where its sense is
     ``!``, after the condition under which the endpoint does not reject. Each rejection is one more. Of
-    outcomes with one id the last (largest seq) stays. Endpoints without a transition are findings.
+    outcomes with one id the last (largest seq) stays. Endpoints without a transition are findings. What is
+    read more than once (outcomes, rejections, transitions) is written to the shared folder first.
     """
+    root = graph.scratch(outcomes)
+    outcomes = graph._written(outcomes, root, "outcomes")
     rejected, findings = rejections(endpoints, outcomes, members, mappings)
+    rejected = graph._written(rejected, root, "rejections")
     built = _keyed(outcomes).where("discriminator is null or discriminator <> 'declared'")
     words = built.select(SERVICE, "seq", F.posexplode("checks").alias("_k", "id")).join(checks.select(SERVICE, "id", "expression").distinct(), [SERVICE, "id"])
     words = words.groupBy(SERVICE, "seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("_k", "expression"))), lambda x: x.expression).alias("_w"))
@@ -237,6 +242,7 @@ def synthesise(endpoints: DataFrame, outcomes: DataFrame, checks: DataFrame, mem
         SERVICE, F.concat("endpoint_id", F.lit("->"), "target").alias("id"), "endpoint_id", start_state(F.col("trigger")).alias("source"), "trigger", "target", "guard",
         F.col("status").alias("outcome_status"), "claim", F.col("body").alias("response_body"), "constraints", F.lit(IMPLEMENTED).alias("status"), F.lit(QUARANTINE).alias("lifecycle"), F.lit(False).alias("source_unresolved"),
     )
+    t = graph._written(t, root, "transitions")
     names = t.select(SERVICE, F.col("source").alias("state"), F.lit(True).alias("_i")).unionAll(t.select(SERVICE, "target", F.lit(False)))
     states = names.groupBy(SERVICE, "state").agg(F.bool_or("_i").alias("is_initial")).withColumn("condition", F.lit(""))
     silent = endpoints.select(SERVICE, "handler").distinct().join(_keyed(t).select(SERVICE, "handler").distinct(), [SERVICE, "handler"], "left_anti")
