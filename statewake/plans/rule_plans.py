@@ -291,7 +291,7 @@ def inherited_guards(spark, d):
     return validation.effective_guard(ui, surfaces.inherited_guards(links, api)).select("id", "guard")
 
 
-@query("WITH ln AS (SELECT DISTINCT l_suppkey AS u, l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN 'triggers' ELSE 'invokes' END AS k FROM lineitem WHERE true), ap AS (SELECT p_partkey * 2 AS a FROM part WHERE p_type <> 'PROMO'), kn AS (SELECT p_partkey * 2 AS a FROM part) SELECT 'api-only' AS kind, a AS id FROM ap WHERE a NOT IN (SELECT a FROM ln) UNION ALL SELECT DISTINCT 'dangling', a FROM ln WHERE a NOT IN (SELECT a FROM kn) UNION ALL SELECT 'unhandled-outcome', a FROM ap WHERE a IN (SELECT a FROM ln WHERE k = 'triggers') AND a NOT IN (SELECT a FROM ln WHERE k = 'invokes') UNION ALL SELECT DISTINCT 'restated-guard', u FROM ln JOIN part ON p_partkey * 2 = a JOIN supplier ON s_suppkey = u WHERE k = 'invokes' AND p_size > 20 AND s_nationkey < p_size AND s_nationkey = p_size % 25")
+@query("WITH ln AS (SELECT DISTINCT l_suppkey AS u, l_partkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END AS a, CASE WHEN l_returnflag = 'R' THEN 'triggers' ELSE 'invokes' END AS k FROM lineitem WHERE true), ap AS (SELECT p_partkey * 2 AS a FROM part WHERE p_type <> 'PROMO'), kn AS (SELECT p_partkey * 2 AS a FROM part) SELECT 'api-only' AS kind, a AS id FROM ap WHERE a NOT IN (SELECT a FROM ln) UNION ALL SELECT DISTINCT 'dangling', a FROM ln WHERE a NOT IN (SELECT a FROM kn) UNION ALL SELECT 'unhandled-outcome', a FROM ap WHERE a IN (SELECT a FROM ln WHERE k = 'triggers') AND a NOT IN (SELECT a FROM ln WHERE k = 'invokes') UNION ALL SELECT DISTINCT 'restated-guard', u FROM ln JOIN part ON p_partkey * 2 = a JOIN supplier ON s_suppkey = u WHERE k = 'invokes' AND p_size > 20 AND s_nationkey = p_size % 25")
 def surface_divergences(spark, d):
     api = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"), F.when(F.col("p_type") == "PROMO", "planned").otherwise("implemented").alias("status"), F.when(F.col("p_size") > 20, F.concat(F.lit(" size "), (F.col("p_size") % 25).cast("string"), F.lit("; "))).otherwise(" ").alias("guard"))
     links = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ui_id"), (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 1000000).otherwise(0)).alias("api_id"), F.when(F.col("l_returnflag") == "R", "triggers").otherwise("invokes").alias("kind")).distinct()
