@@ -46,12 +46,32 @@ def divergences(ui: DataFrame, api: DataFrame, links: DataFrame) -> DataFrame:
     return only.unionAll(dangling).unionAll(unhandled).unionAll(restated)
 
 
+#: A route's transitions are dealt over so many tasks, each with all of the route's tests.
+DEALT = 16
+
+
 def existing_tests(t: DataFrame, tests: DataFrame) -> DataFrame:
-    """Tests that reach each transition: by verb and any of its mounted paths, in the same service unless either names none; t(id, verb, paths array, service), tests(test, verb, path, service)."""
-    routes = t.select("id", F.upper("verb").alias("verb"), F.explode(F.array_distinct("paths")).alias("path"), F.coalesce("service", F.lit("")).alias("_s"))
-    have = tests.select("test", F.upper("verb").alias("verb"), "path", F.coalesce("service", F.lit("")).alias("_o"))
-    hit = routes.join(have, ["verb", "path"]).where("_s = '' or _o = '' or _s = _o")
-    return hit.select("id", "test").distinct()
+    """Tests that reach each transition: by verb and any of its mounted paths, in the same service unless either names none; t(id, verb, paths array, service), tests(test, verb, path, service).
+
+    A pair that shares several routes is kept at the least of them, so pairs, which may be as many as
+    transitions times tests, are never shuffled to become distinct.
+    """
+    routes = t.select("id", F.upper("verb").alias("verb"), F.explode(F.array_distinct("paths")).alias("path"), F.coalesce("service", F.lit("")).alias("_in"))
+    have = tests.select("test", F.upper("verb").alias("verb"), "path", F.coalesce("service", F.lit("")).alias("_in"))
+
+    def routed(rows: DataFrame, key: str, services: str, every: str) -> DataFrame:
+        one = rows.where("verb is not null and path is not null").groupBy(key, "verb", "path").agg(F.collect_set("_in").alias("_in"))
+        all_ = one.groupBy(key).agg(F.collect_list(F.struct("verb", "path", "_in")).alias(every)).select(key, every, F.explode(every).alias("_r"))
+        return all_.select(key, "_r.verb", "_r.path", F.col("_r._in").alias(services), F.when(F.size(every) > 1, F.col(every)).alias(every))
+
+    left = routed(routes, "id", "_s", "_routes").withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int"))
+    right = routed(have, "test", "_o", "_tests").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    met = lambda x, y: F.array_contains(x, F.lit("")) | F.array_contains(y, F.lit("")) | F.arrays_overlap(x, y)
+    place = lambda x: F.struct(x["verb"], x["path"])
+    here = F.struct("verb", "path")
+    lesser = F.exists("_routes", lambda x: (place(x) < here) & F.exists("_tests", lambda y: (place(y) == place(x)) & met(x["_in"], y["_in"])))
+    hit = left.join(right, ["verb", "path", "_deal"]).where(met(F.col("_s"), F.col("_o")))
+    return hit.where(F.when(F.col("_routes").isNull() | F.col("_tests").isNull(), True).otherwise(~lesser)).select("id", "test")
 
 
 def upsert_links(old: DataFrame, new: DataFrame) -> DataFrame:
