@@ -5,8 +5,10 @@ stages(workflow, stage, place, requires array, gate boolean, blocking boolean);
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from statewake.operators import graph
@@ -42,23 +44,70 @@ def decision_queue(runs: DataFrame, limit: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("ended", "run_id", "stage"))).crossJoin(F.broadcast(n)).select("place", "run_id", "stage", "waiting")
 
 
+def on_circles(edges: list[tuple]) -> list:
+    """The nodes that a walk over edges(source, target) leads back to."""
+    place = {x: i for i, x in enumerate(dict.fromkeys(x for e in edges for x in e))}
+    reach = [0] * len(place)
+    for source, target in edges:
+        reach[place[source]] |= 1 << place[target]
+    for k in range(len(reach)):
+        reach = [r | reach[k] if r >> k & 1 else r for r in reach]
+    return [x for x, i in place.items() if reach[i] >> i & 1]
+
+
+def _circles(e: DataFrame) -> DataFrame:
+    """workflow and stage of the stages on circles of e(workflow, source, target), a workflow's edges being one row."""
+    kind = f"workflow {e.schema['workflow'].dataType.simpleString()}, stage {e.schema['source'].dataType.simpleString()}"
+    schema = to_arrow_schema(e.sparkSession.createDataFrame([], kind).schema)
+
+    def run(batches):
+        for b in batches:
+            lists, workflows, out = b.column(1), b.column(0).to_pylist(), ([], [])
+            sources, targets = (lists.flatten().field(i).to_pylist() for i in (0, 1))
+            ends = lists.value_lengths().to_pylist()
+            at = 0
+            for w, n in zip(workflows, ends, strict=True):
+                for stage in on_circles(list(zip(sources[at : at + n], targets[at : at + n], strict=True))):
+                    out[0].append(w)
+                    out[1].append(stage)
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+
+    return e.groupBy("workflow").agg(F.collect_set(F.struct("source", "target")).alias("_e")).mapInArrow(run, kind)
+
+
 def lint(stages: DataFrame, checks: DataFrame) -> DataFrame:
-    """workflow, stage and rule: a required stage that is not defined, one that does not come before, a check that is not registered, and stages that require themselves in a circle. stages also has check; checks(check)."""
+    """workflow, stage and rule: a required stage that is not defined, one that does not come before, a check that is not registered, and stages that require themselves in a circle. stages also has check; checks(check).
+
+    Only workflows with an edge that does not lead to an earlier place can have a circle. Those of at most
+    ``graph.SMALL`` edges are looked at whole, larger ones are walked from each stage by rounds.
+    """
+    root = graph.scratch(stages)
     need = stages.select("workflow", "stage", "place", F.explode("requires").alias("required"))
     known = stages.select("workflow", F.col("stage").alias("required"), F.col("place").alias("_p"))
-    rows = need.join(known, ["workflow", "required"], "left")
+    rows = graph._written(need.join(known, ["workflow", "required"], "left"), root, "requires")
     unknown = rows.where("_p is null").select("workflow", "stage", F.lit("unknown-stage").alias("rule"))
     late = rows.where("_p >= place").select("workflow", "stage", F.lit("not-before").alias("rule"))
     unchecked = stages.where("check is not null").join(checks.select("check").distinct(), "check", "left_anti").select("workflow", "stage", F.lit("unknown-check").alias("rule"))
     # a stage is in a circle where a walk from what it requires leads back to it
-    e = rows.where("_p is not null").select("workflow", F.col("stage").alias("source"), F.col("required").alias("target")).distinct()
-    # each start walks the edges of its own workflow
-    name = lambda stage: F.to_json(F.array("workflow", stage)).alias("model_id")
+    e = rows.where("_p is not null").select("workflow", F.col("stage").alias("source"), F.col("required").alias("target"), F.coalesce(F.expr("_p >= place"), F.lit(True)).alias("_back"))
+    sizes = graph._written(e.groupBy("workflow").agg(F.count("*").alias("n"), F.bool_or("_back").alias("_back")).where("_back").select("workflow", "n"), root, "sizes")
+    e = e.drop("_back")
+    back = _circles(e.join(sizes.where(F.col("n") <= graph.SMALL).select("workflow"), "workflow", "left_semi"))
+    large = sizes.where(F.col("n") > graph.SMALL).select("workflow")
+    if large.limit(1).count():
+        back = back.unionAll(_walked_circles(e.join(large, "workflow", "left_semi").distinct()))
+    circle = back.select("workflow", "stage", F.lit("circle").alias("rule"))
+    return unknown.unionAll(late).unionAll(unchecked).unionAll(circle).distinct()
+
+
+def _walked_circles(e: DataFrame) -> DataFrame:
+    """The same by walks; each start walks the edges of its own workflow."""
+    name = lambda stage: F.to_json(F.array(F.col("workflow").cast("string"), F.col(stage).cast("string"))).alias("model_id")
     walk = e.join(e.select("workflow", F.col("source").alias("_start")).distinct(), "workflow").select(name("_start"), F.concat_ws(">", "source", "target").alias("id"), "source", "target")
     begun = e.select(name("source"), F.col("target").alias("state")).distinct()
     back = graph.setup_paths(walk, begun).select("model_id", F.col("state").alias("stage")).distinct()
-    circle = stages.withColumn("model_id", name("stage")).join(back, ["model_id", "stage"], "left_semi").select("workflow", "stage", F.lit("circle").alias("rule"))
-    return unknown.unionAll(late).unionAll(unchecked).unionAll(circle).distinct()
+    return e.select("workflow", F.col("source").alias("stage")).distinct().withColumn("model_id", name("stage")).join(back, ["model_id", "stage"], "left_semi").select("workflow", "stage")
 
 
 def decisions(audit: DataFrame, roles: DataFrame, allow_self: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from statewake.operators import surfaces
+from statewake.operators import graph, surfaces, workflow
 
 
 def plan(df) -> str:
@@ -21,3 +21,23 @@ def test_pairs_of_existing_tests_are_not_shuffled(spark):
     assert sorted(map(tuple, df.collect())) == sorted(want)
     # no aggregate or exchange above the join of routes
     assert "Aggregate" not in re.split(r"\w*Join", plan(df))[0] and "Exchange" not in re.split(r"\w*Join", plan(df))[0].replace("AdaptiveSparkPlan", "")
+
+
+def test_circles_of_small_workflows_are_not_walked(spark, monkeypatch):
+    rng = random.Random(6)
+    stages = [(w, s, rng.randint(0, 3), sorted({rng.randint(0, 6) for _ in range(rng.randint(0, 3))}), None) for w in range(60) for s in range(5)]
+    kind = "workflow int, stage int, place int, requires array<int>, check string"
+    df, none = spark.createDataFrame(stages, kind), spark.createDataFrame([], "check string")
+    want = set()
+    for w, s, *_ in stages:
+        seen, front = set(), {s}
+        while front:
+            front = {r for a, x, _, rs, _ in stages if a == w and x in front for r in rs if r < 5} - seen
+            seen |= front
+        want |= {(w, s)} if s in seen else set()
+    circles = lambda: {(r.workflow, r.stage) for r in workflow.lint(df, none).where("rule = 'circle'").collect()}
+    monkeypatch.setattr(graph, "SMALL", 3)
+    assert circles() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "setup_paths", None)
+    assert circles() == want
