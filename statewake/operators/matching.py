@@ -5,12 +5,15 @@ Nulls count as empty texts; ids are unique within their table; empty tables give
 
 from __future__ import annotations
 
+from collections import deque
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from statewake.operators.guards import strip_parens
 
@@ -39,6 +42,7 @@ def normal_guard(guard: Column) -> Column:
     return strip_parens(F.regexp_replace(F.coalesce(guard, F.lit("")), r"\s+", " "))
 
 
+@lru_cache(1 << 16)
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
@@ -48,28 +52,51 @@ def pair_by_guard(previous: DataFrame, candidate: DataFrame, keys: list[str]) ->
 
     previous and candidate have keys, id and guard. Keys that stand once on each side are joined; within
     the others each old element, by id, takes the new one of the most similar guard (ties to the lower
-    id). Only keys with several elements on a side go to Python, and a key is one group.
+    id). Only keys with several elements on a side go to Python, as a sorted stream that holds the new
+    side of one key. An old element is compared with the distinct guards that are left.
     """
     side = lambda df, x: df.select(*keys, F.col("id").alias("id"), normal_guard(F.col("guard")).alias("guard"), F.lit(x).alias("side"))
     both = side(previous, "old").unionAll(side(candidate, "new"))
-    sizes = both.groupBy(*keys).agg(F.count_if(F.col("side") == "old").alias("_o"), F.count_if(F.col("side") == "new").alias("_n"))
-    plain = both.join(sizes.where("_o <= 1 and _n <= 1"), keys).groupBy(*keys).agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("old", "new") for c in ("id", "guard")))
+    ends = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("old", "new") for c in ("id", "guard")]
+    sizes = both.groupBy(*keys).agg(F.count_if(F.col("side") == "old").alias("_o"), F.count_if(F.col("side") == "new").alias("_n"), *ends)
+    plain = sizes.where("_o <= 1 and _n <= 1")
     kinds = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys)
     kind = both.schema["id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, new = (pdf[pdf.side == s].sort_values("id")[["id", "guard"]].values.tolist() for s in ("old", "new"))
-        rows = []
-        for i, guard in old:
-            best = max(new, key=lambda x: ratio(guard, x[1]), default=None)
-            rows.append((i, guard, *(best or (None, None))))
-            if best:
-                new.remove(best)
-        rows += [(None, None, i, guard) for i, guard in new]
-        return pd.DataFrame([(*pdf[keys].iloc[0], *r) for r in rows], columns=[*keys, "old_id", "old_guard", "new_id", "new_guard"])
-
-    several = both.join(sizes.where("_o > 1 or _n > 1"), keys).groupBy(*keys).applyInPandas(run, f"{kinds}, old_id {kind}, old_guard string, new_id {kind}, new_guard string")
-    found = plain.select(*keys, "old_id", "old_guard", "new_id", "new_guard").unionAll(several)
+    made = f"{kinds}, old_id {kind}, old_guard string, new_id {kind}, new_guard string"
+    schema = to_arrow_schema(both.sparkSession.createDataFrame([], made).schema)
+
+    def run(batches):
+        # a key's new elements come first: their ids by guard, then each old one takes the best that is left
+        now, free, rows = None, {}, []
+
+        def added():
+            return [(*now, None, None, i, guard) for guard, ids in free.items() for i in ids]
+
+        for b in batches:
+            for *key, i, guard, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    rows += added()
+                    now, free = key, {}
+                if of == "new":
+                    free.setdefault(guard, deque()).append(i)
+                    continue
+                best = guard if guard in free else min(free, key=lambda g: (-ratio(guard, g), free[g][0]), default=None)
+                rows.append((*key, i, guard, free[best].popleft() if best is not None else None, best))
+                if best is not None and not free[best]:
+                    del free[best]
+            yield batch(rows)
+            rows = []
+        yield batch(added())
+
+    def batch(rows):
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+    # keys are compared as groups are, so a null key is one
+    several = sizes.where("_o > 1 or _n > 1").select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)))
+    stream = both.join(several, same, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "side", "id").select(*keys, "id", "guard", "side")
+    found = plain.select(*keys, "old_id", "old_guard", "new_id", "new_guard").unionAll(stream.mapInArrow(run, made))
     change = F.when(F.col("old_id").isNull(), "ADDED").when(F.col("new_id").isNull(), "REMOVED").when(F.col("old_guard") == F.col("new_guard"), "UNCHANGED").otherwise("MODIFIED")
     return found.select(*keys, "old_id", "new_id", change.alias("change"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from statewake.operators import graph, surfaces, workflow
+from statewake.operators import graph, matching, surfaces, workflow
 
 
 def plan(df) -> str:
@@ -41,3 +41,18 @@ def test_circles_of_small_workflows_are_not_walked(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(graph, "setup_paths", None)
     assert circles() == want
+
+
+def test_keys_of_several_elements_are_one_stream(spark):
+    kind = "key int, id long, guard string"
+    old, new = ([(k, b + i, f"k < {(i * s) % 7}") for k in range(40) for i in range(9)] for b, s in ((0, 3), (100, 5)))
+    df = matching.pair_by_guard(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["key"])
+    assert "MapInArrow" in plan(df) and "FlatMapGroups" not in plan(df)
+    got, want = {(r.key, r.old_id, r.new_id) for r in df.collect()}, set()
+    for k in range(40):
+        left = [r for r in new if r[0] == k]
+        for _, i, guard in (r for r in old if r[0] == k):
+            best = max(left, key=lambda r: matching.ratio(guard, r[2]))
+            left.remove(best)
+            want.add((k, i, best[1]))
+    assert got == want
