@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewake.functions.scores import content_id
+from statewake.operators import graph
 from statewake.operators.synthesis import SERVICE
 
 # The edges that the layer may have, and labels with the one that they specialise
@@ -51,19 +52,58 @@ def evidence_layer(endpoints: DataFrame, security: DataFrame, members: DataFrame
     roles array), members(service, owner, owner_is_enum, name, type, element_type), checks(service, id,
     expression, place, endpoint_id). A type is a node with its fields; a field of another declared type is an edge.
     """
+    return fact_nodes(endpoints, security, members, mappings, checks, outcomes), *references(endpoints, security, members, checks, outcomes)
+
+
+def _endpoints(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
     ep = endpoints.select("*", fact_id("ep", SERVICE, "verb", "path").alias("_id"), F.concat_ws("::", "handler", "verb").alias("endpoint_id"))
-    by_id = ep.groupBy(SERVICE, "endpoint_id").agg(F.min("_id").alias("_ep"))
-    nodes = [_nodes(ep, "Endpoint", F.col("_id"), F.concat_ws(" ", "verb", "path"), {"http_method": "verb", "path": "path", "handler_type": "handler_type", "validated": "validated", "response_body": "response_body"})]
+    return ep, ep.groupBy(SERVICE, "endpoint_id").agg(F.min("_id").alias("_ep"))
+
 
+def _secured(security: DataFrame, by_id: DataFrame) -> DataFrame:
     sec = security.where("scheme <> ''").withColumn("endpoint_id", F.concat_ws("::", "handler", "verb")).join(by_id, [SERVICE, "endpoint_id"], "left")
-    sec = sec.withColumn("_id", fact_id("sec", SERVICE, F.coalesce("_ep", "endpoint_id"), "scheme", "expression"))
-    nodes.append(_nodes(sec, "SecurityScheme", F.col("_id"), "scheme", {"scheme": "scheme", "expression": "expression", "roles": F.array_join(F.array_sort("roles"), ",")}))
+    return sec.withColumn("_id", fact_id("sec", SERVICE, F.coalesce("_ep", "endpoint_id"), "scheme", "expression"))
+
+
+def _members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    m = members.withColumns({"_id": fact_id("cls", SERVICE, "owner"), "_label": F.when(F.coalesce("owner_is_enum", F.lit(False)), "Enum").otherwise("Class")})
+    return m, m.groupBy(SERVICE, "_id", "owner", "_label").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("fields"))
+
+
+def _checks(checks: DataFrame) -> DataFrame:
+    return checks.withColumn("_id", fact_id("chk", SERVICE, "id", "expression"))
+
+
+def _outcomes(outcomes: DataFrame) -> DataFrame:
+    return outcomes.withColumn("_id", fact_id("out", SERVICE, "endpoint_id", "status", "discriminator", F.array_join("checks", ","), "sense"))
+
+
+def fact_nodes(endpoints: DataFrame, security: DataFrame, members: DataFrame, mappings: DataFrame, checks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The nodes of ``evidence_layer``."""
+    ep, by_id = _endpoints(endpoints)
+    nodes = [_nodes(ep, "Endpoint", F.col("_id"), F.concat_ws(" ", "verb", "path"), {"http_method": "verb", "path": "path", "handler_type": "handler_type", "validated": "validated", "response_body": "response_body"})]
+    nodes.append(_nodes(_secured(security, by_id), "SecurityScheme", F.col("_id"), "scheme", {"scheme": "scheme", "expression": "expression", "roles": F.array_join(F.array_sort("roles"), ",")}))
+    nodes.append(_nodes(_members(members)[1], F.col("_label"), F.col("_id"), F.element_at(F.split("owner", r"\."), -1), {"package": "owner", "fields": "fields"}))
+    nodes.append(_nodes(mappings, "ExceptionMapping", fact_id("exm", SERVICE, "exception", "advice"), F.concat_ws(" ", "exception", "status"), {"exception_type": "exception", "status": "status", "advice_type": "advice"}))
+    nodes.append(_nodes(_checks(checks), "Check", F.col("_id"), "expression", {"expression": "expression", "order": "place"}))
+    nodes.append(_nodes(_outcomes(outcomes), "DeclaredOutcome", F.col("_id"), F.concat_ws(" ", "endpoint_id", "status"), {"status": "status", "discriminator": "discriminator", "guard_sense": "sense", "endpoint_ref": "endpoint_id"}))
+    # facts told twice with different properties are one node; the smallest text stays
+    return reduce(DataFrame.unionByName, nodes).groupBy(SERVICE, "id", "label").agg(F.min("name").alias("name"), F.min("props").alias("props"))
+
+
+def references(endpoints: DataFrame, security: DataFrame, members: DataFrame, checks: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and unresolved references of ``evidence_layer``.
+
+    Outcomes, and their checks with what was extracted of them, are written once to the shared folder, each
+    content id once, so the edges made from them need no shuffle to become distinct.
+    """
+    root = graph.scratch(outcomes)
+    ep, by_id = _endpoints(endpoints)
+    sec = _secured(security, by_id)
     edges = [_edges(sec.where("_ep is not null"), "_ep", "Endpoint", "SECURED_BY", "_id", "SecurityScheme")]
     missing = [_missing(sec.where("_ep is null"), "SECURED_BY", "endpoint_id", "no such endpoint")]
 
-    m = members.withColumns({"_id": fact_id("cls", SERVICE, "owner"), "_label": F.when(F.coalesce("owner_is_enum", F.lit(False)), "Enum").otherwise("Class")})
-    types = m.groupBy(SERVICE, "_id", "owner", "_label").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("fields"))
-    nodes.append(_nodes(types, F.col("_label"), F.col("_id"), F.element_at(F.split("owner", r"\."), -1), {"package": "owner", "fields": "fields"}))
+    m, types = _members(members)
     whole = types.select(SERVICE, F.col("owner").alias("_whole"), F.col("_id").alias("_to"), F.col("_label").alias("_to_label"))
     # a simple name that several types have resolves to none of them
     simple = types.groupBy(SERVICE, F.element_at(F.split("owner", r"\."), -1).alias("_simple")).agg(F.min("owner").alias("_owner"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
@@ -80,25 +120,19 @@ def evidence_layer(endpoints: DataFrame, security: DataFrame, members: DataFrame
     payload = payload.join(whole.select(SERVICE, F.col("_whole").alias("_want"), F.lit(True).alias("_w")), [SERVICE, "_want"], "left").join(simple.select(SERVICE, "_simple", F.lit(True).alias("_s")), [SERVICE, "_simple"], "left")
     missing.append(_missing(payload.where("_w is null and _s is null"), "PAYLOAD", "_want", "not one declared type"))
 
-    nodes.append(_nodes(mappings, "ExceptionMapping", fact_id("exm", SERVICE, "exception", "advice"), F.concat_ws(" ", "exception", "status"), {"exception_type": "exception", "status": "status", "advice_type": "advice"}))
-
-    ck = checks.withColumn("_id", fact_id("chk", SERVICE, "id", "expression"))
-    nodes.append(_nodes(ck, "Check", F.col("_id"), "expression", {"expression": "expression", "order": "place"}))
-    oc = outcomes.withColumn("_id", fact_id("out", SERVICE, "endpoint_id", "status", "discriminator", F.array_join("checks", ","), "sense")).join(by_id, [SERVICE, "endpoint_id"], "left")
-    nodes.append(_nodes(oc, "DeclaredOutcome", F.col("_id"), F.concat_ws(" ", "endpoint_id", "status"), {"status": "status", "discriminator": "discriminator", "guard_sense": "sense", "endpoint_ref": "endpoint_id"}))
-    edges.append(_edges(oc.where("_ep is not null"), "_ep", "Endpoint", "DECLARES", "_id", "DeclaredOutcome"))
+    oc = _outcomes(outcomes).select(SERVICE, "endpoint_id", "_id", "checks").join(by_id, [SERVICE, "endpoint_id"], "left").dropDuplicates([SERVICE, "endpoint_id", "_id"])
+    oc = graph._written(oc, root, "outcomes")
+    declared = _edges(oc.where("_ep is not null"), "_ep", "Endpoint", "DECLARES", "_id", "DeclaredOutcome")
     missing.append(_missing(oc.where("_ep is null"), "DECLARES", "endpoint_id", "no such endpoint"))
-    used = oc.select(SERVICE, "_id", F.explode("checks").alias("id")).distinct().join(ck.select(SERVICE, "id", F.col("_id").alias("_ck")), [SERVICE, "id"], "left")
-    edges.append(_edges(used.where("_ck is not null"), "_id", "DeclaredOutcome", "GUARDED_BY", "_ck", "Check"))
-    missing.append(_missing(used.where("_ck is null"), "GUARDED_BY", "id", "no such check"))
+    ck = _checks(checks).groupBy(SERVICE, "id").agg(F.collect_set(F.struct("_id", "endpoint_id")).alias("_cs"))
+    used = graph._written(oc.select(SERVICE, "_id", F.explode(F.array_distinct("checks")).alias("id")).join(ck, [SERVICE, "id"], "full"), root, "checks")
+    guarded = _edges(used.where("_id is not null and _cs is not null").select(SERVICE, "_id", F.explode(F.array_distinct(F.transform("_cs", lambda c: c["_id"]))).alias("_ck")), "_id", "DeclaredOutcome", "GUARDED_BY", "_ck", "Check")
+    missing.append(_missing(used.where("_cs is null"), "GUARDED_BY", "id", "no such check"))
     # a check that no outcome refers to is still a condition of its endpoint
-    alone = ck.join(used.select(SERVICE, "id").distinct(), [SERVICE, "id"], "left_anti").join(by_id, [SERVICE, "endpoint_id"], "left")
+    alone = used.where("_id is null").select(SERVICE, F.explode("_cs").alias("_c")).select(SERVICE, "_c.*").join(by_id, [SERVICE, "endpoint_id"], "left")
     edges.append(_edges(alone.where("_ep is not null"), "_ep", "Endpoint", "CONSTRAINED_BY", "_id", "Check"))
     missing.append(_missing(alone.where("_ep is null"), "CONSTRAINED_BY", "endpoint_id", "no such endpoint"))
-
-    # facts told twice with different properties are one node; the smallest text stays
-    one = reduce(DataFrame.unionByName, nodes).groupBy(SERVICE, "id", "label").agg(F.min("name").alias("name"), F.min("props").alias("props"))
-    return one, reduce(DataFrame.unionByName, edges).distinct(), reduce(DataFrame.unionByName, missing).distinct()
+    return reduce(DataFrame.unionByName, edges).distinct().unionByName(declared).unionByName(guarded), reduce(DataFrame.unionByName, missing).distinct()
 
 
 def _missing(df: DataFrame, rel: str, wanted: str, reason: str) -> DataFrame:

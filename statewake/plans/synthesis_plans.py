@@ -181,20 +181,20 @@ us AS (SELECT DISTINCT oc.service, oid, chk, kid FROM oc LEFT JOIN ck ON ck.serv
 lo AS (SELECT ck.service, kid, endpoint_id, e FROM ck LEFT JOIN bi USING (service, endpoint_id) WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.service = ck.service AND us.chk = ck.id))"""
 
 
-def _layer(spark, d):
-    return evidence.evidence_layer(*facts(spark, d, "endpoints", "security", "members", "mappings", "checks", "outcomes"))
+def _references(spark, d):
+    return evidence.references(*facts(spark, d, "endpoints", "security", "members", "checks", "outcomes"))
 
 
 @query(f"""WITH {_EVIDENCE} SELECT DISTINCT * FROM (SELECT service, e AS src, 'Endpoint' AS src_label, 'SECURED_BY' AS rel_type, sid AS dst, 'SecurityScheme' AS dst_label FROM se WHERE e IS NOT NULL UNION ALL SELECT service, cid, label, 'OF_TYPE', tid, tlabel FROM fi WHERE tid <> cid
 UNION ALL SELECT service, e, 'Endpoint', 'DECLARES', oid, 'DeclaredOutcome' FROM oc WHERE e IS NOT NULL UNION ALL SELECT service, oid, 'DeclaredOutcome', 'GUARDED_BY', kid, 'Check' FROM us WHERE kid IS NOT NULL UNION ALL SELECT service, e, 'Endpoint', 'CONSTRAINED_BY', kid, 'Check' FROM lo WHERE e IS NOT NULL)""")
 def evidence_edges(spark, d):
-    return _layer(spark, d)[1]
+    return _references(spark, d)[0]
 
 
 @query(f"""WITH {_EVIDENCE} SELECT service, id, label, min(name) AS name FROM (SELECT service, eid AS id, 'Endpoint' AS label, verb || ' ' || path AS name FROM ep UNION ALL SELECT service, sid, 'SecurityScheme', 'role' FROM se UNION ALL SELECT service, cid, label, simple FROM cl
 UNION ALL SELECT service, {_ID("exm", "service", "exception", "advice")}, 'ExceptionMapping', exception || ' ' || status FROM mappings UNION ALL SELECT service, kid, 'Check', expression FROM ck UNION ALL SELECT service, oid, 'DeclaredOutcome', concat_ws(' ', endpoint_id, status) FROM oc) GROUP BY ALL""")
 def evidence_nodes(spark, d):
-    return _layer(spark, d)[0].drop("props")
+    return evidence.fact_nodes(*facts(spark, d, "endpoints", "security", "members", "mappings", "checks", "outcomes")).drop("props")
 
 
 @query(f"""WITH {_EVIDENCE} SELECT DISTINCT * FROM (SELECT service, sid AS id, 'SECURED_BY' AS rel_type, endpoint_id AS wanted, 'no such endpoint' AS reason FROM se WHERE e IS NULL UNION ALL SELECT service, cid, 'OF_TYPE', CASE WHEN element_type <> '' THEN element_type ELSE type END, 'not one declared type' FROM fi WHERE tid IS NULL
@@ -202,7 +202,7 @@ UNION ALL SELECT pa.service, eid, 'PAYLOAD', w, 'not one declared type' FROM pa
 UNION ALL SELECT service, oid, 'DECLARES', endpoint_id, 'no such endpoint' FROM oc WHERE e IS NULL UNION ALL SELECT service, oid, 'GUARDED_BY', chk, 'no such check' FROM us WHERE kid IS NULL UNION ALL SELECT service, kid, 'CONSTRAINED_BY', endpoint_id, 'no such endpoint' FROM lo WHERE e IS NULL)""")
 def evidence_unresolved(spark, d):
     """References to what was not extracted: none is dropped."""
-    return _layer(spark, d)[2]
+    return _references(spark, d)[1]
 
 
 # techniques

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from statewake.operators import graph, matching, surfaces, workflow
+from statewake.operators import evidence, graph, matching, surfaces, workflow
 
 
 def plan(df) -> str:
@@ -56,3 +56,16 @@ def test_keys_of_several_elements_are_one_stream(spark):
             left.remove(best)
             want.add((k, i, best[1]))
     assert got == want
+
+
+def test_edges_of_repeated_facts_need_no_shuffle_to_be_distinct(spark):
+    df = lambda rows, kind: spark.createDataFrame(rows, kind)
+    endpoints = df([("s", "h", "GET", "/a", "C", True, None, None)] * 2, "service string, handler string, verb string, path string, handler_type string, validated boolean, body_type string, response_body string")
+    checks = df([("s", "h::GET", "c1", "x", 1), ("s", "h::GET", "c1", "x", 2), ("s", "h::GET", "c2", "y", 1), ("s", "lost::GET", "c3", "z", 1)], "service string, endpoint_id string, id string, expression string, place int")
+    outcomes = df([("s", n, "h::GET", 200, None, ["c1", "c1", "c9"], "") for n in (1, 2)] + [("s", 3, "gone::GET", 200, None, [], "")], "service string, seq long, endpoint_id string, status int, discriminator string, checks array<string>, sense string")
+    security = df([], "service string, handler string, verb string, scheme string, expression string, roles array<string>")
+    members = df([], "service string, owner string, owner_is_enum boolean, name string, type string, element_type string")
+    edges, missing = evidence.references(endpoints, security, members, checks, outcomes)
+    assert sorted(r.rel_type for r in edges.collect()) == ["CONSTRAINED_BY", "DECLARES", "GUARDED_BY"]
+    assert sorted((r.rel_type, r.wanted) for r in missing.collect()) == [("CONSTRAINED_BY", "lost::GET"), ("DECLARES", "gone::GET"), ("GUARDED_BY", "c9")]
+    assert edges._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
