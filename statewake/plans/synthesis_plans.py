@@ -37,12 +37,18 @@ FACTS = {
 }
 
 
-def facts(spark, d, *names):
+#: The same number by order: an order is of one service, so its key, then the place within it, is the same sequence without a second shuffle of all lines. Only the sequence counts.
+_SEQ = ("row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, ", "l_orderkey * 1048576 + row_number() OVER (PARTITION BY o_custkey, l_orderkey ORDER BY ")
+
+
+def facts(spark, d, *names, repeated=False):
+    """The facts as tables; repeated: checks may stand there more than once."""
     tables = {t: table(spark, d, t) for t in ("orders", "lineitem", "customer")}
     made = {}
     for n in names:
         used = {t: df for t, df in tables.items() if f"{{{t}}}" in FACTS[n]}
-        df = spark.sql(FACTS[n], **used)
+        text = FACTS[n].replace(*_SEQ) if n == "outcomes" else FACTS[n]
+        df = spark.sql(text.replace("SELECT DISTINCT", "SELECT") if repeated else text, **used)
         if n == "outcomes":
             df = df.withColumn("checks", F.array("chk")).drop("chk")
         if n == "members":
@@ -126,7 +132,7 @@ m AS MATERIALIZED (SELECT *, CASE WHEN path <> '' THEN {_RES.format("path")} END
 
 
 def _model(spark, d):
-    return synthesis.synthesise(*facts(spark, d, "endpoints", "outcomes", "checks", "members", "mappings"))
+    return synthesis.synthesise(*facts(spark, d, "endpoints", "outcomes", "checks", "members", "mappings", repeated=True))
 
 
 @query(f"""WITH {_MODEL} SELECT service, id, source, trigger_ AS "trigger", target, guard, outcome_status, claim, response_body FROM m""")
@@ -155,15 +161,13 @@ un AS MATERIALIZED (SELECT service, id, r, trigger_, outcome_status, coalesce(pr
 
 @query(f"""WITH {_UNFOLDED} SELECT service, id, source, trigger_ AS "trigger", target, guard, outcome_status, stuck AS source_unresolved FROM un""")
 def unfolded_transitions(spark, d):
-    states, t, _ = _model(spark, d)
-    return synthesis.unfold(states, t)[1].select("service", "id", "source", "trigger", "target", "guard", "outcome_status", "source_unresolved")
+    return synthesis.unfold(None, _model(spark, d)[1])[1].select("service", "id", "source", "trigger", "target", "guard", "outcome_status", "source_unresolved")
 
 
 @query(f"""WITH {_UNFOLDED}, names AS (SELECT service, source AS state FROM un UNION SELECT service, target FROM un UNION SELECT service, source FROM m), said AS (SELECT service, source AS state, min('no ' || list_aggregate(list_filter(regexp_split_to_array(lower(r), '[/_-]'), lambda p: p <> ''), 'string_agg', ' ') || ' exists') AS condition FROM un WHERE own GROUP BY ALL)
 SELECT service, state, EXISTS (SELECT 1 FROM m WHERE m.service = names.service AND m.source = names.state) AS is_initial, coalesce(condition, '') AS condition FROM names LEFT JOIN said USING (service, state)""")
 def unfolded_states(spark, d):
-    states, t, _ = _model(spark, d)
-    return synthesis.unfold(states, t)[0]
+    return synthesis.unfold(None, _model(spark, d)[1])[0]
 
 
 # evidence

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from statewake.operators import evidence, graph, matching, surfaces, workflow
+from statewake.operators import evidence, graph, matching, surfaces, synthesis, workflow
 
 
 def plan(df) -> str:
@@ -69,3 +69,26 @@ def test_edges_of_repeated_facts_need_no_shuffle_to_be_distinct(spark):
     assert sorted(r.rel_type for r in edges.collect()) == ["CONSTRAINED_BY", "DECLARES", "GUARDED_BY"]
     assert sorted((r.rel_type, r.wanted) for r in missing.collect()) == [("CONSTRAINED_BY", "lost::GET"), ("DECLARES", "gone::GET"), ("GUARDED_BY", "c9")]
     assert edges._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_facts_of_a_service_are_shuffled_once(spark):
+    df = lambda rows, kind: spark.createDataFrame(rows, kind)
+    n = range(12)
+    endpoints = df([(f"s{i % 3}", f"h{i}", "POST" if i % 2 else "GET", f"/runs/{{id}}/x{i % 4}" if i % 4 else "/runs", "C", True, "T", "B") for i in n], "service string, handler string, verb string, path string, handler_type string, validated boolean, body_type string, response_body string")
+    checks = df([(f"s{i % 3}", f"c{i}", ["r.isPresent()", "NOT (r.isPresent())", "p > 1"][i % 5 % 3], 1) for i in n] * 2, "service string, id string, expression string, place int")
+    outcomes = df([(f"s{i % 3}", 100 * i + k, f"h{i}::{'POST' if i % 2 else 'GET'}", 200 + k, None, [f"c{i}", f"c{(i + 3 * k) % 12}"], "!" if k else "") for i in n for k in range(3)] + [(f"s{i % 3}", 9_000 + i, f"h{i}::{'POST' if i % 2 else 'GET'}", 404, "declared", [], "") for i in n], "service string, seq long, endpoint_id string, status int, discriminator string, checks array<string>, sense string")
+    members = df([("s1", "T", "a", ["@NotNull"])], "service string, type_name string, name string, constraints array<string>")
+    mappings = df([("s1", "Gone", 410, "C", "E")], "service string, exception string, status int, advice string, response_body string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        states, t, findings = synthesis.synthesise(endpoints, outcomes, checks, members, mappings)
+        unfolded = synthesis.unfold(None, t)
+        for each in (t, *unfolded[:2]):
+            dealt = re.findall(r"Exchange (\w+\([^)]*\))", plan(each))
+            assert dealt and all(re.fullmatch(r"hashpartitioning\(service#\d+, \d+\)", x) for x in dealt), dealt
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = lambda x: sorted(map(repr, x.collect()))
+    for a, b in zip(unfolded, synthesis.unfold(states, t), strict=True):
+        assert rows(a) == rows(b)
+    assert t.count() == 36 + 12 and {r.kind for r in findings.collect()} >= {"no-validation"} and unfolded[2].count()
