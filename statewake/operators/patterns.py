@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from statewake.operators import graph
 
 MODEL = "model_id"
 
@@ -38,11 +41,28 @@ def covered(t: DataFrame, covering: DataFrame) -> DataFrame:
     return t.join(covering, [MODEL, "id"], "left_semi")
 
 
+#: Members of a topic go in blocks of so many, and a task counts about so many pairs.
+BLOCK, PAIRS_EACH = 1_000, 1 << 20
+
+
 def co_members(rows: DataFrame, member: str, topic: str) -> DataFrame:
-    """How many topics every two members share; each pair once."""
-    r = rows.select(member, topic).distinct()
-    a, b = r.withColumnRenamed(member, "a"), r.withColumnRenamed(member, "b")
-    return a.join(b, topic).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """How many topics every two members share; each pair once.
+
+    A member of a topic meets the blocks of those that follow it there; its pairs stay arrays until they
+    are with the task that counts them. There are as many of these tasks as the number of pairs asks for.
+    """
+    r = rows.select(F.col(member).alias("a"), F.col(topic).alias("_t")).where("a is not null and _t is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("_t").orderBy("a")) - 1
+    r = graph._written(r.withColumn("_i", place).withColumn("_b", F.floor(F.col("_i") / BLOCK).cast("int")), graph.scratch(rows), "members")
+    # the places of a topic add up to its pairs
+    pairs = r.agg(F.sum("_i")).first()[0] or 0
+    # what a task joins is dealt by pairs too, since the arrays are many times the rows
+    r = r.repartition(-(-pairs // (8 * PAIRS_EACH)) or 1, "_t")
+    blocks = r.groupBy("_t", "_b").agg(F.sort_array(F.collect_list("a")).alias("_m"))
+    met = r.withColumnRenamed("_b", "_own").join(blocks, "_t").where("_b >= _own")
+    later = F.when(F.col("_b") == F.col("_own"), F.slice("_m", F.col("_i") % BLOCK + 2, F.lit(BLOCK))).otherwise(F.col("_m"))
+    met = met.select("a", later.alias("_m")).where(F.size("_m") > 0).repartition(-(-pairs // PAIRS_EACH) or 1, "a")
+    return met.select("a", F.explode("_m").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

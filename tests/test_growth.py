@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from statewake.operators import evidence, graph, matching, surfaces, synthesis, workflow
+from statewake.operators import evidence, graph, matching, patterns, surfaces, synthesis, workflow
 
 
 def plan(df) -> str:
@@ -92,3 +92,20 @@ def test_facts_of_a_service_are_shuffled_once(spark):
     for a, b in zip(unfolded, synthesis.unfold(states, t), strict=True):
         assert rows(a) == rows(b)
     assert t.count() == 36 + 12 and {r.kind for r in findings.collect()} >= {"no-validation"} and unfolded[2].count()
+
+
+def test_pairs_of_members_are_counted_by_tasks_of_a_size(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(patterns, "BLOCK", 4)
+    monkeypatch.setattr(patterns, "PAIRS_EACH", 50)
+    rows = [(rng.choice([*range(30), None]), rng.choice([1, 1, 1, 2, 3, 4, None])) for _ in range(200)]
+    df = patterns.co_members(spark.createDataFrame(rows, "m int, t int"), "m", "t")
+    of = {t: sorted({m for m, x in rows if x == t and m is not None}) for t in (1, 2, 3, 4)}
+    want = {}
+    for ms in of.values():
+        for i, a in enumerate(ms):
+            for b in ms[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.shared for r in df.collect()} == want
+    n = -(-sum(len(ms) * (len(ms) - 1) // 2 for ms in of.values()) // 50)
+    assert n > 1 and re.search(rf"Exchange hashpartitioning\(a#\d+, {n}\), REPARTITION_BY_NUM", plan(df))
