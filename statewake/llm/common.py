@@ -54,14 +54,14 @@ class Scratch:
 HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """rows joined with keyed, which has one row a key and in weight the number of rows with it (total in sum).
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, heaviest: int | None = None) -> DataFrame:
+    """rows joined with keyed, which has one row a key and in weight the number of rows with it (total in sum or more, heaviest at most where that is known).
 
     Rows of a key go to one task in a shuffle, however many they are. Keys of more than a share of the
     rows are few (at most HOT_KEYS), so these are broadcast and their rows stay where they are.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
-    if total <= most:
+    if (total if heaviest is None else heaviest) <= most:
         return rows.join(keyed.drop(weight), keys)
     hot = F.broadcast(keyed.where(F.col(weight) > most).drop(weight))
     cold = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) <= most).drop(weight), keys)

@@ -299,6 +299,7 @@ def _grouped(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, s
     part = F.coalesce("component", "node").alias("part")
     nodes = members.select("node").distinct().join(starred, "node", "left").select("node", part)
     nodes = scratch.write(nodes, "parts")
+    n_nodes = nodes.count()
     in_buckets = members.select("key", "node").join(nodes, "node").withColumn("one", F.lit(1))
     mixed = scratch.write(parts_of(in_buckets, "key", "one"), "mixed-buckets")
     rows = spread_join(in_buckets.drop("one"), mixed, ["key"], "members", _total(mixed, "members")).join(classes.select("node", "sig"), "node")
@@ -306,16 +307,16 @@ def _grouped(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, s
     near_parts = connected_components(edges, scratch, "possible")
     near_parts = near_parts.union(near_parts.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("part"), F.col("component").alias("cluster"))
     part_sizes = nodes.groupBy("part").agg(F.count("*").alias("size")).join(near_parts, "part")
-    in_clusters = spread_join(nodes, part_sizes, ["part"], "size", _total(part_sizes, "size")).join(classes.select("node", (1 + F.col("n") / LONG_SET).cast("long").alias("weight")), "node")
+    in_clusters = spread_join(nodes, part_sizes, ["part"], "size", n_nodes).join(classes.select("node", (1 + F.col("n") / LONG_SET).cast("long").alias("weight")), "node")
     mixed = scratch.write(parts_of(in_clusters, "cluster", "weight"), "mixed-clusters")
     rows = spread_join(in_clusters.drop("weight"), mixed, ["cluster"], "members", _total(mixed, "members")).join(sets, "node")
     links = blocks(rows, "cluster", CLUSTER_BLOCK).mapInArrow(lambda it: confirmed_links(it, percent), "a long, b long")
     merged = connected_components(links, scratch, "confirmed").withColumnsRenamed({"node": "part", "component": "whole"})
 
     sized = nodes.groupBy("part").agg(F.count("*").alias("size")).join(merged, "part", "left").select("part", "size", F.coalesce("whole", "part").alias("whole"))
-    wholes = spread_join(nodes, sized, ["part"], "size", _total(sized, "size")).join(classes.select("node", "first"), "node")
+    wholes = spread_join(nodes, sized, ["part"], "size", n_nodes).join(classes.select("node", "first"), "node")
     heads = wholes.groupBy("whole").agg(F.min("first").alias("head"), F.count("*").alias("size"))
-    headed = spread_join(wholes.select("whole", "node"), heads, ["whole"], "size", _total(heads, "size")).select("node", "head")
+    headed = spread_join(wholes.select("whole", "node"), heads, ["whole"], "size", n_nodes).select("node", "head")
     named = scratch.write(classes.select("node", "f1", "f2", "copies", "first").join(headed, "node", "left").select("f1", "f2", "copies", "first", F.coalesce("head", "first").alias("head")), "named")
     return all_rows.select("id", "h1", "h2", "n", "f1", "f2"), named
 

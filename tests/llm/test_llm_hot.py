@@ -7,6 +7,7 @@ import pytest
 
 from statewake.llm import common, quality_rules, warc_store
 from statewake.llm.common import Scratch, salted_join
+from statewake.llm.components import connected_components
 
 PAGES = "page_id long, url string, html string"
 
@@ -57,3 +58,19 @@ def test_one_line_on_most_documents(spark, hot, tmp_path):
     names = [x[0] for x in cur.description]
     got = quality_rules.quality_rules(df).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall()) and got.where("removed_words > 0").count() > 100
+
+
+def test_rounds_end_with_stars(spark, hot):
+    class Counted(Scratch):
+        def write(self, df, name):
+            names.append(name)
+            return super().write(df, name)
+
+    kind = "a long, b long"
+    stars, chain = [(i, i % 3) for i in range(3, 40)], [(i, i + 1) for i in range(100, 109)]
+    for edges, most in (([], 1), (stars, 1), (stars + chain + [(7, 7), (1, 4)], 9)):
+        names = []
+        got = {(r.node, r.component) for r in connected_components(spark.createDataFrame(edges, kind), Counted(spark, "stars"), "x").collect()}
+        want = {(i, i % 3) for i in range(3, 40)} if edges else set()
+        want |= {(i, 100) for i in range(101, 110)} if most > 1 else set()
+        assert got == want and len(names) <= most, names
