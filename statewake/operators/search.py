@@ -98,8 +98,7 @@ def search(corpus: DataFrame, queries: DataFrame, provider: Provider, model: str
     """
     require_model(corpus, model, width)
     fetch = k * factor
-    words = retrieval.bm25(corpus, queries, "item", "q_id").withColumn("score", F.round("score", 6))
-    keyword = _ranked(words, [F.desc("score"), "item"], fetch)
+    keyword = retrieval.bm25(corpus, queries, "item", "q_id", fetch).select("q_id", "item", "rank")
     asked, left_out = embed(queries.select(F.col("q_id").alias("item"), F.lit("q").alias("label"), "text"), provider, model, width)
     if left_out.count():
         raise ValueError("a query has no vector")

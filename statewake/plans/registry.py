@@ -337,8 +337,7 @@ bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id OR
 
 
 def _bm25(spark, d):
-    s = retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id").withColumn("score", F.round("score", 6))
-    return retrieval.top(s, ["item_id"], "doc_id", 5)
+    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 5)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, rank, round(score, 1) AS score FROM bm WHERE rank <= 5")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
-from statewake.operators import evidence, graph, matching, patterns, surfaces, synthesis, workflow
+from statewake.operators import evidence, graph, matching, patterns, retrieval, surfaces, synthesis, workflow
 
 
 def plan(df) -> str:
@@ -109,3 +110,32 @@ def test_pairs_of_members_are_counted_by_tasks_of_a_size(spark, monkeypatch):
     assert {(r.a, r.b): r.shared for r in df.collect()} == want
     n = -(-sum(len(ms) * (len(ms) - 1) // 2 for ms in of.values()) // 50)
     assert n > 1 and re.search(rf"Exchange hashpartitioning\(a#\d+, {n}\), REPARTITION_BY_NUM", plan(df))
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PIECE", 40)
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(n))
+    docs = [(i, text(rng.randint(1, 12))) for i in range(60)] + [(7, "a a b"), (None, "a h"), (None, "b"), (61, None), (62, "zz")] + [(i, "a b c") for i in range(70, 90)]
+    queries = [(i, text(3)) for i in range(11)] + [(3, "a H"), (20, None), (21, "unknown")]
+    df = retrieval.bm25(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(queries, "q long, text string"), "d", "q", 4, block=5)
+    tf, lens, want = {}, [len((t or "").split()) for _, t in docs], {}
+    for i, t in docs:
+        ws = (t or "").lower().split()
+        for w in set(ws):
+            tf.setdefault((i, len(ws)), {}).setdefault(w, 0)
+            tf[i, len(ws)][w] += ws.count(w)
+    asked = {w for _, t in queries for w in (t or "").lower().split()}
+    n, avg = len(docs), sum(lens) / len(lens)
+    for q, t in queries:
+        for w in set((t or "").lower().split()):
+            n_w = sum(w in x for x in tf.values())
+            for (i, size), x in tf.items():
+                if w in x and w in asked:
+                    s = math.log(1 + (n - n_w + 0.5) / (n_w + 0.5)) * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * size / avg))
+                    want.setdefault(q, {}).setdefault(i, []).append(s)
+    rows = {(q, i, r + 1, s) for q, of in want.items() for r, (s, i) in enumerate(sorted(((round(sum(v), 6), i) for i, v in of.items()), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))[:4])}
+    assert {(r.q, r.d, r.rank, r.score) for r in df.collect()} == rows
+    # what is above the scores is one window over the best of each task
+    above = plan(df).split("MapInArrow")[0]
+    assert "MapInArrow" in plan(df) and "Aggregate" not in above and "WindowGroupLimit" in above
