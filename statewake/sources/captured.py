@@ -2,22 +2,27 @@
 
 ``register`` makes ``tracker_pages`` and ``checkout`` known to ``spark.read.format``. A folder is listed
 once, filters that a listing can decide are pushed down to it, and each partition holds some files; a file is
-read whole by one task. Paths may be local or of any store that Arrow knows. Nothing is written anywhere.
+read by one task, one of JSON lines a line at a time, and rows go on in batches of a size. Paths may be local or of any store that Arrow knows. Nothing is written anywhere.
 """
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A partition takes files up to so many and so many bytes.
 FILES_EACH, BYTES_EACH = 1_000, 64 << 20
+#: A batch takes rows up to so many and so many characters.
+ROWS_AT_ONCE, SIZE_AT_ONCE = 2_000, 4 << 20
 
 
 @dataclass
@@ -35,8 +40,9 @@ class _FolderReader(DataSourceReader):
     #: Columns that the listing decides, by file.
     listed: tuple[str, ...] = ()
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, schema=None):
         self.path, self.pushed = path, []
+        self.kind = schema and to_arrow_schema(schema)
 
     def pushFilters(self, filters):
         for f in filters:
@@ -73,11 +79,26 @@ class _FolderReader(DataSourceReader):
             size += n
         return parts
 
-    def texts(self, partition: Files) -> Iterator[tuple[str, bytes]]:
+    def opened(self, partition: Files) -> Iterator[tuple[str, io.BufferedReader]]:
         store, root = _store(self.path)
         for name in partition.paths:
-            with store.open_input_stream(f"{root.rstrip('/')}/{name}") as f:
-                yield name, f.read()
+            with io.BufferedReader(store.open_input_stream(f"{root.rstrip('/')}/{name}"), 1 << 20) as f:
+                yield name, f
+
+    def rows(self, partition: Files) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def read(self, partition):
+        held, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), self.kind, strict=True)], schema=self.kind)
+        for row in self.rows(partition):
+            held.append(row)
+            size += sum(len(x) for x in row if isinstance(x, str))
+            if len(held) >= ROWS_AT_ONCE or size >= SIZE_AT_ONCE:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
 
 class CheckoutReader(_FolderReader):
@@ -87,9 +108,9 @@ class CheckoutReader(_FolderReader):
         folder, _, base = name.rpartition("/")
         return {"path": name, "folder": folder.split("/")[0], "extension": base.rpartition(".")[2] if "." in base else ""}
 
-    def read(self, partition):
-        for name, data in self.texts(partition):
-            facts = self.facts(name)
+    def rows(self, partition):
+        for name, f in self.opened(partition):
+            facts, data = self.facts(name), f.read()
             yield name, facts["folder"], facts["extension"], len(data), data.decode("utf-8", "replace")
 
 
@@ -104,7 +125,7 @@ class Checkout(DataSource):
         return "path string, folder string, extension string, size long, text string"
 
     def reader(self, schema):
-        return CheckoutReader(self.options["path"])
+        return CheckoutReader(self.options["path"], schema)
 
 
 def _named(value) -> str | None:
@@ -129,9 +150,20 @@ class TrackerReader(_FolderReader):
     def facts(self, name):
         return {"system": name.split("/")[0].removeprefix("system=")}
 
-    def read(self, partition):
-        for name, data in self.texts(partition):
-            for line in [data] if data.lstrip().startswith(b"{\n") else data.splitlines():
+    def pages(self, f: io.BufferedReader) -> Iterator[bytes]:
+        """The pages of a file: a line each, or one over several lines."""
+        begun = False
+        for line in f:
+            if not begun and line.strip():
+                begun = True
+                if line.lstrip() == b"{\n":
+                    yield line + f.read()
+                    return
+            yield from line.splitlines()
+
+    def rows(self, partition):
+        for name, f in self.opened(partition):
+            for line in self.pages(f):
                 if line.strip():
                     page = json.loads(line)
                     for _, *rest in items_of({"system": self.facts(name)["system"]} | page):
@@ -149,7 +181,7 @@ class TrackerPages(DataSource):
         return "system string, key string, item_type string, title string, description string, status string, priority string, created string, updated string, labels array<string>"
 
     def reader(self, schema):
-        return TrackerReader(self.options["path"])
+        return TrackerReader(self.options["path"], schema)
 
 
 def register(spark: SparkSession) -> None:

@@ -44,6 +44,24 @@ def test_partitions_are_bounded(tmp_path, monkeypatch):
     assert [x.paths for x in captured.CheckoutReader(str(tmp_path)).partitions()] == [["f0", "f1"], ["f2"], ["f3"], ["f4", "f5"], ["f6"]]
 
 
+def test_lines_of_a_file_are_not_held_together(spark, sources, tmp_path, monkeypatch):
+    page = lambda i: json.dumps({"issues": [{"key": f"{i}-{k}", "fields": {"description": "ü" * 1_000, "labels": ["x"]}} for k in range(5)]})
+    (tmp_path / "jira").mkdir()
+    (tmp_path / "jira/all.json").write_text("\n\n".join(map(page, range(3_000))) + "\r" + page(3_000) + "\n \n")
+    df = sources("tracker_pages")
+    assert df.select("key").distinct().count() == 5 * 3_001 and df.where("length(description) = 1000 and size(labels) = 1").count() == 5 * 3_001
+    import tracemalloc
+
+    monkeypatch.setattr(captured, "SIZE_AT_ONCE", 1 << 20, raising=False)
+    reader = captured.TrackerPages({"path": str(tmp_path)}).reader(df.schema)
+    (files,) = reader.partitions()
+    tracemalloc.start()
+    n = sum(getattr(b, "num_rows", 1) for b in reader.read(files))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 5 * 3_001 and peak < (tmp_path / "jira/all.json").stat().st_size / 2
+
+
 def test_tracker_pages_and_documents(spark, sources, tmp_path):
     jira = {"issues": [{"key": "AB-1", "fields": {"summary": "S", "issuetype": {"name": "Bug"}, "status": {"name": "In Review"}, "priority": {"name": "P4"}, "labels": ["x", "x", 3], "created": "2020", "updated": "2021", "description": {"type": "doc"}}}, {"id": 7, "fields": {"summary": None, "status": "Awaiting Signoff"}}]}
     for name, text in {"jira/1.json": json.dumps(jira, indent=1), "system=confluence/p.json": json.dumps({"results": [{"id": "9", "title": "T", "body": {"storage": {"value": "<p>t</p>"}}}]}) + "\n\n" + json.dumps({"results": []}), "zephyr/z.json": json.dumps({"values": [{"key": "T-1", "name": "N", "objective": "o", "priority": {"name": "Normal"}}]})}.items():
