@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewake.operators.retrieval import tokens
+from statewake.operators.retrieval import _kept, tokens
 
 WHILE_WHEN = r"(?i)^while (.+?), when (.+?), (?:then )?(.+?)[.!?]?$"
 GIVEN_WHEN = r"(?i)^given (.+?),? when (.+?),? then (.+?)[.!?]?$"
@@ -18,10 +18,25 @@ def mine_criterion(text: Column) -> Column:
     return F.struct(part(1).alias("given"), part(2).alias("when"), part(3).alias("then"), F.when(part(1).isNull(), "unparseable").alias("blocked"))
 
 
+#: Names in a block, and pairs in a task.
+BLOCK, PAIRS_EACH = 1_000, 1 << 20
+
+
 def mentions(docs: DataFrame, names: DataFrame, doc_id: str, text: str, name_id: str, name: str) -> DataFrame:
-    """(document, name) pairs where a one-word name stands as a whole word, in any case: an equi-join on tokens."""
+    """(document, name) pairs where a one-word name stands as a whole word, in any case: an equi-join on tokens.
+
+    A word meets its names as arrays, which stay arrays until a task of about PAIRS_EACH pairs of its documents
+    and blocks of names makes them distinct; the documents' words that are names are written once.
+    """
+    known = names.select(name_id, F.lower(name).alias("_w")).where("_w is not null").distinct()
     words = docs.select(doc_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("_w"))
-    return words.join(names.select(name_id, F.lower(name).alias("_w")), "_w").select(doc_id, name_id).distinct()
+    words = _kept(words.join(known.select("_w").distinct(), "_w", "left_semi"))
+    per = known.groupBy("_w").agg(F.count("*").alias("n"))
+    pairs = words.groupBy("_w").agg(F.count("*").alias("m")).join(per, "_w").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    block = F.pmod(F.xxhash64(name_id), F.lit(-(-known.count() // BLOCK) or 1)).alias("_b")
+    held = known.groupBy("_w", block).agg(F.sort_array(F.collect_list(F.struct(name_id))).alias("_n"))
+    met = words.join(held, "_w").select(doc_id, "_b", "_n").repartition(-(-pairs // PAIRS_EACH) or 1, doc_id, "_b")
+    return met.select(doc_id, "_b", F.explode("_n").alias("_n")).select(doc_id, "_b", f"_n.{name_id}").distinct().drop("_b")
 
 
 # fixed values: SQL anti-patterns and their names, in the order of report

@@ -6,7 +6,7 @@ import math
 import random
 import re
 
-from statewake.operators import evidence, graph, matching, patterns, retrieval, surfaces, synthesis, workflow
+from statewake.operators import evidence, graph, matching, patterns, retrieval, surfaces, synthesis, textrules, workflow
 
 
 def plan(df) -> str:
@@ -139,3 +139,16 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark, monkeypatch):
     # what is above the scores is one window over the best of each task
     above = plan(df).split("MapInArrow")[0]
     assert "MapInArrow" in plan(df) and "Aggregate" not in above and "WindowGroupLimit" in above
+
+
+def test_mentions_are_made_distinct_by_tasks_of_a_size(spark, monkeypatch):
+    monkeypatch.setattr(textrules, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(textrules, "PAIRS_EACH", 50, raising=False)
+    rng = random.Random(10)
+    docs = [(rng.choice([*range(20), None]), " ".join(rng.choice(["a", "B", "c", "d", "zz"]) for _ in range(4))) for _ in range(40)] + [(90, None)]
+    names = [(rng.choice([*range(30), None]), rng.choice(["A", "b", "c", "q", None])) for _ in range(80)]
+    df = textrules.mentions(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(names, "n long, name string"), "d", "text", "n", "name")
+    want = {(d, n) for d, t in docs for n, x in names if t and x and x.lower() in t.lower().split()}
+    got = [(r.d, r.n) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and df.columns == ["d", "n"]
+    assert (m := re.search(r"Exchange hashpartitioning\(d#\d+L, _b#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(df))) and int(m[1]) > 1 and plan(df).split("Generate")[0].count("Exchange") == 0
