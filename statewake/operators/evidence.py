@@ -14,14 +14,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from statewake.functions.scores import content_id
-from statewake.operators import graph
-from statewake.operators.synthesis import SERVICE
+from statewake.operators.synthesis import DEALT, SERVICE
 
 # The edges that the layer may have, and labels with the one that they specialise
 CATALOGUE = (("Endpoint", "SECURED_BY", "SecurityScheme"), ("Endpoint", "DECLARES", "DeclaredOutcome"), ("DeclaredOutcome", "GUARDED_BY", "Check"), ("Endpoint", "CONSTRAINED_BY", "Check"), ("Class", "OF_TYPE", "Class"))
 PARENTS = {"Enum": "Class", "ApiCall": "Transition"}
+#: The edges of outcomes and checks: relation, label of the source and prefix of its id, the same of the target.
+TOLD = (("DECLARES", "Endpoint", "ep:", "DeclaredOutcome", "out:"), ("GUARDED_BY", "DeclaredOutcome", "out:", "Check", "chk:"), ("CONSTRAINED_BY", "Endpoint", "ep:", "Check", "chk:"))
+#: References of theirs that lead nowhere: relation, prefix of the id, reason.
+LOST = (("DECLARES", "out:", "no such endpoint"), ("GUARDED_BY", "out:", "no such check"), ("CONSTRAINED_BY", "chk:", "no such endpoint"))
 
 
 def fact_id(prefix: str, *parts: str | Column) -> Column:
@@ -94,16 +98,16 @@ def fact_nodes(endpoints: DataFrame, security: DataFrame, members: DataFrame, ma
 def references(endpoints: DataFrame, security: DataFrame, members: DataFrame, checks: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges and unresolved references of ``evidence_layer``.
 
-    Outcomes, and their checks with what was extracted of them, are written once to the shared folder, each
-    content id once, so the edges made from them need no shuffle to become distinct.
+    Facts are dealt by service once, as in ``synthesis``: every join is within a service, and so is making its
+    rows distinct. Nothing is written.
     """
-    root = graph.scratch(outcomes)
-    ep, by_id = _endpoints(endpoints)
-    sec = _secured(security, by_id)
+    outcomes.sparkSession.conf.set(DEALT, "false")
+    ep, by_id = _endpoints(endpoints.repartition(SERVICE))
+    sec = _secured(security.repartition(SERVICE), by_id)
     edges = [_edges(sec.where("_ep is not null"), "_ep", "Endpoint", "SECURED_BY", "_id", "SecurityScheme")]
     missing = [_missing(sec.where("_ep is null"), "SECURED_BY", "endpoint_id", "no such endpoint")]
 
-    m, types = _members(members)
+    m, types = _members(members.repartition(SERVICE))
     whole = types.select(SERVICE, F.col("owner").alias("_whole"), F.col("_id").alias("_to"), F.col("_label").alias("_to_label"))
     # a simple name that several types have resolves to none of them
     simple = types.groupBy(SERVICE, F.element_at(F.split("owner", r"\."), -1).alias("_simple")).agg(F.min("owner").alias("_owner"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
@@ -120,19 +124,41 @@ def references(endpoints: DataFrame, security: DataFrame, members: DataFrame, ch
     payload = payload.join(whole.select(SERVICE, F.col("_whole").alias("_want"), F.lit(True).alias("_w")), [SERVICE, "_want"], "left").join(simple.select(SERVICE, "_simple", F.lit(True).alias("_s")), [SERVICE, "_simple"], "left")
     missing.append(_missing(payload.where("_w is null and _s is null"), "PAYLOAD", "_want", "not one declared type"))
 
-    oc = _outcomes(outcomes).select(SERVICE, "endpoint_id", "_id", "checks").join(by_id, [SERVICE, "endpoint_id"], "left").dropDuplicates([SERVICE, "endpoint_id", "_id"])
-    oc = graph._written(oc, root, "outcomes")
-    declared = _edges(oc.where("_ep is not null"), "_ep", "Endpoint", "DECLARES", "_id", "DeclaredOutcome")
-    missing.append(_missing(oc.where("_ep is null"), "DECLARES", "endpoint_id", "no such endpoint"))
-    ck = _checks(checks).groupBy(SERVICE, "id").agg(F.collect_set(F.struct("_id", "endpoint_id")).alias("_cs"))
-    used = graph._written(oc.select(SERVICE, "_id", F.explode(F.array_distinct("checks")).alias("id")).join(ck, [SERVICE, "id"], "full"), root, "checks")
-    guarded = _edges(used.where("_id is not null and _cs is not null").select(SERVICE, "_id", F.explode(F.array_distinct(F.transform("_cs", lambda c: c["_id"]))).alias("_ck")), "_id", "DeclaredOutcome", "GUARDED_BY", "_ck", "Check")
-    missing.append(_missing(used.where("_cs is null"), "GUARDED_BY", "id", "no such check"))
-    # a check that no outcome refers to is still a condition of its endpoint
-    alone = used.where("_id is null").select(SERVICE, F.explode("_cs").alias("_c")).select(SERVICE, "_c.*").join(by_id, [SERVICE, "endpoint_id"], "left")
-    edges.append(_edges(alone.where("_ep is not null"), "_ep", "Endpoint", "CONSTRAINED_BY", "_id", "Check"))
-    missing.append(_missing(alone.where("_ep is null"), "CONSTRAINED_BY", "endpoint_id", "no such endpoint"))
-    return reduce(DataFrame.unionByName, edges).distinct().unionByName(declared).unionByName(guarded), reduce(DataFrame.unionByName, missing).distinct()
+    told, lost = _told(by_id, checks, outcomes)
+    # relations differ, so each is distinct by itself
+    return reduce(DataFrame.unionByName, (*(e.distinct() for e in edges), told)), reduce(DataFrame.unionByName, (*(x.distinct() for x in missing), lost))
+
+
+def _told(by_id: DataFrame, checks: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that outcomes and checks make, and their references that lead nowhere, in one pass over both.
+
+    An outcome has a row for each of its checks, and a check finds there whether any outcome refers to it.
+    Ids go without prefix, as bytes, until the rows are distinct.
+    """
+    short = lambda x: F.unhex(F.substring(x, -16, 16))
+    oc = _outcomes(outcomes).select(SERVICE, "endpoint_id", short("_id").alias("_id"), F.posexplode_outer(F.array_distinct("checks")).alias("_k", "id"))
+    ck = _checks(checks).select(SERVICE, "endpoint_id", short("_id").alias("_id"), F.lit(-1).alias("_k"), "id")
+    both = oc.withColumn("id", F.col("id").cast("string")).unionByName(ck.withColumn("id", F.col("id").cast("string"))).repartition(SERVICE)
+    rows = both.join(by_id.withColumn("_ep", short("_ep")), [SERVICE, "endpoint_id"], "left")
+
+    # a null service or id is nobody's
+    same, named = Window.partitionBy(SERVICE, "id"), F.col(SERVICE).isNotNull() & F.col("id").isNotNull()
+    check, first, refers = F.coalesce("_k", F.lit(0)) < 0, F.coalesce("_k", F.lit(0)) == 0, F.coalesce(F.col("_k") >= 0, F.lit(False))
+    rows = rows.withColumns({"_cks": F.collect_set(F.when(check, F.col("_id"))).over(same), "_used": F.max(refers).over(same)})
+    cks, alone, placed = F.when(named, F.col("_cks")), check & ~(named & F.col("_used")), F.col("_ep").isNotNull()
+
+    def made(kind: str, *of: Column) -> DataFrame:
+        return rows.select(SERVICE, F.inline(F.concat(*(F.coalesce(x, F.array().cast(kind)) for x in of)))).distinct()
+
+    row = lambda rel, a, b: F.struct(F.lit(rel).alias("_rel"), F.col(a).alias("_a"), (F.col(b) if isinstance(b, str) else b).alias("_b"))
+    edges = made("array<struct<_rel:int,_a:binary,_b:binary>>", F.when(first & placed, F.array(row(0, "_ep", "_id"))), F.when(refers, F.transform(cks, lambda c: row(1, "_id", c))), F.when(alone & placed, F.array(row(2, "_ep", "_id"))))
+    lost = made("array<struct<_rel:int,_a:binary,_b:string>>", F.when(first & ~placed, F.array(row(0, "_id", "endpoint_id"))), F.when(refers & (F.size(F.coalesce(cks, F.array().cast("array<binary>"))) == 0), F.array(row(1, "_id", "id"))), F.when(alone & ~placed, F.array(row(2, "_id", "endpoint_id"))))
+    of = lambda table, place: F.get(F.array(*(F.lit(x[place]) for x in table)), F.col("_rel"))
+    long = lambda prefix, x: F.concat(prefix, F.lower(F.hex(x)))
+    edges = edges.select(SERVICE, long(of(TOLD, 2), "_a").alias("src"), of(TOLD, 1).alias("src_label"), of(TOLD, 0).alias("rel_type"), long(of(TOLD, 4), "_b").alias("dst"), of(TOLD, 3).alias("dst_label"))
+    # a null and an empty name are wanted alike
+    lost = lost.select(SERVICE, long(of(LOST, 1), "_a").alias("id"), of(LOST, 0).alias("rel_type"), F.coalesce("_b", F.lit("")).alias("wanted"), of(LOST, 2).alias("reason")).distinct()
+    return edges, lost
 
 
 def _missing(df: DataFrame, rel: str, wanted: str, reason: str) -> DataFrame:

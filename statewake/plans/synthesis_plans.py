@@ -186,7 +186,7 @@ lo AS (SELECT ck.service, kid, endpoint_id, e FROM ck LEFT JOIN bi USING (servic
 
 
 def _references(spark, d):
-    return evidence.references(*facts(spark, d, "endpoints", "security", "members", "checks", "outcomes"))
+    return evidence.references(*facts(spark, d, "endpoints", "security", "members", "checks", "outcomes", repeated=True))
 
 
 @query(f"""WITH {_EVIDENCE} SELECT DISTINCT * FROM (SELECT service, e AS src, 'Endpoint' AS src_label, 'SECURED_BY' AS rel_type, sid AS dst, 'SecurityScheme' AS dst_label FROM se WHERE e IS NOT NULL UNION ALL SELECT service, cid, label, 'OF_TYPE', tid, tlabel FROM fi WHERE tid <> cid

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -72,6 +73,52 @@ def test_edges_of_repeated_facts_need_no_shuffle_to_be_distinct(spark):
     assert edges._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
+def test_references_are_found_where_facts_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_written", None)
+    df = lambda rows, kind: spark.createDataFrame(rows, kind)
+    rng = random.Random(11)
+    some = lambda *of: rng.choice(of)
+    ends = [(some("s", "r", None), f"h{rng.randint(0, 4)}", "GET", f"/{rng.randint(0, 2)}", "C", True, None, None) for _ in range(8)]
+    cks = [(some("s", "r", None), f"h{rng.randint(0, 6)}::GET", some("a", "b", "c", "d", "", None), some("x", "y", None), 1) for _ in range(40)]
+    # equal ids of unlike facts: no endpoint and an empty one, no checks and none known, a check without a name
+    outs = [(some("s", "r", None), i, some("h0::GET", "h1::GET", "h6::GET", "", None), some(200, None), None, some(["a"], ["a", None], ["b", "a", "b"], ["z"], [""], [], None), "") for i in range(60)]
+    endpoints = df(ends, "service string, handler string, verb string, path string, handler_type string, validated boolean, body_type string, response_body string")
+    checks, outcomes = df(cks, "service string, endpoint_id string, id string, expression string, place int"), df(outs, "service string, seq long, endpoint_id string, status int, discriminator string, checks array<string>, sense string")
+    security = df([], "service string, handler string, verb string, scheme string, expression string, roles array<string>")
+    members = df([], "service string, owner string, owner_is_enum boolean, name string, type string, element_type string")
+
+    def digest(prefix, *parts):
+        return f"{prefix}:{hashlib.sha256('|'.join('' if x is None else str(x) for x in parts).encode()).hexdigest()[:16]}"
+
+    at, edges, missing = {}, set(), set()
+    for s, h, v, path, *_ in ends:
+        if s is not None:
+            at[s, f"{h}::{v}"] = min(at.get((s, f"{h}::{v}"), "~"), digest("ep", s, v, path))
+    named, used = [(s, i, e, digest("chk", s, i, x)) for s, e, i, x, _ in cks], set()
+    for s, _, e, status, _, refs, sense in outs:
+        oid = digest("out", s, e, status, None, ",".join(x for x in refs or [] if x is not None), sense)
+        (edges.add((s, at[s, e], "DECLARES", oid)) if (s, e) in at else missing.add((s, oid, "DECLARES", e or "")))
+        for r in refs or []:
+            found = {k for t, i, _, k in named if (t, i) == (s, r) and None not in (s, r)}
+            used |= {(s, r)} if found else set()
+            edges |= {(s, oid, "GUARDED_BY", k) for k in found}
+            missing |= set() if found else {(s, oid, "GUARDED_BY", r or "")}
+    for s, i, e, k in named:
+        if (s, i) not in used:
+            (edges.add((s, at[s, e], "CONSTRAINED_BY", k)) if (s, e) in at else missing.add((s, k, "CONSTRAINED_BY", e)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = evidence.references(endpoints, security, members, checks, outcomes)
+        dealt = [re.findall(r"Exchange (\w+\([^)]*\))", plan(x)) for x in got]
+        assert all(d and all(re.fullmatch(r"hashpartitioning\(service#\d+, \d+\)", x) for x in d) for d in dealt), dealt
+        key = lambda rows: sorted(rows, key=repr)
+        assert key((r.service, r.src, r.rel_type, r.dst) for r in got[0].collect()) == key(edges)
+        assert key((r.service, r.id, r.rel_type, r.wanted) for r in got[1].collect()) == key(missing)
+        assert {r.rel_type for r in got[0].collect()} == {r.rel_type for r in got[1].collect()} == {"DECLARES", "GUARDED_BY", "CONSTRAINED_BY"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_facts_of_a_service_are_shuffled_once(spark):
     df = lambda rows, kind: spark.createDataFrame(rows, kind)
     n = range(12)
