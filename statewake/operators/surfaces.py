@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MODEL = "model_id"
 
@@ -48,13 +49,16 @@ def divergences(ui: DataFrame, api: DataFrame, links: DataFrame) -> DataFrame:
 
 #: A route's transitions are dealt over so many tasks, each with all of the route's tests.
 DEALT = 16
+#: Transitions and tests of a route that name the same services meet in blocks of so many.
+BLOCK = 1_000
 
 
 def existing_tests(t: DataFrame, tests: DataFrame) -> DataFrame:
     """Tests that reach each transition: by verb and any of its mounted paths, in the same service unless either names none; t(id, verb, paths array, service), tests(test, verb, path, service).
 
     A pair that shares several routes is kept at the least of them, so pairs, which may be as many as
-    transitions times tests, are never shuffled to become distinct.
+    transitions times tests, are never shuffled to become distinct. What the pairs of two blocks have in
+    common is looked at once, and each transition of a block has the same run of tests, which files keep short.
     """
     routes = t.select("id", F.upper("verb").alias("verb"), F.explode(F.array_distinct("paths")).alias("path"), F.coalesce("service", F.lit("")).alias("_in"))
     have = tests.select("test", F.upper("verb").alias("verb"), "path", F.coalesce("service", F.lit("")).alias("_in"))
@@ -64,14 +68,23 @@ def existing_tests(t: DataFrame, tests: DataFrame) -> DataFrame:
         all_ = one.groupBy(key).agg(F.collect_list(F.struct("verb", "path", "_in")).alias(every)).select(key, every, F.explode(every).alias("_r"))
         return all_.select(key, "_r.verb", "_r.path", F.col("_r._in").alias(services), F.when(F.size(every) > 1, F.col(every)).alias(every))
 
-    left = routed(routes, "id", "_s", "_routes").withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int"))
-    right = routed(have, "test", "_o", "_tests").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    def blocks(rows: DataFrame, key: str, every: str, *same: str) -> DataFrame:
+        """Rows that are alike but for the key, in blocks: all of several routes, or all of one."""
+        alike = [*same, F.col(every).isNotNull().alias("_several")]
+        rows = rows.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(*alike).orderBy(key)) - 1) / BLOCK))
+        return rows.groupBy(*alike, "_block").agg(F.sort_array(F.collect_list(F.struct(key, every))).alias("_rows")).drop("_block", "_several")
+
+    left = routed(routes, "id", "_s", "_routes").withColumns({"_deal": F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int"), "_s": F.array_sort("_s")}).repartition("verb", "path", "_deal")
+    right = blocks(routed(have, "test", "_o", "_tests").withColumn("_o", F.array_sort("_o")), "test", "_tests", "verb", "path", "_o").select("verb", "path", "_o", F.col("_rows.test").alias("_all"), F.col("_rows._tests").alias("_their")).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     met = lambda x, y: F.array_contains(x, F.lit("")) | F.array_contains(y, F.lit("")) | F.arrays_overlap(x, y)
     place = lambda x: F.struct(x["verb"], x["path"])
     here = F.struct("verb", "path")
-    lesser = F.exists("_routes", lambda x: (place(x) < here) & F.exists("_tests", lambda y: (place(y) == place(x)) & met(x["_in"], y["_in"])))
-    hit = left.join(right, ["verb", "path", "_deal"]).where(met(F.col("_s"), F.col("_o")))
-    return hit.where(F.when(F.col("_routes").isNull() | F.col("_tests").isNull(), True).otherwise(~lesser)).select("id", "test")
+    lesser = lambda tests: F.exists("_routes", lambda x: (place(x) < here) & F.exists(tests, lambda y: (place(y) == place(x)) & met(x["_in"], y["_in"])))
+    hit = blocks(left, "id", "_routes", "verb", "path", "_deal", "_s").join(right, ["verb", "path", "_deal"]).where(met(F.col("_s"), F.col("_o")))
+    hit = hit.select("verb", "path", F.inline("_rows"), "_all", "_their")
+    # only what both have several routes can meet at a lesser one
+    kept = F.when(F.col("_routes").isNull() | F.get("_their", F.lit(0)).isNull(), F.col("_all")).otherwise(F.filter("_all", lambda _, i: ~lesser(F.get("_their", i))))
+    return hit.select("id", kept.alias("_kept")).select("id", F.explode("_kept").alias("test"))
 
 
 def upsert_links(old: DataFrame, new: DataFrame) -> DataFrame:

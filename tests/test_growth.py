@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -25,6 +26,27 @@ def test_pairs_of_existing_tests_are_not_shuffled(spark):
     assert "Aggregate" not in re.split(r"\w*Join", plan(df))[0] and "Exchange" not in re.split(r"\w*Join", plan(df))[0].replace("AdaptiveSparkPlan", "")
 
 
+def test_tests_of_a_route_meet_its_transitions_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(surfaces, "BLOCK", 7, raising=False)
+    kinds = "id long, verb string, paths array<string>, service string", "test string, verb string, path string, service string"
+    rng = random.Random(12)
+    t = [(rng.choice([*range(40), None]), rng.choice(["get", "POST"]), [rng.choice("abc") for _ in range(rng.randint(0, 3))], rng.choice([None, "", "s", "r"])) for _ in range(90)]
+    tests = [(rng.choice([*map(str, range(40)), None]), rng.choice(["GET", "post"]), rng.choice("abc"), rng.choice([None, "s", "q"])) for _ in range(90)]
+    want = {(i, x) for i, v, ps, s in t for x, w, p, o in tests if v.upper() == w.upper() and p in ps and (not s or not o or s == o)}
+    for broadcast in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            df = surfaces.existing_tests(spark.createDataFrame(t, kinds[0]), spark.createDataFrame(tests, kinds[1]))
+            assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # transitions of a block have the same run of tests in turn, in order
+    names = sorted(f"t{i}" for i in range(50))
+    df = surfaces.existing_tests(spark.createDataFrame([(i, "GET", ["/a"], "s") for i in range(60)], kinds[0]), spark.createDataFrame([(x, "GET", "/a", None) for x in names], kinds[1]))
+    runs = [[r.test for r in g] for _, g in itertools.groupby(df.collect(), key=lambda r: r.id)]
+    assert sum(map(len, runs)) == 3_000 and {tuple(r) for r in runs} == {tuple(names[i : i + 7]) for i in range(0, 50, 7)}
+
+
 def test_circles_of_small_workflows_are_not_walked(spark, monkeypatch):
     rng = random.Random(6)
     stages = [(w, s, rng.randint(0, 3), sorted({rng.randint(0, 6) for _ in range(rng.randint(0, 3))}), None) for w in range(60) for s in range(5)]
